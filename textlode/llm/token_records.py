@@ -178,6 +178,10 @@ def shuffled(uri: str, seed: int) -> Iterator[bytes]:
             yield _checked(f.read, uri)
 
 
+def packed(doc_id: int | None, ids: bytes) -> bytes:
+    return LEAD.pack(doc_id or 0, doc_id is None) + ids
+
+
 def unpack(payload: bytes, dtype: np.dtype) -> tuple[int | None, np.ndarray]:
     """The doc_id and the ids of a payload."""
     doc_id, null = LEAD.unpack_from(payload)
@@ -203,7 +207,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, out: str, id_c
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     writer = writer or RecordWriter(f"{out}/data/part-{number:06d}-{uuid.uuid4().hex}.bin")
                     ids = coder(text or "") + end
-                    writer.write(LEAD.pack(doc_id or 0, doc_id is None) + ids)
+                    writer.write(packed(doc_id, ids))
                     tokens += len(ids) // coder.dtype.itemsize
                     n += 1
         if writer:

@@ -14,7 +14,7 @@ import xxhash
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words whose hash one worker remembers; the table starts anew beyond it.
 REMEMBERED = 1_000_000
-_PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_ODD = 0x9E3779B97F4A7C15
 
 
 class _Hashes(dict):
@@ -51,8 +51,8 @@ def windows(word_hashes: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out += mixed(word_hashes[k : k + n] + _PRIMES[k % 5] * np.uint64(k + 1))
-        out *= _PRIMES[0]
+        out += mixed(word_hashes[k : k + n] + np.uint64((k + 1) * _ODD & 0xFFFFFFFFFFFFFFFF))
+        out *= np.uint64(_ODD)
     return mixed(out)
 
 
