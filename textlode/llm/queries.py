@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import html_text, pii, quality_rules, sentencepieces, slots, token_records
+from textlode.llm import html_text, jaccard, pii, quality_rules, sentencepieces, slots, token_records
 from textlode.session import workspace
 
 PIECES, BYTES, END_ID = "piece_bpe_32k.model", "byte_bpe_50k.json", 2
@@ -53,8 +53,12 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_tokens(manifest)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_sharding, op4_pii, op7_quality_rules, op9_token_records)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_sharding, op4_pii, op7_quality_rules, op9_token_records, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
