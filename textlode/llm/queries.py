@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import html_text, jaccard, pii, quality_rules, sentencepieces, slots, token_records
+from textlode.llm import html_text, jaccard, line_dedup, pii, quality_rules, sentencepieces, slots, token_records
 from textlode.session import workspace
 
 PIECES, BYTES, END_ID = "piece_bpe_32k.model", "byte_bpe_50k.json", 2
@@ -44,6 +44,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -58,8 +62,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_sharding, op4_pii, op7_quality_rules, op9_token_records, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_sharding, op4_pii, op5_line_dedup, op7_quality_rules, op9_token_records, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.SQL.format(rows="documents")}
+    return {"op5_line_dedup": line_dedup.SQL.format(rows="documents"), "op7_quality_rules": quality_rules.SQL.format(rows="documents")}
