@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import html_text, jaccard, line_dedup, pii, quality_rules, sentencepieces, slots, token_records
+from textlode.llm import cotraining, decontaminate, html_text, jaccard, line_dedup, pii, quality_rules, sentencepieces, slots, token_records
 from textlode.session import workspace
 
 PIECES, BYTES, END_ID = "piece_bpe_32k.model", "byte_bpe_50k.json", 2
@@ -48,10 +48,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_records.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BYTES), END_ID, workspace(spark, "token-records"))
     return token_records.read_tokens(manifest)
@@ -62,7 +71,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_sentencepiece, op3_sharding, op4_pii, op5_line_dedup, op7_quality_rules, op9_token_records, op10_jaccard_join)}
+    own = (
+        op1_html_extraction, op2_sentencepiece, op3_sharding, op4_pii, op5_line_dedup,
+        op6_cotraining, op7_quality_rules, op8_decontamination, op9_token_records, op10_jaccard_join,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
