@@ -1,23 +1,260 @@
-"""The registered search queries and their SQL."""
+"""The registered search queries over whole tables, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlode.functions import globs as G
+from textlode.functions.filetypes import FileTypes
+from textlode.functions.ignore import decision, ignored, parse_rules, rule_rows, with_rule_table
+from textlode.operators.search import PatternSet, Search
+from textlode.plans.flags import parse
+from textlode.plans.query import SearchQuery
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+LINES = "SELECT doc_id, i AS line_number, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i) WHERE NOT (i = len(ls) AND ls[i] = '')"
+PATH = "source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '.md' WHEN doc_id % 3 = 1 THEN '.txt' ELSE '.py' END"
+PARTS = ["an", "the", "ou"]
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def with_path(df: DataFrame) -> DataFrame:
+    """documents as files: source/lang/doc_id with a suffix."""
+    suffix = F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".py")
+    return df.withColumn("path", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), suffix)))
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def over_documents(name: str, query: SearchQuery, act: Callable[[Search], DataFrame], sql: str | None = None) -> None:
+    register(name, sql)(lambda spark, sf_dir: act(Search(docs(spark, sf_dir), query)))
+
+
+def lines_query(name: str, condition: str, **options) -> None:
+    over_documents(name, SearchQuery(**options), Search.lines, f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, line FROM ({LINES}) WHERE {condition}")
+
+
+lines_query("search_literal", "contains(line, 'an')", patterns=("an",))
+lines_query("search_regex", r"regexp_matches(line, '(th|wh)[a-z]{2,4}tion')", patterns=("(th|wh)[a-z]{2,4}tion",))
+lines_query("search_fixed_meta", "contains(line, '+1 (')", patterns=("+1 (",), fixed=True)
+lines_query("search_ignore_case", "regexp_matches(line, '(?i)THTION')", patterns=("THTION",), case="insensitive")
+lines_query("search_smart_case_lower", "regexp_matches(line, '(?i)ndble')", patterns=("ndble",), case="smart")
+lines_query("search_smart_case_upper", "contains(line, 'Ndble')", patterns=("Ndble",), case="smart")
+lines_query("search_word", r"regexp_matches(line, '(^|[^\pL\pN_])there?($|[^\pL\pN_])')", patterns=("there?",), word=True)
+lines_query("search_line", r"regexp_matches(line, '^[A-Z][a-z]+\.$')", patterns=(r"[A-Z][a-z]+\.",), line=True)
+lines_query("search_multi_pattern", "regexp_matches(line, 'ingth|onnd|queai')", patterns=("ingth", "onnd", "queai"))
+lines_query("search_invert", "NOT contains(line, 'e')", patterns=("e",), invert=True)
+lines_query("search_unicode_class", r"regexp_matches(line, '[\pL\pM\pN_]{24}')", patterns=(r"\w{24}",))
+lines_query("search_no_unicode", r"regexp_matches(line, '[0-9A-Za-z_]{24}')", patterns=(r"\w{24}",), unicode=False)
+lines_query("search_class_algebra", "regexp_matches(line, '[b-df-hj-np-tv-z]{7}')", patterns=("[[a-z]--[aeiou]]{7}",))
+lines_query("search_named_class", "regexp_matches(line, '[0-9]{3}-[0-9]{4}')", patterns=("[[:digit:]]{3}-[[:digit:]]{4}",))
+lines_query("search_property", r"regexp_matches(line, '\p{Lu}\p{Lu}\p{Lu}')", patterns=(r"\p{Lu}{3}",))
+lines_query("search_absent", "contains(line, 'absent-needle')", patterns=("absent-needle",))
+lines_query("search_bounded_no_match", "regexp_matches(line, 'x[0-9A-Za-z_-]{50,900}')", patterns=(r"x[\w-]{50,900}",), unicode=False)
+lines_query("search_empty_pattern_set", "false", patterns=())
+lines_query("search_verbose", "regexp_matches(line, 'an.on')", patterns=("(?x) an . on # a comment",))
+lines_query("search_pcre_look_around", "regexp_matches(line, 'th[^e]') OR regexp_matches(line, 'th$')", patterns=("th(?!e)",), engine="pcre2")
+lines_query("search_anchors", "regexp_matches(line, '^The') AND regexp_matches(line, '[.]$')", patterns=(r"^The.*\.$",))
+ABSENT = [f"absent{k}needle" for k in range(64)]
+lines_query("search_many_absent", " OR ".join(f"contains(line, '{p}')" for p in ABSENT), patterns=tuple(ABSENT))
+
+COUNT = f"SELECT doc_id, CAST(count(*) FILTER (WHERE {{0}}) AS BIGINT) AS n FROM ({LINES}) GROUP BY doc_id"
+over_documents("count_lines", SearchQuery(patterns=("an",)), Search.count_lines, f"SELECT * FROM ({COUNT.format('contains(line, ' + chr(39) + 'an' + chr(39) + ')')}) WHERE n > 0")
+over_documents("count_lines_zero", SearchQuery(patterns=("queai",), include_zero=True), Search.count_lines, COUNT.format("contains(line, 'queai')"))
+over_documents("invert_count", SearchQuery(patterns=("an",), invert=True), Search.count_lines, f"SELECT * FROM ({COUNT.format('NOT contains(line, ' + chr(39) + 'an' + chr(39) + ')')}) WHERE n > 0")
+over_documents("count_max", SearchQuery(patterns=("an",), max_count=3), Search.count_lines, f"SELECT doc_id, least(n, 3) AS n FROM ({COUNT.format('contains(line, ' + chr(39) + 'an' + chr(39) + ')')}) WHERE n > 0")
+over_documents("count_matches", SearchQuery(patterns=("an[a-z]",)), Search.count_matches, f"SELECT * FROM (SELECT doc_id, CAST(sum(len(regexp_extract_all(line, 'an[a-z]'))) AS BIGINT) AS n FROM ({LINES}) GROUP BY doc_id) WHERE n > 0")
+over_documents("count_matches_invert", SearchQuery(patterns=("an",), invert=True), Search.count_matches, f"SELECT * FROM ({COUNT.format('NOT contains(line, ' + chr(39) + 'an' + chr(39) + ')')}) WHERE n > 0")
+over_documents("files_with_matches", SearchQuery(patterns=("licen[cs]e",), case="insensitive"), Search.files_with_matches, "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e')")
+over_documents("files_without_match", SearchQuery(patterns=("an",)), Search.files_without_match, "SELECT doc_id FROM documents WHERE NOT contains(text, 'an')")
+over_documents("quiet_any", SearchQuery(patterns=("an",)), Search.quiet, "SELECT count(*) > 0 AS found FROM documents WHERE contains(text, 'an')")
+MATCHES = f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(k - 1 AS INTEGER) AS match_index, ms[k] AS match FROM (SELECT doc_id, line_number, regexp_extract_all(line, '{{0}}') AS ms FROM ({LINES})), unnest(range(1, len(ms) + 1)) AS v(k)"
+over_documents("only_matching", SearchQuery(patterns=(r"\b\w{5}\s+\w{5}\s+\w{5}\b",), unicode=False), Search.only_matching)
+over_documents("only_matching_simple", SearchQuery(patterns=("an[a-z]",)), Search.only_matching, MATCHES.format("an[a-z]"))
+SPAN = f"""WITH l AS ({LINES}), p AS (SELECT doc_id, line_number, line, string_split(line, 'tion') AS s, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS off FROM l)
+SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(strlen(array_to_string(s[1:k], 'tion')) + 1 AS BIGINT) AS "column", CAST(off + strlen(array_to_string(s[1:k], 'tion')) AS BIGINT) AS abs_offset FROM p, unnest(range(1, len(s))) AS v(k)"""
+over_documents("only_matching_column", SearchQuery(patterns=("tion",)), lambda s: s.spans().select("doc_id", "line_number", "column", "abs_offset"), SPAN)
+over_documents("byte_offset_line", SearchQuery(patterns=("tion",)), lambda s: s.with_offsets().select("doc_id", "line_number", "byte_offset"), f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(off AS BIGINT) AS byte_offset FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS off FROM ({LINES})) WHERE contains(line, 'tion')")
+over_documents("sum_match_spans", SearchQuery(patterns=("an[a-z]",)), lambda s: s.only_matching().groupBy("doc_id").agg(F.sum(F.octet_length("match")).alias("bytes")), f"SELECT doc_id, CAST(sum(strlen(match)) AS BIGINT) AS bytes FROM ({MATCHES.format('an[a-z]')}) GROUP BY doc_id")
+IP = r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)"
+over_documents("captures_numbered", SearchQuery(patterns=(IP,)), Search.captures, f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, regexp_extract(line, '{IP}', 0) AS match, " + ", ".join(f"regexp_extract(line, '{IP}', {k}) AS group_{k}" for k in range(1, 5)) + f" FROM ({LINES}) WHERE regexp_matches(line, '{IP}')")
+
+
+@register("captures_named", r"""SELECT event_id, regexp_extract(props, '"([a-z_]+)": *"?([^",}]*)', 1) AS "key", regexp_extract(props, '"([a-z_]+)": *"?([^",}]*)', 2) AS "value" FROM events WHERE regexp_matches(props, '"([a-z_]+)": *"?([^",}]*)')""")
+def captures_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = SearchQuery(patterns=(r'"(?P<key>[a-z_]+)": *"?(?P<value>[^",}]*)',))
+    return Search(spark.read.parquet(f"{sf_dir}/events.parquet"), query, ("event_id",), "props").captures().select("event_id", "key", "value")
+
+
+@register("vimgrep", "SELECT conv_id, turn, CAST(k AS BIGINT) AS n FROM (SELECT conv_id, turn, len(regexp_extract_all(text, 'ing')) AS m FROM conversations), unnest(range(1, m + 1)) AS v(k)")
+def vimgrep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Search(spark.read.parquet(f"{sf_dir}/conversations.parquet"), SearchQuery(patterns=("ing",)), ("conv_id", "turn")).spans()
+    from pyspark.sql import Window
+
+    return rows.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("abs_offset")).cast("long").alias("n"))
+
+
+REPLACE = f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, {{0}} AS line FROM ({LINES}) WHERE {{1}}"
+over_documents("replace_literal", SearchQuery(patterns=("tion",), replacement="<$$>"), Search.replaced, REPLACE.format("replace(line, 'tion', '<$>')", "contains(line, 'tion')"))
+over_documents("replace_groups", SearchQuery(patterns=("([a-z])(an)([a-z])",), replacement="${3}1$1"), Search.replaced, REPLACE.format(r"regexp_replace(line, '([a-z])(an)([a-z])', '\31\1', 'g')", "regexp_matches(line, '([a-z])(an)([a-z])')"))
+over_documents("replace_named", SearchQuery(patterns=("(?P<a>th)(?P<b>[a-z]{2})",), replacement="$b-$a$missing"), Search.replaced, REPLACE.format(r"regexp_replace(line, '(th)([a-z]{2})', '\2-\1', 'g')", "regexp_matches(line, '(th)([a-z]{2})')"))
+over_documents("replace_only_matching", SearchQuery(patterns=("([a-z])an([a-z])",), replacement="$2$1"), Search.replaced_matches, f"SELECT doc_id, line_number, match_index, regexp_replace(match, '([a-z])an([a-z])', '\\2\\1') AS match FROM ({MATCHES.format('[a-z]an[a-z]')})")
+
+CONTEXT = f"""WITH h AS (SELECT *, contains(line, 'edst') AS hit FROM ({LINES})), n AS (SELECT *, max(CAST(hit AS INT)) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN {{0}} PRECEDING AND {{1}} FOLLOWING) AS near FROM h),
+k AS (SELECT *, coalesce(line_number - lag(line_number) OVER (PARTITION BY doc_id ORDER BY line_number) > 1, false) AS jump FROM n WHERE near = 1)
+SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CASE WHEN hit THEN 'match' ELSE 'context' END AS kind, line, CAST(sum(CAST(jump AS INT)) OVER (PARTITION BY doc_id ORDER BY line_number) AS BIGINT) AS group_id FROM k"""
+over_documents("context_before", SearchQuery(patterns=("edst",), before=2), Search.context, CONTEXT.format(0, 2))
+over_documents("context_after", SearchQuery(patterns=("edst",), after=2), Search.context, CONTEXT.format(2, 0))
+over_documents("context_both", SearchQuery(patterns=("edst",), context=1), Search.context, CONTEXT.format(1, 1))
+over_documents("passthru", SearchQuery(patterns=("edst",), passthru=True), lambda s: s.context().select("doc_id", "line_number", "kind"), f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CASE WHEN contains(line, 'edst') THEN 'match' ELSE 'context' END AS kind FROM ({LINES})")
+over_documents("max_count", SearchQuery(patterns=("an",), max_count=2), Search.lines, f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS r FROM ({LINES}) WHERE contains(line, 'an')) WHERE r <= 2")
+over_documents("max_count_context", SearchQuery(patterns=("an",), max_count=1, after=1), lambda s: s.context().select("doc_id", "line_number", "kind"), f"WITH h AS (SELECT *, contains(line, 'an') AS hit FROM ({LINES})), f AS (SELECT doc_id, min(line_number) AS f FROM h WHERE hit GROUP BY doc_id) SELECT h.doc_id, CAST(line_number AS BIGINT) AS line_number, CASE WHEN hit THEN 'match' ELSE 'context' END AS kind FROM h JOIN f ON h.doc_id = f.doc_id WHERE line_number BETWEEN f AND f + 1")
+over_documents("stop_on_nonmatch", SearchQuery(patterns=("an",), stop_on_nonmatch=True), lambda s: s.lines().select("doc_id", "line_number"), f"WITH h AS (SELECT *, contains(line, 'an') AS hit FROM ({LINES})), f AS (SELECT doc_id, min(line_number) FILTER (WHERE hit) AS a FROM h GROUP BY doc_id), s AS (SELECT h.doc_id, a, min(line_number) FILTER (WHERE NOT hit AND line_number > a) AS z FROM h JOIN f ON h.doc_id = f.doc_id GROUP BY h.doc_id, a) SELECT h.doc_id, CAST(line_number AS BIGINT) AS line_number FROM h JOIN s ON h.doc_id = s.doc_id WHERE hit AND line_number < coalesce(z, 1000000000)")
+LIMIT = f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CASE WHEN strlen(line) > 80 THEN {{0}} ELSE line END AS line FROM ({LINES}) WHERE contains(line, 'tion')"
+over_documents("max_columns", SearchQuery(patterns=("tion",), max_columns=80), Search.lines, LIMIT.format("'[Omitted long matching line]'"))
+over_documents("max_columns_preview", SearchQuery(patterns=("tion",), max_columns=80, preview=True), Search.lines, LIMIT.format("substr(line, 1, 80) || ' [... omitted end of long line]'"))
+
+
+@register("trim", r"SELECT page_id, CAST(1 AS BIGINT) AS line_number, regexp_replace(html, '^[\t\n\v\f\r ]+', '') AS line FROM pages WHERE contains(html, '<p>') AND NOT contains(html, chr(10))")
+def trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter(~F.contains("html", F.lit("\n")))
+    return Search(pages, SearchQuery(patterns=("<p>",), trim=True), ("page_id",), "html").lines()
+
+
+SETS = " ".join(f"CASE WHEN contains(text, '{p}') THEN [{k}] ELSE [] END ||" for k, p in enumerate(PARTS)).removesuffix("||")
+
+
+def over_sets(name: str, column: Callable[[PatternSet], Column], sql: str) -> None:
+    register(name, sql)(lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", column(PatternSet(PARTS)).alias("found")).filter("found IS NOT NULL"))
+
+
+over_sets("set_matching_ids", lambda s: F.array_join(s.ids(F.col("text")).cast("array<string>"), ","), f"SELECT doc_id, array_to_string({SETS}, ',') AS found FROM documents")
+over_sets("set_first_match", lambda s: s.first(F.col("text"))["pattern_id"].cast("long"), "SELECT doc_id, CAST(arg_min(k, (p, k)) AS BIGINT) AS found FROM (SELECT doc_id, u.k, instr(text, u.s) AS p FROM documents, (VALUES (0, 'an'), (1, 'the'), (2, 'ou')) AS u(k, s)) WHERE p > 0 GROUP BY doc_id")
+over_sets("set_count", lambda s: s.count(F.col("text")).cast("long"), "SELECT doc_id, CAST(len(regexp_extract_all(text, 'an|the|ou')) AS BIGINT) AS found FROM documents")
+
+
+@register("pattern_file", "SELECT d.doc_id, count(*) AS n FROM documents d JOIN (SELECT DISTINCT substr(text, 1, 40) AS head FROM benchmark) b ON contains(d.text, b.head) GROUP BY d.doc_id")
+def pattern_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of the benchmark items as a table of literal patterns; each (document, pattern) pair is tested in the engine."""
+    heads = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.substring("text", 1, 40).alias("head")).distinct()
+    return docs(spark, sf_dir).join(heads, F.contains("text", F.col("head"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def path_query(name: str, condition: Callable[[Column], Column], sql: str) -> None:
+    register(name, f"SELECT path FROM (SELECT {PATH} AS path FROM documents) WHERE {sql}")(lambda spark, sf_dir: with_path(docs(spark, sf_dir)).filter(condition(F.col("path"))).select("path"))
+
+
+path_query("glob_include", lambda p: G.override(p, ["*.md"]), "path LIKE '%.md'")
+path_query("glob_exclude", lambda p: G.override(p, ["!src1*/**"]), "NOT regexp_matches(path, '^src1[^/]*/')")
+path_query("glob_last_wins", lambda p: G.override(p, ["*.md", "!src1/**", "src1/en/*.md"]), "path LIKE '%.md' AND (path NOT LIKE 'src1/%' OR regexp_matches(path, '^src1/en/[^/]*[.]md$'))")
+path_query("iglob", lambda p: G.override(p, ["*.MD"], ignore_case=True), "path ILIKE '%.md'")
+path_query("glob_classes", lambda p: G.matches(p, "src[1-3]/{en,fr}/?[0-9].*", G.GlobOptions(literal_separator=True)), "regexp_matches(path, '^src[1-3]/(en|fr)/[^/][0-9][.][^/]*$')")
+path_query("type_select", lambda p: FileTypes().admitted(p, [("py", True)]), "regexp_matches(path, '[.]pyi?$')")
+path_query("type_negate", lambda p: FileTypes().admitted(p, [("markdown", False)]), "NOT regexp_matches(path, '[.](markdown|md|mdown|mkd|mkdn)$')")
+path_query("type_add", lambda p: FileTypes().add("notes:*1.txt").add("notes:include:py").admitted(p, [("notes", True)]), "regexp_matches(path, '1[.]txt$') OR regexp_matches(path, '[.]pyi?$')")
+RULES = parse_rules("*.py\n!src2/**\n/src3/de/\n# a comment\nsrc4/*/*7.md\n")
+path_query("ignore_rules", lambda p: ~ignored(p, RULES), "NOT ((path LIKE '%.py' AND path NOT LIKE 'src2/%') OR path LIKE 'src3/de/%' OR regexp_matches(path, '^src4/[^/]*/[^/]*7[.]md$'))")
+STACK = [*parse_rules("*.md", "", "gitignore"), *parse_rules("!*.md", "src1", "gitignore"), *parse_rules("*0.md", "", "ignore")]
+path_query("ignore_precedence", lambda p: decision(p, F.lit(False), STACK) == "ignore", "path LIKE '%.md' AND (regexp_matches(path, '0[.]md$') OR path NOT LIKE 'src1/%')")
+path_query("max_depth", lambda p: F.size(F.split(p, "/")) <= 3, "len(string_split(path, '/')) <= 3")
+path_query("hidden_filter", lambda p: ~p.rlike(r"(^|/)\."), "NOT regexp_matches(path, '(^|/)[.]')")
+
+
+@register("ignore_rule_table", f"SELECT path, CASE WHEN path LIKE 'src1/%.md' THEN 'whitelist' WHEN path LIKE '%.md' THEN 'ignore' ELSE 'none' END AS decision FROM (SELECT DISTINCT {PATH} AS path FROM documents)")
+def ignore_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(rule_rows(STACK[:2]), "regex string, include boolean, rank int")
+    return with_rule_table(with_path(docs(spark, sf_dir)).select("path").distinct(), rules)
+
+
+@register("globset_indexes", "SELECT page_id, CASE WHEN url LIKE 'https://%' THEN [0] ELSE [] END || CASE WHEN regexp_matches(url, '/en/') THEN [1] ELSE [] END || CASE WHEN url LIKE '%#top' THEN [2] ELSE [] END AS hits FROM pages")
+def globset_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", G.matching_indexes(F.col("url"), ["https://*", "*/en/*", "*#top"]).alias("hits"))
+
+
+@register("type_list")
+def type_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FileTypes().frame(spark)
+
+
+@register("max_filesize", "SELECT doc_id FROM documents WHERE strlen(text) <= 1024")
+def max_filesize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).filter(F.octet_length("text") <= 1024).select("doc_id")
+
+
+@register("sort_path", f"SELECT CAST(row_number() OVER (ORDER BY string_split(path, '/')) AS BIGINT) AS place, path FROM (SELECT {PATH} AS path FROM documents)")
+def sort_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in the order of their path's components: ranks of components by joins of small tables, not one sorted task."""
+    from pyspark.sql import Window
+
+    rows = with_path(docs(spark, sf_dir)).select("path").withColumn("parts", F.split("path", "/")).withColumn("top", F.struct(F.get("parts", F.lit(0)), F.get("parts", F.lit(1))))
+    counts = rows.groupBy("top").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(before, "top").select((F.row_number().over(Window.partitionBy("top").orderBy("parts")) + F.col("before")).cast("long").alias("place"), "path")
+
+
+over_documents("stats_summary", SearchQuery(patterns=("tion",)), Search.stats, f"WITH m AS (SELECT doc_id, count(*) FILTER (WHERE contains(line, 'tion')) AS l, sum(len(regexp_extract_all(line, 'tion'))) AS n FROM ({LINES}) GROUP BY doc_id) SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS searches, CAST(count(*) FILTER (WHERE l > 0) AS BIGINT) AS searches_with_match, CAST((SELECT sum(strlen(text)) FROM documents) AS BIGINT) AS bytes_searched, CAST(sum(l) AS BIGINT) AS matched_lines, CAST(sum(n) AS BIGINT) AS matches FROM m")
+over_documents("json_match_events", SearchQuery(patterns=("tion",)), lambda s: s.json_events().select("doc_id", "line_number", "n_submatches", "absolute_offset"), f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(len(regexp_extract_all(line, 'tion')) AS BIGINT) AS n_submatches, CAST(off AS BIGINT) AS absolute_offset FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS off FROM ({LINES})) WHERE contains(line, 'tion')")
+over_documents("rendered_lines", SearchQuery(patterns=("edst",), line_number=True, column=True), lambda s: s.rendered().select("output"), f"SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(line_number AS VARCHAR) || ':' || CAST(strlen(string_split(line, 'edst')[1]) + 1 AS VARCHAR) || ':' || line AS output FROM ({LINES}) WHERE contains(line, 'edst')")
+over_documents("multiline_count", SearchQuery(patterns=(r"\.\nThe",), multiline=True), Search.count_multiline, "SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '[.]\\nThe')) AS BIGINT) AS n FROM documents) WHERE n > 0")
+over_documents("multiline_span", SearchQuery(patterns=(r"\.\nThe",), multiline=True), lambda s: s.multiline().select("doc_id", "match_index", "start_line", "stop_line", "match"), "SELECT doc_id, CAST(k - 1 AS INTEGER) AS match_index, CAST(len(string_split(array_to_string(s[1:k], '.' || chr(10) || 'The'), chr(10))) AS BIGINT) AS start_line, CAST(len(string_split(array_to_string(s[1:k], '.' || chr(10) || 'The'), chr(10))) + 1 AS BIGINT) AS stop_line, '.' || chr(10) || 'The' AS match FROM (SELECT doc_id, string_split(text, '.' || chr(10) || 'The') AS s FROM documents), unnest(range(1, len(s))) AS v(k)")
+over_documents("multiline_dotall", SearchQuery(patterns=("^Th.*pathetic",), multiline=True, dotall=True), lambda s: s.count_multiline().select("doc_id"), "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?ms)^Th.*pathetic')")
+
+
+@register("flags_front_end", f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS r FROM ({LINES}) WHERE regexp_matches(line, '(?i)thtion|queai')) WHERE r <= 2")
+def flags_front_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query, _ = parse(["-i", "-e", "THTION", "-equeai", "-m2"])
+    return Search(docs(spark, sf_dir), query).lines()
+
+
+def inline(spark: SparkSession, texts: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def over_inline(name: str, texts: list[str], query: SearchQuery, act: Callable[[Search], DataFrame], sql: str) -> None:
+    register(name, sql)(lambda spark, sf_dir: act(Search(inline(spark, texts), query)))
+
+
+VALUES = "SELECT CAST(a AS BIGINT) AS doc_id, CAST(b AS BIGINT) AS {1} FROM (VALUES {0}) AS t(a, b)"
+over_inline("crlf_records", ["one\r\ntwo\r\nxtwo", "two\r\n"], SearchQuery(patterns=("two$",), crlf=True), lambda s: s.lines().select("doc_id", "line_number"), VALUES.format("(0, 2), (0, 3), (1, 1)", "line_number"))
+over_inline("null_data", ["foo\0bar\0\0\0baz\0"], SearchQuery(patterns=(".+",), null_data=True), lambda s: s.lines().select("doc_id", "line_number"), VALUES.format("(0, 1), (0, 2), (0, 5)", "line_number"))
+over_inline("binary_quit", ["foo\0bar\nfoo\0baz\n", "foo\nx\0foo\n"], SearchQuery(patterns=("foo",)), lambda s: s.lines().select("doc_id", "line_number"), VALUES.format("(1, 1)", "line_number"))
+over_inline("binary_convert", ["foo\0bar\nfoo\0baz\n"], SearchQuery(patterns=("foo",), binary="convert"), lambda s: s.count_lines(), VALUES.format("(0, 2)", "n"))
+over_inline("empty_match_suppression", ["abc", "abc\n"], SearchQuery(patterns=("b*",)), lambda s: s.count_matches(), VALUES.format("(0, 2), (1, 3)", "n"))
+over_inline("no_phantom_records", ["", "\n", "a\n", "a\n\n"], SearchQuery(patterns=("q",), invert=True), lambda s: s.count_lines(), VALUES.format("(1, 1), (2, 1), (3, 2)", "n"))
+
+
+@register("decode_shift_jis", "SELECT 'Шерлок' AS a, '日本' AS b, 'x�' AS c")
+def decode_shift_jis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlode.sources.files import decoded
+
+    rows = spark.createDataFrame([(bytearray("Шерлок".encode("cp932")), bytearray(b"\xff\xfe" + "日本".encode("utf-16-le")), bytearray(b"x\xff"))], "a binary, b binary, c binary")
+    return rows.select(decoded(F.col("a"), "sjis").alias("a"), decoded(F.col("b"), "sjis").alias("b"), decoded(F.col("c")).alias("c"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that contain `an`, with their numbers."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.contains("text", F.lit("an")))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.contains("line", F.lit("an")))
-    return lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line_number"), "line")
+    """Lines of the documents that hold `an`, with numbers."""
+    return QUERIES["search_literal"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"search_literal": flagship}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -68,3 +69,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system API (works for every store that Spark reads)."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: its cleaner waits for the driver to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
