@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from textlode.llm.batches import arrow_map, list_array
 from textlode.llm.components import components
 from textlode.llm.words import WORD, hashes, mixed, shingle_set
-from textlode.session import materialise, workspace
+from textlode.session import drop_path, materialise, release, workspace
 
 #: Counters of the sketch, the most frequent of them that are kept, and the levels of frequency that are told apart.
 SKETCH, HEAVY = 1 << 20, 100_000
 #: Postings from which on a shingle links to a pivot before pairs are formed.
 BIG = 32
 LONGEST_MATCH, VERIFY_WEIGHT = 4, 8.0
+#: Documents that a shingle which the sketch doesn't show as frequent is taken to be in, on average.
+LIGHT = 1.5
 #: Rows up to which a list of ids is broadcast (24 bytes each); beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -86,9 +88,7 @@ def ordered(held: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def best_match(level: np.ndarray, n: int, percent: int) -> int:
     """The l with the least estimated cost: postings read plus candidates verified."""
     longest = prefix_length(n, percent, LONGEST_MATCH)
-    if not level[:longest].any():
-        return 1
-    listed = np.cumsum(np.where(level[:longest] > 0, np.exp2(level[:longest].astype(float)), 1.0))
+    listed = np.cumsum(np.where(level[:longest] > 0, np.exp2(level[:longest].astype(float)), LIGHT))
     best, least = 1, float("inf")
     for match in range(1, LONGEST_MATCH + 1):
         p = prefix_length(n, percent, match)
@@ -137,7 +137,7 @@ def prefixes(df: DataFrame, levels: np.ndarray, id_col: str, text_col: str, size
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(cls, held) of the wanted classes (cls, rep): their sets as bytes."""
+    """(cls, held) of the wanted classes (cls, rep): their sets as bytes, once unless rows with one id and text repeat."""
     few = wanted.count() <= BROADCAST_ROWS
     right = wanted.select(F.col("rep").alias("_rep")).distinct()
     docs = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(right) if few else right, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi")
@@ -151,7 +151,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size:
         return run
 
     made = arrow_map(docs.select("_text"), make, "cls long, held binary")
-    return made.join(F.broadcast(wanted.select("cls")) if few else wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("held").alias("held"))
+    return made.join(F.broadcast(wanted.select("cls")) if few else wanted.select("cls"), "cls", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,30 +197,41 @@ def linked(df: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_
     classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").cast("int").alias("n"), F.max("match").alias("match"), F.max_by("tokens", F.size("tokens")).alias("tokens"))
     classes = materialise(classes, f"{root}/classes")
     postings = classes.select("cls", "n", "match", F.posexplode("tokens").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("listed"), F.min(F.struct("pos", "n", "cls", "match")).alias("pivot")).filter("listed > 1")
+    lists = postings.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1")
     shared = materialise(postings.join(lists, "token"), f"{root}/postings")
+    release(spark)
 
     def edges_of(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialise(pairs, f"{root}/{name}-pairs")
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        sets = materialise(sets_of(df, ends.join(classes.select("cls", "rep"), "cls"), id_col, text_col, size), f"{root}/{name}-sets")
-        return materialise(verified(pairs, sets, percent), f"{root}/{name}-edges")
+        wanted = materialise(ends.join(classes.select("cls", "rep"), "cls"), f"{root}/{name}-wanted")
+        sets = materialise(sets_of(df, wanted, id_col, text_col, size), f"{root}/{name}-sets")
+        if sets.count() > wanted.count():
+            sets = materialise(sets.groupBy("cls").agg(F.first("held").alias("held")), f"{root}/{name}-single-sets")
+        edges = materialise(verified(pairs, sets, percent), f"{root}/{name}-edges")
+        drop_path(spark, f"{root}/{name}-sets")
+        release(spark)
+        return edges
 
     n, m = F.col("n"), F.col("pivot.n")
     match = F.least("match", "pivot.match")
+    pivots = materialise(shared.filter(F.col("listed") > BIG).groupBy("token").agg(F.min(F.struct("pos", "n", "cls", "match")).alias("pivot")), f"{root}/pivots")
+    shared = shared.join(pivots, "token", "left")
     star = (
-        shared.filter((F.col("listed") > BIG) & (F.col("cls") != F.col("pivot.cls")) & _sizes_fit(n, m, percent))
+        shared.filter((F.col("cls") != F.col("pivot.cls")) & _sizes_fit(n, m, percent))
         .filter(_within(n, F.col("pos"), m, match, percent) & _within(m, F.col("pivot.pos"), n, match, percent))
-        .select(F.col("cls").alias("a"), F.col("pivot.cls").alias("b"))
-        .distinct()
+        .groupBy(F.col("cls").alias("a"), F.col("pivot.cls").alias("b"))
+        .agg(F.count("*").alias("met"))
+        .filter("met > 1")  # one common shingle says little, and the pairs that are left out here are looked at below
+        .select("a", "b")
     )
     edges = edges_of(star, "star")
     labels = components(edges)
-    mine, pivots = labels.select(F.col("id").alias("cls"), F.col("root").alias("_mine")), labels.select(F.col("id").alias("_pivot"), F.col("root").alias("_theirs"))
+    mine, theirs = labels.select(F.col("id").alias("cls"), F.col("root").alias("_mine")), labels.select(F.col("id").alias("_pivot"), F.col("root").alias("_theirs"))
     told = (
         shared.withColumn("_pivot", F.col("pivot.cls"))
         .join(mine, "cls", "left")
-        .join(pivots, "_pivot", "left")
+        .join(theirs, "_pivot", "left")
         .select("token", "cls", "n", "match", "pos", F.coalesce("_mine", "cls").alias("comp"), ((F.col("listed") <= BIG) | (F.coalesce("_mine", "cls") != F.coalesce("_theirs", "_pivot"))).alias("minor"))
     )
     told = materialise(told, f"{root}/told")
