@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm.batches import arrow_map, list_array
+from textlode.llm.batches import arrow_map, chunks, list_array
 from textlode.llm.components import components
 from textlode.llm.words import WORD, hashes, mixed, shingle_set
 from textlode.session import drop_path, materialise, release, workspace
@@ -58,7 +58,7 @@ def frequent(df: DataFrame, text_col: str, size: int) -> np.ndarray:
 
     def make_run(batches):
         counts = np.zeros(SKETCH, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             held = [shingles(t, size) for t in batch.column(0).to_pylist()]
             if held:
                 counts += np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
@@ -108,7 +108,7 @@ def prefixes(df: DataFrame, levels: np.ndarray, id_col: str, text_col: str, size
 
         def run(batch: pa.RecordBatch) -> list:
             n, cls, match, tokens = [], [], [], []
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             for text in batch.column(1).to_pylist():
                 held = shingles(text, size)

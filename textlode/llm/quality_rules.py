@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textlode.llm.batches import arrow_map
+from textlode.llm.batches import arrow_map, chunks
 from textlode.llm.words import WORD, hashes, windows
 
 SAMPLE_ROWS = 400
@@ -147,7 +147,7 @@ def kept(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         rules = [RULES[name] for name in order]
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             accepted = [not base_failed(d) and not any(rule(d) for rule in rules) for d in map(measure, batch.column(at).to_pylist())]
             yield batch.filter(pa.array(accepted, pa.bool_()))
 

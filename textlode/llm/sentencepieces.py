@@ -28,7 +28,7 @@ from textlode.llm.batches import arrow_map, list_array
 SPACE = "▁"
 MARK = SPACE.encode()
 #: Words that one worker remembers; the table starts anew beyond it.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 NEWLINE, NUL_SPACE, NUL_NEWLINE = "\n", f"\0{SPACE}", "\0\n"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Piece kinds of the model format.

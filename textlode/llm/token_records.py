@@ -35,7 +35,7 @@ MASK_ADD = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 LEAD = struct.Struct("<qI")
 #: Words that one worker remembers; the table starts anew beyond it.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Marks that are taken off a word's end before it is encoded (no apostrophe: that one may bind to letters).
 TAIL = ".,;:!?*%$#&|"
 #: The characters with Unicode's White_Space property (Python's own \\s has four more).

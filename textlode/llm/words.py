@@ -13,7 +13,7 @@ import xxhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words whose hash one worker remembers; the table starts anew beyond it.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _ODD = 0x9E3779B97F4A7C15
 
 
