@@ -2,7 +2,7 @@
 
 One classifier sees a document's text (shape statistics and hashed words), the other its metadata (source, language,
 length). Over some rounds each labels the documents of a pool that it is surest of, and these pseudo-labels join the
-other's training rows. Both are then calibrated, and a stacked pair of weights combines them, on labelled rows that took
+other's training rows; a view teaches only what it is right about as often as it claims on held-out rows. Both are then calibrated, and a stacked pair of weights combines them, on labelled rows that took
 no part in training. All documents are scored where they are read.
 
 Training uses bounded samples, taken in the order of a hash of doc_id: `LABELLED` labelled and `POOL` other documents.
@@ -65,7 +65,7 @@ class Linear:
     bias: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Linear:
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 25) -> Linear:
         """Newton steps; `ridge` is the penalty on each weight."""
         x = x.astype(np.float64)
         mean, scale = x.mean(0), x.std(0)
@@ -120,6 +120,10 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
             p = sigmoid(views[k].margin(pool[k]))
             share = float(y[~held].mean())
             for label, sure, most in ((1.0, p, int(PER_ROUND * share)), (0.0, 1 - p, PER_ROUND - int(PER_ROUND * share))):
+                known = sigmoid(views[k].margin(labelled[k][held]))
+                claimed = (known if label else 1 - known) >= SURE
+                if claimed.any() and (y[held][claimed] == label).mean() < SURE:
+                    continue
                 at = np.flatnonzero(free & (sure >= SURE))
                 at = at[np.argsort(-sure[at], kind="stable")][:most]
                 free[at] = False

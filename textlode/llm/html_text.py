@@ -174,7 +174,8 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = np.where(usable, np.maximum(size - [line[2] for line in lines], 0) / np.maximum(1, [line[1] for line in lines]), 0.0)
     smooth = smoothed(ratios)
-    content = usable & (smooth >= min(threshold(smooth), smooth[usable].max()))
+    cut = min(threshold(smooth), smooth[usable].max())
+    content = usable & ((smooth >= cut) | (ratios >= cut))
     votes = [0.0] * len(parser.parent)
     present = [False] * len(parser.parent)
     for k in np.flatnonzero(usable):

@@ -35,7 +35,7 @@ MASK_ADD = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 LEAD = struct.Struct("<qI")
 #: Words that one worker remembers; the table starts anew beyond it.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Marks that are taken off a word's end before it is encoded (no apostrophe: that one may bind to letters).
 TAIL = ".,;:!?*%$#&|"
 #: The characters with Unicode's White_Space property (Python's own \\s has four more).
@@ -87,11 +87,20 @@ class Words(dict):
 
     def __init__(self, whole: Callable[[str], bytes]) -> None:
         self.whole = whole
+        self.tails: dict[str, bytes] = {}
+
+    def tail(self, marks: str) -> bytes:
+        if len(self.tails) > REMEMBERED:
+            self.tails.clear()
+        found = self.tails.get(marks)
+        if found is None:
+            found = self.tails[marks] = self.whole(marks)
+        return found
 
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(TAIL)
         if core != word and core and core[-1].isalpha():  # letters and marks are never in one unit
-            ids = self[core] + self.whole(word[len(core) :])
+            ids = self[core] + self.tail(word[len(core) :])
         else:
             ids = self.whole(word if word[0] == "\n" else f" {word}")
         self[word] = ids
