@@ -44,15 +44,17 @@ class Search:
     def selected(self, line: Column) -> Column:
         return ~self.hit(line) if self.query.invert else self.hit(line)
 
-    def files(self) -> DataFrame:
-        """Files whose text is searched: binary ones (with a NUL) are left out, cut or converted as the query says."""
+    def files(self, prune: bool = False) -> DataFrame:
+        """Files whose text is searched: binary ones (with a NUL) are cut or converted as the query says. `prune` leaves
+        out files that can't match, by a test on the column as it is stored."""
         text = F.col(self.text)
+        stored = self.df.filter(self.possible(text)) if prune else self.df
         if self.query.binary == "quit" and not self.query.null_data:
             at = F.instr(text, "\0")
             text = F.when(at > 0, F.regexp_extract(F.substring(text, F.lit(1), at - 1), r"(?s)\A(.*\n)?", 0)).otherwise(text)
         elif self.query.binary == "convert" and not self.query.null_data:
             text = F.translate(text, "\0", "\n")
-        return self.df.select(*self.keys, text.alias("_text"))
+        return stored.select(*self.keys, text.alias("_text"))
 
     def lines_of(self, text: Column) -> Column:
         """The records of a text: no empty one after the last terminator, none in an empty text."""
@@ -62,10 +64,7 @@ class Search:
 
     def records(self, prune: bool = False) -> DataFrame:
         """(keys, line_number, line), pruned to files that may match if `prune`."""
-        files = self.files()
-        if prune and not self.query.invert:
-            files = files.filter(self.possible(F.col("_text")))
-        rows = files.select(*self.keys, F.posexplode(self.lines_of(F.col("_text"))).alias("_at", "line"))
+        rows = self.files(prune and not self.query.invert).select(*self.keys, F.posexplode(self.lines_of(F.col("_text"))).alias("_at", "line"))
         return rows.select(*self.keys, (F.col("_at") + 1).cast("long").alias("line_number"), "line")
 
     def by_file(self):
@@ -104,7 +103,7 @@ class Search:
 
     # Counts, within the row of a file.
     def count_lines(self, zero: bool | None = None) -> DataFrame:
-        files = self.files() if self.query.invert or zero or self.query.include_zero else self.files().filter(self.possible(F.col("_text")))
+        files = self.files(not (self.query.invert or zero or self.query.include_zero))
         n = F.coalesce(F.size(F.filter(self.lines_of(F.col("_text")), self.selected)), F.lit(0)).cast("long")
         if self.query.max_count is not None:
             n = F.least(n, F.lit(self.query.max_count))
@@ -119,14 +118,14 @@ class Search:
             return self.spans().groupBy(*self.keys).agg(F.count("*").alias("n"))
         each = F.transform(self.lines_of(F.col("_text")), lambda x: F.regexp_count(x, F.lit(self.pattern.java)))
         n = F.aggregate(each, F.lit(0), lambda a, b: a + b).cast("long")
-        out = self.files().filter(self.possible(F.col("_text"))).select(*self.keys, F.coalesce(n, F.lit(0)).alias("n"))
+        out = self.files(not self.query.include_zero).select(*self.keys, F.coalesce(n, F.lit(0)).alias("n"))
         return out if self.query.include_zero else out.filter("n > 0")
 
     def any_hit(self) -> Column:
         return F.coalesce(F.exists(self.lines_of(F.col("_text")), self.selected), F.lit(False))
 
     def files_with_matches(self) -> DataFrame:
-        return self.files().filter(F.lit(True) if self.query.invert else self.possible(F.col("_text"))).filter(self.any_hit()).select(*self.keys)
+        return self.files(not self.query.invert).filter(self.any_hit()).select(*self.keys)
 
     def files_without_match(self) -> DataFrame:
         return self.files().filter(~self.any_hit()).select(*self.keys)
@@ -206,11 +205,11 @@ class Search:
                     rows += spans_of(found, row["_text"] or "", [row[k] for k in keys], end, crlf)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-        return self.files().filter(self.possible(F.col("_text"))).mapInArrow(run, schema)
+        return self.files(prune=True).mapInArrow(run, schema)
 
     def multiline(self) -> DataFrame:
         """(keys, start_line, stop_line, match) of every match over whole texts."""
-        rows = self.files().filter(self.possible(F.col("_text")))
+        rows = self.files(prune=True)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema.fields if f.name in self.keys)
         pattern, keys = self.pattern.python, self.keys
         schema = StructType.fromDDL(f"{fields}, match_index int, start_line long, stop_line long, start long, match string")
@@ -238,7 +237,7 @@ class Search:
         """Matches over whole texts by file, without leaving the engine where no match can be empty."""
         if self.pattern.can_be_empty:
             return self.multiline().groupBy(*self.keys).agg(F.count("*").alias("n"))
-        return self.files().filter(self.possible(F.col("_text"))).select(*self.keys, F.regexp_count("_text", F.lit(self.pattern.java)).cast("long").alias("n")).filter("n > 0")
+        return self.files(prune=True).select(*self.keys, F.regexp_count("_text", F.lit(self.pattern.java)).cast("long").alias("n")).filter("n > 0")
 
     # Output.
     def rendered(self) -> DataFrame:
