@@ -9,7 +9,7 @@ and its index holds the uint64 offset of every record and of the end, so that re
 allows it and four otherwise. The mask rotates a CRC-32 right by 15 bits and adds a constant, so that a checksum of
 bytes that hold checksums stays meaningful.
 
-Files are written in ascending doc_id (null first; ties by text), one a task, under names that no other attempt uses.
+Files are written in ascending doc_id (null first; ties by a hash of the text), one a task, under names that no other attempt uses.
 The manifest, a Parquet table that Spark commits, names the files of the attempts that count; a file that a lost
 executor left behind is in no manifest. Null text is an empty text, of which only the end id is written.
 """
@@ -203,7 +203,8 @@ MANIFEST = "file_no int, path string, n_records long, n_tokens long, width int"
 def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the records of `df` below `out`; returns the manifest (a table, in `out`/manifest)."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # what Spark samples of the keys goes to the driver: numbers, not texts
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
