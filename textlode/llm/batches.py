@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -15,6 +15,14 @@ from textlode.session import ship
 
 #: Bytes of variable-length input that one output batch is made from.
 CHUNK_BYTES = 2_000_000
+#: Bytes of one Arrow batch between the JVM and Python; both sides hold whole batches, once a running task.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, whatever the length of the texts, and make this package importable."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    ship(spark)
 
 
 def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -33,7 +41,7 @@ def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.Recor
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow with small slices. `make` runs once a task and returns the function from a slice to a list of columns."""
-    ship(df.sparkSession)
+    small_batches(df.sparkSession)
     schema = StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
 

@@ -25,9 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textlode.llm.batches import arrow_map, chunks
+from textlode.llm.batches import arrow_map, chunks, small_batches
 from textlode.llm.words import hashes, mixed
-from textlode.session import ship
 
 #: The masks; 1 takes a token, 0 ignores it.
 MASKS = ("1110111", "110100111", "1100101011", "10110010111")
@@ -152,7 +151,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of `docs` (all columns) in which no item leaks. Decided in the task that reads the row."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
-    ship(spark)
+    small_batches(spark)
     for rows in parts(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(rows)
 

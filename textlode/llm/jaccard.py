@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm.batches import arrow_map, chunks, list_array
+from textlode.llm.batches import arrow_map, chunks, list_array, small_batches
 from textlode.llm.components import components
 from textlode.llm.words import WORD, hashes, mixed, shingle_set
 from textlode.session import drop_path, materialise, release, workspace
@@ -66,9 +66,7 @@ def frequent(df: DataFrame, text_col: str, size: int) -> np.ndarray:
         at = np.flatnonzero(counts > mean + 8 * np.sqrt(mean) + 8)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at] - int(mean))], names=["counter", "n"])
 
-    from textlode.session import ship
-
-    ship(df.sparkSession)
+    small_batches(df.sparkSession)
     found = df.select(text_col).mapInArrow(make_run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     levels = np.zeros(SKETCH, np.uint8)
     for r in found.orderBy(F.desc("n"), "counter").limit(HEAVY).collect():

@@ -18,8 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
-from textlode.llm.batches import arrow_map, chunks
+from textlode.llm.batches import arrow_map, chunks, small_batches
 from textlode.llm.words import WORD, hashes, windows
 
 SAMPLE_ROWS = 400
@@ -138,11 +139,7 @@ def kept(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `df` (all columns) whose text the cascade keeps. The verdict is made in the same task as the row is
     read: nothing is joined or shuffled."""
     order = cascade(df, text_col)
-    from pyspark.sql.types import StructType
-
-    from textlode.session import ship
-
-    ship(df.sparkSession)
+    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches):

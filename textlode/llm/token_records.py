@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlode.llm.batches import arrow_map, chunks
-from textlode.session import materialise, ship
+from textlode.llm.batches import arrow_map, chunks, small_batches
+from textlode.session import materialise
 
 MASK_ADD = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -205,7 +205,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, out: str, id_c
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # what Spark samples of the keys goes to the driver: numbers, not texts
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
