@@ -35,6 +35,14 @@ def test_against_sql(spark, name):
     same(df.collect(), df.columns, search_queries.oracle_sql()[name])
 
 
+def test_trim_covers_all_lines_of_all_pages(spark):
+    df = search_queries.queries()["trim"](spark, SF)
+    lines = "SELECT page_id, i AS line_number, ls[i] AS line FROM (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages), unnest(range(1, len(ls) + 1)) AS u(i) WHERE NOT (i = len(ls) AND ls[i] = '')"
+    rows = df.collect()
+    same(rows, df.columns, rf"SELECT page_id, line_number, regexp_replace(line, '^[\t\n\v\f\r ]+', '') AS line FROM ({lines}) WHERE contains(line, '<p>')")
+    assert max(r.line_number for r in rows) > 1
+
+
 def haystack(spark, text=SHERLOCK):
     return spark.createDataFrame([(1, text)], "doc_id long, text string")
 

@@ -133,8 +133,7 @@ over_documents("max_columns_preview", SearchQuery(patterns=("tion",), max_column
 
 @register("trim", r"SELECT page_id, CAST(1 AS BIGINT) AS line_number, regexp_replace(html, '^[\t\n\v\f\r ]+', '') AS line FROM pages WHERE contains(html, '<p>') AND NOT contains(html, chr(10))")
 def trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter(~F.contains("html", F.lit("\n")))
-    return Search(pages, SearchQuery(patterns=("<p>",), trim=True), ("page_id",), "html").lines()
+    return Search(spark.read.parquet(f"{sf_dir}/pages.parquet"), SearchQuery(patterns=("<p>",), trim=True), ("page_id",), "html").lines()
 
 
 SETS = " ".join(f"CASE WHEN contains(text, '{p}') THEN [{k}] ELSE [] END ||" for k, p in enumerate(PARTS)).removesuffix("||")
