@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textlode.llm import cotraining, decontaminate, html_text, jaccard, line_dedup, pii, quality_rules, sentencepieces, slots, token_records
 from textlode.llm.queries import BYTES, PIECES, tokenizer_path
@@ -180,6 +181,22 @@ def test_cotraining(spark, odd):
     assert {r.score for r in cotraining.score(odd, nothing).collect()} == {0.5}
 
 
+def test_cotraining_searches_all_unlabelled_documents(spark):
+    """A source that only unlabelled documents late in hash order have is taught by their texts."""
+    rnd = random.Random(11)
+    good = lambda: " ".join(rnd.choice(["river", "stone", "winter", "garden", "letter", "music"]) for _ in range(60)) + "."
+    bad = lambda: "!!! CLICK | http://x | " * rnd.randint(5, 9)
+    ids = [r.id for r in spark.range(5000).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, good() if k % 2 or k >= 4700 else bad(), "en", "late" if k >= 4700 else f"s{k // 2 % 2}", 400) for k, i in enumerate(ids)]
+    rows += [(5000 + k, good() if k % 2 else bad(), "en", f"s{k // 2 % 2}", 400) for k in range(400)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(5000 + k, k % 2) for k in range(400)], "doc_id long, quality int")
+    model = cotraining.train(made, labels)
+    probe = spark.createDataFrame([(1, "x", "en", "late", 400), (2, "x", "en", "never", 400)], made.schema)
+    by_meta = {r.doc_id: r.p_metadata for r in cotraining.score(probe.select(*made.columns), model).collect()}
+    assert by_meta[1] != pytest.approx(by_meta[2], abs=1e-6)
+
+
 def test_quality_rules(docs, odd):
     order = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text").filter("doc_id <> 7")):

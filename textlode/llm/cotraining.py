@@ -1,11 +1,15 @@
 """Document quality by co-training two views.
 
 One classifier sees a document's text (shape statistics and hashed words), the other its metadata (source, language,
-length). Over some rounds each labels the documents of a pool that it is surest of, and these pseudo-labels join the
-other's training rows; a view teaches only what it is right about as often as it claims on held-out rows. Both are then calibrated, and a stacked pair of weights combines them, on labelled rows that took
-no part in training. All documents are scored where they are read.
+length). Over some rounds each scores all unlabelled documents and labels those it is surest of: at most the share
+`TAUGHT` of them, in the ratio of the classes, surest first (by bins of confidence; of the last bin, by a hash of id and
+text). These pseudo-labels join the other's training rows; a view teaches only what it is right about as often as it
+claims on held-out rows. Both are then calibrated, and a stacked pair of weights combines them, on labelled rows that
+took no part in training.
 
-Training uses bounded samples, taken in the order of a hash of doc_id: `LABELLED` labelled and `POOL` other documents.
+The views of all documents are written once. A round is some passes over them, of which the driver gets sums: counts by
+confidence, then the moments and Newton steps of both fits. Only the labelled rows are a bounded sample, taken in the
+order of a hash of doc_id: the documents of `LABELLED` ids.
 
 Rows: null text counts as empty, null metadata as a value of its own; documents with several labels take the majority
 (ties: good); repeated rows are scored one by one; without labels of both classes every score is the share of good
@@ -15,6 +19,7 @@ labels (0.5 without any), and documents are kept from 0.5 on.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm.batches import arrow_map, list_array
+from textlode.llm.batches import arrow_map
 from textlode.llm.boosting import sigmoid
 from textlode.llm.quality_rules import measure
 from textlode.llm.words import WORD, hashes
+from textlode.session import materialise, workspace
 
-LABELLED, POOL, ROUNDS, PER_ROUND, SURE = 4000, 4000, 3, 200, 0.95
+LABELLED, ROUNDS, SURE = 4000, 3, 0.95
+#: The share of all unlabelled documents that a view labels in a round at most.
+TAUGHT = 0.05
+#: Bins of confidence from SURE on, and how many of them a unit of the margin has.
+BINS, BINS_A_UNIT, SURE_MARGIN = 2048, 64, float(np.log(SURE / (1 - SURE)))
 HASHED, SOURCES, LANGS = 128, 64, 16
 KEEP = 0.5
 
@@ -103,33 +113,163 @@ class Model:
         return sigmoid(margins[0]), sigmoid(margins[1]), sigmoid(self.stack.margin(np.stack(margins, 1)))
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
+@dataclass
+class Rule:
+    """What one view has taught in one round: `label` for the free rows beyond `least`, and for the `share` of that bin."""
+
+    view: int
+    teacher: Linear
+    label: float
+    least: int
+    share: float
+
+    def takes(self, margin: np.ndarray, order: np.ndarray) -> np.ndarray:
+        at = sure_bins(margin, self.label)
+        return (at > self.least) | ((at == self.least) & (order < self.share))
+
+
+def sure_bins(margin: np.ndarray, label: float) -> np.ndarray:
+    """Bins of the confidence in `label`, the surest last; -1 below SURE."""
+    over = (margin if label else -margin) - SURE_MARGIN
+    return np.where(over < 0, -1, np.minimum(BINS - 1, over * BINS_A_UNIT)).astype(np.int64)
+
+
+def taken(rules: list[Rule], views: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """The first rule that takes each row, or -1."""
+    out = np.full(len(order), -1)
+    for j, rule in enumerate(rules):
+        free = np.flatnonzero(out < 0)
+        out[free[rule.takes(rule.teacher.margin(views[rule.view][free]), order[free])]] = j
+    return out
+
+
+class Pool:
+    """All unlabelled documents, seen through sums that the executors form in one pass each."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+        self.parts = table.rdd.getNumPartitions()
+
+    def sums(self, function: Callable[[list[np.ndarray], np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        """The sum of `function` (of the views and the order) over all batches; summed in groups of tasks before the driver."""
+        groups = max(1, int(self.parts**0.5)) if self.parts > 32 else self.parts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            total = np.zeros(size)
+            for batch in batches:
+                if batch.num_rows:
+                    total += function(_arrays(batch, 0), batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % groups], pa.int32()), "total": [total.tobytes()]})
+
+        def add(rows: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x) for x in sorted(rows.column("total").to_pylist()))
+            return pa.table({"part": rows.column("part")[:1], "total": pa.array([total.tobytes()])})
+
+        found = self.table.select("view_text", "view_meta", "place").mapInArrow(run, "part int, total binary")
+        if groups < self.parts:
+            found = found.groupBy("part").applyInArrow(add, "part int, total binary")
+        return sum((np.frombuffer(r.total) for r in sorted(found.collect())), np.zeros(size))
+
+    def histograms(self, rules: list[Rule], view: int, teacher: Linear) -> tuple[int, np.ndarray]:
+        """The number of documents, and the free ones by label (bad, good) and bin of the teacher's confidence."""
+
+        def count(views: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+            margin = teacher.margin(views[view][taken(rules, views, order) < 0])
+            bins = [sure_bins(margin, label) for label in (0.0, 1.0)]
+            return np.concatenate([[len(order)], *(np.bincount(b[b >= 0], minlength=BINS) for b in bins)])
+
+        n, *rest = self.sums(count, 1 + 2 * BINS)
+        return int(n), np.array(rest).reshape(2, BINS)
+
+    def fit(self, rules: list[Rule], views: list[Linear], known: list[np.ndarray], y: np.ndarray, ridge: float = 3.0, steps: int = 25) -> list[Linear]:
+        """Both views on the labelled rows and on all that the rules take, by Newton steps from the former weights. The
+        taken rows of a view weigh as much as its labelled ones together at most."""
+        dims = [x.shape[1] for x in known]
+        pupils = [[j for j, r in enumerate(rules) if r.view != k] for k in (0, 1)]
+        labels = np.array([r.label for r in rules])
+
+        def own(xs: list[np.ndarray], order: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            by = taken(rules, xs, order)
+            chosen = [np.isin(by, js) for js in pupils]
+            return [(x[c].astype(np.float64), labels[by[c]]) for x, c in zip(xs, chosen, strict=True)]
+
+        def moments(xs: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]) for x, _ in own(xs, order)])
+
+        sums = self.sums(moments, sum(1 + 2 * d for d in dims))
+        weight, shape, start = [], [], []
+        for old, x, d in zip(views, known, dims, strict=True):
+            (n, first, second), sums = np.split(sums[: 1 + 2 * d], [1, 1 + d]), sums[1 + 2 * d :]
+            weight.append(min(1.0, len(y) / n[0]) if n[0] else 0.0)
+            x = x.astype(np.float64)
+            total = len(y) + weight[-1] * n[0]
+            mean = (x.sum(0) + weight[-1] * first) / total
+            var = ((x * x).sum(0) + weight[-1] * second) / total - mean * mean
+            scale = np.where(var > 1e-10 * mean * mean + 1e-18, np.sqrt(np.maximum(var, 0)), 1.0)
+            raw = old.weights / old.scale
+            shape.append((mean, scale))
+            start.append(np.append(raw * scale, old.bias + raw @ (mean - old.mean)))
+        scaled = lambda x, mean, scale: np.concatenate([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))], 1)
+
+        def newton(x: np.ndarray, truth: np.ndarray, k: int, w: np.ndarray) -> np.ndarray:
+            z = scaled(x, *shape[k])
+            p = sigmoid(z @ w)
+            return np.concatenate([z.T @ (p - truth), ((z * np.maximum(p * (1 - p), 1e-5)[:, None]).T @ z).ravel()])
+
+        sizes = [(d + 1) * (d + 2) for d in dims]
+        for _ in range(steps):
+            now = list(start)
+            sums = self.sums(lambda xs, order: np.concatenate([newton(x, t, k, now[k]) for k, (x, t) in enumerate(own(xs, order))]), sum(sizes))  # noqa: B023
+            most = 0.0
+            for k, (part, d) in enumerate(zip(np.split(sums, [sizes[0]]), dims, strict=True)):
+                both = newton(known[k].astype(np.float64), y, k, now[k]) + weight[k] * part
+                penalty = np.full(d + 1, ridge)
+                penalty[-1] = 1e-6
+                step = np.linalg.solve(both[d + 1 :].reshape(d + 1, d + 1) + np.diag(penalty), both[: d + 1] + penalty * now[k])
+                start[k] = now[k] - step
+                most = max(most, np.abs(step).max())
+            if most < 1e-3:  # the next step would be about the square of this one
+                break
+        return [Linear(mean, scale, w[:-1], float(w[-1])) for (mean, scale), w in zip(shape, start, strict=True)]
+
+
+def _rule(view: int, teacher: Linear, label: float, counts: np.ndarray, most: float) -> Rule:
+    """The rule that takes the surest `most` rows of a histogram: whole bins from the top, then a share of one bin."""
+    above = np.cumsum(counts[::-1])[::-1]
+    least = int(np.argmax(above <= most)) if (above <= most).any() else BINS
+    if least == 0:
+        return Rule(view, teacher, label, 0, 1.1)
+    rest = most - (above[least] if least < BINS else 0)
+    return Rule(view, teacher, label, least - 1, float(rest / counts[least - 1]))
+
+
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool, rounds: int = ROUNDS) -> Model:
     """Fit on the labelled rows and the pool; every fourth labelled row calibrates."""
     if not len(y) or y.min() == y.max():
         return Model(None, [], None, float(y.mean()) if len(y) else 0.5)
     held = np.arange(len(y)) % 4 == 3
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    labelled, pool = [text, meta], [pool_text, pool_meta]
-    rows = [[v[~held]] for v in labelled]
-    truth = [[y[~held]], [y[~held]]]
-    free = np.ones(len(pool_text), bool)
+    labelled = [text, meta]
+    share = float(y[~held].mean())
     views = [Linear.fit(v[~held], y[~held]) for v in labelled]
+    rules: list[Rule] = []
     for _ in range(rounds):
+        before = len(rules)
         for k in (0, 1):  # view k teaches the other one
-            p = sigmoid(views[k].margin(pool[k]))
-            share = float(y[~held].mean())
-            for label, sure, most in ((1.0, p, int(PER_ROUND * share)), (0.0, 1 - p, PER_ROUND - int(PER_ROUND * share))):
+            n, counts = pool.histograms(rules, k, views[k])
+            for label, most in ((1.0, n * TAUGHT * share), (0.0, n * TAUGHT * (1 - share))):
                 known = sigmoid(views[k].margin(labelled[k][held]))
                 claimed = (known if label else 1 - known) >= SURE
                 if claimed.any() and (y[held][claimed] == label).mean() < SURE:
                     continue
-                at = np.flatnonzero(free & (sure >= SURE))
-                at = at[np.argsort(-sure[at], kind="stable")][:most]
-                free[at] = False
-                rows[1 - k].append(pool[1 - k][at])
-                truth[1 - k].append(np.full(len(at), label))
-        views = [Linear.fit(np.concatenate(rows[k]), np.concatenate(truth[k])) for k in (0, 1)]
+                if counts[int(label)].any():
+                    rules.append(_rule(k, views[k], label, counts[int(label)], most))
+        if len(rules) == before:
+            break
+        views = pool.fit(rules, views, [v[~held] for v in labelled], y[~held])
     base = held if held.any() else np.ones(len(y), bool)
     lines = []
     for view, x in zip(views, labelled, strict=True):
@@ -140,53 +280,62 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
     return Model(views, lines, stack)
 
 
-def _viewed(docs: DataFrame, extra: str | None = None) -> DataFrame:
-    """(text, meta) feature arrays of each row, with a label column if `extra` names one."""
+def viewed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, view_text, view_meta, place): both feature arrays of each row as bytes, and a hash in [0, 1) of id and text."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
-            texts, sources, langs, sizes, labels = (batch.column(k).to_pylist() for k in range(5))
-            return [list_array([text_view(t) for t in texts], np.float32), list_array([metadata_view(*m) for m in zip(sources, langs, sizes, strict=True)], np.float32), labels]
+            texts, metas = batch.column(1).to_pylist(), zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+            return [batch.column(0), [text_view(t).tobytes() for t in texts], [metadata_view(*m).tobytes() for m in metas], batch.column(5)]
 
         return run
 
-    label = F.col(extra).cast("double") if extra else F.lit(None).cast("double")
-    return arrow_map(docs.select("text", "source", "lang", F.col("n_chars").cast("long"), label.alias("label")), make, "view_text array<float>, view_meta array<float>, label double")
+    place = F.shiftrightunsigned(F.xxhash64(id_col, "text"), 11) / F.lit(float(1 << 53))
+    return arrow_map(docs.select(id_col, "text", "source", "lang", F.col("n_chars").cast("long"), place.alias("place")), make, f"`{id_col}` {kind}, view_text binary, view_meta binary, place double")
 
 
-def _sample(docs: DataFrame, ids: DataFrame, n: int) -> list[int]:
+def _arrays(batch: pa.RecordBatch, first: int) -> list[np.ndarray]:
+    """Both views of a batch; `first` is the column of the text view."""
+    return [np.frombuffer(b"".join(batch.column(first + k).to_pylist()), np.float32).reshape(batch.num_rows, -1) for k in (0, 1)]
+
+
+def _sample(ids: DataFrame, n: int) -> list[int]:
     """At most n of the ids, first by hash."""
     order = F.xxhash64("doc_id")
-    return [r[0] for r in ids.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(order, "doc_id").limit(n).collect()]
+    return [r[0] for r in ids.select("doc_id").orderBy(order, "doc_id").limit(n).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model, from bounded samples of the labelled and the other documents."""
+    return trained(docs, labels)[0]
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, from a bounded sample of the labelled documents and all others; the views of all rows."""
     spark = docs.sparkSession
     voted = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("_label"))
-    chosen = _sample(docs, voted, LABELLED)
-    others = _sample(docs, docs.select("doc_id").join(voted, "doc_id", "left_anti"), POOL)
-    wanted = spark.createDataFrame([(i, True) for i in chosen] + [(i, False) for i in others], "doc_id long, _labelled boolean")  # LABELLED + POOL rows at most
-    marked = F.broadcast(wanted.join(voted, "doc_id", "left"))
-    rows = _viewed(docs.join(marked, "doc_id"), "_label").collect()
-    dim_text, dim_meta = len(text_view("")), len(metadata_view(None, None, None))
-    pick = lambda labelled: [r for r in rows if (r.label is not None) == labelled]
-    stack = lambda rs, name, dim: np.array([r[name] for r in rs], np.float32).reshape(len(rs), dim)
-    known, free = sorted(pick(True), key=lambda r: (r.view_text, r.view_meta, r.label)), sorted(pick(False), key=lambda r: (r.view_text, r.view_meta))
-    return cotrain(stack(known, "view_text", dim_text), stack(known, "view_meta", dim_meta), np.array([r.label for r in known]), stack(free, "view_text", dim_text), stack(free, "view_meta", dim_meta))
+    table = materialise(viewed(docs).join(voted, "doc_id", "left"), workspace(spark, "views"))
+    chosen = F.broadcast(spark.createDataFrame([(i,) for i in _sample(voted, LABELLED)], "doc_id long"))  # LABELLED rows at most
+    rows = sorted(tuple(r) for r in table.filter("_label IS NOT NULL").join(chosen, "doc_id", "left_semi").select("view_text", "view_meta", "_label").collect())
+    stack = lambda k, dim: np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(len(rows), dim)
+    text, meta = stack(0, len(text_view(""))), stack(1, len(metadata_view(None, None, None)))
+    return cotrain(text, meta, np.array([r[2] for r in rows]), Pool(table.filter("_label IS NULL"))), table
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """(id, p_text, p_metadata, score, kept) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def score_views(views: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(id, p_text, p_metadata, score, kept) of every row of `viewed`."""
+    kind = views.schema[id_col].dataType.simpleString()
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
-            text = np.stack([text_view(t) for t in batch.column(1).to_pylist()])
-            meta = np.stack([metadata_view(*m) for m in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)])
-            by_text, by_meta, both = model.scores(text, meta)
+            by_text, by_meta, both = model.scores(*_arrays(batch, 1))
             return [batch.column(0), by_text, by_meta, both, both >= KEEP]
 
         return run
 
-    return arrow_map(docs.select(id_col, "text", "source", "lang", F.col("n_chars").cast("long")), make, f"`{id_col}` {kind}, p_text double, p_metadata double, score double, kept boolean")
+    return arrow_map(views.select(id_col, "view_text", "view_meta"), make, f"`{id_col}` {kind}, p_text double, p_metadata double, score double, kept boolean")
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(id, p_text, p_metadata, score, kept) of every row."""
+    return score_views(viewed(docs, id_col), model, id_col)

@@ -49,8 +49,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    model, views = cotraining.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return cotraining.score_views(views, model)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
