@@ -134,6 +134,20 @@ def test_pii(odd):
     assert pii.find(empty(odd)).count() == 0
 
 
+def test_pii_numbers_side_by_side():
+    spans = lambda text: [(k, text[a:b]) for k, a, b in sorted(pii.selector().added(text, pii.base_spans(text)), key=lambda s: s[1])]
+    assert spans("Des +1 (826) 555-4081 190.137.223.204 du anviou") == [("phone", "+1 (826) 555-4081")]
+    assert spans("Eçan 7536784127813050 4845168114407329 èaique") == [("card", "7536784127813050"), ("card", "4845168114407329")]
+    assert spans("call (415) 555-2671 (415) 555-2672 now") == [("phone", "(415) 555-2671"), ("phone", "(415) 555-2672")]
+    rnd = random.Random(12)
+    for _ in range(300):  # every stretch of whole groups, by hand
+        groups = ["".join(rnd.choice("0123456789") for _ in range(rnd.choice([1, 3, 4, 7, 16]))) for _ in range(rnd.randint(1, 7))]
+        text = "x " + " ".join(groups) + " y"
+        starts = [2 + sum(len(g) + 1 for g in groups[:k]) for k in range(len(groups))]
+        sizes = {(starts[i], starts[j] + len(groups[j])): sum(map(len, groups[i : j + 1])) for i in range(len(groups)) for j in range(i, len(groups))}
+        assert {c for c in pii.candidates(text) if c[0] != "ip"} == {("card", *s) for s, n in sizes.items() if 13 <= n <= 19} | {("phone", *s) for s, n in sizes.items() if 7 <= n <= 15}
+
+
 def against_sql(made, sql, docs, order):
     db = duckdb.connect()
     db.register("given", docs)
