@@ -284,6 +284,21 @@ def test_token_records(spark, docs, odd):
     assert token_records.read_tokens(token_records.write_tokens(empty(odd), tokenizer_path(BYTES), 2, workspace(spark, "records"))).count() == 0
 
 
+def test_token_records_keep_added_tokens(spark):
+    """Ids are those of the library's defaults, also where a text holds an added token."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path(BYTES))
+    rnd = random.Random(13)
+    parts = ["a", "the", " ", "\n", "é", ".", "日本", "<|endoftext|>", "<|endof", "text|>", "12"]
+    rows = [(0, "a <|endoftext|> b")] + [(k, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 10)))) for k in range(1, 300)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_records.read_tokens(token_records.write_tokens(made, tokenizer_path(BYTES), 2, workspace(spark, "records"))).collect()
+    ids = {k: [*library.encode(t, add_special_tokens=False).ids, 2] for k, t in rows}
+    assert ids[0] == [64, 220, 50256, 275, 2]
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in got} == {(k, len(i), zlib.crc32(struct.pack(f"<{len(i)}I", *i))) for k, i in ids.items()}
+
+
 def components_by_hand(rows, size, percent):
     sets = []
     for _, t in rows:

@@ -51,7 +51,8 @@ def masked(data: bytes) -> int:
 class ByteBpe:
     """Ids of the tokenizers library. A byte-level pre-tokeniser never joins what stands on two sides of white space that
     follows other text, so words with the white space before them are encoded once and remembered; for any other
-    pre-tokeniser whole texts are encoded."""
+    pre-tokeniser, and for texts that hold an added token, whole texts are encoded. By the library's default an added
+    token in a text is one id; with `special_as_text` special ones are plain text."""
 
     def __init__(self, path: str, special_as_text: bool = True) -> None:
         from tokenizers import Tokenizer
@@ -62,7 +63,8 @@ class ByteBpe:
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         spec = json.loads(self.library.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_word = special_as_text and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(not t.get("special") for t in spec.get("added_tokens", []))
+        self.by_word = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [t["content"] for t in spec.get("added_tokens", []) if not (special_as_text and t.get("special"))]
         self.words = Words(self.whole)
 
     def whole(self, text: str) -> bytes:
@@ -70,7 +72,7 @@ class ByteBpe:
 
     def __call__(self, text: str) -> bytes:
         """The ids as bytes of `dtype`."""
-        if not text or not self.by_word:
+        if not text or not self.by_word or any(t in text for t in self.added):
             return self.whole(text) if text else b""
         words = self.words
         if len(words) > REMEMBERED:
@@ -107,13 +109,14 @@ class Words(dict):
         return ids
 
 
-_TOKENIZERS: dict[str, ByteBpe] = {}
+_TOKENIZERS: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def tokenizer(path: str) -> ByteBpe:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ByteBpe(path)
-    return _TOKENIZERS[path]
+def tokenizer(path: str, special_as_text: bool = True) -> ByteBpe:
+    key = path, special_as_text
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = ByteBpe(*key)
+    return _TOKENIZERS[key]
 
 
 def file_system(uri: str):
@@ -210,7 +213,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, out: str, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, writer, tokens, n, number = tokenizer(tokenizer_path), None, 0, 0, TaskContext.get().partitionId()
+        coder, writer, tokens, n, number = tokenizer(tokenizer_path, special_as_text=False), None, 0, 0, TaskContext.get().partitionId()
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
             for part in chunks(batch):
