@@ -43,6 +43,13 @@ def test_trim_covers_all_lines_of_all_pages(spark):
     assert max(r.line_number for r in rows) > 1
 
 
+def test_pattern_file_takes_whole_items(spark, tmp_path):
+    head = "h" * 40
+    spark.createDataFrame([(1, f"{head} one"), (2, f"{head} two"), (3, f"{head} one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"x {head} one y {head} two"), (2, f"{head} two"), (3, f"{head} three")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in search_queries.queries()["pattern_file"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
+
+
 def haystack(spark, text=SHERLOCK):
     return spark.createDataFrame([(1, text)], "doc_id long, text string")
 

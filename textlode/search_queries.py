@@ -150,9 +150,9 @@ over_sets("set_count", lambda s: s.count(F.col("text")).cast("long"), "SELECT do
 
 @register("pattern_file", "SELECT d.doc_id, count(*) AS n FROM documents d JOIN (SELECT DISTINCT substr(text, 1, 40) AS head FROM benchmark) b ON contains(d.text, b.head) GROUP BY d.doc_id")
 def pattern_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heads of the benchmark items as a table of literal patterns; each (document, pattern) pair is tested in the engine."""
-    heads = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.substring("text", 1, 40).alias("head")).distinct()
-    return docs(spark, sf_dir).join(heads, F.contains("text", F.col("head"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Whole texts of the benchmark items as a table of literal patterns; each (document, pattern) pair is tested in the engine."""
+    patterns = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("text").alias("pattern")).distinct()
+    return docs(spark, sf_dir).join(patterns, F.contains("text", F.col("pattern"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def path_query(name: str, condition: Callable[[Column], Column], sql: str) -> None:
