@@ -1,6 +1,7 @@
 """Each operator against brute force or SQL on small tables, and on rows with nulls, repeats and odd texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -249,6 +250,18 @@ def test_decontamination(spark, odd):
     assert decontaminate.overlaps(empty(odd), items).count() == 0 and decontaminate.clean(odd, empty(items)).count() == odd.count()
 
 
+def test_decontamination_of_short_items():
+    """Every allowed pattern of substituted or cut-off tokens in items under 13 tokens, and none beyond."""
+    for n in range(5, 13):
+        item, misses = [f"i{k}" for k in range(n)], n // 5
+        table = decontaminate.Seeds.build([("x", " ".join(item))])
+        for count in range(misses + 2):
+            for at in itertools.combinations(range(n), count):
+                text = " ".join(["n"] * 3 + ["other" if k in at else w for k, w in enumerate(item)] + ["n"] * 3)
+                assert (0 in table.leaks(decontaminate.tokens(text))) == (count <= misses)
+        assert 0 in table.leaks(decontaminate.tokens(" ".join(item[misses:]))) and 0 in table.leaks(decontaminate.tokens(" ".join(item[:-misses])))
+
+
 def test_token_records(spark, docs, odd):
     from tokenizers import Tokenizer
 

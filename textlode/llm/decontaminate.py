@@ -4,7 +4,8 @@ Tokens are lower-cased runs of letters, digits and other non-ASCII characters. F
 text, hash some of its tokens and ignore the others, so that a window still matches where ignored tokens were replaced.
 The seeds of the benchmark are looked up by the seeds of each document; a hit fixes how item and document lie on each
 other, and the tokens around it are compared: an item leaks if, in some stretch of `STRETCH` tokens (the whole item if
-it is shorter), at least `PERCENT` of 100 tokens are equal. Inserted tokens end a stretch; both sides are still seen.
+it is shorter), at least `PERCENT` of 100 tokens are equal. An item shorter than that is also cut in one run more than
+tokens of it may differ, and each run is a seed, so that no such place of it is missed. Inserted tokens end a stretch; both sides are still seen.
 
 The benchmark is taken in parts of at most about `PART_CHARS` characters (chosen by a hash of the item id), each part in
 one pass over the documents, so that the seeds that tasks hold are bounded however long the benchmark is.
@@ -53,6 +54,12 @@ def seeds(held: np.ndarray, mask: str) -> np.ndarray:
     return mixed(out)
 
 
+def runs(n: int) -> list[tuple[int, int]]:
+    """A short item of n tokens in one run more than tokens of it may differ, so that one run is left as it is."""
+    parts = n * (100 - PERCENT) // 100 + 1
+    return [(n * k // parts, n * (k + 1) // parts) for k in range(parts)]
+
+
 @dataclass
 class Seeds:
     """The seeds of some items: sorted hashes with item and position, and a table of which hash prefixes occur."""
@@ -69,16 +76,19 @@ class Seeds:
     def build(cls, rows: list[tuple]) -> Seeds:
         held = [(i, tokens(t)) for i, t in rows]
         held = [(i, t) for i, t in held if len(t) >= LEAST]
-        short = sorted({len(t) for _, t in held if len(t) < max(map(len, MASKS))})
-        masks = [*MASKS, *("1" * n for n in short)]
+        cuts = [runs(len(t)) if len(t) < STRETCH else [] for _, t in held]
+        masks = [*MASKS, *("1" * n for n in sorted({b - a for c in cuts for a, b in c}))]
         out = cls(masks, [], [], [], [], [t for _, t in held], [i for i, _ in held])
         for m, mask in enumerate(masks):
-            parts = [(k, seeds(t, mask)) for k, (_, t) in enumerate(held) if m < len(MASKS) or len(t) == len(mask)]
-            keys = np.concatenate([s for _, s in parts]) if parts else np.zeros(0, np.uint64)
+            if m < len(MASKS):
+                parts = [(k, seeds(t, mask), 0) for k, (_, t) in enumerate(held)]
+            else:
+                parts = [(k, seeds(held[k][1][a:b], mask), a) for k, c in enumerate(cuts) for a, b in c if b - a == len(mask)]
+            keys = np.concatenate([s for _, s, _ in parts]) if parts else np.zeros(0, np.uint64)
             order = np.argsort(keys, kind="stable")
             out.keys.append(keys[order])
-            out.items.append((np.concatenate([np.full(len(s), k, np.int32) for k, s in parts]) if parts else np.zeros(0, np.int32))[order])
-            out.places.append((np.concatenate([np.arange(len(s), dtype=np.int32) for _, s in parts]) if parts else np.zeros(0, np.int32))[order])
+            out.items.append((np.concatenate([np.full(len(s), k, np.int32) for k, s, _ in parts]) if parts else np.zeros(0, np.int32))[order])
+            out.places.append((np.concatenate([np.arange(a, a + len(s), dtype=np.int32) for _, s, a in parts]) if parts else np.zeros(0, np.int32))[order])
             table = np.zeros(1 << 20, bool)
             table[(keys >> np.uint64(44)).astype(np.int64)] = True
             out.filters.append(table)
