@@ -4,6 +4,7 @@ import pytest
 from textlode import search_queries
 from textlode.operators.search import Search
 from textlode.plans.query import SearchQuery
+from textlode.sources.files import decompressed, sort_entries
 from textlode.streaming.search import stream_lines
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +51,23 @@ def test_pattern_file_takes_whole_items(spark, tmp_path):
     assert {tuple(r) for r in search_queries.queries()["pattern_file"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
 
 
+def test_options_that_would_lose_matches_are_refused(spark):
+    for options in ({"invert": True}, {"max_count": 0}, {"max_count": 1}, {"context": 1}, {"before": 1}, {"replacement": "x"}, {"passthru": True}):
+        search = Search(haystack(spark), SearchQuery(patterns=("a",), multiline=True, **options))
+        for act in (search.multiline, search.count_multiline, Search(haystack(spark), SearchQuery(patterns=("a",), **options)).json_events):
+            with pytest.raises(ValueError, match="combined"):
+                act()
+    search = Search(haystack(spark), SearchQuery(patterns=("a\nb",), multiline=True, replacement="x"))
+    for act in (search.lines, search.replaced, search.context, search.count_lines, search.count_matches, search.files_with_matches, search.spans, search.stats):
+        with pytest.raises(ValueError, match="by lines"):
+            act()
+    with pytest.raises(ValueError, match="sorted"):
+        sort_entries(haystack(spark), "accessed")
+    for name in ("a.lz4", "a.br", "a.Z"):
+        with pytest.raises(ValueError, match="decompressed"):
+            decompressed(name, b"")
+
+
 def haystack(spark, text=SHERLOCK):
     return spark.createDataFrame([(1, text)], "doc_id long, text string")
 

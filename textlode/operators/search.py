@@ -17,6 +17,8 @@ from textlode.functions import replacement
 from textlode.functions.dialect import Compiled
 from textlode.plans.query import SearchQuery
 
+#: Options that only line searches know.
+MATCH_ONLY = ("invert", "max_count", "context", "before", "after", "passthru", "stop_on_nonmatch", "replacement")
 LEADING = r"^[\t\n\x0B\f\r ]+"
 
 
@@ -27,6 +29,12 @@ class Search:
         self.df, self.query, self.keys, self.text = df, query, list(keys), text
         self.pattern: Compiled = query.compiled()
 
+    def _needs(self, what: str, *fields: str) -> None:
+        """Refuse options that `what` would leave out of account."""
+        given = [f for f in fields if (value := getattr(self.query, f)) not in (None, False, 0) or value == 0 and f == "max_count"]
+        if given:
+            raise ValueError(f"{what} can't be combined with {', '.join(given)}")
+
     # What may match at all.
     def possible(self, text: Column) -> Column:
         """True for every text with a match; a cheap test for most others."""
@@ -58,6 +66,7 @@ class Search:
 
     def lines_of(self, text: Column) -> Column:
         """The records of a text: no empty one after the last terminator, none in an empty text."""
+        self._needs("a search by lines", "multiline")
         parts = F.split(text, "\\x00" if self.query.null_data else "\n", -1)
         parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
         return F.transform(parts, lambda x: F.regexp_replace(x, "\r$", "")) if self.query.crlf else parts
@@ -185,6 +194,7 @@ class Search:
     def spans(self) -> DataFrame:
         """(keys, line_number, match_index, column, start, stop, abs_offset, match, groups, line): 1-based byte column,
         byte span within the line, byte offset in the file, and the byte spans of all groups (null if absent)."""
+        self._needs("a search by lines", "multiline")
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema.fields if f.name in self.keys)
         schema = StructType.fromDDL(f"{fields}, line_number long, match_index int, column long, start long, stop long, abs_offset long, match string, groups array<struct<start:bigint,stop:bigint,text:string>>, line string")
         pattern, keys, end, crlf = self.pattern.python, self.keys, self.query.terminator, self.query.crlf
@@ -209,6 +219,7 @@ class Search:
 
     def multiline(self) -> DataFrame:
         """(keys, start_line, stop_line, match) of every match over whole texts."""
+        self._needs("a multi-line search", *MATCH_ONLY)
         rows = self.files(prune=True)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema.fields if f.name in self.keys)
         pattern, keys = self.pattern.python, self.keys
@@ -235,6 +246,7 @@ class Search:
 
     def count_multiline(self) -> DataFrame:
         """Matches over whole texts by file, without leaving the engine where no match can be empty."""
+        self._needs("a multi-line search", *MATCH_ONLY)
         if self.pattern.can_be_empty:
             return self.multiline().groupBy(*self.keys).agg(F.count("*").alias("n"))
         return self.files(prune=True).select(*self.keys, F.regexp_count("_text", F.lit(self.pattern.java)).cast("long").alias("n")).filter("n > 0")
@@ -259,6 +271,7 @@ class Search:
 
     def json_events(self) -> DataFrame:
         """One JSON `match` message a selected line, with its submatches in byte offsets."""
+        self._needs("JSON events", *MATCH_ONLY)
         rows = self.spans()
         one = F.struct("match_index", F.struct(F.struct(F.col("match").alias("text")).alias("match"), F.col("start").alias("start"), F.col("stop").alias("end")).alias("sub"))
         grouped = rows.groupBy(*self.keys, "line_number").agg(F.sort_array(F.collect_list(one)).alias("_subs"), F.min(F.col("abs_offset") - F.col("start")).alias("absolute_offset"), F.first("line").alias("line"))

@@ -128,7 +128,10 @@ def walk(spark: SparkSession, roots: list[str], options: WalkOptions | None = No
 
 
 def sort_entries(entries: DataFrame, key: str, reverse: bool = False) -> DataFrame:
-    """By path (siblings by name), or mtime; unknown times come last, and first in reverse."""
+    """By path (siblings by name), or mtime; unknown times come last, and first in reverse. Times of access and creation
+    are not in the listing."""
+    if key not in ("path", "modified", "mtime"):
+        raise ValueError(f"entries can't be sorted by {key}")
     column = F.split("path", "/") if key == "path" and not reverse else F.col("path" if key == "path" else "mtime")
     return entries.orderBy(column.desc_nulls_first() if reverse else column.asc_nulls_last())
 
@@ -150,7 +153,9 @@ def decode_bytes(data: bytes | None, label: str = "auto") -> str | None:
 
 
 def decompressed(path: str, data: bytes) -> bytes:
-    """Content by suffix; unknown suffixes and damaged files stay as they are."""
+    """Content by suffix; unknown suffixes and damaged files stay as they are; known formats without a decoder raise."""
+    if path.endswith((".lz4", ".br", ".Z")):
+        raise ValueError(f"{path}: lz4, br and Z files can't be decompressed")
     try:
         if path.endswith((".gz", ".tgz")):
             return gzip.decompress(data)
