@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,7 +267,6 @@ def test_token_records(spark, docs, odd):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path(BYTES))
-    library.encode_special_tokens = True
     for df in (docs, odd):
         rows = sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
         out = workspace(spark, "records")
@@ -278,7 +278,7 @@ def test_token_records(spark, docs, odd):
             expected.append((doc_id, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
             at += len(ids)
         assert got == expected
-    path, dtype = manifest.orderBy("file_no").first().path, np.dtype("<u2")
+    path, dtype = manifest.orderBy("file_no", "part").first().path, np.dtype("<u2")
     every = list(token_records.records(path))
     assert token_records.record(path, len(every) - 1) == every[-1]
     assert sorted(token_records.shuffled(path, 1)) == sorted(every)
@@ -289,14 +289,30 @@ def test_token_records(spark, docs, odd):
     open(name, "wb").write(data)
     with pytest.raises(ValueError, match="damaged"):
         list(token_records.records(path))
-    coder, rnd = token_records.tokenizer(tokenizer_path(BYTES)), random.Random(6)
+    rnd = random.Random(6)
     parts = ["a", "the", " ", "  ", "\n", "é", "\t", "'s", ".", "日本", "<|endoftext|>", "\x1c", "\x85", "12"]
-    for _ in range(2000):
-        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 10)))
-        assert np.frombuffer(coder(text), coder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 10))) for _ in range(4000)]
+    for special_as_text in (False, True):
+        library.encode_special_tokens = special_as_text
+        coder = token_records.tokenizer(tokenizer_path(BYTES), special_as_text)
+        for text, ids in zip(texts, coder(pa.array(texts)), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
     assert token_records.read_tokens(token_records.write_tokens(empty(odd), tokenizer_path(BYTES), 2, workspace(spark, "records"))).count() == 0
 
 
+def test_token_records_in_many_files(spark, monkeypatch):
+    """One hot doc_id over several tasks, files cut by their size, and positions that go on from file to file."""
+    monkeypatch.setattr(token_records, "FILE_BYTES", 200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.createDataFrame([(7, "same text again") if k % 3 else (k, f"text {k}") for k in range(400)], "doc_id long, text string")
+    manifest = token_records.write_tokens(rows, tokenizer_path(BYTES), 2, workspace(spark, "records"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.collect()
+    assert len(files) > 20 and len({f.file_no for f in files}) > 1 and sum(f.n_records for f in files) == 400
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in token_records.read_tokens(manifest).collect())
+    assert [g[0] for g in got] == [0, *itertools.accumulate(g[1] for g in got[:-1])] and [g[2] for g in got] == sorted(r.doc_id for r in rows.collect())
+
+
 def test_token_records_keep_added_tokens(spark):
     """Ids are those of the library's defaults, also where a text holds an added token."""
     from tokenizers import Tokenizer

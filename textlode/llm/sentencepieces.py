@@ -5,8 +5,8 @@ replacement strings. `Normaliser` walks it by longest prefix and records, for ev
 source byte that it comes from; every piece is then projected to a byte span of the source text.
 
 Ids come from the sentencepiece library. Where the vocabulary allows it (no piece holds a space mark after another
-character, none but a byte piece holds a line feed) no merge can cross the start of a word, so that words are encoded
-once and remembered; other vocabularies are encoded text by text.
+character, none but a byte piece holds a line feed) no merge can cross the start of a word, so that the distinct words of
+many texts are encoded as one, and remembered; other vocabularies are encoded text by text.
 
 Rows: null text is an empty text; an empty text has no ids and decodes to an empty text. Repeated rows, null ids and
 extra columns pass through unchanged in number: one output row for each input row.
@@ -14,23 +14,22 @@ extra columns pass through unchanged in number: one output row for each input ro
 
 from __future__ import annotations
 
-import re
 import struct
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlode.llm.batches import arrow_map, list_array
+from textlode.llm.wordwise import SLICE_BYTES, Learned, Memory, cut, rows_of
 
 SPACE = "▁"
 MARK = SPACE.encode()
-#: Words that one worker remembers; the table starts anew beyond it.
-REMEMBERED = 300_000
-NEWLINE, NUL_SPACE, NUL_NEWLINE = "\n", f"\0{SPACE}", "\0\n"
-SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Words that the library encodes as one text.
+ENCODED = 500
 #: Piece kinds of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -192,8 +191,9 @@ class Encoder:
         surface = [piece for piece, kind in self.model.pieces if kind in (NORMAL, USER, UNUSED)]
         inner = any(MARK in self._after_lead(piece) for piece in surface)
         self.by_word = not inner and not self.model.charsmap and not self.model.trim and self.model.dummy_prefix and self.model.escape
-        self.by_line = self.by_word and not any(b"\n" in piece for piece in surface)
-        self.words: dict[str, bytes] = {}
+        self.by_word = self.by_word and not any(b"\n" in piece for piece in surface)
+        self.begins = np.array([kind == NORMAL and piece.startswith(MARK) or piece == b"<0x0A>" for piece, kind in self.model.pieces])
+        self.memory = Memory(self.learn)
 
     @staticmethod
     def _after_lead(piece: bytes) -> bytes:
@@ -201,31 +201,37 @@ class Encoder:
             piece = piece[len(MARK) :]
         return piece
 
-    def _learn(self, segments: list[str]) -> None:
-        """Remember the ids of segments that start with their space marks, or with a line feed."""
-        # the library puts a space mark before each text: it is the segment's own first one, or goes before a line feed
-        found = self.library.encode([s if s[0] == "\n" else s[1:].replace(SPACE, " ") for s in segments], num_threads=1)
-        for segment, ids in zip(segments, found, strict=True):
-            ids = ids[1:] if segment[0] == "\n" else ids or [self.library.piece_to_id(SPACE)]
-            self.words[segment] = np.array(ids, np.int32).tobytes()
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int32) for ids in self.library.encode(texts, num_threads=1)]
+
+    def _apart(self, words: list[str]) -> Learned:
+        # the library puts a space mark before each text, before a line feed as a piece of its own
+        found = [ids[1:] if w[:1] == "\n" else ids if w else np.array([self.library.piece_to_id(SPACE)], np.int32) for w, ids in zip(words, self.whole(words), strict=True)]
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def learn(self, words: list[str]) -> Learned:
+        """Ids of words that follow a space (also of none between two), or of line feeds and words."""
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for at in range(0, len(words), ENCODED):
+            block = words[at : at + ENCODED]
+            text = " ".join(block).replace(" \n", "\n")
+            together = None if "" in block or block[0][0] == "\n" else cut(self.whole([text])[0], self.begins, len(block))
+            parts.append(together or self._apart(block))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text may be cut into words: not empty, no space mark, and no space before another one."""
+        if not self.by_word:
+            return np.zeros(len(texts), bool)
+        return ~pc.match_substring_regex(texts, f"^ |  |{SPACE}|^$").to_numpy(zero_copy_only=False)
 
-    def _segments(self, text: str) -> list[str]:
-        """The normalised text, cut where a space mark follows another character and (by_line) before line feeds."""
-        if self.by_line and "\0" not in text and "  " not in text and text[0] != " " and SPACE not in text:
-            return f"{SPACE}{text.replace(' ', NUL_SPACE).replace(NEWLINE, NUL_NEWLINE)}".split("\0")
-        return SEGMENT.findall(SPACE + text.replace(" ", SPACE))
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        return rows_of(texts, self.plain(texts), self.memory, self.whole)
 
     def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if not self.by_word:
-            return np.array(self.library.encode(text), np.int32)
-        words, segments = self.words, self._segments(text)
-        if len(words) > REMEMBERED:
-            words.clear()
-        if missing := [s for s in segments if s not in words]:
-            self._learn(missing)
-        return np.frombuffer(b"".join(map(words.__getitem__, segments)), np.int32)
+        return self(pa.array([text], pa.string()))[0]
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each piece in the UTF-8 bytes of `text`."""
@@ -256,8 +262,8 @@ class Encoder:
                 width[k] = size
             at += int(width[k])
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.library.decode(ids.tolist()) if len(ids) else ""
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.library.decode([x.tolist() for x in ids], num_threads=1)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -278,21 +284,19 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         coder = encoder(model_path)
 
         def run(batch: pa.RecordBatch) -> list:
-            ids, starts, ends, texts = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                found = coder.ids(text or "")
-                ids.append(found)
-                if with_spans:
+            ids, starts, ends = coder(batch.column(1)), [], []
+            if with_spans:
+                for text, found in zip(batch.column(1).to_pylist(), ids, strict=True):
                     a, b = coder.spans(text or "", found)
                     starts.append(a)
                     ends.append(b)
-                texts.append(coder.decode(found))
+            texts = coder.decode(ids)
             none = pa.nulls(len(texts), pa.list_(pa.int32()))
             return [batch.column(0), list_array(ids, np.int32), list_array(starts, np.int32) if with_spans else none, list_array(ends, np.int32) if with_spans else none, pa.array(texts, pa.string())]
 
         return run
 
-    return arrow_map(df.select(id_col, text_col), make, f"`{id_col}` {kind}, ids array<int>, starts array<int>, ends array<int>, decoded string", 1_000_000)
+    return arrow_map(df.select(id_col, text_col), make, f"`{id_col}` {kind}, ids array<int>, starts array<int>, ends array<int>, decoded string", SLICE_BYTES)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

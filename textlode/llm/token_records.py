@@ -9,7 +9,8 @@ and its index holds the uint64 offset of every record and of the end, so that re
 allows it and four otherwise. The mask rotates a CRC-32 right by 15 bits and adds a constant, so that a checksum of
 bytes that hold checksums stays meaningful.
 
-Files are written in ascending doc_id (null first; ties by a hash of the text), one a task, under names that no other attempt uses.
+Files are written in ascending doc_id (null first; ties by a hash of the text), a new one every `FILE_BYTES`, under
+names that no other attempt uses.
 The manifest, a Parquet table that Spark commits, names the files of the attempts that count; a file that a lost
 executor left behind is in no manifest. Null text is an empty text, of which only the end id is written.
 """
@@ -17,30 +18,35 @@ executor left behind is in no manifest. Null text is an empty text, of which onl
 from __future__ import annotations
 
 import json
-import re
+import os
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlode.llm.batches import arrow_map, chunks, small_batches
+from textlode.llm.batches import chunks, small_batches
+from textlode.llm.wordwise import SLICE_BYTES, Learned, Memory, cut, rows_of
 from textlode.session import materialise
 
 MASK_ADD = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 LEAD = struct.Struct("<qI")
-#: Words that one worker remembers; the table starts anew beyond it.
-REMEMBERED = 600_000
-#: Marks that are taken off a word's end before it is encoded (no apostrophe: that one may bind to letters).
-TAIL = ".,;:!?*%$#&|"
-#: The characters with Unicode's White_Space property (Python's own \\s has four more).
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Words that the library encodes as one text.
+ENCODED = 500
+#: Bytes of records from which on a task starts another file.
+FILE_BYTES = 128 << 20
+#: Records that the reader returns at once.
+READ_RECORDS = 20_000
+#: The characters that stand for a space and a line feed in byte-level vocabularies.
+WHITE_BYTES = "\u0120\u010a"
+#: White space other than single spaces and line feeds between words, for RE2.
+ODD_WHITE = r"^[ \n]|[ \n]\z|[ \n][ \n]|[\t\v\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def masked(data: bytes) -> int:
@@ -50,11 +56,13 @@ def masked(data: bytes) -> int:
 
 class ByteBpe:
     """Ids of the tokenizers library. A byte-level pre-tokeniser never joins what stands on two sides of white space that
-    follows other text, so words with the white space before them are encoded once and remembered; for any other
-    pre-tokeniser, and for texts that hold an added token, whole texts are encoded. By the library's default an added
-    token in a text is one id; with `special_as_text` special ones are plain text."""
+    follows other text, so the distinct words of a slice, with the white space before them, are encoded as one text, in
+    which an id that begins with white space begins a word. For any other pre-tokeniser, and for texts that hold an
+    added token or other white space, whole texts are encoded. By the library's default an added token in a text is one
+    id; with `special_as_text` special ones are plain text."""
 
     def __init__(self, path: str, special_as_text: bool = True) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -65,48 +73,41 @@ class ByteBpe:
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [t["content"] for t in spec.get("added_tokens", []) if not (special_as_text and t.get("special"))]
-        self.words = Words(self.whole)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as bytes of `dtype`."""
-        if not text or not self.by_word or any(t in text for t in self.added):
-            return self.whole(text) if text else b""
-        words = self.words
-        if len(words) > REMEMBERED:
-            words.clear()
-        blanks, plain = text.count(" ") + text.count("\n"), text.split()
-        if len(plain) == blanks + 1 and sum(map(len, plain)) + blanks == len(text):  # single spaces and line feeds between words
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return self.whole(first) + b"".join(map(words.__getitem__, rest))
-        return b"".join(map(self.whole, SEGMENT.findall(text)))
-
-
-class Words(dict):
-    """Ids of a word that follows a space, or of a line feed and a word."""
-
-    def __init__(self, whole: Callable[[str], bytes]) -> None:
-        self.whole = whole
-        self.tails: dict[str, bytes] = {}
-
-    def tail(self, marks: str) -> bytes:
-        if len(self.tails) > REMEMBERED:
-            self.tails.clear()
-        found = self.tails.get(marks)
-        if found is None:
-            found = self.tails[marks] = self.whole(marks)
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(TAIL)
-        if core != word and core and core[-1].isalpha():  # letters and marks are never in one unit
-            ids = self[core] + self.tail(word[len(core) :])
-        else:
-            ids = self.whole(word if word[0] == "\n" else f" {word}")
-        self[word] = ids
-        return ids
+        self.begins = np.zeros(self.size, bool)
+        for token, k in self.library.get_vocab().items():
+            self.begins[k] = token[0] in WHITE_BYTES
+        self.memory = Memory(self.learn)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def first(self, words: list[str]) -> Learned:
+        """Ids of words that nothing precedes."""
+        found = self.whole(words)
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def learn(self, words: list[str]) -> Learned:
+        """Ids of words that follow a space, or of line feeds and words."""
+        parts = [(np.zeros(0, self.dtype), np.zeros(0, np.int64))]
+        for at in range(0, len(words), ENCODED):
+            block = words[at : at + ENCODED]
+            text = f" {' '.join(block)}".replace(" \n", "\n")
+            parts.append(cut(self.whole([text])[0], self.begins, len(block)) or self.first([w if w[0] == "\n" else f" {w}" for w in block]))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text may be cut into words: single spaces and line feeds between them, and no added token."""
+        if not self.by_word:
+            return np.zeros(len(texts), bool)
+        odd = pc.match_substring_regex(texts, ODD_WHITE)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        return ~odd.to_numpy(zero_copy_only=False)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        return rows_of(texts, self.plain(texts), self.memory, self.whole, self.first)
 
 
 _TOKENIZERS: dict[tuple[str, bool], ByteBpe] = {}
@@ -200,32 +201,40 @@ def unpack(payload: bytes, dtype: np.dtype) -> tuple[int | None, np.ndarray]:
     return (None if null else doc_id), np.frombuffer(payload, dtype, offset=LEAD.size)
 
 
-MANIFEST = "file_no int, path string, n_records long, n_tokens long, width int"
+MANIFEST = "file_no int, part int, path string, n_records long, n_tokens long, width int"
 
 
 def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the records of `df` below `out`; returns the manifest (a table, in `out`/manifest)."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # what Spark samples of the keys goes to the driver: numbers, not texts
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    """Write the records of `df` below `out`; returns the manifest (a table, in `out`/manifest). A task writes as many
+    files as its records fill."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("place").asc()]  # Spark samples the keys: numbers, not texts; `place` splits rows of one id and text
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, writer, tokens, n, number = tokenizer(tokenizer_path, special_as_text=False), None, 0, 0, TaskContext.get().partitionId()
+        coder, number, part = tokenizer(tokenizer_path, special_as_text=False), TaskContext.get().partitionId(), 0
         end = np.array([end_id], coder.dtype).tobytes()
+        writer, tokens = None, 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            values = {"file_no": pa.array([number], pa.int32()), "part": pa.array([part], pa.int32()), "path": [writer.uri], "n_records": [len(writer.offsets) - 1], "n_tokens": [tokens], "width": pa.array([coder.dtype.itemsize], pa.int32())}
+            return pa.RecordBatch.from_pydict(values)
+
         for batch in batches:
-            for part in chunks(batch):
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    writer = writer or RecordWriter(f"{out}/data/part-{number:06d}-{uuid.uuid4().hex}.bin")
-                    ids = coder(text or "") + end
-                    writer.write(packed(doc_id, ids))
-                    tokens += len(ids) // coder.dtype.itemsize
-                    n += 1
+            for slice_ in chunks(batch, SLICE_BYTES):
+                for doc_id, ids in zip(slice_.column(0).to_pylist(), coder(slice_.column(1)), strict=True):
+                    if writer and writer.at >= FILE_BYTES:
+                        yield closed()
+                        writer, tokens, part = None, 0, part + 1
+                    writer = writer or RecordWriter(f"{out}/data/part-{number:06d}-{part:04d}-{uuid.uuid4().hex}.bin")
+                    writer.write(packed(doc_id, ids.astype(coder.dtype, copy=False).tobytes() + end))
+                    tokens += len(ids) + 1
         if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"file_no": pa.array([number], pa.int32()), "path": [writer.uri], "n_records": [n], "n_tokens": [tokens], "width": pa.array([coder.dtype.itemsize], pa.int32())})
+            yield closed()
 
     return materialise(rows.mapInArrow(run, MANIFEST), f"{out}/manifest")
 
@@ -234,24 +243,24 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record, read from the files; start counts the ids of all documents
     before it. One row a file, so that the window over the manifest is as small as the list of files."""
     spark: SparkSession = manifest.sparkSession
-    order = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("file_no", "part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
-    def make():
-        def run(batch: pa.RecordBatch) -> list:
-            ids, starts, sizes, crcs = [], [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for path, width, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                dtype = np.dtype(f"<u{width}")
+                dtype, rows = np.dtype(f"<u{width}"), []
                 for payload in records(path):
                     doc_id, tokens = unpack(payload, dtype)
-                    ids.append(doc_id)
-                    starts.append(at)
-                    sizes.append(len(tokens))
-                    crcs.append(zlib.crc32(tokens.astype("<u4").tobytes()))
+                    rows.append((doc_id, at, len(tokens), zlib.crc32(tokens.astype("<u4").tobytes())))
                     at += len(tokens)
-            return [ids, starts, sizes, crcs]
-
-        return run
+                    if len(rows) == READ_RECORDS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return arrow_map(files.select("path", "width", "base").repartition(parts), make, "doc_id long, start long, n_tokens long, ids_crc32 long", 1)
+    return files.select("path", "width", "base").repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
