@@ -1,4 +1,7 @@
-"""Arrow batch plumbing for the operators that run Python on the executors."""
+"""Arrow batch plumbing for the operators that run Python on the executors.
+
+Rows: batches and slices may be empty; a slice holds whole rows, one at least, however long its strings are.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +22,14 @@ CHUNK_BYTES = 2_000_000
 BATCH_BYTES = 8 << 20
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, or a longer one that no column has (names are compared without case, as Spark does)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes, whatever the length of the texts, and make this package importable."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from textlode.llm.batches import arrow_map
 from textlode.llm.boosting import sigmoid
-from textlode.llm.quality_rules import measure
-from textlode.llm.words import WORD, hashes
+from textlode.llm.quality_rules import Document, measure
 from textlode.session import materialise, workspace
 
 LABELLED, ROUNDS, SURE = 4000, 3, 0.95
@@ -42,12 +41,11 @@ HASHED, SOURCES, LANGS = 128, 64, 16
 KEEP = 0.5
 
 
-def text_view(text: str | None) -> np.ndarray:
+def text_view(d: Document) -> np.ndarray:
     """Shape statistics and the shares of hashed words."""
-    d = measure(text)
     n, chars = max(1, d.n_words), max(1, len(d.text))
     letters, upper, digits = (len(d.data) - len(d.data.translate(None, delete)) for delete in (bytes(range(65, 91)) + bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789"))
-    own = hashes(WORD.findall(d.data))
+    own = d.words
     counts = np.bincount((own % np.uint64(HASHED)).astype(np.int64), minlength=HASHED) if len(own) else np.zeros(HASHED)
     shape = [
         np.log1p(d.n_words), d.word_chars / n, min(3.0, d.n_symbols / n), d.n_dup_lines / max(1, d.n_lines), d.n_repeat_words / n, len(np.unique(own)) / n, np.log1p(n / max(1, d.n_lines)),
@@ -286,7 +284,7 @@ def viewed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
-            texts, metas = batch.column(1).to_pylist(), zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+            texts, metas = measure(batch.column(1)), zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
             return [batch.column(0), [text_view(t).tobytes() for t in texts], [metadata_view(*m).tobytes() for m in metas], batch.column(5)]
 
         return run
@@ -318,7 +316,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in _sample(voted, LABELLED)], "doc_id long"))  # LABELLED rows at most
     rows = sorted(tuple(r) for r in table.filter("_label IS NOT NULL").join(chosen, "doc_id", "left_semi").select("view_text", "view_meta", "_label").collect())
     stack = lambda k, dim: np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(len(rows), dim)
-    text, meta = stack(0, len(text_view(""))), stack(1, len(metadata_view(None, None, None)))
+    text, meta = stack(0, len(text_view(measure(pa.array([""]))[0]))), stack(1, len(metadata_view(None, None, None)))
     return cotrain(text, meta, np.array([r[2] for r in rows]), Pool(table.filter("_label IS NULL"))), table
 
 

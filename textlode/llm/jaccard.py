@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from textlode.llm.batches import arrow_map, chunks, list_array, small_batches
 from textlode.llm.components import components
-from textlode.llm.words import WORD, hashes, mixed, shingle_set
+from textlode.llm.words import mixed, shingle_sets
 from textlode.session import drop_path, materialise, release, workspace
 
 #: Counters of the sketch, the most frequent of them that are kept, and the levels of frequency that are told apart.
@@ -38,11 +38,6 @@ LIGHT = 1.5
 BROADCAST_ROWS = 200_000
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles of a text, A-Z lower-cased."""
-    return shingle_set(hashes(WORD.findall(text.encode().lower())), size) if text else np.zeros(0, np.uint64)  # bytes.lower() changes A-Z alone
-
-
 def overlap_needed(n: int, m: int, percent: int) -> int:
     """Shared shingles that two sets need: 100 * o >= percent * (n + m - o)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -59,7 +54,7 @@ def frequent(df: DataFrame, text_col: str, size: int) -> np.ndarray:
     def make_run(batches):
         counts = np.zeros(SKETCH, np.int64)
         for batch in (part for whole in batches for part in chunks(whole)):
-            held = [shingles(t, size) for t in batch.column(0).to_pylist()]
+            held = shingle_sets(batch.column(0), size)
             if held:
                 counts += np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         mean = counts.mean()
@@ -108,8 +103,7 @@ def prefixes(df: DataFrame, levels: np.ndarray, id_col: str, text_col: str, size
             n, cls, match, tokens = [], [], [], []
             if len(seen) > 200_000:
                 seen.clear()
-            for text in batch.column(1).to_pylist():
-                held = shingles(text, size)
+            for held in shingle_sets(batch.column(1), size):
                 n.append(len(held))
                 if not len(held):
                     cls.append(None)
@@ -142,7 +136,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size:
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
-            held = [shingles(t, size) for t in batch.column(0).to_pylist()]
+            held = shingle_sets(batch.column(0), size)
             keys = [int((np.bitwise_xor.reduce(mixed(h)) + np.uint64(len(h))).view(np.int64)) if len(h) else None for h in held]
             return [keys, pa.array([h.tobytes() for h in held], pa.binary())]
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from textlode.llm.batches import arrow_map, chunks, small_batches
-from textlode.llm.words import WORD, hashes, windows
+from textlode.llm.words import Words, text_windows
 
 SAMPLE_ROWS = 400
 SYMBOLS = "#*$%&|<>"
@@ -34,10 +34,11 @@ _LETTERS = re.compile(rb"[^\x20\x09-\x0D]*[A-Za-z\x80-\xff][^\x20\x09-\x0D]*")
 
 @dataclass
 class Document:
-    """What the rules look at: the text, its bytes, its words and the base quantities."""
+    """What the rules look at: the text, its bytes, the hashes of its words and the base quantities."""
 
     text: str
     data: bytes
+    words: np.ndarray
     n_words: int
     word_chars: int
     n_symbols: int
@@ -46,31 +47,39 @@ class Document:
     n_repeat_words: int
 
 
-def measure(text: str | None) -> Document:
-    """The base quantities of one text."""
-    text = text or ""
-    data = text.encode()
-    found = WORD.findall(data)
-    seen: set[str] = set()
-    lines = duplicates = 0
-    for line in text.split("\n"):
-        if line in seen:
-            lines += 1
-            duplicates += 1
-        elif line.strip(BLANK):
-            lines += 1
-            seen.add(line)
-    repeated = 0
-    if len(found) >= 4:
-        grams = windows(hashes(found), 3)
-        _, at, count = np.unique(grams, return_inverse=True, return_counts=True)
-        if len(count) < len(grams):
-            twice = count[at] > 1
-            covered = np.zeros(len(found), bool)
-            for k in range(3):
-                covered[k : k + len(twice)] |= twice
-            repeated = int(covered.sum())
-    return Document(text, data, len(found), len(text) - sum(map(text.count, BLANK)), sum(map(text.count, SYMBOLS)), lines, duplicates, repeated)
+def repeated_words(grams: np.ndarray, n: int) -> int:
+    """Of n words, those in windows of three that occur twice or more."""
+    if len(grams) < 2:
+        return 0
+    order = np.argsort(grams, kind="stable")
+    same = grams[order[1:]] == grams[order[:-1]]
+    if not same.any():
+        return 0
+    twice = np.zeros(len(grams), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    covered = np.zeros(n, bool)
+    for k in range(3):
+        covered[k : k + len(twice)] |= twice
+    return int(covered.sum())
+
+
+def measure(texts: pa.Array) -> list[Document]:
+    """The base quantities of each text."""
+    found, out = Words.of(texts), []
+    hashes, bounds = found.hashes(), found.offsets.tolist()
+    for text, grams, a, b in zip(texts.to_pylist(), text_windows(hashes, found.offsets, 3), bounds[:-1], bounds[1:], strict=True):
+        text = text or ""
+        seen: set[str] = set()
+        lines = duplicates = 0
+        for line in text.split("\n"):
+            if line in seen:
+                lines += 1
+                duplicates += 1
+            elif line.strip(BLANK):
+                lines += 1
+                seen.add(line)
+        out.append(Document(text, text.encode(), hashes[a:b], b - a, len(text) - sum(map(text.count, BLANK)), sum(map(text.count, SYMBOLS)), lines, duplicates, repeated_words(grams, b - a)))
+    return out
 
 
 def base_failed(d: Document) -> bool:
@@ -99,7 +108,7 @@ class Estimate:
 def estimates(texts: list[str | None], rules: dict[str, Rule] | None = None) -> list[Estimate]:
     """Cost (seconds a document) and selectivity of each rule, best rejection per cost first; names break ties."""
     out = []
-    documents = [measure(t) for t in texts]
+    documents = [d for d in measure(pa.array(texts, pa.string())) if not base_failed(d)]  # the rules see no others
     for name, rule in (rules or RULES).items():
         began = time.perf_counter()
         hits = sum(map(rule, documents))
@@ -123,7 +132,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         rules = [RULES[name] for name in order]
 
         def run(batch: pa.RecordBatch) -> list:
-            documents = [measure(t) for t in batch.column(1).to_pylist()]
+            documents = measure(batch.column(1))
             failed = [base_failed(d) for d in documents]
             accepted = [not f for f in failed]
             for rule in rules:  # each rule sees only what is left
@@ -145,7 +154,7 @@ def kept(df: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         rules = [RULES[name] for name in order]
         for batch in (part for whole in batches for part in chunks(whole)):
-            accepted = [not base_failed(d) and not any(rule(d) for rule in rules) for d in map(measure, batch.column(at).to_pylist())]
+            accepted = [not base_failed(d) and not any(rule(d) for rule in rules) for d in measure(batch.column(at))]
             yield batch.filter(pa.array(accepted, pa.bool_()))
 
     return df.mapInArrow(run, StructType(df.schema.fields))
