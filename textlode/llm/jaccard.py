@@ -12,7 +12,7 @@ whole sets. Nothing is capped, and no pair that may link two components is left
 
 Rows: null texts and texts without words are linked with nothing; equal texts are linked; null doc_ids take part and
 stand behind all others when a smallest doc_id is named; repeated rows stay separate output rows. A class is known by a
-64-bit hash of its set.
+64-bit hash of its set. Columns beside id and text are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,20 +22,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm.batches import arrow_map, chunks, list_array, small_batches
+from textlode.llm.batches import arrow_map, chunks, free_name, list_array, small_batches
 from textlode.llm.components import components
 from textlode.llm.words import mixed, shingle_sets
 from textlode.session import drop_path, materialise, release, workspace
 
-#: Counters of the sketch, the most frequent of them that are kept, and the levels of frequency that are told apart.
-SKETCH, HEAVY = 1 << 20, 100_000
+#: Least and most counters of the sketch (one for `CHARS_A_COUNTER` characters of input), and how many of the most frequent are kept.
+SKETCH, MOST_SKETCH, CHARS_A_COUNTER, HEAVY = 1 << 20, 1 << 22, 64, 100_000
+#: Postings of one shingle that one task pairs with others at most; a longer list is split by size and by a hash.
+BLOCK = 512
 #: Postings from which on a shingle links to a pivot before pairs are formed.
 BIG = 32
 LONGEST_MATCH, VERIFY_WEIGHT = 4, 8.0
 #: Documents that a shingle which the sketch doesn't show as frequent is taken to be in, on average.
 LIGHT = 1.5
-#: Rows up to which a list of ids is broadcast (24 bytes each); beyond it the same join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows up to which a list of ids (24 bytes each), and keys up to which a list of them (8 bytes each) is broadcast; beyond it the same join shuffles.
+BROADCAST_ROWS, BROADCAST_KEYS = 200_000, 1_000_000
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -50,20 +52,23 @@ def prefix_length(n: int, percent: int, match: int) -> int:
 def frequent(df: DataFrame, text_col: str, size: int) -> np.ndarray:
     """For each counter of the sketch, its frequency level: 0 where no task found it frequent, else 1 + log2 of the
     documents counted. Every document is counted; tasks report counters that stand out from their own mean."""
+    chars = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_counters = min(MOST_SKETCH, max(SKETCH, 1 << (chars // CHARS_A_COUNTER).bit_length()))
 
     def make_run(batches):
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(n_counters, np.int32)
         for batch in (part for whole in batches for part in chunks(whole)):
             held = shingle_sets(batch.column(0), size)
             if held:
-                counts += np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                at, n = np.unique(np.concatenate(held) & np.uint64(n_counters - 1), return_counts=True)
+                counts[at.astype(np.int64)] += n.astype(np.int32)
         mean = counts.mean()
         at = np.flatnonzero(counts > mean + 8 * np.sqrt(mean) + 8)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at] - int(mean))], names=["counter", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64) - int(mean))], names=["counter", "n"])
 
     small_batches(df.sparkSession)
     found = df.select(text_col).mapInArrow(make_run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    levels = np.zeros(SKETCH, np.uint8)
+    levels = np.zeros(n_counters, np.uint8)
     for r in found.orderBy(F.desc("n"), "counter").limit(HEAVY).collect():
         levels[r.counter] = 1 + int(np.log2(max(1, r.n)))
     return levels
@@ -92,8 +97,8 @@ def best_match(level: np.ndarray, n: int, percent: int) -> int:
 
 
 def prefixes(df: DataFrame, levels: np.ndarray, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, cls, match, tokens): cls is the set's 64-bit hash; tokens, the prefix, are null where the task has
-    given them for the class already."""
+    """(doc_id, row, n, cls, match, tokens): row is a hash of id and text, cls the set's 64-bit hash; tokens, the prefix,
+    are empty where the task has given them for the class already."""
     shared = df.sparkSession.sparkContext.broadcast(levels)  # one byte a counter
 
     def make():
@@ -121,11 +126,11 @@ def prefixes(df: DataFrame, levels: np.ndarray, id_col: str, text_col: str, size
                     seen.add(key)
                     tokens.append(ranked[: prefix_length(len(held), percent, chosen)].view(np.int64))
             lists = list_array([t if t is not None else np.zeros(0, np.int64) for t in tokens], np.int64)
-            return [batch.column(0), n, cls, match, lists]
+            return [batch.column(0), batch.column(2), n, cls, match, lists]
 
         return run
 
-    return arrow_map(df.select(F.col(id_col).cast("long").alias("doc_id"), text_col), make, "doc_id long, n long, cls long, match int, tokens array<long>")
+    return arrow_map(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row")), make, "doc_id long, row long, n long, cls long, match int, tokens array<long>")
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -180,8 +185,46 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
+def _spread(told: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join on shingles, with the further keys `band` and `block`. A list of up to `BLOCK` postings is one
+    block. Of a longer one, the right side is split by size, in bands that only neighbours of can fit, and each band by a
+    hash; the left side goes to every block of its band and the two beside it, so that no pair is lost."""
+    long = F.col("listed") > BLOCK
+    blocks = F.when(long, F.ceil(F.col("listed") / BLOCK)).otherwise(1).cast("int")
+    band = F.when(long, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(100 / percent, 1.01))) - F.lit(1e-9))).otherwise(0).cast("int")
+    right = told.withColumn("band", band).withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    bands = F.when(long, F.array(band - 2, band - 1, band, band + 1, band + 2)).otherwise(F.array(F.lit(0)))
+    left = told.filter("minor").withColumn("band", F.explode(bands)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return left, right
+
+
 def linked(df: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    return grouped(df, size, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(df: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` (all columns), one of each component: that with the smallest id (null last; of equal ids one by a
+    hash of the text). Rows without words all stay. Texts are shuffled only where the kept rows are too many to
+    broadcast their keys, and where rows with equal id and text repeat."""
+    rows = grouped(df, size, percent, id_col, text_col)
+    first = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"))
+    counted = rows.groupBy("row").agg(F.count("*").alias("n"), F.max(F.col("component").isNull()).alias("apart"))
+    kept = counted.join(first.select("first.row"), "row", "left_semi").unionByName(counted.filter("apart")).select("row", ((F.col("n") > 1) & ~F.col("apart")).alias("many"))
+    kept = materialise(kept, workspace(df.sparkSession, "jaccard-kept"))
+    key = free_name(df.columns, "row")
+    keyed = df.withColumn(key, F.xxhash64(id_col, text_col))
+
+    def held(many: bool) -> DataFrame:
+        keys = kept.filter("many" if many else "NOT many").select(F.col("row").alias(key))
+        return keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_semi")
+
+    return held(False).unionByName(held(True).dropDuplicates([key])).select(df.columns)
+
+
+def grouped(df: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, n_shingles, component, component_id) of every row: row is a hash of id and text, component a number of
+    the component (null without words), component_id its smallest doc_id."""
     spark = df.sparkSession
     root = workspace(spark, "jaccard")
     levels = frequent(df, text_col, size)
@@ -224,13 +267,14 @@ def linked(df: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_
         shared.withColumn("_pivot", F.col("pivot.cls"))
         .join(mine, "cls", "left")
         .join(theirs, "_pivot", "left")
-        .select("token", "cls", "n", "match", "pos", F.coalesce("_mine", "cls").alias("comp"), ((F.col("listed") <= BIG) | (F.coalesce("_mine", "cls") != F.coalesce("_theirs", "_pivot"))).alias("minor"))
+        .select("token", "cls", "n", "match", "pos", "listed", F.coalesce("_mine", "cls").alias("comp"), ((F.col("listed") <= BIG) | (F.coalesce("_mine", "cls") != F.coalesce("_theirs", "_pivot"))).alias("minor"))
     )
     told = materialise(told, f"{root}/told")
-    left, right = told.filter("minor").alias("l"), told.alias("r")
+    left, right = _spread(told, percent)
+    left, right = left.alias("l"), right.alias("r")
     both = F.least("l.match", "r.match")
     pairs = (
-        left.join(right, F.col("l.token") == F.col("r.token"))
+        left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.block") == F.col("r.block")))
         .filter((F.col("l.comp") != F.col("r.comp")) & (~F.col("r.minor") | (F.col("l.cls") < F.col("r.cls"))))
         .filter(_sizes_fit(F.col("l.n"), F.col("r.n"), percent) & _within(F.col("l.n"), F.col("l.pos"), F.col("r.n"), both, percent) & _within(F.col("r.n"), F.col("r.pos"), F.col("l.n"), both, percent))
         .groupBy(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b"))
@@ -242,5 +286,5 @@ def linked(df: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_
     final = components(labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = classes.select("cls", "rep").join(final.select(F.col("id").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    owner = named.join(least, "root").select("cls", "component_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(owner, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    owner = named.join(least, "root").select("cls", F.col("root").alias("component"), "component_id")
+    return rows.select("doc_id", "row", F.col("n").alias("n_shingles"), "cls").join(owner, "cls", "left").select("doc_id", "row", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
