@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, SentencePiece.
 
 Each stage works on all that its predecessor kept, and returns the columns of `documents`; the last one returns tokens.
-Rows with a null doc_id take part; of a group of near copies without any id all stay, as none can be named.
+Rows with a null doc_id take part, and stand behind all others where the smallest doc_id of a group stays; of repeated
+rows one stays. Documents without text go at the first stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +34,7 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
-    groups = jaccard.linked(docs, SHINGLE, PERCENT)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    return jaccard.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
