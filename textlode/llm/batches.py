@@ -5,6 +5,7 @@ Rows: batches and slices may be empty; a slice holds whole rows, one at least, h
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from textlode.session import ship
 #: Bytes of variable-length input that one output batch is made from.
 CHUNK_BYTES = 2_000_000
 #: Bytes of one Arrow batch between the JVM and Python; both sides hold whole batches, once a running task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def free_name(taken: list[str], name: str) -> str:
@@ -36,6 +37,14 @@ def small_batches(spark: SparkSession) -> None:
     ship(spark)
 
 
+def trim() -> None:
+    """Give memory that this task no longer needs back to the system: workers wait for the next task, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of `batch` with about `limit` bytes of strings each; a row is never split."""
     total = np.zeros(batch.num_rows, np.int64)
@@ -63,6 +72,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
             for part in chunks(batch, limit):
                 columns = function(part)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm.batches import arrow_map, chunks, free_name, list_array, small_batches
+from textlode.llm.batches import arrow_map, chunks, free_name, list_array, small_batches, trim
 from textlode.llm.components import components
 from textlode.llm.words import mixed, shingle_sets
 from textlode.session import drop_path, materialise, release, workspace
@@ -65,6 +65,7 @@ def frequent(df: DataFrame, text_col: str, size: int) -> np.ndarray:
         mean = counts.mean()
         at = np.flatnonzero(counts > mean + 8 * np.sqrt(mean) + 8)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64) - int(mean))], names=["counter", "n"])
+        trim()
 
     small_batches(df.sparkSession)
     found = df.select(text_col).mapInArrow(make_run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from textlode.llm.batches import arrow_map, chunks, small_batches
+from textlode.llm.batches import arrow_map, chunks, small_batches, trim
 from textlode.llm.words import Words, text_windows
 
 SAMPLE_ROWS = 400
@@ -156,6 +156,7 @@ def kept(df: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in (part for whole in batches for part in chunks(whole)):
             accepted = [not base_failed(d) and not any(rule(d) for rule in rules) for d in measure(batch.column(at))]
             yield batch.filter(pa.array(accepted, pa.bool_()))
+        trim()
 
     return df.mapInArrow(run, StructType(df.schema.fields))
 

@@ -28,6 +28,8 @@ from textlode.llm.wordwise import SLICE_BYTES, Learned, Memory, cut, rows_of
 
 SPACE = "▁"
 MARK = SPACE.encode()
+#: Words that one worker remembers.
+REMEMBERED = 150_000
 #: Words that the library encodes as one text.
 ENCODED = 500
 #: Piece kinds of the model format.
@@ -193,7 +195,7 @@ class Encoder:
         self.by_word = not inner and not self.model.charsmap and not self.model.trim and self.model.dummy_prefix and self.model.escape
         self.by_word = self.by_word and not any(b"\n" in piece for piece in surface)
         self.begins = np.array([kind == NORMAL and piece.startswith(MARK) or piece == b"<0x0A>" for piece, kind in self.model.pieces])
-        self.memory = Memory(self.learn)
+        self.memory = Memory(self.learn, REMEMBERED)
 
     @staticmethod
     def _after_lead(piece: bytes) -> bytes:

@@ -30,13 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlode.llm.batches import chunks, small_batches
+from textlode.llm.batches import chunks, small_batches, trim
 from textlode.llm.wordwise import SLICE_BYTES, Learned, Memory, cut, rows_of
 from textlode.session import materialise
 
 MASK_ADD = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 LEAD = struct.Struct("<qI")
+#: Words that one worker remembers.
+REMEMBERED = 500_000
 #: Words that the library encodes as one text.
 ENCODED = 500
 #: Bytes of records from which on a task starts another file.
@@ -76,7 +78,7 @@ class ByteBpe:
         self.begins = np.zeros(self.size, bool)
         for token, k in self.library.get_vocab().items():
             self.begins[k] = token[0] in WHITE_BYTES
-        self.memory = Memory(self.learn)
+        self.memory = Memory(self.learn, REMEMBERED)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -235,6 +237,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, out: str, id_c
                     tokens += len(ids) + 1
         if writer:
             yield closed()
+        trim()
 
     return materialise(rows.mapInArrow(run, MANIFEST), f"{out}/manifest")
 

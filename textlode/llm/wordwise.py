@@ -18,9 +18,7 @@ import pyarrow.compute as pc
 #: The ids of some words one after another, and how many each has.
 Learned = tuple[np.ndarray, np.ndarray]
 #: Bytes of text that are encoded together.
-SLICE_BYTES = 4_000_000
-#: Words that one worker remembers; it starts anew beyond it.
-REMEMBERED = 600_000
+SLICE_BYTES = 2_000_000
 
 
 def cut(ids: np.ndarray, begins: np.ndarray, n: int) -> Learned | None:
@@ -31,16 +29,16 @@ def cut(ids: np.ndarray, begins: np.ndarray, n: int) -> Learned | None:
 
 
 class Memory:
-    """The ids of all words that were learnt so far."""
+    """The ids of the words that were learnt so far; it starts anew beyond `most` words (200 bytes each)."""
 
-    def __init__(self, learn: Callable[[list[str]], Learned]) -> None:
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[str]], Learned], most: int) -> None:
+        self.learn, self.most = learn, most
         self.known: dict[str, int] = {}
         self.values, self.size = learn([])
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all remembered words, how many each has, and which of them the given distinct words are."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             self.known.clear()
             self.values, self.size = self.values[:0], self.size[:0]
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
