@@ -1,6 +1,7 @@
 """Each operator against brute force or SQL on small tables, and on rows with nulls, repeats and odd texts."""
 
 import hashlib
+import html
 import itertools
 import random
 import re
@@ -46,6 +47,55 @@ def test_html():
     assert html_text.main_text("<p>" * 3000 + "deep") == "deep"
 
 
+LONG = "Some long text of the page goes on here with many words. " * 6
+
+
+def test_html_markup():
+    """Markup that must not cost an article its text, and that must not crash."""
+    text = LONG.strip()
+    assert html_text.main_text(f"<html><head><title>t</title><body><div class='layout has-sidebar'><p>{LONG}</p></div>") == text
+    assert html_text.main_text(f"<html><head><title>t</title>{LONG}") == text
+    assert html_text.main_text(f"<body><article class='post has-tags'><p>{LONG}</p><section id=related-work><p>Kept.</p></section><div class=related-posts><p>Gone.</p></div></article>") == f"{text}\n\nKept."
+    assert html_text.main_text(f"<body><form><nav>menu</nav><article><p>{LONG}</p><input><button>Go</button></article></form>") == text
+    assert html_text.main_text(f"<body><script/>var x='<p>no</p>';</script><p>{LONG}") == text
+    assert html_text.main_text(f"<article>{LONG}{'<article>' * 10000}x") == f"{text}\n\nx"
+    assert html_text.main_text(f"{'<div>' * 10000}{LONG}") == text and html_text.main_text(f"{'<div>' * 4000}{'</span>' * 20000}{LONG}") == text
+    assert html_text.main_text("<div class=menu><a href=1>One</a> <a href=2>Two</a></div>") == ""
+
+
+def test_html_regions_come_from_the_ratios(monkeypatch):
+    """Pages without article elements: regions by smoothed ratios, and both smoothing and threshold matter."""
+    bits = "".join(f"<div><a href={k}>x{k}</a> <i>{k}</i> <b>word</b></div>" for k in range(12))
+    body = f"<h2>Title</h2><p>{LONG}</p><p>Short <b>one</b>.</p><p>{LONG}</p><ul><li>Item</li></ul><p>{LONG}</p>"
+    page = f"<body><div>{bits}</div><div>{body}</div><div>{bits}</div></body>"
+    expected = "\n\n".join(["Title", LONG.strip(), "Short one.", LONG.strip(), "Item", LONG.strip()])
+    assert html_text.main_text(page) == expected
+    closing = "A closing line of middling length, that is content because of what stands before it. " * 2
+    alone = f"<body>{bits}{body}<p>{LONG}</p><p>{closing}</p>{bits}</body>"
+    whole = html_text.main_text(alone)
+    assert whole == "\n\n".join([expected, LONG.strip(), closing.strip()])
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smoothed", lambda ratios: ratios)
+        assert html_text.main_text(alone) != whole
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "threshold", lambda values: -1.0)
+        assert html_text.main_text(alone) != whole
+
+
+def article_by_hand(page):
+    """The article's text by regular expressions, on pages whose markup is known."""
+    found = re.search(r"<article[^>]*>(.*?)</article>", page or "", re.S)
+    body = re.sub(r"<!--.*?-->|<(script|style|form|aside|nav|footer)\b.*?</\1>", "", found[1] if found else "", flags=re.S)
+    parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", p))).strip() for p in re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|table|tr|pre)\b[^>]*>", body.replace("<br>", " "))]
+    return "\n\n".join(p for p in parts if p)
+
+
+def test_html_against_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    made = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert made == {r.page_id: article_by_hand(r.html) for r in pages.collect()}
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", None), (None, None, "<p>Hello there</p>"), (1, "u", "")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(rows).collect()) == [("", 0), ("", 0), ("Hello there", 11)]
