@@ -269,7 +269,7 @@ def main_text(html: str | None) -> str:
     within = usable & np.array(inside)[region]
     if page.kind[best] in ("article", "main"):
         return "\n\n".join(lines[k][0] for k in np.flatnonzero(within))
-    mine = np.flatnonzero(within & content)
+    mine = np.flatnonzero(within & content & (2 * ratios >= cut))  # smoothing alone makes no end of the text
     chosen = within & (content | (2 * linked <= size))
     if usable_in[best] == usable_in[0] and len(mine):  # a region that is the whole page says nothing about its ends
         chosen[: mine[0]] = False
