@@ -219,13 +219,18 @@ def test_line_dedup(spark, docs, odd):
                 chars[at : at + rnd.choice([0, 1])] = rnd.choice(["", "z", "é"])
             text.append("".join(chars))
         rows.append((k, "\n".join(text)))
-    made = spark.createDataFrame(rows, "doc_id long, text string")
-    for df in (made, docs.select("doc_id", "text")):
+    short = [(200 + k, "\n".join("".join(rnd.choice("ab1é ") for _ in range(rnd.randint(0, 7))) for _ in range(5))) for k in range(60)]
+    made = spark.createDataFrame(rows + short, "doc_id long, text string")
+    few = spark.createDataFrame([(1, "a\nbcd\nxyzvw"), (2, "b\nbcde\n\nxyzzy"), (3, "lmnop"), (4, "lnop\nlmno")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in line_dedup.dedup_lines(few).collect()} == {(1, "a\nbcd\nxyzvw"), (2, "\nxyzzy"), (3, "lmnop"), (4, "")}
+    for df in (made, few, docs.select("doc_id", "text")):
         expected, got = against_sql(line_dedup.dedup_lines(df), line_dedup.SQL, df.toPandas(), ["doc_id", "text", "n_lines", "n_removed"])
         assert expected == got
     out = {(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(odd).collect()}
     assert (1, None, 0) in out and (2, "", 0) in out and (6, "line one is long enough to count", 1) in out
     assert line_dedup.dedup_lines(odd).columns[:7] == odd.columns
+    clash = made.select("*", F.lit(1).alias("key"), F.lit(2).alias("DK"), F.lit(3).alias("doc"), F.lit(4).alias("gone"), F.lit(5).alias("n_lines"))
+    assert line_dedup.dedup_lines(clash).select("key", "DK", "doc", "gone").distinct().collect() == [(1, 2, 3, 4)]
     assert line_dedup.dedup_lines(empty(odd)).count() == 0
 
 

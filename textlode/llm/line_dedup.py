@@ -1,8 +1,8 @@
 """Near-duplicate lines across documents, by deletion neighbourhoods, in DataFrame operations only.
 
 Lines are cut at line feeds. Of equal lines the earliest stays (smallest doc_id, then line number), and so it is of
-lines of `MIN_CHARS` code points or more that are within one edit (a character inserted, deleted or substituted): a line
-goes if any earlier line is within one edit of it. Blank lines are left alone.
+lines that are within one edit (a code point inserted, deleted or substituted), however short they are: a line goes if
+any earlier line is within one edit of it. Blank lines are left alone.
 
 Two lines are within one edit only if deleting at most one character of each gives equal strings. Each line therefore
 emits its variants as hashed keys, and equal variants join. Two substituted lines meet in the variant with the deleted
@@ -16,7 +16,8 @@ variants of a piece hash the piece without one character along with the rest, so
 its square.
 
 Rows: null text has no lines and stays null; repeated rows with equal id and text count as one document and are treated
-alike; null ids come after all others; columns beside id and text pass through.
+alike; null ids come after all others; columns beside id and text pass through, whatever their names, but those named
+n_lines and n_removed, which the counts replace.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlode.llm.batches import free_name
 from textlode.session import materialise, workspace
 
-MIN_CHARS, PIECE = 24, 64
+PIECE = 64
 #: Keys up to which a list of them is broadcast (8 bytes each); beyond it the same join shuffles.
 BROADCAST_KEYS = 1_000_000
 
@@ -52,7 +54,7 @@ def _halves(line: Column, m: Column) -> Column:
     for n in (m, m + F.lit(1)):
         h = F.floor(n / 2).cast("int")
         keys += [F.xxhash64(F.lit("p"), n, F.substring(line, F.lit(1), h)), F.xxhash64(F.lit("s"), n, F.substring(line, -(n - h).cast("int"), (n - h).cast("int")))]
-    return F.when(m >= MIN_CHARS, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
+    return F.array(*keys)
 
 
 def pieces(lines: DataFrame) -> DataFrame:
@@ -115,14 +117,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     near = materialise(near_duplicates(distinct, lines, root), f"{root}/near")
     judged = distinct.join(near.withColumn("near", F.lit(True)), "k1", "left").filter("n > 1 OR near").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     removed = told.select("k1", "k2", "place").join(judged, ["k1", "k2"]).filter((F.col("place") != F.col("first")) | F.col("near"))
-    by_row = removed.groupBy(F.col("place.dk").alias("_dk"), F.col("place.doc").alias("_doc")).agg(F.collect_set("place.at").alias("_gone"))
-    keyed = df.withColumn("_key", _row_key(id_col, text_col))
-    joined = keyed.join(by_row, (F.col("_key") == F.col("_dk")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    key, dk, doc, gone = (free_name(df.columns, name) for name in ("key", "dk", "doc", "gone"))
+    by_row = removed.groupBy(F.col("place.dk").alias(dk), F.col("place.doc").alias(doc)).agg(F.collect_set("place.at").alias(gone))
+    keyed = df.withColumn(key, _row_key(id_col, text_col))
+    joined = keyed.join(by_row, (F.col(key) == F.col(dk)) & F.col(id_col).eqNullSafe(F.col(doc)), "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: F.get(parts, i)), "\n"))
-    counts = [F.coalesce(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in df.columns), *counts)
+    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: F.get(parts, i)), "\n"))
+    counts = [F.coalesce(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in df.columns if c.lower() not in ("n_lines", "n_removed")), *counts)
 
 
 #: The same in DuckDB's SQL; `{rows}` is a relation (doc_id, text) without repeated rows or null ids.
@@ -130,7 +133,7 @@ SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM {rows}),
 o AS (SELECT doc_id, i, ls[i] AS line FROM d, unnest(range(1, len(ls) + 1)) AS u(i) WHERE regexp_matches(ls[i], '[^\t-\r ]')),
 u AS (SELECT line, min(doc_id * 1000000 + i) AS ord FROM o GROUP BY line),
-f AS (SELECT line, ord, length(line) AS m FROM u WHERE length(line) >= 24),
+f AS (SELECT line, ord, length(line) AS m FROM u),
 v AS (SELECT ord, m, p, hash(substr(line, 1, p - 1) || substr(line, p + 1)) AS h FROM f, unnest(range(1, m + 1)) AS x(p)),
 w AS (SELECT ord, m, h, ord > min(ord) OVER (PARTITION BY h, m, p) AS late FROM v),
 y AS (SELECT ord, m, hash(line) AS h FROM f),
