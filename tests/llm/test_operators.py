@@ -158,6 +158,18 @@ def test_slots(spark, docs, odd):
     assert slots.slot_sizes(empty(odd_rows))[1] == [0] * slots.SLOTS
 
 
+def test_slots_split_hot_ids(spark):
+    """Half of the rows equal, half with null ids: all shards are filled alike."""
+    rows = spark.createDataFrame([(7, "same " * 50) if k % 2 else (None, "x" * (k % 40)) for k in range(6000)], "doc_id long, text string")
+    made = slots.measured(rows)
+    sizes, counts = slots.slot_sizes(made)
+    assert max(counts) < 20
+    placed = slots.placed(made, slots.SlotMap.build(sizes, 8), counts).collect()
+    filled = [sum(r["size"] for r in placed if r.shard == s) for s in range(8)]
+    assert max(filled) - min(filled) <= 251 and len(placed) == 6000
+    assert all(sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed))) for s in range(8))
+
+
 def base_by_hand(text):
     out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -268,7 +280,7 @@ def test_cotraining_searches_all_unlabelled_documents(spark):
     assert by_meta[1] != pytest.approx(by_meta[2], abs=1e-6)
 
 
-def test_quality_rules(docs, odd):
+def test_quality_rules(spark, docs, odd):
     order = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text").filter("doc_id <> 7")):
         rows = df.toPandas().astype({"doc_id": "Int64"})
@@ -277,7 +289,11 @@ def test_quality_rules(docs, odd):
     kept = {r.doc_id for r in quality_rules.judge(docs).collect() if r.kept}
     assert {r.doc_id for r in quality_rules.kept(docs).collect()} == kept
     assert quality_rules.kept(odd).columns == odd.columns and quality_rules.kept(empty(odd)).count() == 0
-    assert sorted(e.name for e in quality_rules.estimates(["a b c", None])) == sorted(quality_rules.RULES)
+    assert sorted(quality_rules.cascade(docs)) == sorted(quality_rules.cascade(empty(docs))) == sorted(quality_rules.RULES)
+    marks = spark.createDataFrame([(k, " ".join(f"w{k}x{j} |#|" for j in range(60))) for k in range(50)], "doc_id long, text string")
+    assert quality_rules.cascade(marks)[0] == "symbols"  # it alone rejects them
+    judged = {r.n_words: r for r in quality_rules.judge(odd.filter("doc_id = 7 OR doc_id IS NULL")).collect()}
+    assert judged[4].n_dup_lines == 0 and judged[60].n_repeat_words == 60 and judged[60].doc_id is None and not judged[60].kept  # NUL is part of a word
 
 
 def hand_tokens(text):

@@ -3,8 +3,8 @@
 One classifier sees a document's text (shape statistics and hashed words), the other its metadata (source, language,
 length). Over some rounds each scores all unlabelled documents and labels those it is surest of: at most the share
 `TAUGHT` of them, in the ratio of the classes, surest first (by bins of confidence; of the last bin, by a hash of id and
-text). These pseudo-labels join the other's training rows; a view teaches only what it is right about as often as it
-claims on held-out rows. Both are then calibrated, and a stacked pair of weights combines them, on labelled rows that
+text). These pseudo-labels join the other's training rows; a view teaches a label from the highest certainty on at which
+it is right as often as it claims, on held-out rows. Both are then calibrated, and a stacked pair of weights combines them, on labelled rows that
 took no part in training.
 
 The views of all documents are written once. A round is some passes over them, of which the driver gets sums: counts by
@@ -32,11 +32,13 @@ from textlode.llm.boosting import sigmoid
 from textlode.llm.quality_rules import Document, measure
 from textlode.session import materialise, workspace
 
-LABELLED, ROUNDS, SURE = 4000, 3, 0.95
+LABELLED, ROUNDS = 4000, 3
+#: Levels of certainty; a view teaches a label from the highest one at which it is right as often as it claims.
+LEVELS, CLAIMS = (0.95, 0.9, 0.85, 0.8), 8
 #: The share of all unlabelled documents that a view labels in a round at most.
 TAUGHT = 0.05
-#: Bins of confidence from SURE on, and how many of them a unit of the margin has.
-BINS, BINS_A_UNIT, SURE_MARGIN = 2048, 64, float(np.log(SURE / (1 - SURE)))
+#: Bins of confidence from a level on, and how many of them a unit of the margin has.
+BINS, BINS_A_UNIT = 2048, 64
 HASHED, SOURCES, LANGS = 128, 64, 16
 KEEP = 0.5
 
@@ -94,6 +96,22 @@ class Linear:
         return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights + self.bias
 
 
+@dataclass
+class Rule:
+    """What one view has taught in one round: `label` for the free rows beyond `least`, and for the `share` of that bin."""
+
+    view: int
+    teacher: Linear
+    label: float
+    least: int
+    share: float
+    level: float
+
+    def takes(self, margin: np.ndarray, order: np.ndarray) -> np.ndarray:
+        at = sure_bins(margin, self.label, self.level)
+        return (at > self.least) | ((at == self.least) & (order < self.share))
+
+
 @dataclass
 class Model:
     """Both views, their calibration lines (slope, shift) and the stacked combination, or a constant."""
@@ -102,6 +120,8 @@ class Model:
     lines: list[tuple[float, float]]
     stack: Linear | None
     constant: float = 0.5
+    #: What each view has taught the other one, in order.
+    rules: list[Rule] | None = None
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.views is None:
@@ -111,24 +131,9 @@ class Model:
         return sigmoid(margins[0]), sigmoid(margins[1]), sigmoid(self.stack.margin(np.stack(margins, 1)))
 
 
-@dataclass
-class Rule:
-    """What one view has taught in one round: `label` for the free rows beyond `least`, and for the `share` of that bin."""
-
-    view: int
-    teacher: Linear
-    label: float
-    least: int
-    share: float
-
-    def takes(self, margin: np.ndarray, order: np.ndarray) -> np.ndarray:
-        at = sure_bins(margin, self.label)
-        return (at > self.least) | ((at == self.least) & (order < self.share))
-
-
-def sure_bins(margin: np.ndarray, label: float) -> np.ndarray:
-    """Bins of the confidence in `label`, the surest last; -1 below SURE."""
-    over = (margin if label else -margin) - SURE_MARGIN
+def sure_bins(margin: np.ndarray, label: float, level: float) -> np.ndarray:
+    """Bins of the confidence in `label`, the surest last; -1 below `level`."""
+    over = (margin if label else -margin) - float(np.log(level / (1 - level)))
     return np.where(over < 0, -1, np.minimum(BINS - 1, over * BINS_A_UNIT)).astype(np.int64)
 
 
@@ -170,12 +175,12 @@ class Pool:
             found = found.groupBy("part").applyInArrow(add, "part int, total binary")
         return sum((np.frombuffer(r.total) for r in sorted(found.collect())), np.zeros(size))
 
-    def histograms(self, rules: list[Rule], view: int, teacher: Linear) -> tuple[int, np.ndarray]:
+    def histograms(self, rules: list[Rule], view: int, teacher: Linear, levels: dict[float, float]) -> tuple[int, np.ndarray]:
         """The number of documents, and the free ones by label (bad, good) and bin of the teacher's confidence."""
 
         def count(views: list[np.ndarray], order: np.ndarray) -> np.ndarray:
             margin = teacher.margin(views[view][taken(rules, views, order) < 0])
-            bins = [sure_bins(margin, label) for label in (0.0, 1.0)]
+            bins = [sure_bins(margin, label, levels.get(label, LEVELS[0])) for label in (0.0, 1.0)]
             return np.concatenate([[len(order)], *(np.bincount(b[b >= 0], minlength=BINS) for b in bins)])
 
         n, *rest = self.sums(count, 1 + 2 * BINS)
@@ -233,14 +238,27 @@ class Pool:
         return [Linear(mean, scale, w[:-1], float(w[-1])) for (mean, scale), w in zip(shape, start, strict=True)]
 
 
-def _rule(view: int, teacher: Linear, label: float, counts: np.ndarray, most: float) -> Rule:
+def _rule(view: int, teacher: Linear, label: float, level: float, counts: np.ndarray, most: float) -> Rule:
     """The rule that takes the surest `most` rows of a histogram: whole bins from the top, then a share of one bin."""
     above = np.cumsum(counts[::-1])[::-1]
     least = int(np.argmax(above <= most)) if (above <= most).any() else BINS
     if least == 0:
-        return Rule(view, teacher, label, 0, 1.1)
+        return Rule(view, teacher, label, 0, 1.1, level)
     rest = most - (above[least] if least < BINS else 0)
-    return Rule(view, teacher, label, least - 1, float(rest / counts[least - 1]))
+    return Rule(view, teacher, label, least - 1, float(rest / counts[least - 1]), level)
+
+
+def _levels(known: np.ndarray, y: np.ndarray) -> dict[float, float]:
+    """For each label, the highest level at which a view's claims on held-out rows (`CLAIMS` of them at least) are right as
+    often as they claim; none without held-out rows that say so."""
+    out = {}
+    for label, p in ((1.0, known), (0.0, 1 - known)):
+        for level in LEVELS:
+            claimed = p >= level
+            if claimed.sum() >= CLAIMS and (y[claimed] == label).mean() >= level:
+                out[label] = level
+                break
+    return out
 
 
 def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool, rounds: int = ROUNDS) -> Model:
@@ -257,14 +275,13 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool, round
     for _ in range(rounds):
         before = len(rules)
         for k in (0, 1):  # view k teaches the other one
-            n, counts = pool.histograms(rules, k, views[k])
+            levels = _levels(sigmoid(views[k].margin(labelled[k][held])), y[held])
+            if not levels:
+                continue
+            n, counts = pool.histograms(rules, k, views[k], levels)
             for label, most in ((1.0, n * TAUGHT * share), (0.0, n * TAUGHT * (1 - share))):
-                known = sigmoid(views[k].margin(labelled[k][held]))
-                claimed = (known if label else 1 - known) >= SURE
-                if claimed.any() and (y[held][claimed] == label).mean() < SURE:
-                    continue
-                if counts[int(label)].any():
-                    rules.append(_rule(k, views[k], label, counts[int(label)], most))
+                if label in levels and counts[int(label)].any():
+                    rules.append(_rule(k, views[k], label, levels[label], counts[int(label)], most))
         if len(rules) == before:
             break
         views = pool.fit(rules, views, [v[~held] for v in labelled], y[~held])
@@ -275,7 +292,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool, round
         a = float(line.weights[0] / line.scale[0])
         lines.append((a, float(line.bias - a * line.mean[0])))
     stack = Linear.fit(np.stack([a * v.margin(x[base]) + b for v, x, (a, b) in zip(views, labelled, lines, strict=True)], 1), y[base], ridge=0.5)
-    return Model(views, lines, stack)
+    return Model(views, lines, stack, rules=rules)
 
 
 def viewed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -314,7 +331,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     voted = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("_label"))
     table = materialise(viewed(docs).join(voted, "doc_id", "left"), workspace(spark, "views"))
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in _sample(voted, LABELLED)], "doc_id long"))  # LABELLED rows at most
-    rows = sorted(tuple(r) for r in table.filter("_label IS NOT NULL").join(chosen, "doc_id", "left_semi").select("view_text", "view_meta", "_label").collect())
+    rows = sorted(tuple(r) for r in table.filter("_label IS NOT NULL").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("view_text", "view_meta", "_label").collect())
     stack = lambda k, dim: np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(len(rows), dim)
     text, meta = stack(0, len(text_view(measure(pa.array([""]))[0]))), stack(1, len(metadata_view(None, None, None)))
     return cotrain(text, meta, np.array([r[2] for r in rows]), Pool(table.filter("_label IS NULL"))), table

@@ -35,8 +35,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = slots.measured(table(spark, sf_dir, "documents"))
     sizes, counts = slots.slot_sizes(rows)
-    shard_map = slots.SlotMap.build(sizes, SHARDS)
-    shard_map.store(spark, workspace(spark, "slot-map"))
+    path = workspace(spark, "slot-map")
+    slots.SlotMap.build(sizes, SHARDS).store(spark, path)
+    shard_map = slots.SlotMap.load(spark, path, 1, SHARDS)
     return slots.placed(rows, shard_map, counts).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 

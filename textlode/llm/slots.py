@@ -1,14 +1,15 @@
 """Sharding through fixed virtual slots.
 
-A record's virtual slot is a hash of its id and never changes. Bytes are summed by slot; a map from slots to shards,
+A record's virtual slot is a hash of its id, its text's checksum and its place in the table (law `bytes` needs no key), so
+that not even equal rows meet in one slot. Records are numbered once, in a table without their texts. Bytes are summed by slot; a map from slots to shards,
 stored with a version, puts the slots in descending size on the least filled shard (law `bytes`: sizes near equal).
 Rebalancing edits the map: only slots that have to move do, and the edited map is stored as the next version.
 
 A record's place within its shard is the number of records in the shard's earlier virtual slots plus its own number
 within its virtual slot, so that no task ever orders a whole shard.
 
-Rows: null text has no bytes and size 1; a null id is hashed by the text's checksum, so that many null ids do not meet
-in one slot; repeated rows are records of their own; ties within a slot go by id, checksum and size.
+Rows: null text has no bytes and size 1; null, repeated and equal ids spread over all slots; repeated rows are records of
+their own; ties within a slot go by id, checksum, size and place; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlode.session import drop_path
+from textlode.session import drop_path, materialise, workspace
 
 #: Virtual slots: far more than shards ever, and few enough that the map is a small table.
 SLOTS = 8192
 
 
-def virtual_slot(id_col: str, crc: str, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col), F.col(crc))), F.lit(slots)).cast("int")
+def virtual_slot(*columns: str, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(slots)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -97,9 +98,11 @@ class SlotMap:
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot): what sharding needs of a record, without its text."""
+    """(doc_id, size, text_crc32, place, vslot): what sharding needs of a record, without its text. Written once, so that
+    every later pass sees the same places."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")).withColumn("vslot", virtual_slot("doc_id", "text_crc32", slots))
+    rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
+    return materialise(rows.withColumn("vslot", virtual_slot("doc_id", "text_crc32", "place", slots=slots)), workspace(df.sparkSession, "slot-rows"))
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -116,6 +119,6 @@ def placed(rows: DataFrame, slot_map: SlotMap, counts: list[int]) -> DataFrame:
     for v, s in enumerate(slot_map.shards):
         lines.append((v, s, base[s]))
         base[s] += counts[v]
-    within = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
+    within = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "place")
     table = F.broadcast(spark.createDataFrame(lines, "vslot int, shard int, base long"))  # as many rows as virtual slots
-    return rows.withColumn("rn", F.row_number().over(within)).join(table, "vslot").withColumn("slot", F.col("base") + F.col("rn") - 1).drop("rn", "base")
+    return rows.withColumn("rn", F.row_number().over(within)).join(table, "vslot").withColumn("slot", F.col("base") + F.col("rn") - 1).drop("rn", "base", "place")
