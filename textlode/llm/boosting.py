@@ -1,4 +1,8 @@
-"""Gradient-boosted trees for small training sets: logistic loss, binned features, Platt-calibrated scores."""
+"""Gradient-boosted trees for small training sets: logistic loss, binned features, Platt-calibrated scores.
+
+Rows: equal rows count as often as they are given; without rows of both classes all scores tend to the one class; ties
+of a split go to the first feature and bin.
+"""
 
 from __future__ import annotations
 
@@ -94,10 +98,16 @@ class Boosted:
             w = w - np.linalg.solve(hessian, design.T @ (p - target) + 1e-1 * (w - [1.0, 0.0]))
         self.slope, self.shift = map(float, w)
 
-    def cutoff(self, x: np.ndarray, y: np.ndarray, precision: float) -> float:
-        """The least probability at which the rows above it reach `precision`; above 1 if none does."""
+    def cutoff(self, x: np.ndarray, y: np.ndarray, precision: float, weight: np.ndarray) -> float:
+        """The threshold at which the rows above it, by weight, still reach `precision` and every one that is lower adds
+        wrong rows alone: halfway between the last right row above it and the next row. Above 1 if there is none."""
         p = self.probability(x)
         order = np.argsort(-p, kind="stable")
-        reached = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-        good = np.flatnonzero(reached >= precision)
-        return float(p[order[good[-1]]]) if len(good) else 1.1
+        reached = np.cumsum((y * weight)[order]) / np.cumsum(weight[order])
+        good = np.flatnonzero((reached >= precision) & (y[order] > 0))
+        if not len(good):
+            return 1.1
+        last = good[-1]
+        lower = p[order][last + 1 :]
+        lower = lower[lower < p[order[last]]]
+        return float((p[order[last]] + (lower[0] if len(lower) else 0.0)) / 2)

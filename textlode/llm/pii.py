@@ -2,17 +2,22 @@
 
 Base spans are fixed patterns with validators. High-recall generators propose further, overlapping spans (spelled-out
 emails, numbers with other separators or without a plus sign, IPv6 addresses); boosted trees score each from its format
-and its context (a number also from the digits that stand beside it), and a calibrated threshold for each kind, set for precision on held-out rows, selects redactions. Base
-spans always stay; an added span never overlaps another span.
+and its context (a number also from the digits that stand beside it), and a calibrated threshold for each kind, set for
+precision on held-out rows, selects redactions. Base spans always stay; an added span never overlaps another span.
 
-The trees are trained here, on examples that are generated from a fixed seed: `TRAINING_ROWS` candidates of each kind in
-random words, half of them of the kind and half look-alikes (dates, versions, order numbers, plain speech).
+`train` fits the trees on candidates from the texts themselves: of the kind are their base spans, rewritten in formats
+that no base pattern has; look-alikes are candidates that a validator refuses, and wrong stretches of the rewritten ones.
+At most `REAL_ROWS` of each kind and truth are used (a bounded sample of labelled rows, chosen by a hash over all texts),
+beside `TRAINING_ROWS` generated ones of each kind; thresholds are set on held-out rows of both. Texts without any
+personal data leave the generated ones alone.
 
-Rows: null text has no spans; repeated rows and null ids pass through one by one; offsets count code points.
+Rows: null text has no spans; repeated rows and null ids pass through one by one; offsets count code points; other
+columns are left alone.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -25,15 +30,16 @@ from pyspark.sql import functions as F
 
 from textlode.llm.batches import arrow_map
 from textlode.llm.boosting import Boosted, held_out
+from textlode.session import materialise, workspace
 
 KINDS = ("email", "ip", "card", "phone")
-TRAINING_ROWS, SEED, PRECISION, CONTEXT = 1200, 7, 0.98, 40
+TRAINING_ROWS, REAL_ROWS, SEED, PRECISION, CONTEXT = 1200, 1500, 7, 0.98, 40
 #: Candidates that are scored at once.
 BLOCK = 4000
 
 # Base patterns. A run of characters is left where it started or not at all, so that long runs are read once.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]*")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -57,10 +63,14 @@ def _digits(text: str) -> str:
 def _emails(text: str) -> list[Span]:
     out, free = [], 0
     for m in _DOMAIN.finditer(text):
-        back = _LOCAL_BACK.match(text[free : m.start()][::-1]).end() if m.start() > free else 0
-        if back:
-            out.append(("email", m.start() - back, m.end()))
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start():
+            out.append(("email", start, m.end()))
             free = m.end()
+        else:
+            free = max(free, m.start())
     return out
 
 
@@ -133,7 +143,7 @@ def candidates(text: str) -> list[Span]:
 
 #: Words that stand near personal data.
 _NEAR = [re.compile(p, re.IGNORECASE) for p in (r"e-?mail|mailto|contact|write", r"\bip\b|host|server|address|ping", r"card|visa|master|amex|credit|paid|pay", r"phone|tel\b|tel[.:]|call|fax|mobile|cell|dial", r"order|invoice|isbn|version|\bv\b|date|ref|serial|part|id\b")]
-_TLD = re.compile(r"(?:com|org|net|edu|gov|io|info|co|uk|de|fr|es|example)$", re.IGNORECASE)
+_TLD = re.compile(r"(?<![^\W_])(?:com|org|net|edu|gov|io|info|co|uk|de|fr|es|example)$", re.IGNORECASE)
 _DIGITS_BEFORE, _DIGITS_AFTER = re.compile(r"([0-9]+)([ ().:/\-]{1,3}\+?)$"), re.compile(r"[ ().:/\-]{1,3}([0-9]+)")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-/. ](?:0?[1-9]|1[0-2])[-/. ]|(?:0?[1-9]|[12][0-9]|3[01])[-/. ](?:0?[1-9]|1[0-2])[-/. ](?:19|20)[0-9]{2}")
 
@@ -227,6 +237,29 @@ def examples(kind: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x), np.array(y)
 
 
+class Taken:
+    """Disjoint stretches of a text, to ask whether another one meets any of them."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.stops and a < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], b)
+            else:
+                self.starts.append(a)
+                self.stops.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.stops, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect.bisect_right(self.stops, a)
+        self.starts.insert(k, a)
+        self.stops.insert(k, b)
+
+
 @dataclass
 class Selector:
     """The trees and the threshold of each kind."""
@@ -235,50 +268,157 @@ class Selector:
     cutoffs: dict[str, float]
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        """Selected candidates beside the base spans, best first where they overlap (then the longest)."""
-        taken = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
-        scored = []
-        free = [c for c in dict.fromkeys(candidates(text)) if not any(a < c[2] and c[1] < b for _, a, b in base)]
+        return self.added_to([text], [base])[0]
+
+    def added_to(self, texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
+        """Selected candidates beside the base spans of each text, best first where they overlap (then the longest).
+        Candidates of all texts are scored together, `BLOCK` at a time."""
+        taken = [Taken(base) for base in bases]
+        waiting: dict[str, list[tuple[int, Span]]] = {kind: [] for kind in KINDS}
+        scored: list[list[tuple]] = [[] for _ in texts]
+
+        def score(kind: str) -> None:
+            part, waiting[kind] = waiting[kind], []
+            if part:
+                p = self.models[kind].probability(np.array([features(texts[i], c) for i, c in part]))
+                for q, (i, c) in zip(p.tolist(), part, strict=True):
+                    if q >= self.cutoffs[kind]:
+                        scored[i].append((-q, c[1] - c[2], c[1], KINDS.index(kind), c))
+
+        for i, text in enumerate(texts):
+            for c in dict.fromkeys(candidates(text)):
+                if not taken[i].meets(c[1], c[2]):
+                    waiting[c[0]].append((i, c))
+                    if len(waiting[c[0]]) == BLOCK:
+                        score(c[0])
         for kind in KINDS:
-            own = [c for c in free if c[0] == kind]
-            for at in range(0, len(own), BLOCK):
-                part = own[at : at + BLOCK]
-                p = self.models[kind].probability(np.array([features(text, c) for c in part]))
-                scored += [(-q, c[1] - c[2], c[1], KINDS.index(kind), c) for q, c in zip(p.tolist(), part, strict=True) if q >= self.cutoffs[kind]]
-        out = []
-        for *_, c in sorted(scored):
-            if not any(a < c[2] and c[1] < b for spans in taken.values() for a, b in spans):
-                taken[c[0]].append((c[1], c[2]))
-                out.append(c)
+            score(kind)
+        out: list[list[Span]] = [[] for _ in texts]
+        for i, found in enumerate(scored):
+            for *_, c in sorted(found):
+                if not taken[i].meets(c[1], c[2]):
+                    taken[i].add(c[1], c[2])
+                    out[i].append(c)
         return out
 
 
-@functools.cache
-def selector(rows: int = TRAINING_ROWS, seed: int = SEED, precision: float = PRECISION) -> Selector:
+#: Features, truth and weight (how many such rows of all texts one row stands for) by kind.
+Rows = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def fitted(real: Rows, rows: int = TRAINING_ROWS, seed: int = SEED, precision: float = PRECISION) -> Selector:
+    """The trees on generated and real examples, and the least threshold of each kind that reaches `precision` on the
+    held-out ones."""
     models, cutoffs = {}, {}
     for kind in KINDS:
         x, y = examples(kind, rows, seed)
+        weight = np.ones(len(x))
+        if kind in real:
+            x, y, weight = (np.concatenate([a, b]) for a, b in zip((x, y, weight), real[kind], strict=True))
         models[kind] = Boosted.fit(x, y)
         held = held_out(len(x))
-        cutoffs[kind] = max(0.5, models[kind].cutoff(x[held], y[held], precision))
+        cutoffs[kind] = models[kind].cutoff(x[held], y[held], precision, weight[held])
     return Selector(models, cutoffs)
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, added): arrays of (kind, start, stop) of every row."""
+@functools.cache
+def selector() -> Selector:
+    """Trained on generated examples alone."""
+    return fitted({})
+
+
+def rewritten(kind: str, value: str, rnd: random.Random) -> str:
+    """A base span in a format that no base pattern has."""
+    digits = _digits(value)
+    if kind == "email":
+        name, host = value.split("@")
+        at, dot = rnd.choice([(" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]"), (" [at] ", "."), (" @ ", ".")])
+        return f"{name}{at}{host.replace('.', dot)}"
+    if kind == "ip":
+        return value.replace(".", rnd.choice([" . ", ". "]))
+    if kind == "card":
+        return rnd.choice("./").join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    last = digits[-10:]
+    return rnd.choice([f"({last[:3]}) {last[3:6]}-{last[6:]}", f"{last[:3]}-{last[3:6]}-{last[6:]}", f"{last[:3]}.{last[3:6]}.{last[6:]}", f"00{digits[:2]} {digits[2:5]} {digits[5:]}"])
+
+
+def refused(text: str, span: Span) -> bool:
+    """Whether a validator says that a candidate is not of its kind (many others are not either, but may be)."""
+    kind, a, b = span
+    s = text[a:b]
+    groups = _GROUP.findall(s)
+    if kind == "email":
+        return not _TLD.search(s)
+    if kind == "ip":
+        return ":" not in s and any(int(g) > 255 for g in groups) or " " in s
+    if kind == "card":
+        return not luhn("".join(groups))
+    return not s.startswith(("+", "00")) and [len(g) for g in groups][-3:] != [3, 3, 4] and len(groups) < 4
+
+
+def real_examples(text: str, rnd: random.Random) -> list[tuple[str, bool, list[float]]]:
+    """(kind, of the kind, features) of what one text teaches."""
+    base = base_spans(text)
+    taken = Taken(base)
+    out = [(c[0], False, features(text, c)) for c in dict.fromkeys(candidates(text)) if not taken.meets(c[1], c[2]) and refused(text, c)]
+    for kind, a, b in base:
+        low = max(0, a - 2 * CONTEXT)
+        piece = rewritten(kind, text[a:b], rnd)
+        near = f"{text[low:a]}{piece}{text[b : b + 2 * CONTEXT]}"
+        whole = (kind, a - low, a - low + len(piece))
+        found = [c for c in dict.fromkeys(candidates(near)) if c[0] == kind and c[1] < whole[2] and c[2] > whole[1]]
+        if whole in found:
+            out.append((kind, True, features(near, whole)))
+            wrong = [c for c in found if c != whole]
+            out += [(kind, False, features(near, c)) for c in rnd.sample(wrong, min(2, len(wrong)))]
+    return out
+
+
+def train(df: DataFrame, text_col: str = "text") -> Selector:
+    """The trees for the texts of `df`."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> list:
+            kinds, truth, place, values = [], [], [], []
+            for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rnd = random.Random(key)
+                for kind, real, x in real_examples(text, rnd) if text else ():
+                    kinds.append(kind)
+                    truth.append(real)
+                    place.append(rnd.random())
+                    values.append(x)
+            return [kinds, truth, place, pa.array(values, pa.list_(pa.float64()))]
+
+        return run
+
+    made = arrow_map(df.select(text_col, F.xxhash64(text_col)), make, "kind string, real boolean, place double, x array<double>")
+    made = materialise(made, workspace(df.sparkSession, "pii-examples"))
+    counts = {(r.kind, r.real): r.n for r in made.groupBy("kind", "real").agg(F.count("*").alias("n")).collect()}
+    chosen = functools.reduce(lambda a, b: a | b, [(F.col("kind") == kind) & (F.col("real") == real) & (F.col("place") < 1.1 * REAL_ROWS / n) for (kind, real), n in counts.items()], F.lit(False))
+    by_kind: dict[str, list[tuple[float, bool, list[float]]]] = {}
+    for r in made.filter(chosen).collect():  # about 1.1 * REAL_ROWS of each kind and truth at most
+        by_kind.setdefault(r.kind, []).append((r.place, r.real, list(r.x)))
+    rows = {}
+    for kind, found in by_kind.items():
+        found.sort()
+        used = {truth: sum(real == truth for _, real, _ in found) for truth in (False, True)}
+        rows[kind] = np.array([x for *_, x in found]), np.array([float(real) for _, real, _ in found]), np.array([counts[kind, real] / used[real] for _, real, _ in found])
+    return fitted(rows)
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Selector | None = None) -> DataFrame:
+    """(id, base, added): arrays of (kind, start, stop) of every row; without a model, one is trained on `df`."""
     kind = df.schema[id_col].dataType.simpleString()
-    model = selector()
+    model = model or train(df, text_col)
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
-            base, added = [], []
-            for text in batch.column(1).to_pylist():
-                found = base_spans(text or "")
-                more = model.added(text, found) if text else []
-                base.append([{"kind": k, "start": a, "stop": b} for k, a, b in found])
-                added.append([{"kind": k, "start": a, "stop": b} for k, a, b in sorted(more, key=lambda s: (s[1], KINDS.index(s[0])))])
-            return [batch.column(0), pa.array(base, struct), pa.array(added, struct)]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            base = [base_spans(t) for t in texts]
+            added = [sorted(more, key=lambda s: (s[1], KINDS.index(s[0]))) for more in model.added_to(texts, base)]
+            as_rows = lambda spans: pa.array([[{"kind": k, "start": a, "stop": b} for k, a, b in s] for s in spans], struct)
+            return [batch.column(0), as_rows(base), as_rows(added)]
 
         return run
 
