@@ -65,6 +65,7 @@ class Compiled:
     can_be_empty: bool
     can_match_newline: bool
     literals: list[str] | None  # every match holds one of these; None: unknown
+    sure_groups: frozenset[int] = frozenset()  # groups that take part in every match
 
 
 class Parser:
@@ -439,8 +440,17 @@ def newline(node: Node) -> bool:
     return any(map(newline, node.parts))
 
 
-def required(node: Node, limit: int = 16) -> list[str] | None:
-    """Strings of which every match holds at least one; None if none is known. Case-insensitive text gives none."""
+def sure(node: Node) -> set[int]:
+    """Numbers of the groups that take part in every match."""
+    if node.kind == "alt" or node.kind in ("look", "back") or (node.kind == "rep" and not node.value[0]):
+        return set()
+    own = {node.value} if node.kind == "group" and isinstance(node.value, int) else set()
+    return own.union(*map(sure, node.parts)) if node.parts else own
+
+
+def required(node: Node, limit: int = 100_000) -> list[str] | None:
+    """Strings of which every match holds at least one; None if none is known (or more than `limit`). Case-insensitive text
+    gives none."""
     if node.flags.ignore_case and node.kind in ("lit", "set"):
         return None
     if node.kind == "lit":
@@ -519,4 +529,4 @@ def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "s
     if not whole_buffer and any("\n" in p or "\\n" in p.replace("\\\\", "") for p in texts) and crosses and required(tree) and any("\n" in r for r in required(tree)):
         raise PatternError("the literal \\n is not allowed in a pattern unless multi-line search is on")
     java = emit(tree)
-    return Compiled(java, to_python(java), parser.names, parser.groups, empty(tree), crosses, required(tree))
+    return Compiled(java, to_python(java), parser.names, parser.groups, empty(tree), crosses, required(tree), frozenset(sure(tree)))

@@ -1,24 +1,34 @@
 """Search operators over a corpus: one row a file, with key columns and its text.
 
-Everything stays in expressions that Spark compiles, but for spans, captures and patterns that can match nothing, whose
-rules (byte offsets; no empty match right after another match) built-in functions don't have: those run over Arrow
-batches. Before lines are cut, a text that can't hold a match is dropped by the strings that every match needs, and that
-test reaches the Parquet reader.
+All lines of a file are in its row: limits, context, offsets and counts are array expressions there, and only what is
+selected leaves the row, so that no search shuffles and files with equal or null keys stay apart. Patterns that can match
+nothing, multi-line searches and absent groups have rules that built-in functions don't know: those run over Arrow batches
+of bounded bytes. Before lines are cut, a text that can't hold a match is dropped by the strings that every match needs,
+and that test reaches the Parquet reader.
 """
 
 from __future__ import annotations
 
+import base64
+import bisect
+import json
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from textlode.functions import replacement
 from textlode.functions.dialect import Compiled
+from textlode.operators.patterns import contains_any
+from textlode.operators.rows import any_of, let, running, total
 from textlode.plans.query import SearchQuery
+from textlode.session import bounded_batches
 
-#: Options that only line searches know.
-MATCH_ONLY = ("invert", "max_count", "context", "before", "after", "passthru", "stop_on_nonmatch", "replacement")
+#: Strings up to which a prefilter is an expression; more are looked for by an automaton.
+EXPRESSION_LITERALS = 256
 LEADING = r"^[\t\n\x0B\f\r ]+"
 
 
@@ -39,15 +49,16 @@ class Search:
     def possible(self, text: Column) -> Column:
         """True for every text with a match; a cheap test for most others."""
         found = self.pattern.literals
-        if not found or any(set(p) & {"\n", "\0"} for p in found):
+        if not found or any(set(p) & {"\n", "\0"} for p in found) or "" in found:
             return F.lit(True)
-        out = F.contains(text, F.lit(found[0]))
-        for p in found[1:]:
-            out = out | F.contains(text, F.lit(p))
-        return out
+        if len(found) > EXPRESSION_LITERALS:
+            bounded_batches(self.df.sparkSession)
+            return contains_any(text, found)
+        return any_of([F.contains(text, F.lit(p)) for p in found])
 
     def hit(self, line: Column) -> Column:
-        return self.possible(line) & line.rlike(self.pattern.java)
+        few = len(self.pattern.literals or ()) <= 8  # more cost as much as the pattern itself on one line
+        return self.possible(line) & line.rlike(self.pattern.java) if few else line.rlike(self.pattern.java)
 
     def selected(self, line: Column) -> Column:
         return ~self.hit(line) if self.query.invert else self.hit(line)
@@ -64,51 +75,71 @@ class Search:
             text = F.translate(text, "\0", "\n")
         return stored.select(*self.keys, text.alias("_text"))
 
-    def lines_of(self, text: Column) -> Column:
-        """The records of a text: no empty one after the last terminator, none in an empty text."""
+    def raw_lines(self, text: Column) -> Column:
+        """The records of a text with a carriage return that ends them: no empty one after the last terminator."""
         self._needs("a search by lines", "multiline")
         parts = F.split(text, "\\x00" if self.query.null_data else "\n", -1)
-        parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-        return F.transform(parts, lambda x: F.regexp_replace(x, "\r$", "")) if self.query.crlf else parts
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def stripped(self, line: Column) -> Column:
+        return F.regexp_replace(line, "\r$", "") if self.query.crlf else line
+
+    def lines_of(self, text: Column) -> Column:
+        """The records of a text without their terminators."""
+        return F.transform(self.raw_lines(text), self.stripped) if self.query.crlf else self.raw_lines(text)
 
     def records(self, prune: bool = False) -> DataFrame:
         """(keys, line_number, line), pruned to files that may match if `prune`."""
         rows = self.files(prune and not self.query.invert).select(*self.keys, F.posexplode(self.lines_of(F.col("_text"))).alias("_at", "line"))
         return rows.select(*self.keys, (F.col("_at") + 1).cast("long").alias("line_number"), "line")
 
-    def by_file(self):
-        return Window.partitionBy(*self.keys).orderBy("line_number")
+    def _marked(self, lines: Column) -> Column:
+        """(at, line, hit) of every line."""
+        return F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"), self.selected(x).alias("hit")))
+
+    def _chosen(self, lines: Column) -> Column:
+        """The selected (at, line, hit): the first ones up to the limit; of the first run alone with stop_on_nonmatch."""
+        found = F.filter(self._marked(lines), lambda s: s["hit"])
+        if self.query.stop_on_nonmatch:
+            found = let(found, lambda h: F.transform(F.filter(F.transform(h, lambda s, k: F.struct(s.alias("s"), k.alias("k"))), lambda x: x["s"]["at"] - F.get(h, F.lit(0))["at"] == x["k"]), lambda x: x["s"]))
+        return F.slice(found, 1, self.query.max_count) if self.query.max_count is not None else found
+
+    def _limited(self) -> bool:
+        return self.query.stop_on_nonmatch or self.query.max_count is not None
 
     def lines(self) -> DataFrame:
         """Selected lines; with a limit, the first ones of each file; stop_on_nonmatch ends a file after its first run."""
-        q = self.query
-        if q.stop_on_nonmatch:
-            rows = self.records().withColumn("_hit", self.selected(F.col("line")))
-            first = F.min(F.when(F.col("_hit"), F.col("line_number"))).over(Window.partitionBy(*self.keys))
-            rows = rows.withColumn("_first", first).filter("_hit").withColumn("_n", F.row_number().over(self.by_file()))
-            rows = rows.filter(F.col("line_number") - F.col("_first") == F.col("_n") - 1).drop("_hit", "_first", "_n")
+        if self.query.multiline:
+            return self.multiline_lines()
+        if self._limited():
+            rows = self.files(not self.query.invert).select(*self.keys, F.explode(self._chosen(self.lines_of(F.col("_text")))).alias("_s"))
+            rows = rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), F.col("_s.line").alias("line"))
         else:
             rows = self.records(prune=True).filter(self.selected(F.col("line")))
-        if q.max_count is not None:
-            rows = rows.withColumn("_n", F.row_number().over(self.by_file())).filter(F.col("_n") <= q.max_count).drop("_n")
         return rows.select(*self.keys, "line_number", self.shaped(F.col("line")).alias("line"))
 
     def shaped(self, line: Column, context: bool = False) -> Column:
-        """Trimmed and limited in width, as the query says."""
+        """Trimmed and limited in width, as the query says. Widths are bytes; a preview ends with the last whole character
+        within them."""
         q = self.query
         out = F.regexp_replace(line, LEADING, "") if q.trim else line
         if q.max_columns:
-            long = F.octet_length(out) > q.max_columns
-            short = F.concat(F.substring(out, 1, q.max_columns), F.lit(" [... omitted end of long line]")) if q.preview else F.lit("[Omitted long context line]" if context else "[Omitted long matching line]")
-            out = F.when(long, short).otherwise(out)
+            data = F.encode(out, "UTF-8")
+            cut = F.coalesce(*(F.try_validate_utf8(F.substring(data, 1, n).cast("string")) for n in range(q.max_columns, max(0, q.max_columns - 4), -1)), F.lit(""))
+            short = F.concat(cut, F.lit(" [... omitted end of long line]")) if q.preview else F.lit("[Omitted long context line]" if context else "[Omitted long matching line]")
+            out = F.when(F.octet_length(out) > q.max_columns, short).otherwise(out)
         return out
 
+    def _sizes(self, raw: Column) -> Column:
+        """Bytes of each record with its terminator."""
+        return F.transform(raw, lambda x: F.octet_length(x).cast("long") + 1)
+
     def with_offsets(self) -> DataFrame:
         """Selected lines with byte_offset, the bytes before the line in its file."""
-        rows = self.records(prune=True)
-        before = F.sum(F.octet_length("line") + 1).over(self.by_file().rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("byte_offset", F.coalesce(before, F.lit(0)).cast("long")).filter(self.selected(F.col("line")))
-        return rows.select(*self.keys, "line_number", "byte_offset", "line")
+        text = F.col("_text")
+        chosen = let(self.raw_lines(text), lambda raw: let(self._chosen(F.transform(raw, self.stripped)), lambda found: running(self._sizes(raw), lambda upto: F.transform(found, lambda s: F.struct(s["at"].alias("at"), s["line"].alias("line"), upto(s["at"]).alias("byte_offset"))))))
+        rows = self.files(not self.query.invert).select(*self.keys, F.explode(chosen).alias("_s"))
+        return rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), F.col("_s.byte_offset").alias("byte_offset"), F.col("_s.line").alias("line"))
 
     # Counts, within the row of a file.
     def count_lines(self, zero: bool | None = None) -> DataFrame:
@@ -123,13 +154,26 @@ class Search:
         """Matches by file; lines where the query inverts or wants whole lines."""
         if self.query.invert or self.query.line:
             return self.count_lines()
-        if self.pattern.can_be_empty:
-            return self.spans().groupBy(*self.keys).agg(F.count("*").alias("n"))
-        each = F.transform(self.lines_of(F.col("_text")), lambda x: F.regexp_count(x, F.lit(self.pattern.java)))
-        n = F.aggregate(each, F.lit(0), lambda a, b: a + b).cast("long")
-        out = self.files(not self.query.include_zero).select(*self.keys, F.coalesce(n, F.lit(0)).alias("n"))
+        out = self.files(not self.query.include_zero).select(*self.keys, F.coalesce(self.n_matches(F.col("_text")), F.lit(0)).alias("n"))
         return out if self.query.include_zero else out.filter("n > 0")
 
+    def n_matches(self, text: Column) -> Column:
+        """Matches in the lines of a text; an empty one right after another match is none."""
+        if not self.pattern.can_be_empty:
+            return total(F.transform(self.lines_of(text), lambda x: F.regexp_count(x, F.lit(self.pattern.java)).cast("long")))
+        pattern, end, crlf = self.pattern.python, self.query.terminator, self.query.crlf
+        bounded_batches(self.df.sparkSession)
+
+        @F.arrow_udf("long")
+        def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            import regex
+
+            found = regex.compile(pattern)
+            for texts in batches:
+                yield pa.array([None if t is None else sum(1 for *_, kept in line_matches(found, t, end, crlf) for _ in kept) for t in texts.to_pylist()], pa.int64())
+
+        return count(text)
+
     def any_hit(self) -> Column:
         return F.coalesce(F.exists(self.lines_of(F.col("_text")), self.selected), F.lit(False))
 
@@ -146,20 +190,34 @@ class Search:
     # Context.
     def context(self) -> DataFrame:
         """Matching and context lines with kind, and group_id, which grows where lines are not adjacent."""
+        if self.query.multiline:
+            return self.multiline_context()
+        rows = self.files(prune=not (self.query.invert or self.query.passthru)).select(*self.keys, F.explode(self._context(F.col("_text"))).alias("_s"))
+        kind = F.col("_s.kind")
+        body = F.when(kind == "match", self.shaped(F.col("_s.line"))).otherwise(self.shaped(F.col("_s.line"), context=True))
+        return rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), kind.alias("kind"), body.alias("line"), F.col("_s.group_id").alias("group_id"))
+
+    def _context(self, text: Column) -> Column:
+        """(at, line, kind, group_id) of the matching lines of a text and those around them."""
         q = self.query
-        rows = self.records().withColumn("_hit", self.selected(F.col("line")))
-        opener = F.col("_hit")
-        if q.max_count is not None:
-            opener = opener & (F.sum(F.col("_hit").cast("int")).over(self.by_file()) <= q.max_count)
-        rows = rows.withColumn("_open", opener)
-        kind = F.when(F.col("_hit") if not q.passthru else F.col("_open"), "match").otherwise("context")
-        if not q.passthru:
-            near = F.max(F.col("_open").cast("int")).over(self.by_file().rowsBetween(-q.lines_after, q.lines_before))
-            rows = rows.withColumn("_near", near).filter("_near = 1")
-        jump = F.coalesce((F.col("line_number") - F.lag("line_number").over(self.by_file()) > 1).cast("long"), F.lit(0))
-        rows = rows.withColumn("_jump", jump).withColumn("group_id", F.sum("_jump").over(self.by_file()))
-        body = F.when(kind == "match", self.shaped(F.col("line"))).otherwise(self.shaped(F.col("line"), context=True))
-        return rows.select(*self.keys, "line_number", kind.alias("kind"), body.alias("line"), "group_id")
+
+        def around(marked: Column) -> Column:
+            hits = F.filter(marked, lambda s: s["hit"])
+            # beyond the limit no line opens context; in a context it is still a match
+            last = F.coalesce(F.get(hits, F.lit(q.max_count - 1))["at"], F.lit(1 << 30)) if q.max_count else F.lit(-1 if q.max_count == 0 else 1 << 30)
+            return let(last, lambda limit: let(F.transform(marked, lambda s: s["hit"] & (s["at"] <= limit)), lambda opens: near(marked, opens)))
+
+        def near(marked: Column, opens: Column) -> Column:
+            kind = lambda s: F.when(F.get(opens, s["at"]) if q.passthru else s["hit"], "match").otherwise("context")
+            inside = lambda s: F.lit(True) if q.passthru else F.exists(F.slice(opens, F.greatest(s["at"] - q.lines_after, F.lit(0)) + 1, F.least(s["at"], F.lit(q.lines_after)) + q.lines_before + 1), lambda o: o)
+            kept = F.transform(F.filter(marked, inside), lambda s: F.struct(s["at"].alias("at"), s["line"].alias("line"), kind(s).alias("kind")))
+            return let(kept, numbered)
+
+        def numbered(kept: Column) -> Column:
+            jumps = F.transform(kept, lambda s, k: F.when((k > 0) & (s["at"] - F.get(kept, k - 1)["at"] > 1), 1).otherwise(0).cast("long"))
+            return running(jumps, lambda upto: F.transform(kept, lambda s, k: F.struct(s["at"].alias("at"), s["line"].alias("line"), s["kind"].alias("kind"), upto(k + 1).alias("group_id"))))
+
+        return let(self._marked(self.lines_of(text)), around)
 
     # Matches.
     def only_matching(self) -> DataFrame:
@@ -169,88 +227,162 @@ class Search:
         rows = self.records(prune=True).filter(self.hit(F.col("line")))
         return rows.select(*self.keys, "line_number", F.posexplode(F.regexp_extract_all("line", F.lit(self.pattern.java), 0)).alias("match_index", "match"))
 
-    def captures(self) -> DataFrame:
-        """The first match of each selected line and its groups; groups that took no part are empty."""
-        rows = self.records(prune=True).filter(self.hit(F.col("line")))
-        group = lambda k: F.regexp_extract("line", self.pattern.java, k)
+    def _starts(self, line: Column, found: Column) -> Column:
+        """(match, start) of each match in a line: its bytes, from the lengths of what stands between matches."""
+        gaps = F.transform(F.split(line, self.pattern.java, -1), lambda x: F.octet_length(x).cast("long"))
+        return let(found, lambda m: let(gaps, lambda g: running(F.transform(m, lambda x, k: F.octet_length(x) + F.get(g, k)), lambda upto: F.transform(m, lambda x, k: F.struct(x.alias("match"), (upto(k) + F.get(g, k)).alias("start"))))))
+
+    def match_spans(self) -> DataFrame:
+        """(keys, line_number, match_index, column, start, stop, abs_offset, match, line) of every match, as `spans` gives
+        them; in the engine where no match can be empty."""
+        if self.pattern.can_be_empty:
+            return self.spans().drop("groups")
+        rows = self.with_offsets().select(*self.keys, "line_number", "byte_offset", "line")
+        rows = rows.select("*", F.posexplode(self._starts(F.col("line"), F.regexp_extract_all("line", F.lit(self.pattern.java), 0))).alias("match_index", "_m"))
+        start, stop = F.col("_m.start"), F.col("_m.start") + F.octet_length("_m.match")
+        return rows.select(*self.keys, "line_number", "match_index", (start + 1).alias("column"), start.alias("start"), stop.alias("stop"), (F.col("byte_offset") + start).alias("abs_offset"), F.col("_m.match").alias("match"), "line")
+
+    def vimgrep(self) -> DataFrame:
+        """One row a match: line number, byte column and the line."""
+        return self.match_spans().select(*self.keys, "line_number", "column", self.shaped(F.col("line")).alias("line"))
+
+    def captures(self, every: bool = False) -> DataFrame:
+        """The first match (every match, with match_index) of each selected line and its groups; a group that took no part
+        is null."""
         names = {v: k for k, v in self.pattern.names.items()}
-        return rows.select(*self.keys, "line_number", group(0).alias("match"), *(group(k).alias(names.get(k, f"group_{k}")) for k in range(1, self.pattern.n_groups + 1)))
+        named = [(k, names.get(k, f"group_{k}")) for k in range(1, self.pattern.n_groups + 1)]
+        if self.pattern.can_be_empty or len(self.pattern.sure_groups) < self.pattern.n_groups:
+            rows = self.spans()
+            rows = rows if every else rows.filter("match_index = 0")
+            return rows.select(*self.keys, "line_number", *(["match_index"] if every else []), "match", *(F.get("groups", F.lit(k))["text"].alias(name) for k, name in named))
+        rows = self.records(prune=True).filter(self.hit(F.col("line")))
+        java = F.lit(self.pattern.java)
+        if not every:
+            return rows.select(*self.keys, "line_number", *(F.regexp_extract("line", self.pattern.java, k).alias(name) for k, name in [(0, "match"), *named]))
+        found = F.arrays_zip(*(F.regexp_extract_all("line", java, F.lit(k)).alias(f"g{k}") for k in range(len(named) + 1)))
+        rows = rows.select(*self.keys, "line_number", F.posexplode(found).alias("match_index", "_m"))
+        return rows.select(*self.keys, "line_number", "match_index", *(F.col(f"_m.g{k}").alias(name) for k, name in [(0, "match"), *named]))
 
     def replaced(self) -> DataFrame:
         """Selected lines with every match replaced by the template."""
-        template = replacement.java(self.query.replacement or "", self.pattern)
         rows = self.records(prune=True).filter(self.hit(F.col("line")))
-        return rows.select(*self.keys, "line_number", self.shaped(F.regexp_replace("line", F.lit(self.pattern.java), F.lit(template))).alias("line"))
+        return rows.select(*self.keys, "line_number", self.shaped(self._replaced(F.col("line"))).alias("line"))
+
+    def _replaced(self, line: Column) -> Column:
+        if not self.pattern.can_be_empty:
+            return F.regexp_replace(line, F.lit(self.pattern.java), F.lit(replacement.java(self.query.replacement or "", self.pattern)))
+        pattern, template = self.pattern.python, replacement.parts(self.query.replacement or "", self.pattern)
+        bounded_batches(self.df.sparkSession)
+
+        @F.arrow_udf("string")
+        def expand(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            import regex
+
+            found = regex.compile(pattern)
+            for lines in batches:
+                yield pa.array([None if x is None else with_replacements(found, x, template) for x in lines.to_pylist()], pa.string())
+
+        return expand(line)
 
     def replaced_matches(self) -> DataFrame:
         """Only the expansions: one row a match."""
         template = replacement.parts(self.query.replacement or "", self.pattern)
+        if self.pattern.can_be_empty:
+            rows = self.spans()
+            parts = [F.coalesce(F.get("groups", F.lit(p))["text"], F.lit("")) if isinstance(p, int) else F.lit(p) for p in template]
+            return rows.select(*self.keys, "line_number", "match_index", F.concat(F.lit(""), *parts).alias("match"))
         rows = self.records(prune=True).filter(self.hit(F.col("line")))
         every = [F.regexp_extract_all("line", F.lit(self.pattern.java), F.lit(p)) if isinstance(p, int) else None for p in template]
         whole = F.regexp_extract_all("line", F.lit(self.pattern.java), F.lit(0))
         expanded = F.transform(whole, lambda _, i: F.concat(F.lit(""), *(F.lit(p) if e is None else F.get(e, i) for p, e in zip(template, every, strict=True))))
         return rows.select(*self.keys, "line_number", F.posexplode(expanded).alias("match_index", "match"))
 
-    def spans(self) -> DataFrame:
-        """(keys, line_number, match_index, column, start, stop, abs_offset, match, groups, line): 1-based byte column,
-        byte span within the line, byte offset in the file, and the byte spans of all groups (null if absent)."""
-        self._needs("a search by lines", "multiline")
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema.fields if f.name in self.keys)
-        schema = StructType.fromDDL(f"{fields}, line_number long, match_index int, column long, start long, stop long, abs_offset long, match string, groups array<struct<start:bigint,stop:bigint,text:string>>, line string")
-        pattern, keys, end, crlf = self.pattern.python, self.keys, self.query.terminator, self.query.crlf
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        from textlode.session import ship
+    def _by_text(self, columns: str, rows_of: Callable[[object, str], list[tuple]], prune: bool = True) -> DataFrame:
+        """(keys, columns) from a function of the compiled pattern and a text, over Arrow batches of bounded bytes."""
+        schema = StructType([*(self.df.schema[k] for k in self.keys), *StructType.fromDDL(columns).fields])
+        arrow, pattern, n = to_arrow_schema(schema), self.pattern.python, len(self.keys)
+        bounded_batches(self.df.sparkSession)
 
-        ship(self.df.sparkSession)
-        arrow = to_arrow_schema(schema)
-
-        def run(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import regex
 
             found = regex.compile(pattern)
             for batch in batches:
-                rows = []
-                for row in batch.to_pylist():
-                    rows += spans_of(found, row["_text"] or "", [row[k] for k in keys], end, crlf)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
-        return self.files(prune=True).mapInArrow(run, schema)
+                at, out = [], []
+                for k, text in enumerate(batch.column(n).to_pylist()):
+                    rows = rows_of(found, text) if text else []
+                    at += [k] * len(rows)
+                    out += rows
+                keys = batch.take(pa.array(at, pa.int64())).columns[:n]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array([r[i] for r in out], f.type) for i, f in enumerate(list(arrow)[n:]))], schema=arrow)
 
-    def multiline(self) -> DataFrame:
-        """(keys, start_line, stop_line, match) of every match over whole texts."""
-        self._needs("a multi-line search", *MATCH_ONLY)
-        rows = self.files(prune=True)
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema.fields if f.name in self.keys)
-        pattern, keys = self.pattern.python, self.keys
-        schema = StructType.fromDDL(f"{fields}, match_index int, start_line long, stop_line long, start long, match string")
-        from pyspark.sql.pandas.types import to_arrow_schema
+        return self.files(prune and not self.query.invert and not self.query.passthru).mapInArrow(run, schema)
 
-        arrow = to_arrow_schema(schema)
-
-        def run(batches):
-            import regex
-
-            compiled = regex.compile(pattern)
-            for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    text = row["_text"] or ""
-                    for n, m in enumerate(distinct_matches(compiled, text)):
-                        first = text.count("\n", 0, m.start()) + 1
-                        last = first + text.count("\n", m.start(), max(m.start(), m.end() - 1))
-                        out.append([*(row[k] for k in keys), n, first, last, len(text[: m.start()].encode()), m[0]])
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+    def spans(self) -> DataFrame:
+        """(keys, line_number, match_index, column, start, stop, abs_offset, match, groups, line): 1-based byte column,
+        byte span within the line, byte offset in the file, and the byte spans of all groups (null if absent)."""
+        self._needs("a search by lines", "multiline")
+        end, crlf = self.query.terminator, self.query.crlf
+        columns = "line_number long, match_index int, column long, start long, stop long, abs_offset long, match string, groups array<struct<start:bigint,stop:bigint,text:string>>, line string"
+        return self._by_text(columns, lambda found, text: spans_of(found, text, end, crlf))
 
-        return rows.mapInArrow(run, schema)
+    # Multi-line searches: matches over whole texts; the lines that they touch form blocks.
+    def multiline(self) -> DataFrame:
+        """(keys, match_index, start_line, stop_line, start, match) of every match; the first ones up to the limit."""
+        self._needs("the matches of a multi-line search", "invert", "context", "before", "after", "passthru", "stop_on_nonmatch", "replacement")
+        most = self.query.max_count
+
+        def rows_of(found, text: str) -> list[tuple]:
+            out = []
+            for n, m in enumerate(distinct_matches(found, text)):
+                if n == most:
+                    break
+                first = text.count("\n", 0, m.start()) + 1
+                last = first + text.count("\n", m.start(), max(m.start(), m.end() - 1))
+                out.append((n, first, last, len(text[: m.start()].encode()), m[0]))
+            return out
+
+        return self._by_text("match_index int, start_line long, stop_line long, start long, match string", rows_of)
 
     def count_multiline(self) -> DataFrame:
-        """Matches over whole texts by file, without leaving the engine where no match can be empty."""
-        self._needs("a multi-line search", *MATCH_ONLY)
+        """Matches over whole texts by file (lines under invert), without leaving the engine where no match can be empty."""
+        if self.query.invert or self.query.max_count is not None:
+            return self.multiline_lines(blocks=True).groupBy(*self.keys).agg(F.count("*").alias("n"))
         if self.pattern.can_be_empty:
-            return self.multiline().groupBy(*self.keys).agg(F.count("*").alias("n"))
+            return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(1 for _ in distinct_matches(found, text))) else [])
         return self.files(prune=True).select(*self.keys, F.regexp_count("_text", F.lit(self.pattern.java)).cast("long").alias("n")).filter("n > 0")
 
+    def multiline_lines(self, blocks: bool = False) -> DataFrame:
+        """The lines that matches touch (under invert the others); with `blocks`, the first line of each block."""
+        q = self.query.where(context=0, before=None, after=None, passthru=False)
+        rows = self._by_text("line_number long, line string, opens boolean", lambda found, text: [(n, line, opens) for n, line, kind, _, opens in block_rows(found, text, q) if kind == "match"])
+        return rows.filter("opens").drop("opens") if blocks else rows.select(*self.keys, "line_number", self.shaped(F.col("line")).alias("line"))
+
+    def multiline_context(self) -> DataFrame:
+        """The lines of blocks and those around them, as `context` gives them for single lines."""
+        q = self.query
+        rows = self._by_text("line_number long, kind string, line string, group_id long", lambda found, text: [(n, kind, line, group) for n, line, kind, group, _ in block_rows(found, text, q)])
+        body = F.when(F.col("kind") == "match", self.shaped(F.col("line"))).otherwise(self.shaped(F.col("line"), context=True))
+        return rows.select(*self.keys, "line_number", "kind", body.alias("line"), "group_id")
+
+    def multiline_replaced(self) -> DataFrame:
+        """Each block, from its first line on, with its matches replaced."""
+        template, most = replacement.parts(self.query.replacement or "", self.pattern), self.query.max_count
+
+        def rows_of(found, text: str) -> list[tuple]:
+            lines, starts = cut(text)
+            out = []
+            for first, last, matches in blocks_of(found, text, starts, len(lines))[:most]:
+                low, high = starts[first], starts[last] + len(lines[last])
+                body, at = [], low
+                for m in matches:
+                    body += [text[at : m.start()], expanded(m, template)]
+                    at = m.end()
+                out.append((first + 1, "".join([*body, text[at:high]]).removesuffix("\n")))
+            return out
+
+        return self._by_text("line_number long, line string", rows_of)
+
     # Output.
     def rendered(self) -> DataFrame:
         """Lines as text: path, line number, column, offset and body, joined by the query's separators."""
@@ -271,27 +403,60 @@ class Search:
 
     def json_events(self) -> DataFrame:
         """One JSON `match` message a selected line, with its submatches in byte offsets."""
-        self._needs("JSON events", *MATCH_ONLY)
-        rows = self.spans()
-        one = F.struct("match_index", F.struct(F.struct(F.col("match").alias("text")).alias("match"), F.col("start").alias("start"), F.col("stop").alias("end")).alias("sub"))
-        grouped = rows.groupBy(*self.keys, "line_number").agg(F.sort_array(F.collect_list(one)).alias("_subs"), F.min(F.col("abs_offset") - F.col("start")).alias("absolute_offset"), F.first("line").alias("line"))
-        data = F.struct(
-            F.struct(F.concat_ws("/", *(F.col(k).cast("string") for k in self.keys)).alias("text")).alias("path"),
-            F.struct(F.concat(F.col("line"), F.lit("\n")).alias("text")).alias("lines"),
-            "line_number",
-            "absolute_offset",
-            F.transform("_subs", lambda s: s["sub"]).alias("submatches"),
-        )
-        return grouped.select(*self.keys, "line_number", F.size("_subs").cast("long").alias("n_submatches"), "absolute_offset", F.to_json(F.struct(F.lit("match").alias("type"), data.alias("data"))).alias("event"))
+        self._needs("single JSON events", "multiline", "context", "before", "after", "passthru", "replacement")
+        if self.pattern.can_be_empty or self.query.invert:
+            found = self.json_messages().filter(F.get_json_object("event", "$.type") == "match")
+            data = lambda path: F.get_json_object("event", f"$.data.{path}")
+            subs = F.coalesce(F.json_array_length(data("submatches")), F.lit(0))
+            return found.select(*self.keys, data("line_number").cast("long").alias("line_number"), subs.cast("long").alias("n_submatches"), data("absolute_offset").cast("long").alias("absolute_offset"), "event")
+        one = lambda m: F.struct(F.struct(m["match"].alias("text")).alias("match"), m["start"].alias("start"), (m["start"] + F.octet_length(m["match"])).alias("end"))
+        subs = F.transform(self._starts(F.col("line"), F.regexp_extract_all("line", F.lit(self.pattern.java), 0)), one)
+        rows = self.with_offsets().select(*self.keys, "line_number", F.col("byte_offset").alias("absolute_offset"), "line", subs.alias("submatches"))
+        path = F.struct(F.concat_ws("/", *(F.col(k).cast("string") for k in self.keys)).alias("text")).alias("path")
+        data = F.struct(path, F.struct(F.concat(F.col("line"), F.lit("\n")).alias("text")).alias("lines"), "line_number", "absolute_offset", "submatches")
+        return rows.select(*self.keys, "line_number", F.size("submatches").cast("long").alias("n_submatches"), "absolute_offset", F.to_json(F.struct(F.lit("match").alias("type"), data.alias("data"))).alias("event"))
+
+    def json_messages(self) -> DataFrame:
+        """(keys, seq, event): the messages begin, match, context and end of every file with a match, in their order. Times
+        are zero: they say nothing about a distributed search."""
+        q, template = self.query, replacement.parts(self.query.replacement, self.pattern) if self.query.replacement is not None else None
+        n = len(self.keys)
+        schema = StructType([*(self.df.schema[k] for k in self.keys), *StructType.fromDDL("seq int, event string").fields])
+        arrow, pattern = to_arrow_schema(schema), self.pattern.python
+        bounded_batches(self.df.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import regex
+
+            found = regex.compile(pattern)
+            for batch in batches:
+                at, seq, events = [], [], []
+                names = ["/".join(str(v) for v in row if v is not None) for row in zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True)]
+                for k, text in enumerate(batch.column(n).to_pylist()):
+                    made = messages_of(found, text, names[k], q, template) if text else []
+                    at += [k] * len(made)
+                    seq += range(len(made))
+                    events += made
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns[:n], pa.array(seq, pa.int32()), pa.array(events, pa.string())], schema=arrow)
+
+        return self.files(not (q.invert or q.passthru)).mapInArrow(run, schema)
+
+    def json_summary(self) -> DataFrame:
+        """The one `summary` message of all files."""
+        total_of = lambda c: F.coalesce(F.sum(F.get_json_object("event", f"$.data.stats.{c}").cast("long")), F.lit(0)).cast("long").alias(c)
+        ends = self.json_messages().filter(F.get_json_object("event", "$.type") == "end").agg(total_of("bytes_printed"), total_of("matched_lines"), total_of("matches"), F.count("*").alias("searches_with_match"))
+        every = self.files().agg(F.count("*").alias("searches"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).cast("long").alias("bytes_searched"))
+        zero = F.struct(F.lit(0).alias("secs"), F.lit(0).alias("nanos"), F.lit("0s").alias("human"))
+        stats = F.struct(zero.alias("elapsed"), "searches", "searches_with_match", "bytes_searched", "bytes_printed", "matched_lines", "matches")
+        return ends.crossJoin(every).select(F.to_json(F.struct(F.struct(zero.alias("elapsed_total"), stats.alias("stats")).alias("data"), F.lit("summary").alias("type"))).alias("event"))  # one row each
 
     def stats(self) -> DataFrame:
-        """One row of totals over all files."""
-        lines = self.lines_of(F.col("_text"))
-        hits = F.filter(lines, self.selected)
-        matches = F.aggregate(F.transform(lines, lambda x: F.regexp_count(x, F.lit(self.pattern.java))), F.lit(0), lambda a, b: a + b)
+        """One row of totals over all files. Under invert lines are selected, and no matches counted."""
+        hits = F.filter(self.lines_of(F.col("_text")), self.selected)
+        matches = F.lit(0).cast("long") if self.query.invert else self.n_matches(F.col("_text"))
         per = self.files().select(F.octet_length("_text").alias("bytes"), F.size(hits).alias("lines"), matches.alias("matches"))
-        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-        return per.agg(F.count("*").alias("searches"), F.count_if(F.col("lines") > 0).alias("searches_with_match"), total("bytes").alias("bytes_searched"), total("lines").alias("matched_lines"), total("matches").alias("matches"))
+        total_of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        return per.agg(F.count("*").alias("searches"), F.count_if(F.col("lines") > 0).alias("searches_with_match"), total_of("bytes").alias("bytes_searched"), total_of("lines").alias("matched_lines"), total_of("matches").alias("matches"))
 
 
 def distinct_matches(compiled, text: str):
@@ -304,25 +469,144 @@ def distinct_matches(compiled, text: str):
         yield m
 
 
-def spans_of(compiled, text: str, keys: list, end: str = "\n", crlf: bool = False) -> list[list]:
-    """The rows of `Search.spans` of one text."""
-    out, offset, number = [], 0, 0
+def expanded(match, template: list[str | int]) -> str:
+    """A replacement template for one match."""
+    return "".join((match[p] or "") if isinstance(p, int) else p for p in template)
+
+
+def with_replacements(compiled, text: str, template: list[str | int]) -> str:
+    out, at = [], 0
+    for m in distinct_matches(compiled, text):
+        out += [text[at : m.start()], expanded(m, template)]
+        at = m.end()
+    return "".join([*out, text[at:]])
+
+
+def line_matches(compiled, text: str, end: str, crlf: bool):
+    """(number, body, bytes with the terminator, matches) of each line of a text."""
     parts = text.split(end)
     terminated = parts[-1] == ""
     for number, line in enumerate(parts[:-1] if terminated else parts, 1):
-        size = len(line.encode()) + 1
         body = line.removesuffix("\r") if crlf else line
-        plain = body.isascii()
         last = not terminated and number == len(parts)
-        kept = [m for m in distinct_matches(compiled, body) if not (last and m.start() == m.end() == len(body) and len(body))]
+        yield number, body, len(line.encode()) + 1, [m for m in distinct_matches(compiled, body) if not (last and m.start() == m.end() == len(body) and len(body))]
+
+
+def spans_of(compiled, text: str, end: str = "\n", crlf: bool = False) -> list[tuple]:
+    """The rows of `Search.spans` of one text."""
+    out, offset = [], 0
+    for number, body, size, kept in line_matches(compiled, text, end, crlf):
+        plain = body.isascii()
         for n, m in enumerate(kept):
             at = (lambda k: k) if plain else (lambda k, body=body: len(body[:k].encode()))
             groups = [{"start": at(m.start(g)), "stop": at(m.end(g)), "text": m[g]} if m.start(g) >= 0 else None for g in range(compiled.groups + 1)]
-            out.append([*keys, number, n, at(m.start()) + 1, at(m.start()), at(m.end()), offset + at(m.start()), m[0], groups, body])
+            out.append((number, n, at(m.start()) + 1, at(m.start()), at(m.end()), offset + at(m.start()), m[0], groups, body))
         offset += size
     return out
 
 
+def cut(text: str) -> tuple[list[str], list[int]]:
+    """The lines of a text with their terminators, and where each starts."""
+    lines = text.split("\n")
+    lines = [f"{line}\n" for line in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    starts, at = [], 0
+    for line in lines:
+        starts.append(at)
+        at += len(line)
+    return lines, starts
+
+
+def blocks_of(compiled, text: str, starts: list[int], n: int) -> list[tuple[int, int, list]]:
+    """(first line, last line, matches) of the blocks that matches form; blocks that touch are one."""
+    out: list[tuple[int, int, list]] = []
+    for m in distinct_matches(compiled, text):
+        if m.start() >= len(text) and m.start() == m.end():
+            continue
+        first = bisect.bisect_right(starts, m.start()) - 1
+        last = max(first, bisect.bisect_right(starts, max(m.start(), m.end() - 1)) - 1)
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last), [*out[-1][2], m])
+        elif first < n:
+            out.append((first, last, [m]))
+    return out
+
+
+def block_rows(compiled, text: str, q: SearchQuery) -> list[tuple[int, str, str, int, bool]]:
+    """(line number, line, kind, group, whether it opens a block) of a multi-line search's output lines."""
+    lines, starts = cut(text)
+    blocks = [(a, b) for a, b, _ in blocks_of(compiled, text, starts, len(lines))]
+    if q.invert:
+        covered = {k for a, b in blocks for k in range(a, b + 1)}
+        blocks = [(k, k) for k in range(len(lines)) if k not in covered]
+    hits = {k for a, b in blocks for k in range(a, b + 1)}
+    limited = blocks[: q.max_count]
+    opened = {a for a, _ in limited}
+    if q.passthru:
+        shown, hits = set(range(len(lines))), {k for a, b in limited for k in range(a, b + 1)}
+    else:
+        shown = {k for a, b in limited for k in range(max(0, a - q.lines_before), min(len(lines), b + 1 + q.lines_after))}
+    out, group, last = [], 0, None
+    for k in sorted(shown):
+        group += last is not None and k - last > 1
+        last = k
+        out.append((k + 1, lines[k].removesuffix("\n"), "match" if k in hits else "context", group, k in opened))
+    return out
+
+
+def _told(text: str) -> dict:
+    """A JSON value of a text: itself, or base64 of its bytes where it holds bytes that are no UTF-8."""
+    try:
+        text.encode()
+        return {"text": text}
+    except UnicodeEncodeError:
+        return {"bytes": base64.b64encode(text.encode(errors="surrogateescape")).decode()}
+
+
+def messages_of(compiled, text: str, path: str, q: SearchQuery, template: list[str | int] | None) -> list[str]:
+    """The JSON messages of one file; none without a selected line."""
+    size = lambda s: len(s.encode(errors="surrogateescape"))
+    lines, starts = cut(text)
+    dump = lambda kind, data: json.dumps({"type": kind, "data": data}, ensure_ascii=False, separators=(",", ":"))
+
+    def submatches(body: str, found: list) -> list[dict]:
+        return [{"match": _told(m[0]), **({"replacement": _told(expanded(m, template))} if template is not None else {}), "start": size(body[: m.start()]), "end": size(body[: m.end()])} for m in found]
+
+    if q.multiline:
+        blocks = [(a, b, list(found)) for a, b, found in blocks_of(compiled, text, starts, len(lines))]
+        if q.invert:
+            covered = {k for a, b, _ in blocks for k in range(a, b + 1)}
+            blocks = [(k, k, []) for k in range(len(lines)) if k not in covered]
+    else:
+        kept = [(number - 1, found) for number, _, _, found in line_matches(compiled, text, "\n", q.crlf)]
+        blocks = [(k, k, [] if q.invert else found) for k, found in kept if bool(found) != q.invert]
+    if q.max_count is not None:
+        blocks = blocks[: q.max_count]
+    if not blocks:
+        return []
+    inside = {k for a, b, _ in blocks for k in range(a, b + 1)}
+    near = set(range(len(lines))) if q.passthru else {k for a, b, _ in blocks for k in range(max(0, a - q.lines_before), min(len(lines), b + 1 + q.lines_after))}
+    told, offsets, at = _told(path), [], 0
+    for line in lines:
+        offsets.append(at)
+        at += size(line)
+    events = [(-1, dump("begin", {"path": told}))]
+    counted = 0
+    for a, b, found in blocks:
+        body = "".join(lines[a : b + 1])
+        if q.multiline and found:
+            low = starts[a]
+            subs = [{"match": _told(m[0]), **({"replacement": _told(expanded(m, template))} if template is not None else {}), "start": size(text[low : m.start()]), "end": size(text[low : m.end()])} for m in found]
+        else:
+            subs = submatches(body, found)
+        counted += len(subs)
+        events.append((a, dump("match", {"path": told, "lines": _told(body), "line_number": a + 1, "absolute_offset": offsets[a], "submatches": subs})))
+    events += [(k, dump("context", {"path": told, "lines": _told(lines[k]), "line_number": k + 1, "absolute_offset": offsets[k], "submatches": []})) for k in near - inside]
+    events.sort(key=lambda e: e[0])
+    made = [e for _, e in events]
+    stats = {"elapsed": {"secs": 0, "nanos": 0, "human": "0s"}, "searches": 1, "searches_with_match": 1, "bytes_searched": size(text), "bytes_printed": sum(size(e) + 1 for e in made), "matched_lines": len(inside), "matches": counted}
+    return [*made, dump("end", {"path": told, "binary_offset": None, "stats": stats})]
+
+
 class PatternSet:
     """Several patterns with ids: which of them match, and the first match of all."""
 
@@ -339,5 +623,17 @@ class PatternSet:
         return F.array_min(found)
 
     def count(self, text: Column) -> Column:
-        """Matches of the ordered alternation of all patterns."""
-        return F.regexp_count(text, F.lit("(?:" + "|".join(c.java for c in self.compiled) + ")"))
+        """Matches of the ordered alternation of all patterns; an empty one right after another match is none."""
+        if not any(c.can_be_empty for c in self.compiled):
+            return F.regexp_count(text, F.lit("(?:" + "|".join(c.java for c in self.compiled) + ")"))
+        pattern = "(?V1)(?:" + "|".join(c.python.removeprefix("(?V1)") for c in self.compiled) + ")"
+
+        @F.arrow_udf("int")
+        def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            import regex
+
+            found = regex.compile(pattern)
+            for texts in batches:
+                yield pa.array([None if t is None else sum(1 for _ in distinct_matches(found, t)) for t in texts.to_pylist()], pa.int32())
+
+        return counted(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textlode.plans.query import SearchQuery
+from textlode.sources.files import byte_size
 
 #: Flag, short form, query field, value that it sets (None: takes a value).
 SWITCHES = [
@@ -13,15 +14,21 @@ SWITCHES = [
     ("with-filename", "H", "with_filename", True), ("no-filename", "I", "with_filename", False), ("count", "c", "mode", "count"), ("count-matches", "", "mode", "count_matches"),
     ("files-with-matches", "l", "mode", "files_with_matches"), ("files-without-match", "", "mode", "files_without_match"), ("json", "", "mode", "json"), ("files", "", "mode", "files"),
     ("quiet", "q", "mode", "quiet"), ("vimgrep", "", "mode", "vimgrep"), ("text", "a", "binary", "text"), ("binary", "", "binary", "convert"), ("multiline-dotall", "", "dotall", True),
-    ("pcre2", "P", "engine", "pcre2"), ("auto-hybrid-regex", "", "engine", "auto"), ("sort-files", "", "sort", "path"),
+    ("type-list", "", "mode", "type_list"), ("pcre2", "P", "engine", "pcre2"), ("auto-hybrid-regex", "", "engine", "auto"), ("sort-files", "", "sort", "path"),
 ]
 VALUES = {
     "after-context": ("A", "after", int), "before-context": ("B", "before", int), "max-count": ("m", "max_count", int), "max-columns": ("M", "max_columns", int), "replace": ("r", "replacement", str),
     "field-match-separator": ("", "match_separator", str), "field-context-separator": ("", "context_field_separator", str), "context-separator": ("", "context_separator", str), "engine": ("", "engine", str),
 }
+#: Options of the walk and of reading, which `plans.run` gives to them; `no-` before one is kept as it is given.
+WALK = {"one-file-system", "follow", "hidden", "ignore", "ignore-dot", "ignore-exclude", "ignore-files", "ignore-global", "ignore-parent", "ignore-vcs", "require-git", "search-zip", "glob-case-insensitive", "ignore-file-case-insensitive", "stats"}
+WALK_VALUES = {"max-depth", "max-filesize", "encoding"}
+WALK_LISTS = {"ignore-file", "type-add", "type-clear"}
 #: Options that change nothing here: scheduling, presentation and diagnostics belong to Spark or to the caller.
-IGNORED = {"block-buffered", "line-buffered", "debug", "trace", "messages", "ignore-messages", "mmap", "no-config", "heading", "pretty", "null", "stats", "one-file-system", "follow", "hidden", "ignore", "ignore-dot", "ignore-exclude", "ignore-files", "ignore-global", "ignore-parent", "ignore-vcs", "require-git", "search-zip", "glob-case-insensitive", "ignore-file-case-insensitive", "pcre2-unicode"}
-IGNORED_VALUES = {"color", "colors", "threads", "dfa-size-limit", "regex-size-limit", "hostname-bin", "hyperlink-format", "path-separator", "ignore-file", "max-depth", "max-filesize", "encoding", "pre", "pre-glob", "type-add", "type-clear", "sortr", "generate"}
+IGNORED = {"block-buffered", "line-buffered", "debug", "trace", "messages", "ignore-messages", "mmap", "no-config", "heading", "pretty", "null", "pcre2-unicode", *WALK}
+IGNORED_VALUES = {"color", "colors", "threads", "hostname-bin", "hyperlink-format", "path-separator", "pre", "pre-glob", "generate", *WALK_VALUES, *WALK_LISTS}
+#: Sizes that are checked and then change nothing: the engines here have no such limits.
+SIZES = {"dfa-size-limit", "regex-size-limit"}
 IGNORED_SHORT = {"p": "pretty", "0": "null", "L": "follow", ".": "hidden", "z": "search-zip", "u": "unrestricted"}
 SHORT_VALUES = {"j": "threads", "d": "max-depth", "E": "encoding"}
 
@@ -31,10 +38,10 @@ def parse(args: list[str]) -> tuple[SearchQuery, list[str]]:
     short = {s: name for name, s, _, _ in SWITCHES if s} | {v[0]: name for name, v in VALUES.items() if v[0]} | {"e": "regexp", "C": "context", "g": "glob", "t": "type", "T": "type-not", "w": "word-regexp", "x": "line-regexp", "U": "multiline", "f": "file"} | IGNORED_SHORT | SHORT_VALUES
     switches = {name: (field, value) for name, _, field, value in SWITCHES}
     set_to: dict = {}
-    lists: dict[str, list[str]] = {"patterns": [], "globs": [], "types": [], "types_not": []}
+    lists: dict[str, list[str]] = {"patterns": [], "globs": [], "iglobs": [], "types": [], "types_not": []}
     plain: list[str] = []
     other: dict[str, object] = {}
-    takes = {"regexp", "context", "glob", "iglob", "type", "type-not", "sort", "file", *VALUES, *IGNORED_VALUES}
+    takes = {"regexp", "context", "glob", "iglob", "type", "type-not", "sort", "sortr", "file", *VALUES, *IGNORED_VALUES, *SIZES}
     queue = list(args)
 
     def apply(name: str, value: str | None) -> None:
@@ -75,13 +82,20 @@ def parse(args: list[str]) -> tuple[SearchQuery, list[str]]:
             with open(value, encoding="utf-8") as f:
                 lists["patterns"] += [line.rstrip("\r") for line in f.read().removesuffix("\n").split("\n")]
         elif name in ("glob", "iglob"):
-            lists["globs"].append(value)
+            lists[f"{name}s"].append(value)
         elif name in ("type", "type-not"):
             lists["types" if name == "type" else "types_not"].append(value)
         elif name in ("sort", "sortr"):
             set_to.update(sort=value, sort_reverse=name == "sortr")
         elif negative and key == "context-separator":
             set_to["context_separator"] = None
+        elif name in SIZES:
+            byte_size(value)
+        elif name in WALK_LISTS:
+            other[name] = [*other.get(name, ()), value]
+        elif key in WALK:
+            other.pop(key if negative else f"no-{key}", None)  # the last one wins
+            other[name] = True
         elif key in IGNORED or key in IGNORED_VALUES:
             other[name] = value if value is not None else True
         else:
@@ -117,7 +131,7 @@ def parse(args: list[str]) -> tuple[SearchQuery, list[str]]:
                     apply(name, None)
         else:
             plain.append(arg)
-    if not lists["patterns"] and set_to.get("mode") != "files":
+    if not lists["patterns"] and set_to.get("mode") not in ("files", "type_list"):
         if not plain:
             raise ValueError("no pattern")
         lists["patterns"].append(plain.pop(0))

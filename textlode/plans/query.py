@@ -44,9 +44,10 @@ class SearchQuery:
     context_field_separator: str = "-"
     context_separator: str | None = "--"
     globs: tuple[str, ...] = ()
+    iglobs: tuple[str, ...] = ()
     types: tuple[str, ...] = ()
     types_not: tuple[str, ...] = ()
-    mode: str = "standard"  # standard, count, count_matches, files_with_matches, files_without_match, json, files, quiet, vimgrep
+    mode: str = "standard"  # standard, count, count_matches, files_with_matches, files_without_match, json, files, quiet, vimgrep, type_list
     sort: str = "none"
     sort_reverse: bool = False
     unknown: dict = field(default_factory=dict)

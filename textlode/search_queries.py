@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textlode.functions import globs as G
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.ignore import decision, ignored, parse_rules, rule_rows, with_rule_table
+from textlode.operators.patterns import literal_hits
 from textlode.operators.search import PatternSet, Search
 from textlode.plans.flags import parse
 from textlode.plans.query import SearchQuery
@@ -89,7 +90,7 @@ over_documents("only_matching", SearchQuery(patterns=(r"\b\w{5}\s+\w{5}\s+\w{5}\
 over_documents("only_matching_simple", SearchQuery(patterns=("an[a-z]",)), Search.only_matching, MATCHES.format("an[a-z]"))
 SPAN = f"""WITH l AS ({LINES}), p AS (SELECT doc_id, line_number, line, string_split(line, 'tion') AS s, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS off FROM l)
 SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(strlen(array_to_string(s[1:k], 'tion')) + 1 AS BIGINT) AS "column", CAST(off + strlen(array_to_string(s[1:k], 'tion')) AS BIGINT) AS abs_offset FROM p, unnest(range(1, len(s))) AS v(k)"""
-over_documents("only_matching_column", SearchQuery(patterns=("tion",)), lambda s: s.spans().select("doc_id", "line_number", "column", "abs_offset"), SPAN)
+over_documents("only_matching_column", SearchQuery(patterns=("tion",)), lambda s: s.match_spans().select("doc_id", "line_number", "column", "abs_offset"), SPAN)
 over_documents("byte_offset_line", SearchQuery(patterns=("tion",)), lambda s: s.with_offsets().select("doc_id", "line_number", "byte_offset"), f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(off AS BIGINT) AS byte_offset FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS off FROM ({LINES})) WHERE contains(line, 'tion')")
 over_documents("sum_match_spans", SearchQuery(patterns=("an[a-z]",)), lambda s: s.only_matching().groupBy("doc_id").agg(F.sum(F.octet_length("match")).alias("bytes")), f"SELECT doc_id, CAST(sum(strlen(match)) AS BIGINT) AS bytes FROM ({MATCHES.format('an[a-z]')}) GROUP BY doc_id")
 IP = r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)"
@@ -102,12 +103,12 @@ def captures_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Search(spark.read.parquet(f"{sf_dir}/events.parquet"), query, ("event_id",), "props").captures().select("event_id", "key", "value")
 
 
-@register("vimgrep", "SELECT conv_id, turn, CAST(k AS BIGINT) AS n FROM (SELECT conv_id, turn, len(regexp_extract_all(text, 'ing')) AS m FROM conversations), unnest(range(1, m + 1)) AS v(k)")
-def vimgrep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Search(spark.read.parquet(f"{sf_dir}/conversations.parquet"), SearchQuery(patterns=("ing",)), ("conv_id", "turn")).spans()
-    from pyspark.sql import Window
+TURNS = "SELECT conv_id, turn, i AS line_number, ls[i] AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations), unnest(range(1, len(ls) + 1)) AS u(i) WHERE NOT (i = len(ls) AND ls[i] = '')"
+
 
-    return rows.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("abs_offset")).cast("long").alias("n"))
+@register("vimgrep", f"""SELECT conv_id, turn, CAST(line_number AS BIGINT) AS line_number, CAST(strlen(array_to_string(s[1:k], 'ing')) + 1 AS BIGINT) AS "column", line FROM (SELECT *, string_split(line, 'ing') AS s FROM ({TURNS})), unnest(range(1, len(s))) AS v(k)""")
+def vimgrep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Search(spark.read.parquet(f"{sf_dir}/conversations.parquet"), SearchQuery(patterns=("ing",)), ("conv_id", "turn")).vimgrep()
 
 
 REPLACE = f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, {{0}} AS line FROM ({LINES}) WHERE {{1}}"
@@ -128,10 +129,13 @@ over_documents("max_count_context", SearchQuery(patterns=("an",), max_count=1, a
 over_documents("stop_on_nonmatch", SearchQuery(patterns=("an",), stop_on_nonmatch=True), lambda s: s.lines().select("doc_id", "line_number"), f"WITH h AS (SELECT *, contains(line, 'an') AS hit FROM ({LINES})), f AS (SELECT doc_id, min(line_number) FILTER (WHERE hit) AS a FROM h GROUP BY doc_id), s AS (SELECT h.doc_id, a, min(line_number) FILTER (WHERE NOT hit AND line_number > a) AS z FROM h JOIN f ON h.doc_id = f.doc_id GROUP BY h.doc_id, a) SELECT h.doc_id, CAST(line_number AS BIGINT) AS line_number FROM h JOIN s ON h.doc_id = s.doc_id WHERE hit AND line_number < coalesce(z, 1000000000)")
 LIMIT = f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CASE WHEN strlen(line) > 80 THEN {{0}} ELSE line END AS line FROM ({LINES}) WHERE contains(line, 'tion')"
 over_documents("max_columns", SearchQuery(patterns=("tion",), max_columns=80), Search.lines, LIMIT.format("'[Omitted long matching line]'"))
-over_documents("max_columns_preview", SearchQuery(patterns=("tion",), max_columns=80, preview=True), Search.lines, LIMIT.format("substr(line, 1, 80) || ' [... omitted end of long line]'"))
+over_documents("max_columns_preview", SearchQuery(patterns=("tion",), max_columns=80, preview=True), Search.lines, LIMIT.format("substr(line, 1, list_max(list_filter(range(1, 81), lambda n: strlen(substr(line, 1, n)) <= 80))) || ' [... omitted end of long line]'"))
+
+
+PAGE_LINES = "SELECT page_id, i AS line_number, ls[i] AS line FROM (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages), unnest(range(1, len(ls) + 1)) AS u(i) WHERE NOT (i = len(ls) AND ls[i] = '')"
 
 
-@register("trim", r"SELECT page_id, CAST(1 AS BIGINT) AS line_number, regexp_replace(html, '^[\t\n\v\f\r ]+', '') AS line FROM pages WHERE contains(html, '<p>') AND NOT contains(html, chr(10))")
+@register("trim", rf"SELECT page_id, CAST(line_number AS BIGINT) AS line_number, regexp_replace(line, '^[\t\n\v\f\r ]+', '') AS line FROM ({PAGE_LINES}) WHERE contains(line, '<p>')")
 def trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Search(spark.read.parquet(f"{sf_dir}/pages.parquet"), SearchQuery(patterns=("<p>",), trim=True), ("page_id",), "html").lines()
 
@@ -148,11 +152,11 @@ over_sets("set_first_match", lambda s: s.first(F.col("text"))["pattern_id"].cast
 over_sets("set_count", lambda s: s.count(F.col("text")).cast("long"), "SELECT doc_id, CAST(len(regexp_extract_all(text, 'an|the|ou')) AS BIGINT) AS found FROM documents")
 
 
-@register("pattern_file", "SELECT d.doc_id, count(*) AS n FROM documents d JOIN (SELECT DISTINCT substr(text, 1, 40) AS head FROM benchmark) b ON contains(d.text, b.head) GROUP BY d.doc_id")
+@register("pattern_file", "SELECT d.doc_id, count(*) AS n FROM documents d JOIN (SELECT DISTINCT text FROM benchmark WHERE text <> '') b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def pattern_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts of the benchmark items as a table of literal patterns; each (document, pattern) pair is tested in the engine."""
-    patterns = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("text").alias("pattern")).distinct()
-    return docs(spark, sf_dir).join(patterns, F.contains("text", F.col("pattern"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Whole texts of the benchmark items as a table of literal patterns."""
+    hits = literal_hits(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"], pattern="text")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def path_query(name: str, condition: Callable[[Column], Column], sql: str) -> None:

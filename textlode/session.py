@@ -29,14 +29,17 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     )
 
 
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers where PYTHONPATH or the working folder doesn't do so already."""
-    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(ROOT) in on_path or os.path.realpath(os.getcwd()) == str(ROOT) or os.path.exists("textlode/session.py"):
-        return
-    if getattr(spark.sparkContext, "_textlode_shipped", False):
+    """Make this package importable in the Python workers: on other machines whatever the driver's own path is, on this one
+    unless PYTHONPATH or the working folder does so already."""
+    on_path = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    if (_local(spark) and str(ROOT) in on_path) or getattr(spark.sparkContext, "_textlode_shipped", False):
         return
-    target = Path(tempfile.mkdtemp()) / "textlode.zip"
+    target = Path(tempfile.mkdtemp()) / "textlode.zip"  # on the driver, which serves it to the executors
     with zipfile.ZipFile(target, "w") as z:
         for p in ROOT.joinpath("textlode").rglob("*.py"):
             z.write(p, p.relative_to(ROOT))
@@ -44,10 +47,19 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._textlode_shipped = True
 
 
+def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Bound the session's Arrow batches by bytes, however long the texts are, and ship this package."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+    ship(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local runs get a temporary one;
+    a cluster has no folder of its own that all machines see, so that this is an error there."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not _local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textlode-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -6,8 +6,9 @@ import bz2
 import gzip
 import lzma
 import os
+import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.globs import override
 from textlode.functions.ignore import IgnoreRule, ignored, parse_rules
+from textlode.session import ship
 
 ENTRIES = "path string, parent string, file_name string, depth int, is_dir boolean, is_symlink boolean, is_hidden boolean, size long, mtime double, full_path string"
 IGNORE_FILES = {".gitignore": "gitignore", ".ignore": "ignore"}
@@ -45,8 +47,12 @@ class WalkOptions:
     ignore_exclude: bool = True
     require_git: bool = True
     ignore_files: list[str] = field(default_factory=list)
+    ignore_parent: bool = True
+    ignore_global: bool = True
     ignore_case: bool = False
     globs: list[str] = field(default_factory=list)
+    iglobs: list[str] = field(default_factory=list)
+    globs_ignore_case: bool = False
     types: list[tuple[str, bool]] = field(default_factory=list)
     file_types: FileTypes = field(default_factory=FileTypes)
 
@@ -69,12 +75,71 @@ def rules_of(root: str, options: WalkOptions) -> list[IgnoreRule]:
     if options.ignore_exclude and in_git and os.path.exists(exclude):
         with open(exclude, encoding="utf-8", errors="replace") as f:
             out += parse_rules(f.read(), "", "exclude")
+    if options.ignore_parent:
+        out += parent_rules(root, options, in_git)
+    if options.ignore_global and options.ignore_vcs and in_git and (path := global_excludes()):
+        with open(path, encoding="utf-8", errors="replace") as f:
+            out += parse_rules(f.read(), "", "global")
     for path in options.ignore_files:
         with open(path, encoding="utf-8", errors="replace") as f:
             out += parse_rules(f.read(), "", "explicit")
     return out
 
 
+def parent_rules(root: str, options: WalkOptions, in_git: bool) -> list[IgnoreRule]:
+    """The rules of files above `root` that reach into it, anchored anew; the repository's own folder ends the version
+    control's part of them."""
+    out: list[IgnoreRule] = []
+    top = os.path.abspath(root)
+    vcs = options.ignore_vcs and not any(os.path.exists(os.path.join(top, d)) for d in (".git", ".jj"))
+    below = ""
+    while (parent := os.path.dirname(top)) != top:
+        below = f"{os.path.basename(top)}/{below}" if below else os.path.basename(top)
+        repository = any(os.path.exists(os.path.join(parent, d)) for d in (".git", ".jj"))
+        for name, source in IGNORE_FILES.items():
+            path = os.path.join(parent, name)
+            wanted = options.ignore_dot if source == "ignore" else vcs and (not options.require_git or _in_repository(parent))
+            if wanted and os.path.isfile(path):
+                with open(path, encoding="utf-8", errors="replace") as f:
+                    out += [r for rule in parse_rules(f.read(), "", source) if (r := _seen_from(rule, below)) is not None]
+        vcs = vcs and not repository
+        top = parent
+    return out
+
+
+def _in_repository(folder: str) -> bool:
+    while True:
+        if any(os.path.exists(os.path.join(folder, d)) for d in (".git", ".jj")):
+            return True
+        if os.path.dirname(folder) == folder:
+            return False
+        folder = os.path.dirname(folder)
+
+
+def _seen_from(rule: IgnoreRule, below: str) -> IgnoreRule | None:
+    """A rule of a folder above as a rule of the folder `below` it: names anywhere as they are, anchored paths without the
+    folders between; None if an anchored path leads elsewhere."""
+    if rule.basename:
+        return rule
+    prefix = f"{below}/"
+    return replace(rule, glob=rule.glob.removeprefix(prefix)) if rule.glob.startswith(prefix) else rule if rule.glob.startswith("**/") else None
+
+
+def global_excludes() -> str | None:
+    """The user's own list of ignored files: core.excludesFile of the global configuration, else the default place."""
+    home = os.path.expanduser("~")
+    config = os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
+    for path in (os.path.join(home, ".gitconfig"), os.path.join(config, "git", "config")):
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                found = re.findall(r"(?im)^\s*excludesfile\s*=\s*\"?([^\"\n]+?)\"?\s*$", f.read())
+            if found:
+                chosen = os.path.expanduser(found[-1])
+                return chosen if os.path.isfile(chosen) else None
+    default = os.path.join(config, "git", "ignore")
+    return default if os.path.isfile(default) else None
+
+
 def listed(root: str, options: WalkOptions) -> list[tuple]:
     out, seen = [], set()
     device = os.stat(root).st_dev
@@ -105,8 +170,9 @@ def listed(root: str, options: WalkOptions) -> list[tuple]:
 def admitted(entries: DataFrame, options: WalkOptions, rules: list[IgnoreRule]) -> DataFrame:
     """Entries in the order of the admission rules: overrides, ignore rules, types, hidden, depth and size."""
     path = F.col("path")
-    chosen = override(path, options.globs, False) if options.globs else F.lit(True)
-    whitelisted = F.lit(any(not g.startswith("!") for g in options.globs)) & chosen
+    chosen = override(path, options.globs, options.globs_ignore_case) if options.globs else F.lit(True)
+    chosen = chosen & (override(path, options.iglobs, True) if options.iglobs else F.lit(True))
+    whitelisted = F.lit(any(not g.startswith("!") for g in [*options.globs, *options.iglobs])) & chosen
     ok = chosen & (whitelisted | ~(ignored(path, rules, options.ignore_case) if rules else F.lit(False)))
     ok = ok & (whitelisted | options.file_types.admitted(path, options.types) if options.types else F.lit(True))
     ok = ok & (F.lit(options.hidden) | whitelisted | ~F.col("is_hidden"))
@@ -175,6 +241,8 @@ def decompressed(path: str, data: bytes) -> bytes:
 def decoded(content: Column, label: str = "auto") -> Column:
     """Text of a binary column."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: decode_bytes(v, label))
@@ -185,6 +253,8 @@ def decoded(content: Column, label: str = "auto") -> Column:
 def read_corpus(spark: SparkSession, entries: DataFrame, label: str = "auto", search_zip: bool = False) -> DataFrame:
     """(path, text) of the files of `entries`, each read where its row is processed."""
 
+    ship(spark)
+
     @F.pandas_udf("string")
     def run(paths: pd.Series) -> pd.Series:
         def one(path: str) -> str:
@@ -206,6 +276,8 @@ def read_store(spark: SparkSession, path: str, label: str = "auto") -> DataFrame
 def preprocessed(corpus: DataFrame, function, applies: Column | None = None, text: str = "text") -> DataFrame:
     """`text` run through a user's function from text to text, where `applies` is true."""
 
+    ship(corpus.sparkSession)
+
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         return values.map(function)
