@@ -30,13 +30,20 @@ def spans(pattern, text, **options):
         (r"\x{41}B", "AB", [(0, 2)]),
         (r"a.b", "a\nb a\rb", [(4, 7)]),
         (r"[]a]+", "]a", [(0, 2)]),
+        (r"|y", "xyz", [(0, 0), (1, 1), (2, 2), (3, 3)]),
+        (r"xy|.*?", "xyzzxy", [(0, 2), (3, 3), (4, 6)]),
+        (r"(?:^|x)+", "x\nxx", [(0, 0), (2, 2), (3, 4)]),
+        (r"(?R)$", "a\r\nb\rc", [(1, 1), (4, 4), (6, 6)]),
+        (r"(?R)^", "a\r\nb\rc", [(0, 0), (3, 3), (5, 5)]),
+        (r"(?R).$", "ZZ\r", [(1, 2)]),
+        (r"\p{Cased_Letter}+", "1aB2", [(1, 3)]),
     ],
 )
 def test_matches(pattern, text, expected):
     assert spans(pattern, text) == expected
 
 
-@pytest.mark.parametrize("bad", ["(", "a)", "(?=a)", r"\1", "[z-a]", "*a", "(?P<a>x)(?P<a>y)", "[a", r"\p{Nope-1}", "a{3,1}"])
+@pytest.mark.parametrize("bad", ["(", "a)", "(?=a)", r"\1", "[z-a]", "*a", "(?P<a>x)(?P<a>y)", "[a", r"\p{Nope-1}", "a{3,1}", "(?)"])
 def test_rejected(bad):
     with pytest.raises(PatternError):
         compile_patterns([bad])

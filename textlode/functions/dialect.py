@@ -186,6 +186,8 @@ class Parser:
                 return self.close(Node("look", self.flags, look, [self.alternatives()]))
         flags, on = self.flags, True
         keys = {"i": "ignore_case", "m": "multi_line", "s": "dot_all", "R": "crlf", "U": "swap", "u": "unicode", "x": "verbose"}
+        if self.peek() == ")":
+            raise PatternError(f"no flags: {self.text!r}")
         while (c := self.take()) not in (":", ")"):
             if c == "-":
                 on = False
@@ -251,7 +253,9 @@ class Parser:
         key, _, value = name.replace(":", "=").rpartition("=")
         plain = value.lower().replace("_", "").replace("-", "").replace(" ", "")
         key = key.lower().replace("_", "")
-        if plain in ("any", "ascii", "assigned") and not key:
+        if plain in ("casedletter", "lc"):
+            body = r"\p{Lu}\p{Ll}\p{Lt}"
+        elif plain in ("any", "ascii", "assigned") and not key:
             body = {"any": r"\x{0}-\x{10ffff}", "ascii": r"\x00-\x7f", "assigned": r"\P{Cn}"}[plain]
         elif plain in BOOLEANS and not key:
             body = rf"\p{{{BOOLEANS[plain]}}}"
@@ -401,9 +405,11 @@ def emit(node: Node) -> str:
     w = WORD if f.unicode else ASCII_WORD
     before, not_before, after, not_after = f"(?<=[{w}])", f"(?<![{w}])", f"(?=[{w}])", f"(?![{w}])"
     start, end = r"(?<![\x{0}-\x{10ffff}])", r"(?![\x{0}-\x{10ffff}])"
-    line_end = rf"(?:(?=\r?\n)|{end})" if f.crlf else rf"(?:(?=\n)|{end})"
+    # with crlf a carriage return ends a line too, and nothing is between it and its line feed
+    line_start = rf"(?:(?<=\n)|(?<=\r)(?!\n)|{start})" if f.crlf else rf"(?:(?<=\n)|{start})"
+    line_end = rf"(?:(?=\r)|(?<!\r)(?=\n)|{end})" if f.crlf else rf"(?:(?=\n)|{end})"
     return {
-        "^": rf"(?:(?<=\n)|{start})" if f.multi_line else start,
+        "^": line_start if f.multi_line else start,
         "$": line_end if f.multi_line else end,
         "A": start,
         "z": end,

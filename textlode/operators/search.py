@@ -460,13 +460,15 @@ class Search:
 
 
 def distinct_matches(compiled, text: str):
-    """Non-overlapping matches; an empty one right where another match ended is left out."""
-    last = -1
-    for m in compiled.finditer(text):
-        if m.end() == m.start() == last:
+    """Non-overlapping matches: each search goes on where the last match ended; an empty match right there is none, and the
+    search goes on a character later."""
+    at, last = 0, -1
+    while at <= len(text) and (m := compiled.search(text, at)):
+        if m.start() == m.end() == last:
+            at, last = last + 1, -1
             continue
-        last = m.end()
         yield m
+        at = last = m.end()
 
 
 def expanded(match, template: list[str | int]) -> str:
