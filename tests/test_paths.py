@@ -47,6 +47,8 @@ def test_small_parts():
     assert [(r.glob, r.include, r.dir_only) for r in parse_rules("# c\n!a/\n\\#b\nc  \n\n/d")] == [("a", True, True), ("#b", False, False), ("c", False, False), ("d", False, False)]
     assert byte_size("2K") == 2048
     assert FileTypes().add("x:*.x").of("x") == ["*.x"]
+    assert FileTypes().of("md") == FileTypes().of("markdown") and "bashrc" in FileTypes().of("sh") and FileTypes().of("nix") == ["*.nix"]
+    assert FileTypes.from_text("# own\na:*.a\na:*.b\n").of("a") == ["*.a", "*.b"]
     assert decode_bytes(b"\xff\xfea\0", "sjis") == "a" and decode_bytes("日".encode("cp932"), "sjis") == "日"
     compiled = compile_patterns(["(?P<a>x)(y)"])
     assert replacement.parts("$$-$2-${a}-$nope-${-$1z", compiled)[:4] == ["$-", 2, "-", 1]

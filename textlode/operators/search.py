@@ -134,12 +134,17 @@ class Search:
         """Bytes of each record with its terminator."""
         return F.transform(raw, lambda x: F.octet_length(x).cast("long") + 1)
 
-    def with_offsets(self) -> DataFrame:
-        """Selected lines with byte_offset, the bytes before the line in its file."""
+    def _offset_rows(self) -> DataFrame:
+        """Selected lines with byte_offset, and whether a terminator ends them."""
         text = F.col("_text")
-        chosen = let(self.raw_lines(text), lambda raw: let(self._chosen(F.transform(raw, self.stripped)), lambda found: running(self._sizes(raw), lambda upto: F.transform(found, lambda s: F.struct(s["at"].alias("at"), s["line"].alias("line"), upto(s["at"]).alias("byte_offset"))))))
+        placed = lambda upto, raw: lambda s: F.struct(s["at"].alias("at"), s["line"].alias("line"), upto(s["at"]).alias("byte_offset"), (upto(s["at"]) + F.octet_length(F.get(raw, s["at"])) < F.octet_length(text)).alias("ended"))
+        chosen = let(self.raw_lines(text), lambda raw: let(self._chosen(F.transform(raw, self.stripped)), lambda found: running(self._sizes(raw), lambda upto: F.transform(found, placed(upto, raw)))))
         rows = self.files(not self.query.invert).select(*self.keys, F.explode(chosen).alias("_s"))
-        return rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), F.col("_s.byte_offset").alias("byte_offset"), F.col("_s.line").alias("line"))
+        return rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), *(F.col(f"_s.{c}").alias(c) for c in ("byte_offset", "line", "ended")))
+
+    def with_offsets(self) -> DataFrame:
+        """Selected lines with byte_offset, the bytes before the line in its file."""
+        return self._offset_rows().select(*self.keys, "line_number", "byte_offset", "line")
 
     # Counts, within the row of a file.
     def count_lines(self, zero: bool | None = None) -> DataFrame:
@@ -411,9 +416,9 @@ class Search:
             return found.select(*self.keys, data("line_number").cast("long").alias("line_number"), subs.cast("long").alias("n_submatches"), data("absolute_offset").cast("long").alias("absolute_offset"), "event")
         one = lambda m: F.struct(F.struct(m["match"].alias("text")).alias("match"), m["start"].alias("start"), (m["start"] + F.octet_length(m["match"])).alias("end"))
         subs = F.transform(self._starts(F.col("line"), F.regexp_extract_all("line", F.lit(self.pattern.java), 0)), one)
-        rows = self.with_offsets().select(*self.keys, "line_number", F.col("byte_offset").alias("absolute_offset"), "line", subs.alias("submatches"))
+        rows = self._offset_rows().select(*self.keys, "line_number", F.col("byte_offset").alias("absolute_offset"), F.concat("line", F.when(F.col("ended"), "\n").otherwise("")).alias("line"), subs.alias("submatches"))
         path = F.struct(F.concat_ws("/", *(F.col(k).cast("string") for k in self.keys)).alias("text")).alias("path")
-        data = F.struct(path, F.struct(F.concat(F.col("line"), F.lit("\n")).alias("text")).alias("lines"), "line_number", "absolute_offset", "submatches")
+        data = F.struct(path, F.struct(F.col("line").alias("text")).alias("lines"), "line_number", "absolute_offset", "submatches")
         return rows.select(*self.keys, "line_number", F.size("submatches").cast("long").alias("n_submatches"), "absolute_offset", F.to_json(F.struct(F.lit("match").alias("type"), data.alias("data"))).alias("event"))
 
     def json_messages(self) -> DataFrame:

@@ -14,6 +14,8 @@ from textlode.operators.patterns import literal_hits
 from textlode.operators.search import PatternSet, Search
 from textlode.plans.flags import parse
 from textlode.plans.query import SearchQuery
+from textlode.plans.run import run_rows
+from textlode.sources.files import WalkOptions, admitted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,8 +177,48 @@ RULES = parse_rules("*.py\n!src2/**\n/src3/de/\n# a comment\nsrc4/*/*7.md\n")
 path_query("ignore_rules", lambda p: ~ignored(p, RULES), "NOT ((path LIKE '%.py' AND path NOT LIKE 'src2/%') OR path LIKE 'src3/de/%' OR regexp_matches(path, '^src4/[^/]*/[^/]*7[.]md$'))")
 STACK = [*parse_rules("*.md", "", "gitignore"), *parse_rules("!*.md", "src1", "gitignore"), *parse_rules("*0.md", "", "ignore")]
 path_query("ignore_precedence", lambda p: decision(p, F.lit(False), STACK) == "ignore", "path LIKE '%.md' AND (regexp_matches(path, '0[.]md$') OR path NOT LIKE 'src1/%')")
-path_query("max_depth", lambda p: F.size(F.split(p, "/")) <= 3, "len(string_split(path, '/')) <= 3")
-path_query("hidden_filter", lambda p: ~p.rlike(r"(^|/)\."), "NOT regexp_matches(path, '(^|/)[.]')")
+TREE = "source || CASE doc_id % 4 WHEN 0 THEN '/.cache/' WHEN 1 THEN '/deep/er/' ELSE '/' END || CASE WHEN doc_id % 7 = 0 THEN '.' ELSE '' END || CAST(doc_id AS VARCHAR) || '.txt'"
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as entries of a walk: some of them hidden, some deeper than others."""
+    folder = F.when(F.col("doc_id") % 4 == 0, "/.cache/").when(F.col("doc_id") % 4 == 1, "/deep/er/").otherwise("/")
+    path = F.concat("source", folder, F.when(F.col("doc_id") % 7 == 0, ".").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = docs(spark, sf_dir).select(path.alias("path"), F.octet_length("text").cast("long").alias("size"))
+    return rows.withColumn("depth", F.size(F.split("path", "/"))).withColumn("is_hidden", F.col("path").rlike(r"(^|/)\."))
+
+
+def walk_query(name: str, options: WalkOptions, sql: str, rules: str = "") -> None:
+    register(name, f"SELECT path FROM (SELECT {TREE} AS path, strlen(text) AS size FROM documents) WHERE {sql}")(lambda spark, sf_dir: admitted(tree(spark, sf_dir), options, parse_rules(rules)).select("path"))
+
+
+SHOWN = "NOT regexp_matches(path, '(^|/)[.]')"
+walk_query("max_depth", WalkOptions(max_depth=2, hidden=True), "len(string_split(path, '/')) <= 2")
+walk_query("min_depth", WalkOptions(min_depth=3), f"len(string_split(path, '/')) >= 3 AND {SHOWN}")
+walk_query("hidden_filter", WalkOptions(), SHOWN)
+walk_query("max_filesize", WalkOptions(max_filesize=1024, hidden=True), "size <= 1024")
+walk_query("walk_globs_over_rules", WalkOptions(globs=["*1.txt"]), "path LIKE '%1.txt'", "*.txt")
+walk_query("walk_ignored_folder", WalkOptions(hidden=True), "path NOT LIKE '%/deep/%' AND NOT regexp_matches(path, '^src2/[^/]*$')", "deep/\n!deep/er/\n/src2/*.txt")
+
+
+def command_query(name: str, args: list[str], columns: list[str], sql: str) -> None:
+    register(name, sql)(lambda spark, sf_dir: run_rows(with_path(docs(spark, sf_dir)).select("path", "text"), args).select(*columns))
+
+
+PATH_LINES = f"SELECT path, i AS line_number, ls[i] AS line FROM (SELECT {PATH} AS path, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i) WHERE NOT (i = len(ls) AND ls[i] = '')"
+command_query("command_count", ["-c", "-i", "THTION", "-g", "*.md"], ["path", "n"], f"SELECT path, CAST(count(*) AS BIGINT) AS n FROM ({PATH_LINES}) WHERE path LIKE '%.md' AND regexp_matches(line, '(?i)thtion') GROUP BY path")
+command_query("command_files_with_matches", ["-l", "queai", "-tpy"], ["path"], f"SELECT DISTINCT path FROM ({PATH_LINES}) WHERE path LIKE '%.py' AND contains(line, 'queai')")
+command_query("command_only_matching", ["-o", "-r", "<$1>", "th([a-z])on", "--iglob", "*.TXT"], ["path", "line_number", "match"], f"SELECT path, CAST(line_number AS BIGINT) AS line_number, '<' || regexp_extract(m, 'th([a-z])on', 1) || '>' AS match FROM (SELECT path, line_number, unnest(regexp_extract_all(line, 'th[a-z]on')) AS m FROM ({PATH_LINES}) WHERE path LIKE '%.txt')")
+command_query("command_context", ["-A1", "-m1", "edst", "-T", "md"], ["path", "line_number", "kind"], f"WITH h AS (SELECT *, contains(line, 'edst') AS hit FROM ({PATH_LINES}) WHERE path NOT LIKE '%.md'), f AS (SELECT path, min(line_number) AS f FROM h WHERE hit GROUP BY path) SELECT h.path, CAST(line_number AS BIGINT) AS line_number, CASE WHEN hit THEN 'match' ELSE 'context' END AS kind FROM h JOIN f ON h.path = f.path WHERE line_number BETWEEN f AND f + 1")
+BLOCKS = f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, line, (line LIKE '%.' AND coalesce(lead(line) OVER w LIKE 'The%', false)) OR (line LIKE 'The%' AND coalesce(lag(line) OVER w LIKE '%.', false)) AS inside FROM ({LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY line_number)"
+over_documents("multiline_lines", SearchQuery(patterns=(r"\.\nThe",), multiline=True), Search.lines, f"SELECT doc_id, line_number, line FROM ({BLOCKS}) WHERE inside")
+over_documents("multiline_invert", SearchQuery(patterns=(r"\.\nThe",), multiline=True, invert=True), lambda s: s.lines().select("doc_id", "line_number"), f"SELECT doc_id, line_number FROM ({BLOCKS}) WHERE NOT inside")
+over_documents("multiline_max_count", SearchQuery(patterns=(r"\.\nThe",), multiline=True, max_count=1), lambda s: s.lines().groupBy("doc_id").agg(F.min("line_number").alias("first")), f"SELECT doc_id, min(line_number) AS first FROM ({BLOCKS}) WHERE inside GROUP BY doc_id")
+over_documents("stats_invert", SearchQuery(patterns=("tion",), invert=True), lambda s: s.stats().select("searches", "matched_lines", "matches"), f"SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS searches, CAST(count(*) AS BIGINT) AS matched_lines, CAST(0 AS BIGINT) AS matches FROM ({LINES}) WHERE NOT contains(line, 'tion')")
+over_documents("captures_every", SearchQuery(patterns=("([a-z])an([a-z])?",)), lambda s: s.captures(every=True), f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(k - 1 AS INTEGER) AS match_index, ms[k] AS match, ms[k][1] AS group_1, CASE WHEN length(ms[k]) = 4 THEN ms[k][4] END AS group_2 FROM (SELECT doc_id, line_number, regexp_extract_all(line, '[a-z]an[a-z]?') AS ms FROM ({LINES})), unnest(range(1, len(ms) + 1)) AS v(k)")
+JSON_LINES = f"SELECT l.doc_id, line_number, line || CASE WHEN line_number = last AND NOT ends THEN '' ELSE chr(10) END AS body FROM ({LINES}) l JOIN (SELECT doc_id, max(line_number) AS last FROM ({LINES}) GROUP BY doc_id) m ON l.doc_id = m.doc_id JOIN (SELECT doc_id, text LIKE '%' || chr(10) AS ends FROM documents) d ON l.doc_id = d.doc_id WHERE contains(line, 'edst')"
+over_documents("json_messages", SearchQuery(patterns=("edst",)), lambda s: s.json_messages().select("doc_id", F.get_json_object("event", "$.type").alias("kind"), F.get_json_object("event", "$.data.line_number").cast("long").alias("line_number"), F.get_json_object("event", "$.data.lines.text").alias("body")),
+    f"SELECT doc_id, 'match' AS kind, CAST(line_number AS BIGINT) AS line_number, body FROM ({JSON_LINES}) UNION ALL SELECT doc_id, k, NULL, NULL FROM (SELECT DISTINCT doc_id FROM ({JSON_LINES})), (VALUES ('begin'), ('end')) AS t(k)")
 
 
 @register("ignore_rule_table", f"SELECT path, CASE WHEN path LIKE 'src1/%.md' THEN 'whitelist' WHEN path LIKE '%.md' THEN 'ignore' ELSE 'none' END AS decision FROM (SELECT DISTINCT {PATH} AS path FROM documents)")
@@ -195,11 +237,6 @@ def type_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FileTypes().frame(spark)
 
 
-@register("max_filesize", "SELECT doc_id FROM documents WHERE strlen(text) <= 1024")
-def max_filesize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).filter(F.octet_length("text") <= 1024).select("doc_id")
-
-
 @register("sort_path", f"SELECT CAST(row_number() OVER (ORDER BY string_split(path, '/')) AS BIGINT) AS place, path FROM (SELECT {PATH} AS path FROM documents)")
 def sort_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in the order of their path's components: ranks of components by joins of small tables, not one sorted task."""

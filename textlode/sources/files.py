@@ -176,6 +176,8 @@ def admitted(entries: DataFrame, options: WalkOptions, rules: list[IgnoreRule])
     ok = chosen & (whitelisted | ~(ignored(path, rules, options.ignore_case) if rules else F.lit(False)))
     ok = ok & (whitelisted | options.file_types.admitted(path, options.types) if options.types else F.lit(True))
     ok = ok & (F.lit(options.hidden) | whitelisted | ~F.col("is_hidden"))
+    if options.max_depth is not None:
+        ok = ok & (F.col("depth") <= options.max_depth)
     if options.min_depth is not None:
         ok = ok & (F.col("depth") >= options.min_depth)
     if options.max_filesize is not None:
