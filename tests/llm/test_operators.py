@@ -124,15 +124,71 @@ def test_sentencepiece(docs, odd):
         assert [(p.begin, p.end) for p in pieces if not p.piece.startswith("<0x")] == [(int(x), int(y)) for x, y, p in zip(a, b, pieces, strict=True) if not p.piece.startswith("<0x")]
 
 
-def test_character_map():
-    """Longest prefixes through a compiled map: a -> X, ab -> YZ, on a trie laid out by hand."""
-    model = sentencepieces.ModelFile(charsmap=b"x", trim=False)
-    normal = sentencepieces.Normaliser.__new__(sentencepieces.Normaliser)
-    normal.model = model
-    found = {b"ab": b"YZ", b"a": b"X"}
-    normal.longest = lambda data, at: next(((found[data[at : at + n]], n) for n in (2, 1) if data[at : at + n] in found), None)
-    out, a, b = normal(b"ab ac")
-    assert out.decode() == "▁YZ▁Xc" and list(zip(a.tolist(), b.tolist(), strict=True))[3:5] == [(0, 2), (0, 2)] and (int(a[-1]), int(b[-1])) == (4, 5)
+def compiled_map(found):
+    """A character map in the library's format: a double-array trie of the sources, and the replacements it points to."""
+    texts, at = b"", {}
+    for source, target in found.items():
+        at[source.encode()] = len(texts)
+        texts += target.encode() + b"\0"
+    units, used = [0] * 4096, {0}
+
+    def place(node, prefix, label):
+        below = sorted({k[len(prefix)] for k in at if len(k) > len(prefix) and k.startswith(prefix)})
+        labels = ([0] if prefix in at else []) + below
+        base = next(x for x in range(1, 4000) if all(x ^ c not in used for c in labels))
+        used.update(base ^ c for c in labels)
+        units[node] = (node ^ base) << 10 | (prefix in at) << 8 | label
+        if prefix in at:
+            units[base] = at[prefix] | 1 << 31
+        for c in below:
+            place(base ^ c, prefix + bytes([c]), c)
+
+    place(0, b"", 0)
+    return struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + texts
+
+
+def message(*fields):
+    """A protocol buffer message of (number, int, float or bytes)."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, bytes):
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += varint(number << 3) + varint(value)
+    return out
+
+
+@pytest.mark.parametrize(("dummy_prefix", "trim"), [(1, 1), (1, 0), (0, 1), (0, 0)])
+def test_character_map(tmp_path, dummy_prefix, trim):
+    """Longest prefixes through compiled maps, in small models laid out by hand: ids and spans equal the library's."""
+    import sentencepiece
+
+    found = {"\ufb01": "fi", "\uff21": "A", "e\u0301": "\u00e9", "abc": "x", "ab": "yz", "a": "b", "\u3000": " ", "\t": " ", "\u200b": "", "\u2126": "\u03a9\u03a9"}
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((c, -10.0 - k, 1) for k, c in enumerate("\u2581bcdefixyzA\u00e9\u03a9")), ("fi", -1.0, 1), ("\u2581b", -2.0, 1), ("yz", -3.0, 1), ("\u2581fi", -4.0, 1)]
+    proto = message(
+        *((1, message((1, p.encode()), (2, score), (3, kind))) for p, score, kind in pieces),
+        (2, message((3, 2))),
+        (3, message((2, compiled_map(found)), (3, dummy_prefix), (4, trim), (5, 1))),
+    )
+    path = tmp_path / "small.model"
+    path.write_bytes(proto)
+    library, coder, rnd = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepieces.Encoder(str(path)), random.Random(9)
+    assert coder.normalise.longest("abcd".encode(), 0) == (b"x", 3) and coder.normalise.longest("abd".encode(), 0) == (b"yz", 2) and coder.normalise.longest(b"d", 0) is None
+    for _ in range(1500):
+        text = "".join(rnd.choice([*found, "b", "c", "d", "e", " ", "  ", "\u65e5", "fi"]) for _ in range(rnd.randint(1, 9)))
+        ids = coder.ids(text)
+        assert ids.tolist() == library.encode(text)
+        starts, ends = coder.spans(text, ids)
+        expected = [(p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == expected, repr(text)
 
 
 def test_slots(spark, docs, odd):

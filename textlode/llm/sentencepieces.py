@@ -134,37 +134,38 @@ class Normaliser:
             at += found[1]
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """The normalised bytes, and for each of them the start and the end of its source."""
+        """The normalised bytes, and for each of them the start of its source and of the next one's, so that spans tile the text."""
         if not data:
             return b"", np.zeros(0, np.int32), np.zeros(0, np.int32)
         model = self.model
         if not model.charsmap and not model.trim:
             return self.identity(data)
-        out, starts, ends = bytearray(), [], []
+        out, starts, end = bytearray(), [], 0
 
-        def put(piece: bytes, a: int, b: int) -> None:
+        def put(piece: bytes, at: int) -> None:
             out.extend(piece)
-            starts.extend([a] * len(piece))
-            ends.extend([b] * len(piece))
+            starts.extend([at] * len(piece))
 
         steps = self.steps(data) if model.charsmap else ((data[k : k + 1], k, k + 1) for k in range(len(data)))
         mark = MARK if model.escape else b" "
         blank = model.trim  # leading white space goes
         first = True
-        for piece, a, b in steps:
+        for piece, a, end in steps:
+            if first and not (model.trim and piece == b" "):
+                first = False
+                if model.dummy_prefix:
+                    put(mark, a)
             for k in range(len(piece)):
                 c = piece[k : k + 1]
                 if c == b" " and blank and model.trim:
                     continue
-                if first and model.dummy_prefix:
-                    put(mark, a, a)
-                first = False
-                put(mark if c == b" " else c, a, b)
+                put(mark if c == b" " else c, a)
                 blank = c == b" "
         if model.trim:
-            while out.endswith(mark) and len(out) > 0:
-                del out[-len(mark) :], starts[-len(mark) :], ends[-len(mark) :]
-        return bytes(out), np.array(starts, np.int32), np.array(ends, np.int32)
+            while out.endswith(mark):
+                end = starts[-len(mark)]
+                del out[-len(mark) :], starts[-len(mark) :]
+        return bytes(out), np.array(starts, np.int32), np.array([*starts[1:], end][: len(starts)], np.int32)
 
     def identity(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The same for an empty map, where only spaces change."""
