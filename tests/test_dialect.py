@@ -72,3 +72,29 @@ def test_literals_are_needed(pattern, text):
     compiled = compile_patterns([pattern])
     if compiled.literals and regex.search(compiled.python, text):
         assert any(p in text for p in compiled.literals)
+
+
+def test_kinds_of_literal_matches():
+    from textlode.functions.matchlib import chosen
+
+    literals = ["append", "appendage", "app", "end"]
+    text = "append the app to the appendage"
+    found = sorted(((k, m, m + len(p)) for k, p in enumerate(literals) for m in range(len(text)) if text.startswith(p, m)), key=lambda m: (m[2], m[1]))
+    said = lambda kind: [(literals[k], a) for k, a, _ in chosen(found, kind)]
+    assert said("overlapping") == [("app", 0), ("append", 0), ("end", 3), ("app", 11), ("app", 22), ("append", 22), ("end", 25), ("appendage", 22)]
+    assert said("standard") == [("app", 0), ("end", 3), ("app", 11), ("app", 22), ("end", 25)]
+    assert said("leftmost_first") == [("append", 0), ("app", 11), ("append", 22)]
+    assert said("leftmost_longest") == [("append", 0), ("app", 11), ("appendage", 22)]
+
+
+def test_literal_matches(spark):
+    from pyspark.sql import functions as F
+
+    from textlode.functions import matchlib
+
+    rows = spark.createDataFrame([("é the there",), ("",), (None,)], "text string")
+    made = rows.select(matchlib.literal_matches(F.col("text"), ["the", "there"], "leftmost_longest").alias("m"), matchlib.find(F.col("text"), "the").alias("a"), matchlib.find_last(F.col("text"), "the").alias("b"), matchlib.find_any(F.col("text"), "^h]").alias("c")).collect()
+    assert [tuple(x) for x in made[0].m] == [(0, 3, 6), (1, 7, 12)] and tuple(made[0])[1:] == (3, 7, 4)
+    assert made[1].m == [] and made[2].m is None and tuple(made[1])[1:] == (None, None, None)
+    with pytest.raises(ValueError):
+        matchlib.find(F.col("text"), "")

@@ -6,7 +6,7 @@ from textlode.functions.dialect import compile_patterns, to_python
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.globs import GlobError, GlobOptions, escape, to_regex
 from textlode.functions.ignore import parse_rules
-from textlode.plans.flags import parse
+from textlode.plans.flags import config_args, parse
 from textlode.sources.files import WalkOptions, byte_size, decode_bytes, read_corpus, rules_of, sort_entries, walk
 
 
@@ -55,6 +55,7 @@ def test_small_parts():
 
 
 def test_flags():
+    assert parse([*config_args("# ours\n\n--smart-case\n-C\n2\n"), "-C1", "x"])[0].context == 1
     query, paths = parse(["-inw", "-C2", "-A", "1", "--", "needle", "src"])
     assert (query.patterns, paths, query.case, query.word, query.line_number, query.lines_before, query.lines_after) == (("needle",), ["src"], "insensitive", True, True, 2, 1)
     assert parse(["-x", "-w", "a"])[0].line is False

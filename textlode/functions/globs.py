@@ -121,6 +121,13 @@ def any_match(path: Column, globs: list[str], options: GlobOptions = GlobOptions
     return out
 
 
+def all_match(path: Column, globs: list[str], options: GlobOptions = GlobOptions()) -> Column:
+    out = F.lit(True)
+    for g in globs:
+        out = out & matches(path, g, options)
+    return out
+
+
 def last_index(path: Column, globs: list[str], options: GlobOptions = GlobOptions()) -> Column:
     return F.array_max(matching_indexes(path, globs, options))
 

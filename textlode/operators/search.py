@@ -268,6 +268,14 @@ class Search:
         rows = rows.select(*self.keys, "line_number", F.posexplode(found).alias("match_index", "_m"))
         return rows.select(*self.keys, "line_number", "match_index", *(F.col(f"_m.g{k}").alias(name) for k, name in [(0, "match"), *named]))
 
+    def count_captures(self) -> DataFrame:
+        """Groups that took part in matches, the whole match included, by file."""
+        if self.pattern.can_be_empty or len(self.pattern.sure_groups) < self.pattern.n_groups:
+            taking = F.size(F.filter("groups", lambda g: g.isNotNull())).cast("long").alias("k")
+            return self.spans().select(*self.keys, taking).groupBy(*self.keys).agg(F.sum("k").alias("n"))
+        n = self.n_matches(F.col("_text")) * (self.pattern.n_groups + 1)
+        return self.files(prune=True).select(*self.keys, n.alias("n")).filter("n > 0")
+
     def replaced(self) -> DataFrame:
         """Selected lines with every match replaced by the template."""
         rows = self.records(prune=True).filter(self.hit(F.col("line")))
@@ -455,6 +463,16 @@ class Search:
         stats = F.struct(zero.alias("elapsed"), "searches", "searches_with_match", "bytes_searched", "bytes_printed", "matched_lines", "matches")
         return ends.crossJoin(every).select(F.to_json(F.struct(F.struct(zero.alias("elapsed_total"), stats.alias("stats")).alias("data"), F.lit("summary").alias("type"))).alias("event"))  # one row each
 
+    def bytes_printed(self) -> DataFrame:
+        """One row: the bytes of all rendered lines with their line feeds."""
+        return self.rendered().agg(F.coalesce(F.sum(F.octet_length("output").cast("long") + 1), F.lit(0)).cast("long").alias("bytes_printed"))
+
+    def stats_report(self) -> DataFrame:
+        """One row: the totals as lines of text. Times are left out: they say nothing about a distributed search."""
+        both = self.stats().crossJoin(self.bytes_printed())  # one row each
+        said = [("matches", "matches"), ("matched_lines", "matched lines"), ("searches_with_match", "files contained matches"), ("searches", "files searched"), ("bytes_printed", "bytes printed"), ("bytes_searched", "bytes searched")]
+        return both.select(F.concat_ws("\n", *(F.concat_ws(" ", F.col(c).cast("string"), F.lit(text)) for c, text in said)).alias("report"))
+
     def stats(self) -> DataFrame:
         """One row of totals over all files. Under invert lines are selected, and no matches counted."""
         hits = F.filter(self.lines_of(F.col("_text")), self.selected)
@@ -629,6 +647,12 @@ class PatternSet:
         found = F.array_compact(F.array(*(F.when(F.regexp_instr(text, F.lit(c.java)) > 0, F.struct(F.regexp_instr(text, F.lit(c.java)).alias("start"), F.lit(k).alias("pattern_id"))) for k, c in enumerate(self.compiled))))
         return F.array_min(found)
 
+    def captures(self, text: Column) -> Column:
+        """(pattern_id, groups) of the first match of each pattern that matches; group 0 is the whole match, and a group that
+        took no part is empty."""
+        one = lambda k, c: F.when(text.rlike(c.java), F.struct(F.lit(k).alias("pattern_id"), F.array(*(F.regexp_extract(text, c.java, g) for g in range(c.n_groups + 1))).alias("groups")))
+        return F.array_compact(F.array(*(one(k, c) for k, c in enumerate(self.compiled))))
+
     def count(self, text: Column) -> Column:
         """Matches of the ordered alternation of all patterns; an empty one right after another match is none."""
         if not any(c.can_be_empty for c in self.compiled):

@@ -33,6 +33,12 @@ IGNORED_SHORT = {"p": "pretty", "0": "null", "L": "follow", ".": "hidden", "z":
 SHORT_VALUES = {"j": "threads", "d": "max-depth", "E": "encoding"}
 
 
+def config_args(text: str) -> list[str]:
+    """The arguments of a configuration file: one a line, without blank lines and lines that start with #."""
+    lines = (line.strip() for line in text.split("\n"))
+    return [line for line in lines if line and not line.startswith("#")]
+
+
 def parse(args: list[str]) -> tuple[SearchQuery, list[str]]:
     """The query and the paths of an argument list. Unknown flags and bad values raise ValueError."""
     short = {s: name for name, s, _, _ in SWITCHES if s} | {v[0]: name for name, v in VALUES.items() if v[0]} | {"e": "regexp", "C": "context", "g": "glob", "t": "type", "T": "type-not", "w": "word-regexp", "x": "line-regexp", "U": "multiline", "f": "file"} | IGNORED_SHORT | SHORT_VALUES

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.functions import globs as G
+from textlode.functions import matchlib as M
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.ignore import decision, ignored, parse_rules, rule_rows, with_rule_table
 from textlode.operators.patterns import literal_hits
@@ -161,10 +162,37 @@ def pattern_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@register("find_offsets", "SELECT doc_id, CASE WHEN contains(text, 'tion') THEN CAST(strlen(string_split(text, 'tion')[1]) AS BIGINT) END AS first, CASE WHEN contains(text, 'tion') THEN CAST(strlen(text) - strlen(string_split(text, 'tion')[-1]) - 4 AS BIGINT) END AS last, CASE WHEN regexp_matches(text, '[xqz]') THEN CAST(strlen(regexp_extract(text, '^[^xqz]*')) AS BIGINT) END AS rare, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS n FROM documents")
+def find_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", M.find(text, "tion").alias("first"), M.find_last(text, "tion").alias("last"), M.find_any(text, "xqz").alias("rare"), M.count_character(text, "e").alias("n"))
+
+
+@register("literals_leftmost", "SELECT doc_id, CAST(len(regexp_extract_all(text, 'an|the|ou')) AS BIGINT) AS n FROM documents")
+def literals_leftmost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.size(M.literal_matches(F.col("text"), PARTS)).cast("long").alias("n"))
+
+
+@register("literals_overlapping", "SELECT doc_id, CAST(len(string_split(text, 'the')) + len(string_split(text, 'he')) + len(string_split(text, 'her')) - 3 AS BIGINT) AS n FROM documents")
+def literals_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.size(M.literal_matches(F.col("text"), ["the", "he", "her"], "overlapping")).cast("long").alias("n"))
+
+
+@register("matches_as_rows", "SELECT doc_id, CAST(k - 1 AS INTEGER) AS match_index, ms[k] AS match FROM (SELECT doc_id, regexp_extract_all(text, 'th[a-z]on') AS ms FROM documents), unnest(range(1, len(ms) + 1)) AS v(k)")
+def matches_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    M.register(spark)
+    return spark.sql("SELECT doc_id, m.match_index, m.match FROM {rows}, LATERAL matches_of(text, 'th[a-z]on') m", rows=docs(spark, sf_dir))
+
+
+over_documents("count_captures", SearchQuery(patterns=("([a-z])an([a-z])?",)), Search.count_captures, f"SELECT doc_id, CAST(sum(list_sum([length(m) - 1 FOR m IN ms])) AS BIGINT) AS n FROM (SELECT doc_id, regexp_extract_all(line, '[a-z]an[a-z]?') AS ms FROM ({LINES})) WHERE len(ms) > 0 GROUP BY doc_id")
+over_documents("stats_report", SearchQuery(patterns=("edst",), with_filename=False), lambda s: s.stats_report().select(F.element_at(F.split("report", "\n"), 5).alias("line")), f"SELECT CAST(sum(strlen(line) + 1) AS BIGINT) || ' bytes printed' AS line FROM ({LINES}) WHERE contains(line, 'edst')")
+
+
 def path_query(name: str, condition: Callable[[Column], Column], sql: str) -> None:
     register(name, f"SELECT path FROM (SELECT {PATH} AS path FROM documents) WHERE {sql}")(lambda spark, sf_dir: with_path(docs(spark, sf_dir)).filter(condition(F.col("path"))).select("path"))
 
 
+path_query("globset_all", lambda p: G.all_match(p, ["src1*", "*.md", "*/en/*"]), "path LIKE 'src1%' AND path LIKE '%.md' AND path LIKE '%/en/%'")
 path_query("glob_include", lambda p: G.override(p, ["*.md"]), "path LIKE '%.md'")
 path_query("glob_exclude", lambda p: G.override(p, ["!src1*/**"]), "NOT regexp_matches(path, '^src1[^/]*/')")
 path_query("glob_last_wins", lambda p: G.override(p, ["*.md", "!src1/**", "src1/en/*.md"]), "path LIKE '%.md' AND (path NOT LIKE 'src1/%' OR regexp_matches(path, '^src1/en/[^/]*[.]md$'))")
