@@ -11,6 +11,7 @@ from textlode.plans.flags import parse
 from textlode.plans.query import SearchQuery
 from textlode.plans.run import run, run_rows
 from textlode.sources.files import decompressed, sort_entries
+from textlode.sources.large import search_large
 from textlode.streaming.search import stream_lines
 
 SF = "/root/testdata/sf0.001"
@@ -72,10 +73,77 @@ def test_options_that_would_lose_matches_are_refused(spark):
     with pytest.raises(ValueError, match="combined"):
         Search(haystack(spark), SearchQuery(patterns=("a",), multiline=True, invert=True)).multiline()
     with pytest.raises(ValueError, match="sorted"):
-        sort_entries(haystack(spark), "accessed")
-    for name in ("a.lz4", "a.br", "a.Z"):
-        with pytest.raises(ValueError, match="decompressed"):
-            decompressed(name, b"")
+        sort_entries(haystack(spark), "size")
+
+
+def test_decompression():
+    import shutil
+    import subprocess
+
+    import pyarrow as pa
+
+    data = ("some text of the log, again and again; " * 4000 + "".join(chr(33 + k * k % 90) for k in range(30000))).encode()
+    for name, codec in (("a.lz4", "lz4"), ("a.br", "brotli")):
+        out = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(out, codec) as f:
+            f.write(data)
+        assert decompressed(name, out.getvalue().to_pybytes()) == data
+    if shutil.which("gzip"):  # reads the format too
+        assert subprocess.run(["gzip", "-dc"], input=lzw(data), capture_output=True, check=False).stdout == data
+    assert decompressed("a.Z", lzw(data)) == data
+    for name in ("a.Z", "a.lz4", "a.br", "a.gz"):
+        assert decompressed(name, b"not packed") == b"not packed"
+
+
+def lzw(data):
+    """A `.Z` file of some bytes, without resets."""
+    table, bits, n, width, in_group = {bytes([k]): k for k in range(256)}, 0, 0, 9, 0
+    size = 257
+    now = b""
+
+    def put(code):
+        nonlocal bits, n, in_group
+        bits |= code << n
+        n += width
+        in_group += 1
+
+    for c in (data[k : k + 1] for k in range(len(data))):
+        if now + c in table:
+            now += c
+            continue
+        put(table[now])
+        if size < 1 << 16:
+            table[now + c] = size
+            size += 1
+        if size > (1 << width) and width < 16:
+            while in_group % 8:
+                put(0)
+            width, in_group = width + 1, 0
+        now = c
+    put(table[now])
+    return b"\x1f\x9d\x90" + bits.to_bytes(-(-n // 8), "little")
+
+
+def test_preprocessor_and_large_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\n")
+    (tmp_path / "in" / "b.log").write_text("two\n")
+    command = tmp_path / "shout"
+    command.write_text('#!/bin/sh\ntr a-z A-Z < "$1"\n')
+    command.chmod(0o755)
+    assert rows(run(spark, ["--pre", str(command), "--pre-glob", "*.txt", "-i", "one|two", str(tmp_path / "in")]), "path", "line") == [("a.txt", "ONE"), ("b.log", "two")]
+    (tmp_path / "big").mkdir()
+    text = "".join(f"line {k} é\r\n" if k % 7 else f"hit {k}\r\n" for k in range(5000))
+    (tmp_path / "big" / "x.txt").write_bytes(text.encode())
+    (tmp_path / "big" / "y.txt").write_bytes(b"no\nhit\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    found = search_large(spark, str(tmp_path / "big"), SearchQuery(patterns=("hit",), crlf=True)).collect()
+    assert spark.read.text(str(tmp_path / "big")).rdd.getNumPartitions() > 5
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    lines = text.encode().split(b"\n")
+    expected = [(k + 1, sum(len(x) + 1 for x in lines[:k]), f"hit {k}") for k in range(0, 5000, 7)]
+    assert sorted((r.line_number, r.byte_offset, r.line) for r in found if r.path.endswith("x.txt")) == expected
+    assert [(r.line_number, r.byte_offset) for r in found if r.path.endswith("y.txt")] == [(2, 3)]
 
 
 def test_goldens(spark):

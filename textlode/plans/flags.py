@@ -22,11 +22,11 @@ VALUES = {
 }
 #: Options of the walk and of reading, which `plans.run` gives to them; `no-` before one is kept as it is given.
 WALK = {"one-file-system", "follow", "hidden", "ignore", "ignore-dot", "ignore-exclude", "ignore-files", "ignore-global", "ignore-parent", "ignore-vcs", "require-git", "search-zip", "glob-case-insensitive", "ignore-file-case-insensitive", "stats"}
-WALK_VALUES = {"max-depth", "max-filesize", "encoding"}
-WALK_LISTS = {"ignore-file", "type-add", "type-clear"}
+WALK_VALUES = {"max-depth", "max-filesize", "encoding", "pre"}
+WALK_LISTS = {"ignore-file", "type-add", "type-clear", "pre-glob"}
 #: Options that change nothing here: scheduling, presentation and diagnostics belong to Spark or to the caller.
 IGNORED = {"block-buffered", "line-buffered", "debug", "trace", "messages", "ignore-messages", "mmap", "no-config", "heading", "pretty", "null", "pcre2-unicode", *WALK}
-IGNORED_VALUES = {"color", "colors", "threads", "hostname-bin", "hyperlink-format", "path-separator", "pre", "pre-glob", "generate", *WALK_VALUES, *WALK_LISTS}
+IGNORED_VALUES = {"color", "colors", "threads", "hostname-bin", "hyperlink-format", "path-separator", "generate", *WALK_VALUES, *WALK_LISTS}
 #: Sizes that are checked and then change nothing: the engines here have no such limits.
 SIZES = {"dfa-size-limit", "regex-size-limit"}
 IGNORED_SHORT = {"p": "pretty", "0": "null", "L": "follow", ".": "hidden", "z": "search-zip", "u": "unrestricted"}

@@ -116,6 +116,6 @@ def run(spark: SparkSession, args: list[str]) -> DataFrame:
     entries = walk(spark, paths or ["."], walk_options(query))
     if query.mode == "files":
         return sort_entries(entries, query.sort, query.sort_reverse).select("path") if query.sort != "none" else entries.select("path")
-    corpus = read_corpus(spark, entries, str(query.unknown.get("encoding", "auto")), bool(query.unknown.get("search-zip", False)))
+    corpus = read_corpus(spark, entries, str(query.unknown.get("encoding", "auto")), bool(query.unknown.get("search-zip", False)), query.unknown.get("pre") or None, tuple(query.unknown.get("pre-glob", ())))
     search = Search(corpus, query, ("path",))
     return search.stats() if query.unknown.get("stats") else sorted_by(searched(search), query, "path")

@@ -7,10 +7,12 @@ import gzip
 import lzma
 import os
 import re
+import subprocess
 import zlib
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from textlode.functions.globs import override
 from textlode.functions.ignore import IgnoreRule, ignored, parse_rules
 from textlode.session import ship
 
-ENTRIES = "path string, parent string, file_name string, depth int, is_dir boolean, is_symlink boolean, is_hidden boolean, size long, mtime double, full_path string"
+ENTRIES = "path string, parent string, file_name string, depth int, is_dir boolean, is_symlink boolean, is_hidden boolean, size long, mtime double, atime double, ctime double, full_path string"
 IGNORE_FILES = {".gitignore": "gitignore", ".ignore": "ignore"}
 SUFFIXES = {"K": 1 << 10, "M": 1 << 20, "G": 1 << 30}
 
@@ -163,7 +165,7 @@ def listed(root: str, options: WalkOptions) -> list[tuple]:
                 continue
             info = os.stat(full) if os.path.exists(full) else os.lstat(full)
             hidden = any(p.startswith(".") for p in path.split("/"))
-            out.append((path, path.rpartition("/")[0], name, depth + 1, os.path.isdir(full), link, hidden, info.st_size, info.st_mtime, full))
+            out.append((path, path.rpartition("/")[0], name, depth + 1, os.path.isdir(full), link, hidden, info.st_size, info.st_mtime, info.st_atime, getattr(info, "st_birthtime", info.st_ctime), full))
     return out
 
 
@@ -196,11 +198,12 @@ def walk(spark: SparkSession, roots: list[str], options: WalkOptions | None = No
 
 
 def sort_entries(entries: DataFrame, key: str, reverse: bool = False) -> DataFrame:
-    """By path (siblings by name), or mtime; unknown times come last, and first in reverse. Times of access and creation
-    are not in the listing."""
-    if key not in ("path", "modified", "mtime"):
+    """By path (siblings by name), or a time; unknown times come last, and first in reverse. Where a file system doesn't keep
+    the time of creation, it is that of the last change of the file's entry."""
+    times = {"modified": "mtime", "mtime": "mtime", "accessed": "atime", "created": "ctime"}
+    if key != "path" and key not in times:
         raise ValueError(f"entries can't be sorted by {key}")
-    column = F.split("path", "/") if key == "path" and not reverse else F.col("path" if key == "path" else "mtime")
+    column = F.split("path", "/") if key == "path" and not reverse else F.col(times.get(key, "path"))
     return entries.orderBy(column.desc_nulls_first() if reverse else column.asc_nulls_last())
 
 
@@ -220,11 +223,44 @@ def decode_bytes(data: bytes | None, label: str = "auto") -> str | None:
     return data.decode("utf-8" if label in ("auto", "none") else LABELS.get(label, label), "replace")
 
 
+def unpacked(data: bytes) -> bytes:
+    """The content of a `.Z` file: LZW codes of 9 to 16 bits, in groups of eight that are padded where the width changes."""
+    if data[:2] != b"\x1f\x9d" or len(data) < 3:
+        raise ValueError("not a .Z file")
+    most, resets = data[2] & 31, bool(data[2] & 128)
+    first = 257 if resets else 256
+    table: list[bytes] = [bytes([k]) for k in range(256)] + [b""] * (first - 256)
+    out, before = [], b""
+    at, width, group = 24, 9, 24  # in bits; `group` is where the codes of this width began
+    while at + width <= 8 * len(data):
+        if len(table) >= 1 << width and width < most:
+            at = group + -(-(at - group) // (8 * width)) * 8 * width
+            width, group = width + 1, at
+            continue
+        code = int.from_bytes(data[at // 8 : at // 8 + 4], "little") >> at % 8 & (1 << width) - 1
+        at += width
+        if code == 256 and resets:
+            at = group + -(-(at - group) // (8 * width)) * 8 * width
+            del table[first:]
+            width, group, before = 9, at, b""
+            continue
+        if code > len(table) or (code == len(table) and not before):
+            raise ValueError("a damaged .Z file")
+        entry = table[code] if code < len(table) else before + before[:1]
+        if before and len(table) < 1 << most:
+            table.append(before + entry[:1])
+        out.append(entry)
+        before = entry
+    return b"".join(out)
+
+
 def decompressed(path: str, data: bytes) -> bytes:
-    """Content by suffix; unknown suffixes and damaged files stay as they are; known formats without a decoder raise."""
-    if path.endswith((".lz4", ".br", ".Z")):
-        raise ValueError(f"{path}: lz4, br and Z files can't be decompressed")
+    """Content by suffix; unknown suffixes and damaged files stay as they are."""
     try:
+        if path.endswith((".lz4", ".br")):
+            return pa.CompressedInputStream(pa.BufferReader(data), "lz4" if path.endswith("4") else "brotli").read()
+        if path.endswith(".Z"):
+            return unpacked(data)
         if path.endswith((".gz", ".tgz")):
             return gzip.decompress(data)
         if path.endswith((".bz2", ".tbz2")):
@@ -252,9 +288,9 @@ def decoded(content: Column, label: str = "auto") -> Column:
     return run(content)
 
 
-def read_corpus(spark: SparkSession, entries: DataFrame, label: str = "auto", search_zip: bool = False) -> DataFrame:
-    """(path, text) of the files of `entries`, each read where its row is processed."""
-
+def read_corpus(spark: SparkSession, entries: DataFrame, label: str = "auto", search_zip: bool = False, command: str | None = None, command_globs: tuple[str, ...] = ()) -> DataFrame:
+    """(path, text) of the files of `entries`, each read where its row is processed. With a `command`, the text of a file (of
+    those that `command_globs` choose, if given) is what the command prints for its path."""
     ship(spark)
 
     @F.pandas_udf("string")
@@ -266,7 +302,20 @@ def read_corpus(spark: SparkSession, entries: DataFrame, label: str = "auto", se
 
         return paths.map(one)
 
-    return entries.select("path", run("full_path").alias("text"))
+    @F.pandas_udf("string")
+    def printed(paths: pd.Series) -> pd.Series:
+        def one(path: str) -> str:
+            done = subprocess.run([command, path], capture_output=True, check=False)
+            if done.returncode:
+                raise ValueError(f"{command} {path}: {done.stderr.decode(errors='replace')[:500]}")
+            return decode_bytes(done.stdout, label)
+
+        return paths.map(one)
+
+    if not command:
+        return entries.select("path", run("full_path").alias("text"))
+    by_command = override(F.col("path"), list(command_globs)) if command_globs else F.lit(True)
+    return entries.filter(by_command).select("path", printed("full_path").alias("text")).unionByName(entries.filter(~by_command).select("path", run("full_path").alias("text")))
 
 
 def read_store(spark: SparkSession, path: str, label: str = "auto") -> DataFrame:
