@@ -323,3 +323,13 @@ def test_stream(spark):
     query.processAllAvailable()
     query.stop()
     assert spark.table("found").count() == search_queries.queries()["search_literal"](spark, SF).count()
+
+
+def test_numbered_rows(spark):
+    from textlode.operators.order import numbered
+
+    names = spark.createDataFrame([(f"n{k % 300:03d}", k) for k in range(900)] + [(None, -1)], "name string, place_before long")
+    made = sorted((r.place, r.name) for r in numbered(names.repartition(6), F.col("name")).collect())
+    assert [p for p, _ in made] == list(range(1, 902)) and made[0][1] is None
+    assert [n for _, n in made[1:]] == sorted(n for _, n in made[1:])
+    assert numbered(names.limit(0), F.col("name")).count() == 0

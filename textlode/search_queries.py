@@ -11,6 +11,7 @@ from textlode.functions import globs as G
 from textlode.functions import matchlib as M
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.ignore import decision, ignored, parse_rules, rule_rows, with_rule_table
+from textlode.operators.order import numbered
 from textlode.operators.patterns import literal_hits
 from textlode.operators.search import PatternSet, Search
 from textlode.plans.flags import parse
@@ -267,13 +268,8 @@ def type_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("sort_path", f"SELECT CAST(row_number() OVER (ORDER BY string_split(path, '/')) AS BIGINT) AS place, path FROM (SELECT {PATH} AS path FROM documents)")
 def sort_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files in the order of their path's components: ranks of components by joins of small tables, not one sorted task."""
-    from pyspark.sql import Window
-
-    rows = with_path(docs(spark, sf_dir)).select("path").withColumn("parts", F.split("path", "/")).withColumn("top", F.struct(F.get("parts", F.lit(0)), F.get("parts", F.lit(1))))
-    counts = rows.groupBy("top").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(before, "top").select((F.row_number().over(Window.partitionBy("top").orderBy("parts")) + F.col("before")).cast("long").alias("place"), "path")
+    """Files in the order of their path's components."""
+    return numbered(with_path(docs(spark, sf_dir)).select("path"), F.split("path", "/")).select("place", "path")
 
 
 over_documents("stats_summary", SearchQuery(patterns=("tion",)), Search.stats, f"WITH m AS (SELECT doc_id, count(*) FILTER (WHERE contains(line, 'tion')) AS l, sum(len(regexp_extract_all(line, 'tion'))) AS n FROM ({LINES}) GROUP BY doc_id) SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS searches, CAST(count(*) FILTER (WHERE l > 0) AS BIGINT) AS searches_with_match, CAST((SELECT sum(strlen(text)) FROM documents) AS BIGINT) AS bytes_searched, CAST(sum(l) AS BIGINT) AS matched_lines, CAST(sum(n) AS BIGINT) AS matches FROM m")
