@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.session import materialise, workspace
+from textlode.session import drop_path, materialise, workspace
 
 MAX_STEPS = 60
 
@@ -34,8 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     Rows: `edges` has columns a and b; repeated edges, both directions and loops are allowed, null ends are ignored."""
     spark, state = edges.sparkSession, None
     current = edges.select("a", "b").filter("a != b")
+    former = None
     for step in range(MAX_STEPS):
-        current = materialise(_small(_large(current)), workspace(spark, f"components-{step}"))
+        path = workspace(spark, f"components-{step}")
+        current = materialise(_small(_large(current)), path)
+        if former:
+            drop_path(spark, former)  # nothing reads the step before any more
+        former = path
         n, check = current.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if (n, check) == state or not n:
             return current.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from textlode.llm.batches import arrow_map, free_name, list_array
 from textlode.llm.words import Words, byte_class, mixed
-from textlode.session import materialise, workspace
+from textlode.session import drop_path, materialise, workspace
 
 #: The masks; 1 takes a token, 0 ignores it.
 MASKS = ("1110111", "110100111", "1100101011", "10110010111")
@@ -201,7 +201,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     found = arrow_map(both, verify, "row long, item long, n_equal long, n_stretch long, start_token long, n_tokens long")
     best = found.groupBy("row", "item", "n_tokens").agg(F.max(F.struct("n_equal", "n_stretch", (-F.col("start_token")).alias("back"))).alias("best"))
     named = best.join(small(items.items.select("item", "item_id")), "item")
-    return materialise(named.select("row", "item_id", "best.n_equal", "best.n_stretch", (-F.col("best.back")).alias("start_token"), "n_tokens"), f"{root}/leaks")
+    out = materialise(named.select("row", "item_id", "best.n_equal", "best.n_stretch", (-F.col("best.back")).alias("start_token"), "n_tokens"), f"{root}/leaks")
+    for name in ("items", "seeds", "placed", "tokens"):
+        drop_path(spark, f"{root}/{name}")
+    return out
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -285,6 +285,8 @@ def grouped(df: DataFrame, size: int, percent: int, id_col: str = "doc_id", text
     )
     more = edges_of(pairs, "cross")
     final = components(labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+    for name in ("postings", "pivots", "told", *(f"{part}-{kind}" for part in ("star", "cross") for kind in ("pairs", "wanted", "single-sets", "edges"))):
+        drop_path(spark, f"{root}/{name}")
     named = classes.select("cls", "rep").join(final.select(F.col("id").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     owner = named.join(least, "root").select("cls", F.col("root").alias("component"), "component_id")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textlode.llm.batches import arrow_map
 from textlode.llm.boosting import Boosted, held_out
-from textlode.session import materialise, workspace
+from textlode.session import drop_path, materialise, workspace
 
 KINDS = ("email", "ip", "card", "phone")
 TRAINING_ROWS, REAL_ROWS, SEED, PRECISION, CONTEXT = 1200, 1500, 7, 0.98, 40
@@ -392,12 +392,14 @@ def train(df: DataFrame, text_col: str = "text") -> Selector:
         return run
 
     made = arrow_map(df.select(text_col, F.xxhash64(text_col)), make, "kind string, real boolean, place double, x array<double>")
-    made = materialise(made, workspace(df.sparkSession, "pii-examples"))
+    path = workspace(df.sparkSession, "pii-examples")
+    made = materialise(made, path)
     counts = {(r.kind, r.real): r.n for r in made.groupBy("kind", "real").agg(F.count("*").alias("n")).collect()}
     chosen = functools.reduce(lambda a, b: a | b, [(F.col("kind") == kind) & (F.col("real") == real) & (F.col("place") < 1.1 * REAL_ROWS / n) for (kind, real), n in counts.items()], F.lit(False))
     by_kind: dict[str, list[tuple[float, bool, list[float]]]] = {}
     for r in made.filter(chosen).collect():  # about 1.1 * REAL_ROWS of each kind and truth at most
         by_kind.setdefault(r.kind, []).append((r.place, r.real, list(r.x)))
+    drop_path(df.sparkSession, path)
     rows = {}
     for kind, found in by_kind.items():
         found.sort()
