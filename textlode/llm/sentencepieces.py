@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlode.llm.batches import arrow_map, list_array
-from textlode.llm.wordwise import SLICE_BYTES, Learned, Memory, cut, rows_of
+from textlode.llm.wordwise import Learned, Memory, cut, rows_of
 
 SPACE = "▁"
 MARK = SPACE.encode()
+#: Bytes of text that are encoded together: the spans and decoded texts of a slice are held with it.
+SLICE_BYTES = 1_000_000
 #: Words that one worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Words that the library encodes as one text.
 ENCODED = 500
 #: Piece kinds of the model format.
