@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import cotraining, decontaminate, html_text, jaccard, line_dedup, pii, quality_rules, sentencepieces, slots, token_records
+from textlode.llm import cotraining, decontaminate, html_text, jaccard, line_dedup, periodic_runs, pii, quality_rules, sentencepieces, slots, token_records
 from textlode.session import workspace
 
 PIECES, BYTES, END_ID = "piece_bpe_32k.model", "byte_bpe_50k.json", 2
@@ -71,10 +71,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find(table(spark, sf_dir, "documents"), prepare=periodic_runs.tail_repeated))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_html_extraction, op2_sentencepiece, op3_sharding, op4_pii, op5_line_dedup,
         op6_cotraining, op7_quality_rules, op8_decontamination, op9_token_records, op10_jaccard_join,
+        op11_periodic_runs,
     )
     return {f.__name__: f for f in own}
 
