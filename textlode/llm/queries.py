@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import cotraining, decontaminate, html_text, jaccard, line_dedup, periodic_runs, pii, quality_rules, sentencepieces, slots, substring_dedup, token_records
+from textlode.llm import cotraining, decontaminate, html_text, jaccard, line_dedup, periodic_runs, phrases, pii, quality_rules, sentencepieces, slots, substring_dedup, token_records
 from textlode.session import workspace
 
 PIECES, BYTES, END_ID = "piece_bpe_32k.model", "byte_bpe_50k.json", 2
@@ -79,14 +79,18 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_html_extraction, op2_sentencepiece, op3_sharding, op4_pii, op5_line_dedup,
         op6_cotraining, op7_quality_rules, op8_decontamination, op9_token_records, op10_jaccard_join,
-        op11_periodic_runs, op12_substring_dedup,
+        op11_periodic_runs, op12_substring_dedup, op13_phrases,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL.format(rows="documents"), "op7_quality_rules": quality_rules.SQL.format(rows="documents"), "op12_substring_dedup": substring_dedup.SQL.format(rows="documents")}
+    return {"op5_line_dedup": line_dedup.SQL.format(rows="documents"), "op7_quality_rules": quality_rules.SQL.format(rows="documents"), "op12_substring_dedup": substring_dedup.SQL.format(rows="documents"), "op13_phrases": phrases.SQL.format(rows="documents")}
