@@ -33,6 +33,10 @@ class PatternError(ValueError):
     """The pattern is not valid in the dialect."""
 
 
+class BytesNeeded(PatternError):
+    """The pattern asks for bytes by their values, which a text column doesn't show."""
+
+
 @dataclass(frozen=True)
 class Flags:
     ignore_case: bool = False
@@ -66,6 +70,7 @@ class Compiled:
     can_match_newline: bool
     literals: list[str] | None  # every match holds one of these; None: unknown
     sure_groups: frozenset[int] = frozenset()  # groups that take part in every match
+    of_bytes: bool = False  # an expression over the Latin-1 view of bytes
 
 
 class Parser:
@@ -73,6 +78,7 @@ class Parser:
         self.text, self.at, self.flags, self.look_around = pattern, 0, flags, look_around
         self.names: dict[str, int] = {}
         self.groups = 0
+        self.bytes = False  # whether a byte above 127 is asked for by its value
 
     def peek(self, n: int = 1) -> str:
         return self.text[self.at : self.at + n]
@@ -291,8 +297,16 @@ class Parser:
         found = self.simple_escape(c)
         if found is None:
             raise PatternError(f"unknown escape \\{c}: {self.text!r}")
+        if self.is_byte(c, found):
+            return Node("byte", f, ord(found))
         return Node("lit", f, found)
 
+    def is_byte(self, c: str, found: str) -> bool:
+        """Whether an escape is one byte of any value: a two-digit one with Unicode off."""
+        of_bytes = c == "x" and not self.flags.unicode and 128 <= ord(found) < 256
+        self.bytes = self.bytes or of_bytes
+        return of_bytes
+
     # Bracket classes. A set is text that may stand between brackets in Java; a leading ^ negates it.
     def bracket(self) -> str:
         negated = False
@@ -361,6 +375,8 @@ class Parser:
         """A character, or NUL and a set."""
         c = self.take()
         if c != "\\":
+            if not self.flags.unicode and not c.isascii():
+                raise PatternError(f"a class of bytes can't hold the character {c!r}: {self.text!r}")
             return c
         c = self.take()
         if c in "pP":
@@ -370,6 +386,7 @@ class Parser:
         found = self.simple_escape(c)
         if found is None:
             raise PatternError(f"unknown escape \\{c}: {self.text!r}")
+        self.is_byte(c, found)
         return found
 
 
@@ -388,6 +405,8 @@ def emit(node: Node) -> str:
         return _folds(node, quoted(node.value))
     if kind == "set":
         return _folds(node, f"[{node.value}]")
+    if kind in ("raw", "chars"):
+        return node.value
     if kind == "cat":
         return "(?:" + "".join(map(emit, node.parts)) + ")" if len(node.parts) != 1 else emit(node.parts[0])
     if kind == "alt":
@@ -424,7 +443,7 @@ def emit(node: Node) -> str:
 
 def empty(node: Node) -> bool:
     """Whether the node can match the empty string."""
-    if node.kind in ("lit", "set"):
+    if node.kind in ("lit", "set", "chars", "byte"):
         return False
     if node.kind == "rep":
         return node.value[0] == 0 or empty(node.parts[0])
@@ -437,10 +456,10 @@ def newline(node: Node) -> bool:
     """Whether a match can hold a line feed (sets are asked by Python's engine)."""
     if node.kind == "lit":
         return node.value == "\n"
-    if node.kind == "set":
+    if node.kind in ("set", "chars"):
         import regex
 
-        return bool(regex.match(to_python(f"[{node.value}]"), "\n"))
+        return bool(regex.match(to_python(f"[{node.value}]" if node.kind == "set" else node.value), "\n"))
     if node.kind in ("back", "look"):
         return node.kind == "back"
     return any(map(newline, node.parts))
@@ -514,14 +533,15 @@ def smart_case(patterns: list[str]) -> bool:
     return not any("A" <= c <= "Z" for p in patterns for c in p)
 
 
-def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "sensitive", word: bool = False, line: bool = False, flags: Flags | None = None, look_around: bool = False, whole_buffer: bool = False) -> Compiled:
-    """One ordered alternation of all patterns. No pattern at all matches nothing."""
+def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "sensitive", word: bool = False, line: bool = False, flags: Flags | None = None, look_around: bool = False, whole_buffer: bool = False, of_bytes: bool = False) -> Compiled:
+    """One ordered alternation of all patterns. No pattern at all matches nothing. With `of_bytes` the expressions are for
+    the Latin-1 view of bytes; without, a pattern that asks for bytes is refused."""
     flags = flags or Flags()
     texts = [escape_fixed(p) for p in patterns] if fixed else list(patterns)
     if case == "insensitive" or (case == "smart" and smart_case(texts)):
         flags = replace(flags, ignore_case=True)
     if not texts:
-        return Compiled(r"[^\x{0}-\x{10ffff}]", to_python(r"[^\x{0}-\x{10ffff}]"), {}, 0, False, False, None)
+        return Compiled(r"[^\x{0}-\x{10ffff}]", to_python(r"[^\x{0}-\x{10ffff}]"), {}, 0, False, False, None, of_bytes=of_bytes)
     for p in texts:
         Parser(p, flags, look_around).parse()  # each alone must be valid
     text = "|".join(f"(?:{p}\n)" if flags.verbose else f"(?:{p})" for p in texts) if len(texts) > 1 else texts[0]
@@ -531,8 +551,14 @@ def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "s
         text = rf"\b{{start-half}}(?:{text})\b{{end-half}}"
     parser = Parser(text, flags, look_around)
     tree = parser.parse()
+    if of_bytes:
+        from textlode.functions.byteview import view
+
+        tree = view(tree)
+    elif parser.bytes:
+        raise BytesNeeded(f"a pattern of bytes needs a binary column: {text!r}")
     crosses = newline(tree)
     if not whole_buffer and any("\n" in p or "\\n" in p.replace("\\\\", "") for p in texts) and crosses and required(tree) and any("\n" in r for r in required(tree)):
         raise PatternError("the literal \\n is not allowed in a pattern unless multi-line search is on")
     java = emit(tree)
-    return Compiled(java, to_python(java), parser.names, parser.groups, empty(tree), crosses, required(tree), frozenset(sure(tree)))
+    return Compiled(java, to_python(java), parser.names, parser.groups, empty(tree), crosses, required(tree), frozenset(sure(tree)), of_bytes)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructType
 
 from textlode.functions import replacement
 from textlode.functions.dialect import Compiled
@@ -33,11 +33,24 @@ LEADING = r"^[\t\n\x0B\f\r ]+"
 
 
 class Search:
-    """A query over `df`; `keys` name a file, `text` its text."""
+    """A query over `df`; `keys` name a file, `text` its text. Where that column is binary, bytes are searched: each is a
+    character of a Latin-1 view, lines and matches come back in that view, and `to_bytes` gives them as they were."""
 
     def __init__(self, df: DataFrame, query: SearchQuery, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> None:
         self.df, self.query, self.keys, self.text = df, query, list(keys), text
-        self.pattern: Compiled = query.compiled()
+        self.of_bytes = isinstance(df.schema[text].dataType, BinaryType)
+        if self.of_bytes and query.replacement:
+            self.query = query.where(replacement=query.replacement.encode().decode("latin-1"))
+        self.pattern: Compiled = query.compiled(self.of_bytes)
+
+    def size_of(self, text: Column) -> Column:
+        """Bytes of a text; of a view, its characters."""
+        return F.char_length(text) if self.of_bytes else F.octet_length(text)
+
+    @staticmethod
+    def to_bytes(text: Column) -> Column:
+        """The bytes of what a search of bytes returns."""
+        return F.encode(text, "ISO-8859-1")
 
     def _needs(self, what: str, *fields: str) -> None:
         """Refuse options that `what` would leave out of account."""
@@ -66,8 +79,10 @@ class Search:
     def files(self, prune: bool = False) -> DataFrame:
         """Files whose text is searched: binary ones (with a NUL) are cut or converted as the query says. `prune` leaves
         out files that can't match, by a test on the column as it is stored."""
-        text = F.col(self.text)
+        text = F.decode(F.col(self.text), "ISO-8859-1") if self.of_bytes else F.col(self.text)
         stored = self.df.filter(self.possible(text)) if prune else self.df
+        if self.query.max_count == 0:  # nothing is searched
+            stored = stored.filter(F.lit(False))
         if self.query.binary == "quit" and not self.query.null_data:
             at = F.instr(text, "\0")
             text = F.when(at > 0, F.regexp_extract(F.substring(text, F.lit(1), at - 1), r"(?s)\A(.*\n)?", 0)).otherwise(text)
@@ -111,12 +126,15 @@ class Search:
         """Selected lines; with a limit, the first ones of each file; stop_on_nonmatch ends a file after its first run."""
         if self.query.multiline:
             return self.multiline_lines()
-        if self._limited():
-            rows = self.files(not self.query.invert).select(*self.keys, F.explode(self._chosen(self.lines_of(F.col("_text")))).alias("_s"))
-            rows = rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), F.col("_s.line").alias("line"))
-        else:
-            rows = self.records(prune=True).filter(self.selected(F.col("line")))
-        return rows.select(*self.keys, "line_number", self.shaped(F.col("line")).alias("line"))
+        return self.chosen().select(*self.keys, "line_number", self.shaped(F.col("line")).alias("line"))
+
+    def chosen(self) -> DataFrame:
+        """(keys, line_number, line): the selected lines as they are. Every mode starts from these lines, so that limits,
+        stop_on_nonmatch and invert hold in all of them."""
+        if not self._limited():
+            return self.records(prune=True).filter(self.selected(F.col("line")))
+        rows = self.files(not self.query.invert).select(*self.keys, F.explode(self._chosen(self.lines_of(F.col("_text")))).alias("_s"))
+        return rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), F.col("_s.line").alias("line"))
 
     def shaped(self, line: Column, context: bool = False) -> Column:
         """Trimmed and limited in width, as the query says. Widths are bytes; a preview ends with the last whole character
@@ -124,20 +142,20 @@ class Search:
         q = self.query
         out = F.regexp_replace(line, LEADING, "") if q.trim else line
         if q.max_columns:
-            data = F.encode(out, "UTF-8")
-            cut = F.coalesce(*(F.try_validate_utf8(F.substring(data, 1, n).cast("string")) for n in range(q.max_columns, max(0, q.max_columns - 4), -1)), F.lit(""))
+            data = F.encode(out, "ISO-8859-1" if self.of_bytes else "UTF-8")
+            cut = F.substring(out, 1, q.max_columns) if self.of_bytes else F.coalesce(*(F.try_validate_utf8(F.substring(data, 1, n).cast("string")) for n in range(q.max_columns, max(0, q.max_columns - 4), -1)), F.lit(""))
             short = F.concat(cut, F.lit(" [... omitted end of long line]")) if q.preview else F.lit("[Omitted long context line]" if context else "[Omitted long matching line]")
-            out = F.when(F.octet_length(out) > q.max_columns, short).otherwise(out)
+            out = F.when(self.size_of(out) > q.max_columns, short).otherwise(out)
         return out
 
     def _sizes(self, raw: Column) -> Column:
         """Bytes of each record with its terminator."""
-        return F.transform(raw, lambda x: F.octet_length(x).cast("long") + 1)
+        return F.transform(raw, lambda x: self.size_of(x).cast("long") + 1)
 
     def _offset_rows(self) -> DataFrame:
         """Selected lines with byte_offset, and whether a terminator ends them."""
         text = F.col("_text")
-        placed = lambda upto, raw: lambda s: F.struct(s["at"].alias("at"), s["line"].alias("line"), upto(s["at"]).alias("byte_offset"), (upto(s["at"]) + F.octet_length(F.get(raw, s["at"])) < F.octet_length(text)).alias("ended"))
+        placed = lambda upto, raw: lambda s: F.struct(s["at"].alias("at"), s["line"].alias("line"), upto(s["at"]).alias("byte_offset"), (upto(s["at"]) + self.size_of(F.get(raw, s["at"])) < self.size_of(text)).alias("ended"))
         chosen = let(self.raw_lines(text), lambda raw: let(self._chosen(F.transform(raw, self.stripped)), lambda found: running(self._sizes(raw), lambda upto: F.transform(found, placed(upto, raw)))))
         rows = self.files(not self.query.invert).select(*self.keys, F.explode(chosen).alias("_s"))
         return rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), *(F.col(f"_s.{c}").alias(c) for c in ("byte_offset", "line", "ended")))
@@ -149,9 +167,8 @@ class Search:
     # Counts, within the row of a file.
     def count_lines(self, zero: bool | None = None) -> DataFrame:
         files = self.files(not (self.query.invert or zero or self.query.include_zero))
-        n = F.coalesce(F.size(F.filter(self.lines_of(F.col("_text")), self.selected)), F.lit(0)).cast("long")
-        if self.query.max_count is not None:
-            n = F.least(n, F.lit(self.query.max_count))
+        lines = self.lines_of(F.col("_text"))
+        n = F.coalesce(F.size(self._chosen(lines) if self._limited() else F.filter(lines, self.selected)), F.lit(0)).cast("long")
         out = files.select(*self.keys, n.alias("n"))
         return out if (self.query.include_zero if zero is None else zero) else out.filter("n > 0")
 
@@ -163,10 +180,12 @@ class Search:
         return out if self.query.include_zero else out.filter("n > 0")
 
     def n_matches(self, text: Column) -> Column:
-        """Matches in the lines of a text; an empty one right after another match is none."""
+        """Matches in the lines of a text (with a limit, in the chosen ones); an empty one right after another match is none."""
         if not self.pattern.can_be_empty:
-            return total(F.transform(self.lines_of(text), lambda x: F.regexp_count(x, F.lit(self.pattern.java)).cast("long")))
-        pattern, end, crlf = self.pattern.python, self.query.terminator, self.query.crlf
+            lines = self.lines_of(text)
+            lines = F.transform(self._chosen(lines), lambda s: s["line"]) if self._limited() else lines
+            return total(F.transform(lines, lambda x: F.regexp_count(x, F.lit(self.pattern.java)).cast("long")))
+        pattern, q, view = self.pattern.python, self.query, self.of_bytes
         bounded_batches(self.df.sparkSession)
 
         @F.arrow_udf("long")
@@ -175,11 +194,13 @@ class Search:
 
             found = regex.compile(pattern)
             for texts in batches:
-                yield pa.array([None if t is None else sum(1 for *_, kept in line_matches(found, t, end, crlf) for _ in kept) for t in texts.to_pylist()], pa.int64())
+                yield pa.array([None if t is None else sum(len(kept) for *_, kept in chosen_lines(found, t, q, view)) for t in texts.to_pylist()], pa.int64())
 
         return count(text)
 
     def any_hit(self) -> Column:
+        if self.query.multiline:
+            return self.multiline_any(F.col("_text"))
         return F.coalesce(F.exists(self.lines_of(F.col("_text")), self.selected), F.lit(False))
 
     def files_with_matches(self) -> DataFrame:
@@ -198,8 +219,14 @@ class Search:
         if self.query.multiline:
             return self.multiline_context()
         rows = self.files(prune=not (self.query.invert or self.query.passthru)).select(*self.keys, F.explode(self._context(F.col("_text"))).alias("_s"))
-        kind = F.col("_s.kind")
-        body = F.when(kind == "match", self.shaped(F.col("_s.line"))).otherwise(self.shaped(F.col("_s.line"), context=True))
+        kind, line, q = F.col("_s.kind"), F.col("_s.line"), self.query
+        other = self.shaped(line, context=True)
+        if q.only_matching and not q.invert:
+            self._needs("matches that can be empty, with context,", *(("only_matching",) if self.pattern.can_be_empty else ()))
+            found = F.regexp_extract_all(line, F.lit(self.pattern.java), 0) if q.replacement is None else self._expansions(line, replacement.parts(q.replacement, self.pattern))
+            body = F.explode(F.when(kind == "match", found).otherwise(F.array(other)))
+        else:
+            body = F.when(kind == "match", self.shaped(self._replaced(line))).otherwise(other)
         return rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), kind.alias("kind"), body.alias("line"), F.col("_s.group_id").alias("group_id"))
 
     def _context(self, text: Column) -> Column:
@@ -227,15 +254,17 @@ class Search:
     # Matches.
     def only_matching(self) -> DataFrame:
         """(keys, line_number, match_index, match) of every match."""
+        if self.query.invert:  # lines without a match stand for themselves
+            return self.chosen().select(*self.keys, "line_number", F.lit(0).alias("match_index"), F.col("line").alias("match"))
         if self.pattern.can_be_empty:
             return self.spans().select(*self.keys, "line_number", "match_index", "match")
-        rows = self.records(prune=True).filter(self.hit(F.col("line")))
+        rows = self.chosen()
         return rows.select(*self.keys, "line_number", F.posexplode(F.regexp_extract_all("line", F.lit(self.pattern.java), 0)).alias("match_index", "match"))
 
     def _starts(self, line: Column, found: Column) -> Column:
         """(match, start) of each match in a line: its bytes, from the lengths of what stands between matches."""
-        gaps = F.transform(F.split(line, self.pattern.java, -1), lambda x: F.octet_length(x).cast("long"))
-        return let(found, lambda m: let(gaps, lambda g: running(F.transform(m, lambda x, k: F.octet_length(x) + F.get(g, k)), lambda upto: F.transform(m, lambda x, k: F.struct(x.alias("match"), (upto(k) + F.get(g, k)).alias("start"))))))
+        gaps = F.transform(F.split(line, self.pattern.java, -1), lambda x: self.size_of(x).cast("long"))
+        return let(found, lambda m: let(gaps, lambda g: running(F.transform(m, lambda x, k: self.size_of(x) + F.get(g, k)), lambda upto: F.transform(m, lambda x, k: F.struct(x.alias("match"), (upto(k) + F.get(g, k)).alias("start"))))))
 
     def match_spans(self) -> DataFrame:
         """(keys, line_number, match_index, column, start, stop, abs_offset, match, line) of every match, as `spans` gives
@@ -244,23 +273,26 @@ class Search:
             return self.spans().drop("groups")
         rows = self.with_offsets().select(*self.keys, "line_number", "byte_offset", "line")
         rows = rows.select("*", F.posexplode(self._starts(F.col("line"), F.regexp_extract_all("line", F.lit(self.pattern.java), 0))).alias("match_index", "_m"))
-        start, stop = F.col("_m.start"), F.col("_m.start") + F.octet_length("_m.match")
+        start, stop = F.col("_m.start"), F.col("_m.start") + self.size_of(F.col("_m.match"))
         return rows.select(*self.keys, "line_number", "match_index", (start + 1).alias("column"), start.alias("start"), stop.alias("stop"), (F.col("byte_offset") + start).alias("abs_offset"), F.col("_m.match").alias("match"), "line")
 
     def vimgrep(self) -> DataFrame:
-        """One row a match: line number, byte column and the line."""
+        """One row a match: line number, byte column and the line; under invert one row a line, without a column."""
+        if self.query.invert:
+            return self.lines().select(*self.keys, "line_number", F.lit(None).cast("long").alias("column"), "line")
         return self.match_spans().select(*self.keys, "line_number", "column", self.shaped(F.col("line")).alias("line"))
 
     def captures(self, every: bool = False) -> DataFrame:
         """The first match (every match, with match_index) of each selected line and its groups; a group that took no part
         is null."""
+        self._needs("a search for groups", "invert")
         names = {v: k for k, v in self.pattern.names.items()}
         named = [(k, names.get(k, f"group_{k}")) for k in range(1, self.pattern.n_groups + 1)]
         if self.pattern.can_be_empty or len(self.pattern.sure_groups) < self.pattern.n_groups:
             rows = self.spans()
             rows = rows if every else rows.filter("match_index = 0")
             return rows.select(*self.keys, "line_number", *(["match_index"] if every else []), "match", *(F.get("groups", F.lit(k))["text"].alias(name) for k, name in named))
-        rows = self.records(prune=True).filter(self.hit(F.col("line")))
+        rows = self.chosen()
         java = F.lit(self.pattern.java)
         if not every:
             return rows.select(*self.keys, "line_number", *(F.regexp_extract("line", self.pattern.java, k).alias(name) for k, name in [(0, "match"), *named]))
@@ -270,18 +302,21 @@ class Search:
 
     def count_captures(self) -> DataFrame:
         """Groups that took part in matches, the whole match included, by file."""
+        self._needs("a search for groups", "invert")
         if self.pattern.can_be_empty or len(self.pattern.sure_groups) < self.pattern.n_groups:
-            taking = F.size(F.filter("groups", lambda g: g.isNotNull())).cast("long").alias("k")
-            return self.spans().select(*self.keys, taking).groupBy(*self.keys).agg(F.sum("k").alias("n"))
+            q, view = self.query, self.of_bytes
+            taking = lambda m: 1 + sum(m.start(g) >= 0 for g in range(1, m.re.groups + 1))
+            return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(taking(m) for *_, kept in chosen_lines(found, text, q, view) for m in kept)) else [])
         n = self.n_matches(F.col("_text")) * (self.pattern.n_groups + 1)
         return self.files(prune=True).select(*self.keys, n.alias("n")).filter("n > 0")
 
     def replaced(self) -> DataFrame:
         """Selected lines with every match replaced by the template."""
-        rows = self.records(prune=True).filter(self.hit(F.col("line")))
-        return rows.select(*self.keys, "line_number", self.shaped(self._replaced(F.col("line"))).alias("line"))
+        return self.chosen().select(*self.keys, "line_number", self.shaped(self._replaced(F.col("line"))).alias("line"))
 
     def _replaced(self, line: Column) -> Column:
+        if self.query.invert or self.query.replacement is None:
+            return line
         if not self.pattern.can_be_empty:
             return F.regexp_replace(line, F.lit(self.pattern.java), F.lit(replacement.java(self.query.replacement or "", self.pattern)))
         pattern, template = self.pattern.python, replacement.parts(self.query.replacement or "", self.pattern)
@@ -299,16 +334,20 @@ class Search:
 
     def replaced_matches(self) -> DataFrame:
         """Only the expansions: one row a match."""
+        if self.query.invert:
+            return self.only_matching()
         template = replacement.parts(self.query.replacement or "", self.pattern)
         if self.pattern.can_be_empty:
             rows = self.spans()
             parts = [F.coalesce(F.get("groups", F.lit(p))["text"], F.lit("")) if isinstance(p, int) else F.lit(p) for p in template]
             return rows.select(*self.keys, "line_number", "match_index", F.concat(F.lit(""), *parts).alias("match"))
-        rows = self.records(prune=True).filter(self.hit(F.col("line")))
-        every = [F.regexp_extract_all("line", F.lit(self.pattern.java), F.lit(p)) if isinstance(p, int) else None for p in template]
-        whole = F.regexp_extract_all("line", F.lit(self.pattern.java), F.lit(0))
-        expanded = F.transform(whole, lambda _, i: F.concat(F.lit(""), *(F.lit(p) if e is None else F.get(e, i) for p, e in zip(template, every, strict=True))))
-        return rows.select(*self.keys, "line_number", F.posexplode(expanded).alias("match_index", "match"))
+        return self.chosen().select(*self.keys, "line_number", F.posexplode(self._expansions(F.col("line"), template)).alias("match_index", "match"))
+
+    def _expansions(self, line: Column, template: list[str | int]) -> Column:
+        """The template for each match of a line."""
+        every = [F.regexp_extract_all(line, F.lit(self.pattern.java), F.lit(p)) if isinstance(p, int) else None for p in template]
+        whole = F.regexp_extract_all(line, F.lit(self.pattern.java), F.lit(0))
+        return F.transform(whole, lambda _, i: F.concat(F.lit(""), *(F.lit(p) if e is None else F.get(e, i) for p, e in zip(template, every, strict=True))))
 
     def _by_text(self, columns: str, rows_of: Callable[[object, str], list[tuple]], prune: bool = True) -> DataFrame:
         """(keys, columns) from a function of the compiled pattern and a text, over Arrow batches of bounded bytes."""
@@ -335,24 +374,25 @@ class Search:
         """(keys, line_number, match_index, column, start, stop, abs_offset, match, groups, line): 1-based byte column,
         byte span within the line, byte offset in the file, and the byte spans of all groups (null if absent)."""
         self._needs("a search by lines", "multiline")
-        end, crlf = self.query.terminator, self.query.crlf
+        self._needs("a search for spans", "invert")
+        q, view = self.query, self.of_bytes
         columns = "line_number long, match_index int, column long, start long, stop long, abs_offset long, match string, groups array<struct<start:bigint,stop:bigint,text:string>>, line string"
-        return self._by_text(columns, lambda found, text: spans_of(found, text, end, crlf))
+        return self._by_text(columns, lambda found, text: spans_of(found, text, q, view))
 
     # Multi-line searches: matches over whole texts; the lines that they touch form blocks.
     def multiline(self) -> DataFrame:
         """(keys, match_index, start_line, stop_line, start, match) of every match; the first ones up to the limit."""
         self._needs("the matches of a multi-line search", "invert", "context", "before", "after", "passthru", "stop_on_nonmatch", "replacement")
-        most = self.query.max_count
+        most, view = self.query.max_count, self.of_bytes
 
         def rows_of(found, text: str) -> list[tuple]:
-            out = []
+            out, at, seen, line = [], byte_places(text, view), 0, 1
             for n, m in enumerate(distinct_matches(found, text)):
                 if n == most:
                     break
-                first = text.count("\n", 0, m.start()) + 1
-                last = first + text.count("\n", m.start(), max(m.start(), m.end() - 1))
-                out.append((n, first, last, len(text[: m.start()].encode()), m[0]))
+                line += text.count("\n", seen, m.start())
+                seen = m.start()
+                out.append((n, line, line + text.count("\n", seen, max(seen, m.end() - 1)), at(seen), m[0]))
             return out
 
         return self._by_text("match_index int, start_line long, stop_line long, start long, match string", rows_of)
@@ -360,16 +400,34 @@ class Search:
     def count_multiline(self) -> DataFrame:
         """Matches over whole texts by file (lines under invert), without leaving the engine where no match can be empty."""
         if self.query.invert or self.query.max_count is not None:
-            return self.multiline_lines(blocks=True).groupBy(*self.keys).agg(F.count("*").alias("n"))
+            q = self.query.where(context=0, before=None, after=None, passthru=False)
+            return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(opens for *_, opens in block_rows(found, text, q))) else [])
         if self.pattern.can_be_empty:
             return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(1 for _ in distinct_matches(found, text))) else [])
         return self.files(prune=True).select(*self.keys, F.regexp_count("_text", F.lit(self.pattern.java)).cast("long").alias("n")).filter("n > 0")
 
-    def multiline_lines(self, blocks: bool = False) -> DataFrame:
-        """The lines that matches touch (under invert the others); with `blocks`, the first line of each block."""
+    def multiline_lines(self) -> DataFrame:
+        """The lines that matches touch (under invert the others)."""
         q = self.query.where(context=0, before=None, after=None, passthru=False)
-        rows = self._by_text("line_number long, line string, opens boolean", lambda found, text: [(n, line, opens) for n, line, kind, _, opens in block_rows(found, text, q) if kind == "match"])
-        return rows.filter("opens").drop("opens") if blocks else rows.select(*self.keys, "line_number", self.shaped(F.col("line")).alias("line"))
+        rows = self._by_text("line_number long, line string", lambda found, text: [(n, line) for n, line, kind, *_ in block_rows(found, text, q) if kind == "match"])
+        return rows.select(*self.keys, "line_number", self.shaped(F.col("line")).alias("line"))
+
+    def multiline_any(self, text: Column) -> Column:
+        """Whether a multi-line search finds anything in a text."""
+        if not (self.query.invert or self.pattern.can_be_empty):
+            return F.coalesce(text.rlike(self.pattern.java), F.lit(False))
+        pattern, q = self.pattern.python, self.query.where(context=0, before=None, after=None, passthru=False)
+        bounded_batches(self.df.sparkSession)
+
+        @F.arrow_udf("boolean")
+        def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            import regex
+
+            compiled = regex.compile(pattern)
+            for texts in batches:
+                yield pa.array([bool(t and block_rows(compiled, t, q)) for t in texts.to_pylist()], pa.bool_())
+
+        return found(text)
 
     def multiline_context(self) -> DataFrame:
         """The lines of blocks and those around them, as `context` gives them for single lines."""
@@ -409,7 +467,7 @@ class Search:
         parts = [*path, *([F.col("line_number").cast("string")] if q.line_number or q.column else [])]
         if q.column:
             at = F.regexp_instr(F.col("line"), F.lit(self.pattern.java))
-            parts.append((F.octet_length(F.substring(F.col("line"), F.lit(1), at - 1)) + 1).cast("string"))
+            parts.append((self.size_of(F.substring(F.col("line"), F.lit(1), at - 1)) + 1).cast("string"))
         if q.byte_offset:
             parts.append(F.col("byte_offset").cast("string"))
         return rows.select(*self.keys, "line_number", F.concat_ws(q.match_separator, *parts, F.col("line")).alias("output"))
@@ -422,7 +480,7 @@ class Search:
             data = lambda path: F.get_json_object("event", f"$.data.{path}")
             subs = F.coalesce(F.json_array_length(data("submatches")), F.lit(0))
             return found.select(*self.keys, data("line_number").cast("long").alias("line_number"), subs.cast("long").alias("n_submatches"), data("absolute_offset").cast("long").alias("absolute_offset"), "event")
-        one = lambda m: F.struct(F.struct(m["match"].alias("text")).alias("match"), m["start"].alias("start"), (m["start"] + F.octet_length(m["match"])).alias("end"))
+        one = lambda m: F.struct(F.struct(m["match"].alias("text")).alias("match"), m["start"].alias("start"), (m["start"] + self.size_of(m["match"])).alias("end"))
         subs = F.transform(self._starts(F.col("line"), F.regexp_extract_all("line", F.lit(self.pattern.java), 0)), one)
         rows = self._offset_rows().select(*self.keys, "line_number", F.col("byte_offset").alias("absolute_offset"), F.concat("line", F.when(F.col("ended"), "\n").otherwise("")).alias("line"), subs.alias("submatches"))
         path = F.struct(F.concat_ws("/", *(F.col(k).cast("string") for k in self.keys)).alias("text")).alias("path")
@@ -433,7 +491,7 @@ class Search:
         """(keys, seq, event): the messages begin, match, context and end of every file with a match, in their order. Times
         are zero: they say nothing about a distributed search."""
         q, template = self.query, replacement.parts(self.query.replacement, self.pattern) if self.query.replacement is not None else None
-        n = len(self.keys)
+        n, view = len(self.keys), self.of_bytes
         schema = StructType([*(self.df.schema[k] for k in self.keys), *StructType.fromDDL("seq int, event string").fields])
         arrow, pattern = to_arrow_schema(schema), self.pattern.python
         bounded_batches(self.df.sparkSession)
@@ -446,7 +504,7 @@ class Search:
                 at, seq, events = [], [], []
                 names = ["/".join(str(v) for v in row if v is not None) for row in zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True)]
                 for k, text in enumerate(batch.column(n).to_pylist()):
-                    made = messages_of(found, text, names[k], q, template) if text else []
+                    made = messages_of(found, text, names[k], q, template, view) if text else []
                     at += [k] * len(made)
                     seq += range(len(made))
                     events += made
@@ -458,14 +516,14 @@ class Search:
         """The one `summary` message of all files."""
         total_of = lambda c: F.coalesce(F.sum(F.get_json_object("event", f"$.data.stats.{c}").cast("long")), F.lit(0)).cast("long").alias(c)
         ends = self.json_messages().filter(F.get_json_object("event", "$.type") == "end").agg(total_of("bytes_printed"), total_of("matched_lines"), total_of("matches"), F.count("*").alias("searches_with_match"))
-        every = self.files().agg(F.count("*").alias("searches"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).cast("long").alias("bytes_searched"))
+        every = self.files().agg(F.count("*").alias("searches"), F.coalesce(F.sum(self.size_of(F.col("_text"))), F.lit(0)).cast("long").alias("bytes_searched"))
         zero = F.struct(F.lit(0).alias("secs"), F.lit(0).alias("nanos"), F.lit("0s").alias("human"))
         stats = F.struct(zero.alias("elapsed"), "searches", "searches_with_match", "bytes_searched", "bytes_printed", "matched_lines", "matches")
         return ends.crossJoin(every).select(F.to_json(F.struct(F.struct(zero.alias("elapsed_total"), stats.alias("stats")).alias("data"), F.lit("summary").alias("type"))).alias("event"))  # one row each
 
     def bytes_printed(self) -> DataFrame:
         """One row: the bytes of all rendered lines with their line feeds."""
-        return self.rendered().agg(F.coalesce(F.sum(F.octet_length("output").cast("long") + 1), F.lit(0)).cast("long").alias("bytes_printed"))
+        return self.rendered().agg(F.coalesce(F.sum(self.size_of(F.col("output")).cast("long") + 1), F.lit(0)).cast("long").alias("bytes_printed"))
 
     def stats_report(self) -> DataFrame:
         """One row: the totals as lines of text. Times are left out: they say nothing about a distributed search."""
@@ -477,7 +535,7 @@ class Search:
         """One row of totals over all files. Under invert lines are selected, and no matches counted."""
         hits = F.filter(self.lines_of(F.col("_text")), self.selected)
         matches = F.lit(0).cast("long") if self.query.invert else self.n_matches(F.col("_text"))
-        per = self.files().select(F.octet_length("_text").alias("bytes"), F.size(hits).alias("lines"), matches.alias("matches"))
+        per = self.files().select(self.size_of(F.col("_text")).alias("bytes"), F.size(hits).alias("lines"), matches.alias("matches"))
         total_of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
         return per.agg(F.count("*").alias("searches"), F.count_if(F.col("lines") > 0).alias("searches_with_match"), total_of("bytes").alias("bytes_searched"), total_of("lines").alias("matched_lines"), total_of("matches").alias("matches"))
 
@@ -507,26 +565,54 @@ def with_replacements(compiled, text: str, template: list[str | int]) -> str:
     return "".join([*out, text[at:]])
 
 
-def line_matches(compiled, text: str, end: str, crlf: bool):
+def line_matches(compiled, text: str, end: str, crlf: bool, view: bool = False):
     """(number, body, bytes with the terminator, matches) of each line of a text."""
     parts = text.split(end)
     terminated = parts[-1] == ""
     for number, line in enumerate(parts[:-1] if terminated else parts, 1):
         body = line.removesuffix("\r") if crlf else line
         last = not terminated and number == len(parts)
-        yield number, body, len(line.encode()) + 1, [m for m in distinct_matches(compiled, body) if not (last and m.start() == m.end() == len(body) and len(body))]
+        yield number, body, len(line if view else line.encode()) + 1, [m for m in distinct_matches(compiled, body) if not (last and m.start() == m.end() == len(body) and len(body))]
+
+
+def chosen_lines(compiled, text: str, q: SearchQuery, view: bool = False):
+    """(number, bytes before the line, body, matches) of the lines that a search without invert selects, up to its limit."""
+    offset = chosen = 0
+    for number, body, size, kept in line_matches(compiled, text, q.terminator, q.crlf, view):
+        if chosen == q.max_count:
+            return
+        if kept or compiled.search(body):
+            yield number, offset, body, kept
+            chosen += 1
+        elif chosen and q.stop_on_nonmatch:
+            return
+        offset += size
 
 
-def spans_of(compiled, text: str, end: str = "\n", crlf: bool = False) -> list[tuple]:
+def byte_places(text: str, view: bool = False) -> Callable[[int], int]:
+    """The bytes before each character of a text, for places that mostly ascend: only what lies between two is measured."""
+    if view or text.isascii():
+        return lambda k: k
+    known = [0, 0]
+
+    def at(k: int) -> int:
+        if k >= known[0]:
+            known[:] = k, known[1] + len(text[known[0] : k].encode(errors="surrogateescape"))
+            return known[1]
+        return known[1] - len(text[k : known[0]].encode(errors="surrogateescape"))
+
+    return at
+
+
+def spans_of(compiled, text: str, q: SearchQuery, view: bool = False) -> list[tuple]:
     """The rows of `Search.spans` of one text."""
-    out, offset = [], 0
-    for number, body, size, kept in line_matches(compiled, text, end, crlf):
-        plain = body.isascii()
+    out = []
+    for number, offset, body, kept in chosen_lines(compiled, text, q, view):
+        at = byte_places(body, view)
         for n, m in enumerate(kept):
-            at = (lambda k: k) if plain else (lambda k, body=body: len(body[:k].encode()))
+            low = at(m.start())
             groups = [{"start": at(m.start(g)), "stop": at(m.end(g)), "text": m[g]} if m.start(g) >= 0 else None for g in range(compiled.groups + 1)]
-            out.append((number, n, at(m.start()) + 1, at(m.start()), at(m.end()), offset + at(m.start()), m[0], groups, body))
-        offset += size
+            out.append((number, n, low + 1, low, at(m.end()), offset + low, m[0], groups, body))
     return out
 
 
@@ -550,7 +636,9 @@ def blocks_of(compiled, text: str, starts: list[int], n: int) -> list[tuple[int,
         first = bisect.bisect_right(starts, m.start()) - 1
         last = max(first, bisect.bisect_right(starts, max(m.start(), m.end() - 1)) - 1)
         if out and first <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], last), [*out[-1][2], m])
+            low, high, found = out[-1]
+            found.append(m)
+            out[-1] = (low, max(high, last), found)
         elif first < n:
             out.append((first, last, [m]))
     return out
@@ -578,23 +666,24 @@ def block_rows(compiled, text: str, q: SearchQuery) -> list[tuple[int, str, str,
     return out
 
 
-def _told(text: str) -> dict:
-    """A JSON value of a text: itself, or base64 of its bytes where it holds bytes that are no UTF-8."""
+def _told(text: str, view: bool = False) -> dict:
+    """A JSON value of a text, or of a view of bytes: base64 where they are no UTF-8."""
+    data = text.encode("latin-1") if view else text.encode(errors="surrogateescape")
     try:
-        text.encode()
-        return {"text": text}
-    except UnicodeEncodeError:
-        return {"bytes": base64.b64encode(text.encode(errors="surrogateescape")).decode()}
+        return {"text": data.decode()}
+    except UnicodeDecodeError:
+        return {"bytes": base64.b64encode(data).decode()}
 
 
-def messages_of(compiled, text: str, path: str, q: SearchQuery, template: list[str | int] | None) -> list[str]:
+def messages_of(compiled, text: str, path: str, q: SearchQuery, template: list[str | int] | None, view: bool = False) -> list[str]:
     """The JSON messages of one file; none without a selected line."""
-    size = lambda s: len(s.encode(errors="surrogateescape"))
+    size = len if view else lambda s: len(s.encode(errors="surrogateescape"))
     lines, starts = cut(text)
     dump = lambda kind, data: json.dumps({"type": kind, "data": data}, ensure_ascii=False, separators=(",", ":"))
 
     def submatches(body: str, found: list) -> list[dict]:
-        return [{"match": _told(m[0]), **({"replacement": _told(expanded(m, template))} if template is not None else {}), "start": size(body[: m.start()]), "end": size(body[: m.end()])} for m in found]
+        at = byte_places(body, view)
+        return [{"match": _told(m[0], view), **({"replacement": _told(expanded(m, template), view)} if template is not None else {}), "start": at(m.start()), "end": at(m.end())} for m in found]
 
     if q.multiline:
         blocks = [(a, b, list(found)) for a, b, found in blocks_of(compiled, text, starts, len(lines))]
@@ -602,7 +691,7 @@ def messages_of(compiled, text: str, path: str, q: SearchQuery, template: list[s
             covered = {k for a, b, _ in blocks for k in range(a, b + 1)}
             blocks = [(k, k, []) for k in range(len(lines)) if k not in covered]
     else:
-        kept = [(number - 1, found) for number, _, _, found in line_matches(compiled, text, "\n", q.crlf)]
+        kept = [(number - 1, found) for number, _, _, found in line_matches(compiled, text, "\n", q.crlf, view)]
         blocks = [(k, k, [] if q.invert else found) for k, found in kept if bool(found) != q.invert]
     if q.max_count is not None:
         blocks = blocks[: q.max_count]
@@ -619,16 +708,16 @@ def messages_of(compiled, text: str, path: str, q: SearchQuery, template: list[s
     for a, b, found in blocks:
         body = "".join(lines[a : b + 1])
         if q.multiline and found:
-            low = starts[a]
-            subs = [{"match": _told(m[0]), **({"replacement": _told(expanded(m, template))} if template is not None else {}), "start": size(text[low : m.start()]), "end": size(text[low : m.end()])} for m in found]
+            low, at = starts[a], byte_places(body, view)
+            subs = [{"match": _told(m[0], view), **({"replacement": _told(expanded(m, template), view)} if template is not None else {}), "start": at(m.start() - low), "end": at(m.end() - low)} for m in found]
         else:
             subs = submatches(body, found)
         counted += len(subs)
-        events.append((a, dump("match", {"path": told, "lines": _told(body), "line_number": a + 1, "absolute_offset": offsets[a], "submatches": subs})))
-    events += [(k, dump("context", {"path": told, "lines": _told(lines[k]), "line_number": k + 1, "absolute_offset": offsets[k], "submatches": []})) for k in near - inside]
+        events.append((a, dump("match", {"path": told, "lines": _told(body, view), "line_number": a + 1, "absolute_offset": offsets[a], "submatches": subs})))
+    events += [(k, dump("context", {"path": told, "lines": _told(lines[k], view), "line_number": k + 1, "absolute_offset": offsets[k], "submatches": []})) for k in near - inside]
     events.sort(key=lambda e: e[0])
     made = [e for _, e in events]
-    stats = {"elapsed": {"secs": 0, "nanos": 0, "human": "0s"}, "searches": 1, "searches_with_match": 1, "bytes_searched": size(text), "bytes_printed": sum(size(e) + 1 for e in made), "matched_lines": len(inside), "matches": counted}
+    stats = {"elapsed": {"secs": 0, "nanos": 0, "human": "0s"}, "searches": 1, "searches_with_match": 1, "bytes_searched": size(text), "bytes_printed": sum(len(e.encode(errors="surrogateescape")) + 1 for e in made), "matched_lines": len(inside), "matches": counted}
     return [*made, dump("end", {"path": told, "binary_offset": None, "stats": stats})]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from textlode.functions.dialect import Compiled, Flags, compile_patterns
+from textlode.functions.dialect import BytesNeeded, Compiled, Flags, compile_patterns
 
 
 @dataclass(frozen=True)
@@ -64,12 +64,15 @@ class SearchQuery:
     def terminator(self) -> str:
         return "\0" if self.null_data else "\n"
 
-    def compiled(self) -> Compiled:
+    def compiled(self, of_bytes: bool = False) -> Compiled:
+        """The pattern for texts, or for the Latin-1 view of bytes."""
         flags = Flags(unicode=self.unicode, dot_all=self.dotall and self.multiline, crlf=self.crlf)
-        options = dict(fixed=self.fixed, case=self.case, word=self.word, line=self.line, flags=flags, whole_buffer=self.multiline)
+        options = dict(fixed=self.fixed, case=self.case, word=self.word, line=self.line, flags=flags, whole_buffer=self.multiline, of_bytes=of_bytes)
         if self.engine == "auto":
             try:
                 return compile_patterns(list(self.patterns), **options)
+            except BytesNeeded:
+                raise
             except ValueError:
                 return compile_patterns(list(self.patterns), **options, look_around=True)
         return compile_patterns(list(self.patterns), **options, look_around=self.engine == "pcre2")

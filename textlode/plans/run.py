@@ -54,20 +54,17 @@ def searched(search: Search) -> DataFrame:
     """What the query's mode returns."""
     q = search.query
     if q.mode == "count" and not q.multiline:
-        return search.count_lines()
+        return search.count_matches() if q.only_matching and not q.invert else search.count_lines()
     if q.mode in ("count", "count_matches"):
         return search.count_multiline() if q.multiline else search.count_matches()
     if q.mode in ("files_with_matches", "files_without_match", "quiet"):
-        if not q.multiline:
-            return {"files_with_matches": search.files_with_matches, "files_without_match": search.files_without_match, "quiet": search.quiet}[q.mode]()
-        found = search.multiline_lines().select(*search.keys).distinct()
-        if q.mode == "quiet":
-            return found.limit(1).agg((F.count("*") > 0).alias("found"))
-        return found if q.mode == "files_with_matches" else search.files().select(*search.keys).join(found, search.keys, "left_anti")
+        return {"files_with_matches": search.files_with_matches, "files_without_match": search.files_without_match, "quiet": search.quiet}[q.mode]()
     if q.mode == "json":
         return search.json_messages()
     if q.mode == "vimgrep":
         return search.vimgrep()
+    if (q.lines_before or q.lines_after or q.passthru) and not q.multiline:
+        return search.context()  # with matches or replacements in place of matching lines, if the query asks for them
     if q.only_matching:
         if q.multiline:
             return search.multiline()
