@@ -7,8 +7,8 @@ and tab. Everything is counted within a language, whose hash is mixed into that
    and add up by block. A counter is an upper bound of the count of every pair that falls on it.
 2. The same for phrases of three and four words, of those whose pairs may all be frequent.
 3. All phrases whose bounds reach the least count are candidates, as hashes of their words.
-4. Candidates are compiled into pyahocorasick automata over word numbers. A delimiter stands between pieces and for words
-   that no candidate has, so that no match crosses a border or begins within a word. Tasks count all matches, overlapping
+4. Candidates are compiled into pyahocorasick automata over the digits of word numbers. A delimiter stands between pieces and
+   for words that no candidate has, so that no match crosses a border or begins within a word. Tasks count all matches, overlapping
    ones too, and the counts are added up. They are exact; thresholds, scores and the ranking are DataFrame operations on them.
 
 Counters that reach the bound are sent to the tasks while they are at most `MOST_CELLS`; beyond that passes 2 and 3 go over
@@ -38,6 +38,8 @@ from textlode.session import drop_path, materialise, workspace
 LEAST, LONGEST, CONTAINED, TOP = 30, 4, 80, 2000
 #: Cells and phrases that tasks hold at once; grams that are gathered before their counters are sent; cells of a block.
 MOST_CELLS, MOST_PHRASES, FLUSH, BLOCK = 4_000_000, 500_000, 2_000_000, 1 << 16
+#: Digits of word numbers in the automata, and the character between pieces.
+BASE, DELIMITER = 16, " "
 BREAKS = byte_class(b".,;:!?\n\v\f\r")
 WORD = ~(BREAKS | byte_class(b" \t"))
 
@@ -52,6 +54,7 @@ class Slice:
         own = np.array([xxhash.xxh3_64_intdigest(v) for v in self.langs], np.uint64)
         self.words = mixed(self.found.hashes() ^ own[self.row]) if len(self.row) else np.zeros(0, np.uint64)
         marks = np.concatenate([[0], np.cumsum(BREAKS[self.found.data])])
+        self.frequent: np.ndarray | None = None  # by first word, whether a pair may be frequent
         self.ends_piece = np.ones(len(self.words), bool)
         if len(self.words):
             self.ends_piece[:-1] = (marks[self.found.starts[1:]] > marks[self.found.ends[:-1]]) | (self.row[1:] != self.row[:-1])
@@ -89,11 +92,18 @@ class Cells:
     def __init__(self, spark: SparkSession, heavy: DataFrame, bits: int, turn: int, turns: int) -> None:
         own = heavy.filter(F.pmod("cell", F.lit(turns)) == turn).toArrow().column("cell").to_numpy()
         self.held, self.bits, self.turn, self.turns = spark.sparkContext.broadcast(np.sort(own)), bits, turn, turns
+        self.table: np.ndarray | None = None  # made by the task that asks
 
     def has(self, hashes: np.ndarray, unknown: bool) -> np.ndarray:
         """Which hashes fall on such a counter; `unknown` is the answer for those of another turn."""
-        cells, held = cell(hashes, self.bits), self.held.value
-        found = held[np.minimum(np.searchsorted(held, cells), len(held) - 1)] == cells if len(held) else np.zeros(len(cells), bool)
+        cells, held, shift = cell(hashes, self.bits), self.held.value, max(0, self.bits - 22)
+        if self.table is None:
+            self.table = np.zeros(1 << min(22, self.bits), bool)
+            self.table[held >> shift] = True
+        found = self.table[cells >> shift]
+        near = np.flatnonzero(found)
+        if len(near):
+            found[near] = held[np.minimum(np.searchsorted(held, cells[near]), len(held) - 1)] == cells[near]
         return found if self.turns == 1 else np.where(cells % self.turns == self.turn, found, unknown)
 
 
@@ -106,10 +116,11 @@ def likely(part: Slice, size: int, pairs: Cells | None) -> tuple[np.ndarray, np.
     at, hashes = part.grams(size)
     if pairs is None or not len(at):
         return at, hashes
-    first, pair = part.grams(2)
-    frequent = np.zeros(len(part.words) + 1, bool)
-    frequent[first] = pairs.has(pair, True)
-    kept = np.all([frequent[at + k] for k in range(size - 1)], axis=0)
+    if part.frequent is None:
+        first, pair = part.grams(2)
+        part.frequent = np.zeros(len(part.words) + 1, bool)
+        part.frequent[first] = pairs.has(pair, True)
+    kept = np.all([part.frequent[at + k] for k in range(size - 1)], axis=0)
     return at[kept], hashes[kept]
 
 
@@ -178,29 +189,45 @@ def candidates(rows: DataFrame, pairs: Cells, longer: Cells, turn: bool) -> Data
 
 
 class Phrases:
-    """Some candidates as an automaton over word numbers; number 0 is the delimiter."""
+    """Some candidates as an automaton. A word is written as the digits of its number, each place with characters of its own,
+    so that a match begins and ends with a word, and no state has more than `BASE` ways on besides the delimiter's."""
 
     def __init__(self, grams: pa.ChunkedArray) -> None:
         grams = grams.combine_chunks() if isinstance(grams, pa.ChunkedArray) else grams
         self.bounds, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
         self.words, self.numbers = np.unique(flat.view(np.uint64), return_inverse=True)
+        self.digits = 1
+        while BASE**self.digits < len(self.words):
+            self.digits += 1
+
+    def spelled(self, numbers: np.ndarray) -> str:
+        """Words by number from 0 as characters; a delimiter for -1."""
+        out = np.full((len(numbers), self.digits), ord(DELIMITER), "<u4")
+        there, rest = numbers >= 0, numbers[numbers >= 0]
+        for k in range(self.digits):
+            out[there, k] = ord(DELIMITER) + 1 + BASE * k + rest % BASE
+            rest = rest // BASE
+        flat = np.ones(out.shape, bool)
+        flat[~there, 1:] = False  # one character is enough of a delimiter
+        return out[flat].tobytes().decode("utf-32-le")
 
     def automaton(self) -> ahocorasick.Automaton:
-        out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        numbers, bounds = (self.numbers + 1).tolist(), self.bounds.tolist()
+        out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        text, bounds = self.spelled(self.numbers), (self.bounds * self.digits).tolist()
         for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            out.add_word(tuple(numbers[a:b]), k)
+            out.add_word(text[a:b], k)
         out.make_automaton()
         return out
 
-    def read(self, part: Slice) -> tuple[np.ndarray, tuple[int, ...]]:
-        """The number of each word, and the sequence to scan: numbers, and one delimiter wherever a match must end."""
+    def read(self, part: Slice) -> tuple[np.ndarray, str]:
+        """The number of each word from 1 (0: in no candidate), and the text to scan, with a delimiter wherever a match must
+        end."""
         place = np.minimum(np.searchsorted(self.words, part.words), len(self.words) - 1)
         numbers = np.where(self.words[place] == part.words, place + 1, 0)
         guarded = np.zeros(len(numbers) + int(part.ends_piece.sum()), np.int64)
         guarded[np.arange(len(numbers)) + np.cumsum(part.ends_piece) - part.ends_piece] = numbers
         kept = (guarded != 0) | (np.append(guarded[1:], 0) != 0)
-        return numbers, tuple(guarded[kept].tolist())
+        return numbers, self.spelled(guarded[kept] - 1)
 
 
 def counted(rows: DataFrame, grams: pa.ChunkedArray) -> DataFrame:
