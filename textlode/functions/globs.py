@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlode.functions.dialect import quoted
+from textlode.functions.dialect import to_python, quoted
 
 
 class GlobError(ValueError):
@@ -141,3 +142,27 @@ def override(path: Column, globs: list[str], ignore_case: bool = False) -> Colum
         options = GlobOptions(literal_separator=True, ignore_case=ignore_case, basename=not anchored)
         admitted = F.when(matches(path, body.removeprefix("/"), options), F.lit(not negated)).otherwise(admitted)
     return admitted
+
+
+@functools.lru_cache(maxsize=100_000)
+def expression(glob: str, options: GlobOptions):
+    """The glob for Python's engine, for code that has one path at a time (a walk)."""
+    import regex
+
+    return regex.compile(to_python(to_regex(glob, options)).replace(r"\z", r"\Z"))
+
+
+def hits(path: str, glob: str, options: GlobOptions = GlobOptions()) -> bool:
+    """`matches` for one path."""
+    return expression(glob, options).search(path.rpartition("/")[2] if options.basename else path) is not None
+
+
+def overridden(path: str, globs: tuple[str, ...], ignore_case: bool = False) -> bool:
+    """`override` for one path."""
+    admitted = not any(not g.startswith("!") for g in globs)
+    for g in globs:
+        negated, body = g.startswith("!"), g.removeprefix("!")
+        anchored = "/" in body.strip("/") or body.startswith("/")
+        if hits(path, body.removeprefix("/"), GlobOptions(literal_separator=True, ignore_case=ignore_case, basename=not anchored)):
+            admitted = not negated
+    return admitted

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlode.functions.dialect import to_python
-from textlode.functions.globs import GlobOptions, matches, to_regex
+from textlode.functions.globs import GlobOptions, hits, matches, to_regex
 from textlode.session import bounded_batches
 
 #: Rules of a table that every task gets.
@@ -74,6 +74,16 @@ def decision(path: Column, is_dir: Column, rules: list[IgnoreRule], ignore_case:
     return out
 
 
+def decided(path: str, is_dir: bool, strongest_first: list[IgnoreRule], ignore_case: bool = False) -> str:
+    """`decision` for one path."""
+    for rule in strongest_first:
+        if rule.dir_only and not is_dir or rule.base and not path.startswith(f"{rule.base}/"):
+            continue
+        if hits(path[len(rule.base) + 1 :] if rule.base else path, rule.glob, GlobOptions(literal_separator=True, ignore_case=ignore_case, basename=rule.basename)):
+            return "whitelist" if rule.include else "ignore"
+    return "none"
+
+
 def ignored(path: Column, rules: list[IgnoreRule], ignore_case: bool = False) -> Column:
     """Whether a file is ignored by itself or with one of the directories above it (which no rule can re-enter)."""
     parts = F.split(path, "/")

@@ -249,7 +249,14 @@ class Search:
             jumps = F.transform(kept, lambda s, k: F.when((k > 0) & (s["at"] - F.get(kept, k - 1)["at"] > 1), 1).otherwise(0).cast("long"))
             return running(jumps, lambda upto: F.transform(kept, lambda s, k: F.struct(s["at"].alias("at"), s["line"].alias("line"), s["kind"].alias("kind"), upto(k + 1).alias("group_id"))))
 
-        return let(self._marked(self.lines_of(text)), around)
+        marked = self._marked(self.lines_of(text))
+        if q.stop_on_nonmatch:  # the line that ends the first run is the last one that can be context
+            whole = marked
+            hits = F.transform(whole, lambda s: s["hit"])
+            first = F.array_position(hits, True)
+            run = F.array_position(F.slice(hits, F.greatest(first, F.lit(1)), F.size(hits)), False)
+            marked = F.when((first > 0) & (run > 0), F.slice(whole, F.lit(1), (first + run - 1).cast("int"))).otherwise(whole)
+        return let(marked, around)
 
     # Matches.
     def only_matching(self) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlode.functions.dialect import BytesNeeded
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.globs import override
 from textlode.operators.search import Search
@@ -113,6 +114,25 @@ def run(spark: SparkSession, args: list[str]) -> DataFrame:
     entries = walk(spark, paths or ["."], walk_options(query))
     if query.mode == "files":
         return sort_entries(entries, query.sort, query.sort_reverse).select("path") if query.sort != "none" else entries.select("path")
-    corpus = read_corpus(spark, entries, str(query.unknown.get("encoding", "auto")), bool(query.unknown.get("search-zip", False)), query.unknown.get("pre") or None, tuple(query.unknown.get("pre-glob", ())))
-    search = Search(corpus, query, ("path",))
-    return search.stats() if query.unknown.get("stats") else sorted_by(searched(search), query, "path")
+    times = {"modified": "mtime", "mtime": "mtime", "accessed": "atime", "created": "ctime"}
+    keep = (times[query.sort],) if query.sort in times else ()
+    corpus = read_corpus(spark, entries, str(query.unknown.get("encoding", "auto")), bool(query.unknown.get("search-zip", False)), query.unknown.get("pre") or None, tuple(query.unknown.get("pre-glob", ())), needs_bytes(query), keep)
+    search = Search(corpus, query, ("path", *keep))
+    if query.unknown.get("stats"):
+        return search.stats()
+    out = searched(search)
+    if keep and keep[0] in out.columns:  # results in the order of their files' times, which are not part of them
+        at = F.col(keep[0])
+        out = out.orderBy(at.desc_nulls_first() if query.sort_reverse else at.asc_nulls_last(), "path", *(c for c in ("line_number", "match_index", "seq") if c in out.columns)).drop(*keep)
+    return sorted_by(out, query, "path")
+
+
+def needs_bytes(query: SearchQuery) -> bool:
+    """Whether the bytes of files are searched: for a pattern that asks for bytes, and for JSON, which shows them."""
+    if query.mode == "json":
+        return True
+    try:
+        query.compiled()
+    except BytesNeeded:
+        return True
+    return False

@@ -9,20 +9,24 @@ import os
 import re
 import subprocess
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.globs import override
 from textlode.functions.ignore import IgnoreRule, ignored, parse_rules
-from textlode.session import ship
+from textlode.session import bounded_batches, ship
 
 ENTRIES = "path string, parent string, file_name string, depth int, is_dir boolean, is_symlink boolean, is_hidden boolean, size long, mtime double, atime double, ctime double, full_path string"
 IGNORE_FILES = {".gitignore": "gitignore", ".ignore": "ignore"}
+#: Bytes of files that one Arrow batch holds.
+BATCH_BYTES = 4 << 20
 SUFFIXES = {"K": 1 << 10, "M": 1 << 20, "G": 1 << 30}
 
 
@@ -64,19 +68,51 @@ def rules_of(root: str, options: WalkOptions) -> list[IgnoreRule]:
     out: list[IgnoreRule] = []
     if not options.ignore:
         return out
-    in_git = any(os.path.exists(os.path.join(root, d)) for d in (".git", ".jj")) or not options.require_git
-    for folder, _, names in os.walk(root):
+    in_git = not options.require_git or _in_repository(os.path.abspath(root)) if options.ignore_parent else not options.require_git or _repository(root)
+    inside = {root: in_git}
+    for folder, folders, names in folders_below(root, options):
         base = os.path.relpath(folder, root).replace(os.sep, "/")
+        in_git = inside.pop(folder) or _repository(folder)
+        inside |= {os.path.join(folder, d): in_git for d in folders}
+        if options.ignore_exclude and in_git and (path := exclude_file(folder)):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out += parse_rules(f.read(), "" if base == "." else base, "exclude")
         for name in sorted(set(names) & IGNORE_FILES.keys()):
             source = IGNORE_FILES[name]
             if (source == "gitignore" and (not options.ignore_vcs or not in_git)) or (source == "ignore" and not options.ignore_dot):
                 continue
             with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
                 out += parse_rules(f.read(), "" if base == "." else base, source)
-    exclude = os.path.join(root, ".git", "info", "exclude")
-    if options.ignore_exclude and in_git and os.path.exists(exclude):
-        with open(exclude, encoding="utf-8", errors="replace") as f:
-            out += parse_rules(f.read(), "", "exclude")
+    out += outer_rules(root, options)
+    return out
+
+
+def _repository(folder: str) -> bool:
+    return any(os.path.exists(os.path.join(folder, d)) for d in (".git", ".jj"))
+
+
+def exclude_file(folder: str) -> str | None:
+    """The exclude file of the repository in a folder. In a worktree `.git` is a file that names the worktree's own data,
+    where `commondir` leads to the repository."""
+    git = os.path.join(folder, ".git")
+    try:
+        if os.path.isfile(git):
+            with open(git, encoding="utf-8", errors="replace") as f:
+                git = os.path.normpath(os.path.join(folder, f.read().removeprefix("gitdir:").strip()))
+            common = os.path.join(git, "commondir")
+            if os.path.isfile(common):
+                with open(common, encoding="utf-8", errors="replace") as f:
+                    git = os.path.normpath(os.path.join(git, f.read().strip()))
+    except OSError:
+        return None
+    path = os.path.join(git, "info", "exclude")
+    return path if os.path.isfile(path) else None
+
+
+def outer_rules(root: str, options: WalkOptions) -> list[IgnoreRule]:
+    """Rules that hold below `root` and stand elsewhere: above it, in the user's own list, and in files that are named."""
+    out: list[IgnoreRule] = []
+    in_git = not options.require_git or _in_repository(os.path.abspath(root))
     if options.ignore_parent:
         out += parent_rules(root, options, in_git)
     if options.ignore_global and options.ignore_vcs and in_git and (path := global_excludes()):
@@ -142,15 +178,22 @@ def global_excludes() -> str | None:
     return default if os.path.isfile(default) else None
 
 
-def listed(root: str, options: WalkOptions) -> list[tuple]:
-    out, seen = [], set()
-    device = os.stat(root).st_dev
+def folders_below(root: str, options: WalkOptions) -> Iterator[tuple[str, list[str], list[str]]]:
+    """The folders of a walk; a link that leads back to a folder above it is not followed."""
+    device, above = os.stat(root).st_dev, {root: frozenset()}
     for folder, folders, names in os.walk(root, followlinks=options.follow):
-        identity = (os.stat(folder).st_dev, os.stat(folder).st_ino)
-        if identity in seen or (options.one_file_system and identity[0] != device):
+        info = os.stat(folder)
+        identity, earlier = (info.st_dev, info.st_ino), above.pop(folder)
+        if identity in earlier or (options.one_file_system and identity[0] != device):
             folders.clear()
             continue
-        seen.add(identity)
+        above |= {os.path.join(folder, d): earlier | {identity} for d in folders}
+        yield folder, folders, names
+
+
+def listed(root: str, options: WalkOptions) -> list[tuple]:
+    out = []
+    for folder, folders, names in folders_below(root, options):
         base = os.path.relpath(folder, root)
         depth = 0 if base == "." else base.count(os.sep) + 1
         if options.max_depth is not None and depth + 1 >= options.max_depth:
@@ -278,44 +321,77 @@ def decompressed(path: str, data: bytes) -> bytes:
 
 def decoded(content: Column, label: str = "auto") -> Column:
     """Text of a binary column."""
+    bounded_batches(SparkSession.active())
 
-    ship(SparkSession.active())
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: decode_bytes(v, label))
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.array([decode_bytes(v, label) for v in values.to_pylist()], pa.string())
 
     return run(content)
 
 
-def read_corpus(spark: SparkSession, entries: DataFrame, label: str = "auto", search_zip: bool = False, command: str | None = None, command_globs: tuple[str, ...] = ()) -> DataFrame:
-    """(path, text) of the files of `entries`, each read where its row is processed. With a `command`, the text of a file (of
-    those that `command_globs` choose, if given) is what the command prints for its path."""
-    ship(spark)
-
-    @F.pandas_udf("string")
-    def run(paths: pd.Series) -> pd.Series:
-        def one(path: str) -> str:
-            with open(path, "rb") as f:
-                data = f.read()
-            return decode_bytes(decompressed(path, data) if search_zip else data, label)
+def as_utf8(data: bytes, label: str = "auto") -> bytes:
+    """The bytes that are searched: those of the file, unless a byte order mark or a label says that they are no UTF-8."""
+    marked = next((codec for mark, codec in _BOMS if data.startswith(mark)), None) if label != "none" else None
+    return data if marked is None and label.lower() in ("auto", "none", "utf-8", "utf8") else decode_bytes(data, label).encode()
 
-        return paths.map(one)
 
-    @F.pandas_udf("string")
-    def printed(paths: pd.Series) -> pd.Series:
-        def one(path: str) -> str:
-            done = subprocess.run([command, path], capture_output=True, check=False)
-            if done.returncode:
-                raise ValueError(f"{command} {path}: {done.stderr.decode(errors='replace')[:500]}")
-            return decode_bytes(done.stdout, label)
+def contents(full_path: str, label: str, search_zip: bool, command: str | None) -> bytes:
+    """What is searched of a file, as UTF-8 where its encoding is known."""
+    if command:
+        done = subprocess.run([command, full_path], capture_output=True, check=False)
+        if done.returncode:
+            raise ValueError(f"{command} {full_path}: {done.stderr.decode(errors='replace')[:500]}")
+        return as_utf8(done.stdout, label)
+    with open(full_path, "rb") as f:
+        data = f.read()
+    return as_utf8(decompressed(full_path, data) if search_zip else data, label)
 
-        return paths.map(one)
 
-    if not command:
-        return entries.select("path", run("full_path").alias("text"))
-    by_command = override(F.col("path"), list(command_globs)) if command_globs else F.lit(True)
-    return entries.filter(by_command).select("path", printed("full_path").alias("text")).unionByName(entries.filter(~by_command).select("path", run("full_path").alias("text")))
+def read_corpus(spark: SparkSession, entries: DataFrame, label: str = "auto", search_zip: bool = False, command: str | None = None, command_globs: tuple[str, ...] = (), binary: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, text) of the files of `entries` (with `binary` their bytes), and the columns of `keep`. Each file is read where
+    its row is processed, and a batch is passed on as soon as it holds `BATCH_BYTES`, one file at least. With a `command`,
+    the text of a file (of those that `command_globs` choose, if given) is what the command prints for its path."""
+    ship(spark)
+    by_command = F.lit(False) if not command else override(F.col("path"), list(command_globs)) if command_globs else F.lit(True)
+    names = ["path", *keep]
+    rows = entries.select(*names, "full_path", by_command.alias("by_command"))
+    schema = StructType([*(entries.schema[c] for c in names), *StructType.fromDDL(f"text {'binary' if binary else 'string'}").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[bytes | str] = []
+            first = size = 0
+            for k, (path, special) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
+                data = contents(path, label, search_zip, command if special else None)
+                held.append(data if binary else decode_bytes(data))
+                size += len(data)
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns[: len(names)], pa.array(held, arrow.field("text").type)], schema=arrow)
+                    held, first, size = [], k + 1, 0
+            if held:
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns[: len(names)], pa.array(held, arrow.field("text").type)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def write_corpus(rows: DataFrame, folder: str) -> int:
+    """Write rows of (path, text) as files below a folder that all executors see; their number."""
+    top = folder.removeprefix("file://")
+    bounded_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place = os.path.join(top, path)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "wb") as f:
+                    f.write(text.encode() if isinstance(text, str) else text or b"")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return rows.select("path", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read_store(spark: SparkSession, path: str, label: str = "auto") -> DataFrame:
@@ -326,11 +402,11 @@ def read_store(spark: SparkSession, path: str, label: str = "auto") -> DataFrame
 
 def preprocessed(corpus: DataFrame, function, applies: Column | None = None, text: str = "text") -> DataFrame:
     """`text` run through a user's function from text to text, where `applies` is true."""
+    bounded_batches(corpus.sparkSession)
 
-    ship(corpus.sparkSession)
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(function)
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.array([function(v) for v in values.to_pylist()], pa.string())
 
     return corpus.withColumn(text, F.when(F.lit(True) if applies is None else applies, run(text)).otherwise(F.col(text)))
