@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from textlode.llm.batches import chunks, list_array, small_batches, trim
+from textlode.llm.batches import chunks, small_batches, trim
 from textlode.llm.words import LOWER, Words, byte_class, mixed, windows
 from textlode.session import drop_path, materialise, workspace
 
 LEAST, LONGEST, CONTAINED, TOP = 30, 4, 80, 2000
 #: Cells and phrases that tasks hold at once; grams that are gathered before their counters are sent; cells of a block.
-MOST_CELLS, MOST_PHRASES, FLUSH, BLOCK = 4_000_000, 500_000, 2_000_000, 1 << 16
+MOST_CELLS, MOST_PHRASES, FLUSH, BLOCK = 4_000_000, 1_500_000, 2_000_000, 1 << 16
 #: Digits of word numbers in the automata, and the character between pieces.
 BASE, DELIMITER = 16, " "
 BREAKS = byte_class(b".,;:!?\n\v\f\r")
@@ -164,28 +164,80 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def candidates(rows: DataFrame, pairs: Cells, longer: Cells, turn: bool) -> DataFrame:
-    """(g): phrases, as the hashes of their words, whose counters reach the least count in both sketches."""
+class Known:
+    """The hashes that a task has sent: an open table, twice as large whenever it is half full."""
+
+    def __init__(self) -> None:
+        self.table, self.n = np.zeros(1 << 16, np.uint64), 0
+
+    def fresh(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that were not there before, the first of equal ones; from now on they are."""
+        hashes, first = np.unique(np.maximum(hashes, np.uint64(1)), return_index=True)  # 0 is a free place
+        while 2 * (self.n + len(hashes)) > len(self.table):
+            old = self.table[self.table > 0]
+            self.table = np.zeros(2 * len(self.table), np.uint64)
+            self._put(old)
+        return first[self._put(hashes)]
+
+    def _put(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of these distinct hashes were put into the table."""
+        mask, new = len(self.table) - 1, np.zeros(len(hashes), bool)
+        left, place = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            held = self.table[place]
+            free = held == 0
+            self.table[place[free]] = hashes[left[free]]  # of several in one place the last one stays
+            won = free & (self.table[place] == hashes[left])
+            new[left[won]] = True
+            more = ~won & (held != hashes[left])
+            left, place = left[more], (place[more] + 1) & mask
+        self.n = int(np.count_nonzero(self.table)) if len(hashes) else self.n
+        return new
+
+
+def candidates(rows: DataFrame, pairs: Cells, longer: Cells, turn: bool, blocks: int) -> DataFrame:
+    """(g): phrases, as the hashes of their words, whose counters reach the least count in both sketches. A task sends each
+    of them once, packed into blocks by hash; a block is made distinct by one task."""
 
     def make():
         def run(slices: Iterator[Slice]) -> Iterator[list]:
-            known = np.zeros(0, np.uint64)
+            known, held, n = Known(), {size: [] for size in range(2, LONGEST + 1)}, 0
+
+            def sent() -> list:
+                out: list[tuple] = []
+                for size, grams in held.items():
+                    words = np.concatenate(grams) if grams else np.zeros((0, size), np.uint64)
+                    block = (mixed(words.sum(1, dtype=np.uint64)) % np.uint64(blocks)).astype(np.int64)
+                    order = np.argsort(block, kind="stable")
+                    words, block = words[order], block[order]
+                    first = np.flatnonzero(np.diff(block, prepend=-1))
+                    out += [(int(block[a]), size, words[a:b].tobytes()) for a, b in zip(first, [*first[1:], len(block)], strict=True)]
+                    grams.clear()
+                return [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+
             for part in slices:
-                found: list[np.ndarray] = []
                 for size in range(2, LONGEST + 1):
                     at, hashes = likely(part, size, pairs if size > 2 and not turn else None)
-                    own = (pairs if size == 2 else longer).has(hashes, False)
-                    hashes, first = np.unique(hashes[own] ^ np.uint64(size), return_index=True)
-                    at = at[own][first]
-                    fresh = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] != hashes if len(known) else np.ones(len(hashes), bool)
-                    known = np.union1d(known, hashes[fresh])
-                    found += list(part.words[at[fresh][:, None] + np.arange(size)].view(np.int64))
-                if found:
-                    yield [list_array(found, np.int64)]
+                    own = np.flatnonzero((pairs if size == 2 else longer).has(hashes, False))
+                    own = own[known.fresh(hashes[own] ^ np.uint64(size))]
+                    held[size].append(part.words[at[own][:, None] + np.arange(size)])
+                    n += len(own)
+                if n >= FLUSH:
+                    yield sent()
+                    n = 0
+            yield sent()
 
         return run
 
-    return by_task(rows, make, "g array<long>").distinct()
+    def distinct(block: pa.Table) -> pa.Table:
+        out = []
+        for size in range(2, LONGEST + 1):
+            packed = b"".join(b for b, s in zip(block.column("words").to_pylist(), block.column("size").to_pylist(), strict=True) if s == size)
+            grams = np.unique(np.frombuffer(packed, np.int64).reshape(-1, size), axis=0)
+            out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, grams.size + 1, size, np.int32)), pa.array(grams.ravel())))
+        return pa.table({"g": pa.chunked_array(out)})
+
+    return by_task(rows, make, "block long, size int, words binary").groupBy("block").applyInArrow(distinct, "g array<long>")
 
 
 class Phrases:
@@ -283,7 +335,7 @@ def mined(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
     every = Cells(spark, heavy, bits, 0, turns)
     longer = heavy_cells(rows, tuple(range(3, LONGEST + 1)), every, bits, least, f"{root}/longer")
     turns = max(turns, longer.count() // MOST_CELLS + 1)
-    parts = [candidates(rows, Cells(spark, heavy, bits, k, turns), Cells(spark, longer, bits, k, turns), turns > 1) for k in range(turns)]
+    parts = [candidates(rows, Cells(spark, heavy, bits, k, turns), Cells(spark, longer, bits, k, turns), turns > 1, int(size >> 21) + 64) for k in range(turns)]
     for k, part in enumerate(parts):
         part.write.mode("append").parquet(f"{root}/candidates")
     found = spark.read.schema("g array<long>").parquet(f"{root}/candidates")
