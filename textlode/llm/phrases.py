@@ -211,7 +211,7 @@ def candidates(rows: DataFrame, pairs: Cells, longer: Cells, turn: bool, blocks:
                     order = np.argsort(block, kind="stable")
                     words, block = words[order], block[order]
                     first = np.flatnonzero(np.diff(block, prepend=-1))
-                    out += [(int(block[a]), size, words[a:b].tobytes()) for a, b in zip(first, [*first[1:], len(block)], strict=True)]
+                    out += [(int(block[a]), size, words[a:b].tobytes()) for a, b in zip(first, np.append(first, len(block))[1:], strict=True)]
                     grams.clear()
                 return [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
 
