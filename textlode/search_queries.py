@@ -17,7 +17,11 @@ from textlode.operators.search import PatternSet, Search
 from textlode.plans.flags import parse
 from textlode.plans.query import SearchQuery
 from textlode.plans.run import run_rows
-from textlode.sources.files import WalkOptions, admitted
+from textlode.session import workspace
+from textlode.sources.corpus import register as register_source
+from textlode.sources.files import WalkOptions, admitted, decoded, write_corpus
+from textlode.sources.large import search_large
+from textlode.sources.parallel_walk import walk_parallel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +29,7 @@ SQL: dict[str, str] = {}
 LINES = "SELECT doc_id, i AS line_number, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i) WHERE NOT (i = len(ls) AND ls[i] = '')"
 PATH = "source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '.md' WHEN doc_id % 3 = 1 THEN '.txt' ELSE '.py' END"
 PARTS = ["an", "the", "ou"]
+CONTAINS_AN, CONTAINS_TION, AN_LETTER = "contains(line, 'an')", "contains(line, 'tion')", "regexp_matches(line, 'an[a-z]')"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +191,7 @@ def matches_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 over_documents("count_captures", SearchQuery(patterns=("([a-z])an([a-z])?",)), Search.count_captures, f"SELECT doc_id, CAST(sum(list_sum([length(m) - 1 FOR m IN ms])) AS BIGINT) AS n FROM (SELECT doc_id, regexp_extract_all(line, '[a-z]an[a-z]?') AS ms FROM ({LINES})) WHERE len(ms) > 0 GROUP BY doc_id")
-over_documents("stats_report", SearchQuery(patterns=("edst",), with_filename=False), lambda s: s.stats_report().select(F.element_at(F.split("report", "\n"), 5).alias("line")), f"SELECT CAST(sum(strlen(line) + 1) AS BIGINT) || ' bytes printed' AS line FROM ({LINES}) WHERE contains(line, 'edst')")
+over_documents("stats_report", SearchQuery(patterns=("edst",), with_filename=False), Search.stats_report, f"WITH h AS (SELECT * FROM ({LINES}) WHERE contains(line, 'edst')) SELECT concat_ws(chr(10), (SELECT sum(len(string_split(line, 'edst')) - 1) FROM h) || ' matches', (SELECT count(*) FROM h) || ' matched lines', (SELECT count(DISTINCT doc_id) FROM h) || ' files contained matches', (SELECT count(*) FROM documents) || ' files searched', (SELECT sum(strlen(line) + 1) FROM h) || ' bytes printed', (SELECT sum(strlen(text)) FROM documents) || ' bytes searched') AS report")
 
 
 def path_query(name: str, condition: Callable[[Column], Column], sql: str) -> None:
@@ -209,11 +214,11 @@ path_query("ignore_precedence", lambda p: decision(p, F.lit(False), STACK) == "i
 TREE = "source || CASE doc_id % 4 WHEN 0 THEN '/.cache/' WHEN 1 THEN '/deep/er/' ELSE '/' END || CASE WHEN doc_id % 7 = 0 THEN '.' ELSE '' END || CAST(doc_id AS VARCHAR) || '.txt'"
 
 
-def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tree(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """documents as entries of a walk: some of them hidden, some deeper than others."""
     folder = F.when(F.col("doc_id") % 4 == 0, "/.cache/").when(F.col("doc_id") % 4 == 1, "/deep/er/").otherwise("/")
     path = F.concat("source", folder, F.when(F.col("doc_id") % 7 == 0, ".").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt"))
-    rows = docs(spark, sf_dir).select(path.alias("path"), F.octet_length("text").cast("long").alias("size"))
+    rows = docs(spark, sf_dir).select(path.alias("path"), F.octet_length("text").cast("long").alias("size"), *more)
     return rows.withColumn("depth", F.size(F.split("path", "/"))).withColumn("is_hidden", F.col("path").rlike(r"(^|/)\."))
 
 
@@ -242,7 +247,8 @@ command_query("command_context", ["-A1", "-m1", "edst", "-T", "md"], ["path", "l
 BLOCKS = f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, line, (line LIKE '%.' AND coalesce(lead(line) OVER w LIKE 'The%', false)) OR (line LIKE 'The%' AND coalesce(lag(line) OVER w LIKE '%.', false)) AS inside FROM ({LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY line_number)"
 over_documents("multiline_lines", SearchQuery(patterns=(r"\.\nThe",), multiline=True), Search.lines, f"SELECT doc_id, line_number, line FROM ({BLOCKS}) WHERE inside")
 over_documents("multiline_invert", SearchQuery(patterns=(r"\.\nThe",), multiline=True, invert=True), lambda s: s.lines().select("doc_id", "line_number"), f"SELECT doc_id, line_number FROM ({BLOCKS}) WHERE NOT inside")
-over_documents("multiline_max_count", SearchQuery(patterns=(r"\.\nThe",), multiline=True, max_count=1), lambda s: s.lines().groupBy("doc_id").agg(F.min("line_number").alias("first")), f"SELECT doc_id, min(line_number) AS first FROM ({BLOCKS}) WHERE inside GROUP BY doc_id")
+FIRST_BLOCK = f"SELECT *, min(k) OVER (PARTITION BY doc_id) AS first FROM (SELECT *, line_number - row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS k FROM ({BLOCKS}) WHERE inside)"
+over_documents("multiline_max_count", SearchQuery(patterns=(r"\.\nThe",), multiline=True, max_count=1), lambda s: s.lines().select("doc_id", "line_number"), f"SELECT doc_id, line_number FROM ({FIRST_BLOCK}) WHERE k = first")
 over_documents("stats_invert", SearchQuery(patterns=("tion",), invert=True), lambda s: s.stats().select("searches", "matched_lines", "matches"), f"SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS searches, CAST(count(*) AS BIGINT) AS matched_lines, CAST(0 AS BIGINT) AS matches FROM ({LINES}) WHERE NOT contains(line, 'tion')")
 over_documents("captures_every", SearchQuery(patterns=("([a-z])an([a-z])?",)), lambda s: s.captures(every=True), f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(k - 1 AS INTEGER) AS match_index, ms[k] AS match, ms[k][1] AS group_1, CASE WHEN length(ms[k]) = 4 THEN ms[k][4] END AS group_2 FROM (SELECT doc_id, line_number, regexp_extract_all(line, '[a-z]an[a-z]?') AS ms FROM ({LINES})), unnest(range(1, len(ms) + 1)) AS v(k)")
 JSON_LINES = f"SELECT l.doc_id, line_number, line || CASE WHEN line_number = last AND NOT ends THEN '' ELSE chr(10) END AS body FROM ({LINES}) l JOIN (SELECT doc_id, max(line_number) AS last FROM ({LINES}) GROUP BY doc_id) m ON l.doc_id = m.doc_id JOIN (SELECT doc_id, text LIKE '%' || chr(10) AS ends FROM documents) d ON l.doc_id = d.doc_id WHERE contains(line, 'edst')"
@@ -261,9 +267,12 @@ def globset_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", G.matching_indexes(F.col("url"), ["https://*", "*/en/*", "*#top"]).alias("hits"))
 
 
-@register("type_list")
+@register("type_list", f"SELECT name, count(*) AS n FROM (SELECT {PATH} AS path FROM documents) JOIN (VALUES ('md', '.md'), ('markdown', '.md'), ('py', '.py'), ('python', '.py'), ('txt', '.txt')) AS t(name, suffix) ON path LIKE '%' || suffix GROUP BY name")
 def type_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FileTypes().frame(spark)
+    """The listed types that some document's path has, and how many paths each has."""
+    suffixes = with_path(docs(spark, sf_dir)).groupBy(F.concat(F.lit("*."), F.substring_index("path", ".", -1)).alias("glob")).agg(F.count("*").alias("n"))
+    listed = FileTypes().frame(spark).select("name", F.explode(F.split("globs", ", ")).alias("glob"))
+    return listed.join(suffixes, "glob").groupBy("name").agg(F.sum("n").alias("n"))
 
 
 @register("sort_path", f"SELECT CAST(row_number() OVER (ORDER BY string_split(path, '/')) AS BIGINT) AS place, path FROM (SELECT {PATH} AS path FROM documents)")
@@ -286,29 +295,105 @@ def flags_front_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Search(docs(spark, sf_dir), query).lines()
 
 
-def inline(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+def over_changed(name: str, change: Callable[[Column], Column], query: SearchQuery, act: Callable[[Search], DataFrame], sql: str) -> None:
+    """A search over the documents with a changed text."""
+    register(name, sql)(lambda spark, sf_dir: act(Search(docs(spark, sf_dir).withColumn("text", change(F.col("text"))), query)))
 
 
-def over_inline(name: str, texts: list[str], query: SearchQuery, act: Callable[[Search], DataFrame], sql: str) -> None:
-    register(name, sql)(lambda spark, sf_dir: act(Search(inline(spark, texts), query)))
+NUMBERED = f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number FROM ({LINES}) WHERE {{0}}"
+over_changed("crlf_records", lambda t: F.replace(t, F.lit("\n"), F.lit("\r\n")), SearchQuery(patterns=(r"tion\.$",), crlf=True), lambda s: s.lines().select("doc_id", "line_number"), NUMBERED.format("line LIKE '%tion.'"))
+over_changed("null_data", lambda t: F.replace(t, F.lit("\n"), F.lit("\0")), SearchQuery(patterns=("edst.*",), null_data=True), lambda s: s.lines().select("doc_id", "line_number"), NUMBERED.format("contains(line, 'edst')"))
+over_changed("binary_quit", lambda t: F.replace(t, F.lit("edst"), F.lit("ed\0st")), SearchQuery(patterns=("an",)), lambda s: s.lines().select("doc_id", "line_number"), f"WITH l AS ({LINES}), b AS (SELECT doc_id, min(line_number) AS b FROM l WHERE contains(line, 'edst') GROUP BY doc_id) SELECT l.doc_id, CAST(line_number AS BIGINT) AS line_number FROM l LEFT JOIN b ON l.doc_id = b.doc_id WHERE contains(line, 'an') AND (b IS NULL OR line_number < b)")
+over_changed("binary_convert", lambda t: F.replace(t, F.lit("edst"), F.lit("ed\0st")), SearchQuery(patterns=("^st",), binary="convert"), Search.count_lines, f"SELECT * FROM (SELECT doc_id, CAST(sum(len(string_split(line, 'edst')) - 1 + CASE WHEN line LIKE 'st%' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM ({LINES}) GROUP BY doc_id) WHERE n > 0")
+over_documents("empty_match_suppression", SearchQuery(patterns=("n*",)), Search.count_matches, f"SELECT doc_id, CAST(sum(length(replace(line, 'n', '')) + 1 - CASE WHEN line_number = last AND NOT ends AND line <> '' AND line NOT LIKE '%n' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT l.*, max(line_number) OVER (PARTITION BY doc_id) AS last, ends FROM ({LINES}) l JOIN (SELECT doc_id, text LIKE '%' || chr(10) AS ends FROM documents) d USING (doc_id)) GROUP BY doc_id HAVING n > 0")
+over_documents("no_phantom_records", SearchQuery(patterns=("absent-needle",), invert=True), Search.count_lines, f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM ({LINES}) GROUP BY doc_id")
 
 
-VALUES = "SELECT CAST(a AS BIGINT) AS doc_id, CAST(b AS BIGINT) AS {1} FROM (VALUES {0}) AS t(a, b)"
-over_inline("crlf_records", ["one\r\ntwo\r\nxtwo", "two\r\n"], SearchQuery(patterns=("two$",), crlf=True), lambda s: s.lines().select("doc_id", "line_number"), VALUES.format("(0, 2), (0, 3), (1, 1)", "line_number"))
-over_inline("null_data", ["foo\0bar\0\0\0baz\0"], SearchQuery(patterns=(".+",), null_data=True), lambda s: s.lines().select("doc_id", "line_number"), VALUES.format("(0, 1), (0, 2), (0, 5)", "line_number"))
-over_inline("binary_quit", ["foo\0bar\nfoo\0baz\n", "foo\nx\0foo\n"], SearchQuery(patterns=("foo",)), lambda s: s.lines().select("doc_id", "line_number"), VALUES.format("(1, 1)", "line_number"))
-over_inline("binary_convert", ["foo\0bar\nfoo\0baz\n"], SearchQuery(patterns=("foo",), binary="convert"), lambda s: s.count_lines(), VALUES.format("(0, 2)", "n"))
-over_inline("empty_match_suppression", ["abc", "abc\n"], SearchQuery(patterns=("b*",)), lambda s: s.count_matches(), VALUES.format("(0, 2), (1, 3)", "n"))
-over_inline("no_phantom_records", ["", "\n", "a\n", "a\n\n"], SearchQuery(patterns=("q",), invert=True), lambda s: s.count_lines(), VALUES.format("(1, 1), (2, 1), (3, 2)", "n"))
+@register("decode_encodings", r"SELECT doc_id, md5(text) AS marked, md5(regexp_replace(text, '[^\x00-\xFF]', '?', 'g')) AS labelled FROM documents")
+def decode_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts from UTF-16 by its byte order mark, and from bytes of one character each by label."""
+    text = F.col("text")
+    rows = docs(spark, sf_dir).select("doc_id", F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")).alias("a"), F.encode(text, "ISO-8859-1").alias("b"))
+    return rows.select("doc_id", F.md5(decoded(F.col("a"), "utf-8").cast("binary")).alias("marked"), F.md5(decoded(F.col("b"), "latin1").cast("binary")).alias("labelled"))
+
+
+# Bytes.
+LATIN = "[a-z]\u00e9[a-z]"
+
+
+def latin_search(spark: SparkSession, sf_dir: str, **options) -> Search:
+    """The documents as bytes of one character each, so that `é` is the byte E9 and no text is valid UTF-8."""
+    rows = docs(spark, sf_dir).select("doc_id", F.encode("text", "ISO-8859-1").alias("content"))
+    return Search(rows, SearchQuery(**options), ("doc_id",), "content")
+
+
+@register("bytes_lines", f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, hex(encode(replace(line, chr(233), chr(1)))) AS line FROM ({LINES}) WHERE regexp_matches(line, '{LATIN}') AND NOT regexp_matches(line, '[^\\x00-\\x7f\u00e9]')")
+def bytes_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a byte E9 between letters, and no other byte above 127; the byte is 01 in the hexadecimal digits."""
+    rows = latin_search(spark, sf_dir, patterns=(r"(?-u)^[\x00-\x7F\xE9]*[a-z]\xE9[a-z][\x00-\x7F\xE9]*$",)).lines()
+    plain = F.translate(F.col("line"), "\u00e9", "\x01")
+    return rows.select("doc_id", "line_number", F.hex(Search.to_bytes(plain)).alias("line"))
+
+
+@register("bytes_count", f"SELECT * FROM (SELECT doc_id, CAST(sum(len(string_split(line, chr(233))) - 1) AS BIGINT) AS n FROM ({LINES}) GROUP BY doc_id) WHERE n > 0")
+def bytes_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latin_search(spark, sf_dir, patterns=(r"(?-u)\xE9",)).count_matches()
+
+
+@register("bytes_unicode", f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(strlen(regexp_extract(line, '^(.*?)[\\pL]\u00e9', 1)) AS BIGINT) AS start FROM ({LINES}) WHERE regexp_matches(line, '[\\pL]\u00e9')")
+def bytes_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of characters over UTF-8 bytes: where the first letter before an `é` is, in bytes."""
+    rows = docs(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    found = Search(rows, SearchQuery(patterns=("\\p{L}\u00e9",)), ("doc_id",), "content").match_spans()
+    return found.filter("match_index = 0").select("doc_id", "line_number", "start")
+
+
+# Files that Spark derives from the tables.
+def files_of(spark: SparkSession, rows: DataFrame) -> str:
+    """Rows of (path, text) as files in the shared folder."""
+    folder = workspace(spark, "files")
+    write_corpus(rows, folder)
+    return folder
+
+
+@register("corpus_source", "SELECT doc_id, md5(text) AS digest FROM documents WHERE strlen(text) > 2000 AND lang = 'en'")
+def corpus_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files, read by the data source with filters on size and path."""
+    folder = files_of(spark, docs(spark, sf_dir).select(F.concat_ws("/", F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"), "text"))
+    register_source(spark)
+    found = spark.read.format("textlode").load(folder).filter("size > 2000 AND path LIKE 'en/%'")
+    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@register("walk_parallel", f"SELECT path, size FROM (SELECT {TREE} AS path, strlen(text) AS size FROM documents) WHERE NOT regexp_matches(path, '(^|/)[.]') AND path NOT LIKE 'src2/%' AND (path NOT LIKE '%/deep/%' OR path LIKE '%7.txt')")
+def walk_on_executors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of the documents with rule files in it, walked by the executors."""
+    own = tree(spark, sf_dir, "text")
+    rules = spark.createDataFrame([(".ignore", "/src2/\n/*/deep/er/*.txt\n!*7.txt\n")], "path string, text string")
+    return walk_parallel(spark, [files_of(spark, own.select("path", "text").unionByName(rules)).removeprefix("file://")]).select("path", "size")
+
 
+@register("large_files", f"WITH h AS (SELECT *, contains(line, 'edst') AS hit FROM ({LINES})), n AS (SELECT *, max(CAST(hit AS INT)) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near FROM h) SELECT CASE WHEN hit THEN 'match' ELSE 'context' END AS kind, line, count(*) AS n FROM n WHERE near = 1 GROUP BY ALL")
+def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as a few large text files, with lines between them that keep their contexts apart."""
+    folder = workspace(spark, "texts")
+    ended = F.when(F.col("text").endswith("\n"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    docs(spark, sf_dir).filter("text <> ''").select(F.concat(ended, F.lit("\n<|>\n<|>\n<|>\n<|>")).alias("value")).write.text(folder)
+    found = search_large(spark, folder, SearchQuery(patterns=("edst",), before=2, after=1))
+    return found.filter("line <> '<|>'").groupBy("kind", "line").agg(F.count("*").alias("n"))
 
-@register("decode_shift_jis", "SELECT 'Шерлок' AS a, '日本' AS b, 'x�' AS c")
-def decode_shift_jis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textlode.sources.files import decoded
 
-    rows = spark.createDataFrame([(bytearray("Шерлок".encode("cp932")), bytearray(b"\xff\xfe" + "日本".encode("utf-16-le")), bytearray(b"x\xff"))], "a binary, b binary, c binary")
-    return rows.select(decoded(F.col("a"), "sjis").alias("a"), decoded(F.col("b"), "sjis").alias("b"), decoded(F.col("c")).alias("c"))
+# Options in one command.
+RANKED = f"SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_number) AS r FROM ({PATH_LINES}) WHERE {{0}}"
+command_query("command_count_matches_max", ["--count-matches", "-m2", "an"], ["path", "n"], f"SELECT path, CAST(sum(len(string_split(line, 'an')) - 1) AS BIGINT) AS n FROM ({RANKED.format(CONTAINS_AN)}) WHERE r <= 2 GROUP BY path")
+command_query("command_only_matching_max", ["-o", "-m1", "an[a-z]"], ["path", "line_number", "match"], f"SELECT path, CAST(line_number AS BIGINT) AS line_number, unnest(regexp_extract_all(line, 'an[a-z]')) AS match FROM ({RANKED.format(AN_LETTER)}) WHERE r = 1")
+command_query("command_replace_max", ["-r", "<$0>", "-m2", "tion"], ["path", "line_number", "line"], f"SELECT path, CAST(line_number AS BIGINT) AS line_number, replace(line, 'tion', '<tion>') AS line FROM ({RANKED.format(CONTAINS_TION)}) WHERE r <= 2")
+command_query("command_count_stop", ["-c", "--stop-on-nonmatch", "an"], ["path", "n"], f"SELECT path, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, min(k) OVER (PARTITION BY path) AS first FROM (SELECT *, line_number - r AS k FROM ({RANKED.format(CONTAINS_AN)}))) WHERE k = first GROUP BY path")
+command_query("command_replace_context", ["-r", "X", "-A1", "edst"], ["path", "line_number", "kind", "line"], f"WITH h AS (SELECT *, contains(line, 'edst') AS hit FROM ({PATH_LINES})), n AS (SELECT *, max(CAST(hit AS INT)) OVER (PARTITION BY path ORDER BY line_number ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS near FROM h) SELECT path, CAST(line_number AS BIGINT) AS line_number, CASE WHEN hit THEN 'match' ELSE 'context' END AS kind, replace(line, 'edst', 'X') AS line FROM n WHERE near = 1")
+command_query("command_only_invert", ["-o", "-v", "an"], ["path", "line_number", "match"], f"SELECT path, CAST(line_number AS BIGINT) AS line_number, line AS match FROM ({PATH_LINES}) WHERE NOT contains(line, 'an')")
+command_query("command_vimgrep_invert", ["--vimgrep", "-v", "-m3", "an"], ["path", "line_number", "line"], f"SELECT path, CAST(line_number AS BIGINT) AS line_number, line FROM ({RANKED.format('NOT ' + CONTAINS_AN)}) WHERE r <= 3")
+command_query("command_count_only", ["-c", "-o", "tion"], ["path", "n"], f"SELECT path, CAST(sum(len(string_split(line, 'tion')) - 1) AS BIGINT) AS n FROM ({RANKED.format(CONTAINS_TION)}) GROUP BY path")
+command_query("command_multiline_without", ["-U", "--files-without-match", r"\.\nThe"], ["path"], f"SELECT {PATH} AS path FROM documents WHERE NOT contains(text, '.' || chr(10) || 'The')")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
