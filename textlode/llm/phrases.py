@@ -40,6 +40,8 @@ LEAST, LONGEST, CONTAINED, TOP = 30, 4, 80, 2000
 MOST_CELLS, MOST_PHRASES, FLUSH, BLOCK = 4_000_000, 1_500_000, 2_000_000, 1 << 16
 #: Digits of word numbers in the automata, and the character between pieces.
 BASE, DELIMITER = 16, " "
+#: Numbers whose counts are added up together.
+PACK = 1024
 BREAKS = byte_class(b".,;:!?\n\v\f\r")
 WORD = ~(BREAKS | byte_class(b" \t"))
 
@@ -263,6 +265,17 @@ class Phrases:
         flat[~there, 1:] = False  # one character is enough of a delimiter
         return out[flat].tobytes().decode("utf-32-le")
 
+    def grams(self, which: np.ndarray) -> pa.Array:
+        """Phrases by number, as the hashes of their words."""
+        sizes = np.diff(self.bounds)[which]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.repeat(self.bounds[which] - bounds[:-1], sizes) + np.arange(bounds[-1])
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(self.words[self.numbers[flat]].view(np.int64)))
+
+    def words_of(self, which: np.ndarray) -> pa.Array:
+        """Words by number, as phrases of one word."""
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32)), pa.array(self.words[which].view(np.int64)))
+
     def automaton(self) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         text, bounds = self.spelled(self.numbers), (self.bounds * self.digits).tolist()
@@ -283,8 +296,9 @@ class Phrases:
 
 
 def counted(rows: DataFrame, grams: pa.ChunkedArray) -> DataFrame:
-    """(kind, id, n, lang, word): counts of candidates by number (kind 0), of their words by hash with the word itself
-    (kind 1), and of all words of a language (kind 2)."""
+    """(kind, g, n, lang, word): counts of candidates (kind 0), of their words, with language and the word itself (kind 1),
+    and of all words of a language (kind 2). A task sends its counts once, packed into blocks of numbers, and one task adds
+    up a block."""
     held = rows.sparkSession.sparkContext.broadcast(Phrases(grams))
 
     def make():
@@ -292,30 +306,45 @@ def counted(rows: DataFrame, grams: pa.ChunkedArray) -> DataFrame:
             phrases = held.value
             automaton, n = phrases.automaton(), len(phrases.bounds) - 1
             counts, of_words, totals = np.zeros(n, np.int64), np.zeros(len(phrases.words) + 1, np.int64), {}
+            names: dict[int, tuple[bytes, bytes]] = {}
             for part in slices:
-                numbers, sequence = phrases.read(part)
-                counts += np.bincount(np.fromiter((k for _, k in automaton.iter(sequence)), np.int64), minlength=n)
+                numbers, text = phrases.read(part)
+                counts += np.bincount(np.fromiter((k for _, k in automaton.iter(text)), np.int64), minlength=n)
                 seen, first = np.unique(numbers, return_index=True)
-                new = [(int(s), int(k)) for s, k in zip(seen, first, strict=True) if s and not of_words[s]]
+                names |= {int(s) - 1: (part.langs[part.row[k]], part.word(k)) for s, k in zip(seen, first, strict=True) if s and not of_words[s]}
                 of_words += np.bincount(numbers, minlength=len(of_words))
                 for row, size in enumerate(np.diff(part.found.offsets).tolist()):
                     totals[part.langs[row]] = totals.get(part.langs[row], 0) + size
-                if new:
-                    yield _rows([1] * len(new), phrases.words[[s - 1 for s, _ in new]].view(np.int64), [0] * len(new), [part.langs[part.row[k]] for _, k in new], [part.word(k) for _, k in new])
-            there, spoken = np.flatnonzero(counts), np.flatnonzero(of_words[1:])
-            yield _rows([0] * len(there), there, counts[there])
-            yield _rows([1] * len(spoken), phrases.words[spoken].view(np.int64), of_words[1:][spoken])
-            yield _rows([2] * len(totals), [0] * len(totals), list(totals.values()), list(totals))
+            if any(totals.values()):
+                yield [[2], [0], [b""], [np.array(list(totals.values()), np.int64).tobytes()], [[t.decode() for t in totals]], [[]]]
+            for kind, sums in ((0, counts), (1, of_words[1:])):
+                there = np.flatnonzero(sums)
+                first = np.flatnonzero(np.diff(there // PACK, prepend=-1))
+                spans = list(zip(first, np.append(first, len(there))[1:], strict=True))
+                told = [[names[k] for k in there[a:b].tolist()] if kind else [] for a, b in spans]
+                yield [[kind] * len(spans), [int(there[a]) // PACK for a, _ in spans], [there[a:b].tobytes() for a, b in spans], [sums[there[a:b]].tobytes() for a, b in spans], [[x.decode() for x, _ in t] for t in told], [[x.decode() for _, x in t] for t in told]]
 
         return run
 
-    found = by_task(rows, make, "kind int, id long, n long, lang string, word string")
-    return found.groupBy("kind", "id", F.when(F.col("kind") == 2, F.col("lang")).alias("total_of")).agg(F.sum("n").alias("n"), F.max("lang").alias("lang"), F.max("word").alias("word"))
-
-
-def _rows(kinds: list[int], ids: object, n: object, langs: list | None = None, words: list | None = None) -> list:
-    text = [pa.array(v, pa.binary()).cast(pa.string()) if v else pa.nulls(len(kinds), pa.string()) for v in (langs, words)]
-    return [kinds, ids, n, *text]
+    def added(block: pa.Table) -> pa.Table:
+        kind = block.column("kind")[0].as_py()
+        ids = np.frombuffer(b"".join(block.column("ids").to_pylist()), np.int64)
+        counts = np.frombuffer(b"".join(block.column("counts").to_pylist()), np.int64)
+        langs, words = ([x for row in block.column(c).to_pylist() for x in row] for c in ("langs", "words"))
+        if kind == 2:
+            sums: dict[str, int] = {}
+            for lang, n in zip(langs, counts.tolist(), strict=True):
+                sums[lang] = sums.get(lang, 0) + n
+            return pa.table({"kind": pa.array([2] * len(sums), pa.int32()), "g": pa.nulls(len(sums), pa.list_(pa.int64())), "n": pa.array(list(sums.values()), pa.int64()), "lang": pa.array(list(sums), pa.string()), "word": pa.nulls(len(sums), pa.string())})
+        phrases = held.value
+        own, first, where = np.unique(ids, return_index=True, return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, where, counts)
+        said = [pa.array([v[k] for k in first.tolist()], pa.string()) if kind else pa.nulls(len(own), pa.string()) for v in (langs, words)]
+        return pa.table({"kind": pa.array([kind] * len(own), pa.int32()), "g": phrases.words_of(own) if kind else phrases.grams(own), "n": pa.array(total), "lang": said[0], "word": said[1]})
+
+    found = by_task(rows, make, "kind int, block long, ids binary, counts binary, langs array<string>, words array<string>")
+    return found.groupBy("kind", "block").applyInArrow(added, "kind int, g array<long>, n long, lang string, word string")
 
 
 def mined(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, contained: int = CONTAINED, top: int = TOP) -> DataFrame:
@@ -345,10 +374,8 @@ def mined(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
         grams = found.filter(F.pmod(F.xxhash64("g"), F.lit(turns)) == k).toArrow().column("g").combine_chunks()
         if len(grams):
             own = materialise(counted(rows, grams), f"{root}/counts-{k}")
-            numbered = own.filter("kind = 0").select("id", "n")
-            names = spark.createDataFrame(pa.table({"id": pa.array(range(len(grams)), pa.int64()), "g": grams}))
-            names.join(numbered, "id").select("g", "n").write.mode("append").parquet(f"{root}/counted")
-            own.filter("kind = 1").select(F.col("id").alias("word"), "n", "lang", F.col("word").alias("text")).write.mode("append").parquet(f"{root}/words")
+            own.filter("kind = 0").select("g", "n").write.mode("append").parquet(f"{root}/counted")
+            own.filter("kind = 1").select(F.get("g", F.lit(0)).alias("word"), "n", "lang", F.col("word").alias("text")).write.mode("append").parquet(f"{root}/words")
             own.filter("kind = 2").select("lang", "n").write.mode("append").parquet(f"{root}/totals")
     # with no candidate at all nothing was written
     grams, words, totals = (spark.read.schema(s).parquet(f"{root}/{p}") if turns and found.head(1) else spark.createDataFrame([], s) for p, s in (("counted", "g array<long>, n long"), ("words", "word long, n long, lang string, text string"), ("totals", "lang string, n long")))
