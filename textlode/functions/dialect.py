@@ -33,6 +33,11 @@ class PatternError(ValueError):
     """The pattern is not valid in the dialect."""
 
 
+#: Horizontal and vertical white space, as class bodies.
+HORIZONTAL = r"\t\x{20}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+VERTICAL = r"\n\x0b\f\r\x{85}\x{2028}\x{2029}"
+
+
 class BytesNeeded(PatternError):
     """The pattern asks for bytes by their values, which a text column doesn't show."""
 
@@ -71,6 +76,8 @@ class Compiled:
     literals: list[str] | None  # every match holds one of these; None: unknown
     sure_groups: frozenset[int] = frozenset()  # groups that take part in every match
     of_bytes: bool = False  # an expression over the Latin-1 view of bytes
+    outside: bool = False  # not for Java's engine: it doesn't know the syntax, or would take exponential time
+    linear: str | None = None  # for those that would: what a linear-time engine may reject a text by
 
 
 class Parser:
@@ -78,6 +85,8 @@ class Parser:
         self.text, self.at, self.flags, self.look_around = pattern, 0, flags, look_around
         self.names: dict[str, int] = {}
         self.groups = 0
+        self.outside = False  # whether Java's engine doesn't know the syntax
+        self.calls: list[str] = []  # groups that are called
         self.bytes = False  # whether a byte above 127 is asked for by its value
 
     def peek(self, n: int = 1) -> str:
@@ -148,6 +157,9 @@ class Parser:
         if self.peek() == "?":
             self.take()
             lazy = not lazy
+        elif self.peek() == "+" and self.look_around:
+            self.take()
+            return Node("rep", self.flags, (least, most, False, "possessive"), [node])
         return Node("rep", self.flags, (least, most, lazy), [node])
 
     def atom(self) -> Node:
@@ -171,6 +183,8 @@ class Parser:
             number = self.groups
             return self.close(Node("group", self.flags, number, [self.alternatives()]))
         self.take()
+        if self.look_around and (node := self.backtracking_group()):
+            return node
         for head in ("P<", "<"):
             if self.peek(len(head)) == head and not (head == "<" and self.peek(2) in ("<=", "<!")):
                 self.take(len(head))
@@ -276,6 +290,8 @@ class Parser:
     def escape(self) -> Node:
         c = self.take()
         f = self.flags
+        if self.look_around and (node := self.backtracking_escape(c)):
+            return node
         if c in "pP":
             return Node("set", f, self.property(c == "P"))
         if body := self.perl(c):
@@ -301,6 +317,75 @@ class Parser:
             return Node("byte", f, ord(found))
         return Node("lit", f, found)
 
+    def backtracking_escape(self, c: str) -> Node | None:
+        """Escapes that only the backtracking dialect has."""
+        f = self.flags
+        if c in "hHvVN":
+            body = {"h": HORIZONTAL, "v": VERTICAL, "n": r"\n"}[c.lower()]
+            return Node("set", f, f"^{body}" if c.isupper() else body)
+        if c == "R":
+            return Node("raw", f, rf"(?>\r\n|[{VERTICAL}])")
+        if c == "K":
+            self.outside = True
+            return Node("raw", f, r"\K")
+        if c == "G":
+            return Node("raw", f, r"\G")
+        if c == "Z":
+            return Node("raw", f, r"(?=\n?(?![\x{0}-\x{10ffff}]))")
+        if c == "Q":
+            end = self.text.find("\\E", self.at)
+            body, self.at = (self.text[self.at :], len(self.text)) if end < 0 else (self.text[self.at : end], end + 2)
+            return Node("cat", f, parts=[Node("lit", f, x) for x in body])
+        if c in "kg" and self.peek() in ("{", "<", "'") or c == "g" and (self.peek().isdigit() or self.peek() == "-"):
+            if self.peek() in ("{", "<", "'"):
+                end = self.text.find({"{": "}", "<": ">", "'": "'"}[self.take()], self.at)
+                name, self.at = self.text[self.at : end], end + 1
+            else:
+                name = self.take()
+                while self.peek().isdigit() or name == "-":
+                    name += self.take()
+            return Node("back", f, self.group_number(name))
+        return None
+
+    def group_number(self, name: str) -> int:
+        """The number of a group by its name, its number, or its distance back."""
+        if name.lstrip("-").isdigit():
+            n = int(name)
+            return n if n > 0 else self.groups + 1 + n
+        if name not in self.names:
+            raise PatternError(f"unknown group {name!r}: {self.text!r}")
+        return self.names[name]
+
+    def backtracking_group(self) -> Node | None:
+        """Groups after `(?` that only the backtracking dialect has."""
+        f, rest = self.flags, self.text[self.at :]
+        if rest.startswith("P="):
+            end = rest.find(")")
+            self.at += end + 1
+            return Node("back", f, self.group_number(rest[2:end]))
+        for head in ("R", "0", "&", "P>", *"123456789"):
+            if rest.startswith(head) and (end := rest.find(")")) > 0:
+                name = rest[len(head) if head in ("&", "P>") else 0 : end]
+                if head in ("&", "P>"):
+                    name = f"&{name}"
+                elif name not in ("R", "0") and not name.isdigit():
+                    continue
+                self.outside = True
+                self.calls.append(name.removeprefix("&"))
+                self.at += end + 1
+                return Node("recurse", f, name)
+        if rest.startswith("("):
+            end = rest.find(")")
+            name = rest[1:end].strip("<>'")
+            self.at += end + 1
+            self.outside = True
+            inner = self.alternatives()
+            branches = inner.parts if inner.kind == "alt" else [inner]
+            if len(branches) > 2:
+                raise PatternError(f"a condition has two branches at most: {self.text!r}")
+            return self.close(Node("cond", f, self.group_number(name), branches))
+        return None
+
     def is_byte(self, c: str, found: str) -> bool:
         """Whether an escape is one byte of any value: a two-digit one with Unicode off."""
         of_bytes = c == "x" and not self.flags.unicode and 128 <= ord(found) < 256
@@ -418,9 +503,13 @@ def emit(node: Node) -> str:
     if kind == "back":
         return f"\\{node.value}"
     if kind == "rep":
-        least, most, lazy = node.value
+        least, most, lazy = node.value[:3]
         count = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((least, most)) or f"{{{least}{'' if most == least else ',' if most is None else f',{most}'}}}"
-        return f"(?:{emit(node.parts[0])}){count}{'?' if lazy else ''}"
+        return f"(?:{emit(node.parts[0])}){count}{'+' if node.value[3:] else '?' if lazy else ''}"
+    if kind == "recurse":
+        return f"(?{node.value})"
+    if kind == "cond":
+        return f"(?({node.value}){'|'.join(map(emit, node.parts))})"
     w = WORD if f.unicode else ASCII_WORD
     before, not_before, after, not_after = f"(?<=[{w}])", f"(?<![{w}])", f"(?=[{w}])", f"(?![{w}])"
     start, end = r"(?<![\x{0}-\x{10ffff}])", r"(?![\x{0}-\x{10ffff}])"
@@ -497,7 +586,7 @@ def required(node: Node, limit: int = 100_000) -> list[str] | None:
             if best is None or min(map(len, r)) > min(map(len, best)):
                 best = r
         return best
-    if node.kind == "group":
+    if node.kind == "group" or (node.kind == "look" and node.value == ">"):
         return required(node.parts[0], limit)
     if node.kind == "rep":
         return required(node.parts[0], limit) if node.value[0] else None
@@ -520,6 +609,13 @@ def to_python(java: str) -> str:
     return "(?V1)" + text.replace("(?iu:", "(?i:")
 
 
+def with_names(expression: str, names: dict[str, int]) -> str:
+    """Calls by name as calls by number."""
+    for name, number in names.items():
+        expression = expression.replace(f"(?&{name})", f"(?{number})")
+    return expression
+
+
 FIXED_META = frozenset("\\.[](){}*+?^$|")
 
 
@@ -561,4 +657,13 @@ def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "s
     if not whole_buffer and any("\n" in p or "\\n" in p.replace("\\\\", "") for p in texts) and crosses and required(tree) and any("\n" in r for r in required(tree)):
         raise PatternError("the literal \\n is not allowed in a pattern unless multi-line search is on")
     java = emit(tree)
-    return Compiled(java, to_python(java), parser.names, parser.groups, empty(tree), crosses, required(tree), frozenset(sure(tree)), of_bytes)
+    from textlode.functions.engines import hostile, linear
+
+    slow = not of_bytes and hostile(tree)
+    if parser.calls:  # a called group is one by name or number; its name must be known to Python's engine
+        java = with_names(java, parser.names)
+    for name in parser.calls:
+        if name not in ("R", "0"):
+            if parser.group_number(name) > parser.groups:
+                raise PatternError(f"unknown group {name!r}: {text!r}")
+    return Compiled(java, to_python(java), parser.names, parser.groups, empty(tree), crosses, required(tree), frozenset(sure(tree)), of_bytes, parser.outside or slow, linear(tree) if slow else None)

@@ -22,6 +22,7 @@ from pyspark.sql.types import BinaryType, StructType
 
 from textlode.functions import replacement
 from textlode.functions.dialect import Compiled
+from textlode.functions.engines import Engine
 from textlode.operators.patterns import contains_any
 from textlode.operators.rows import any_of, let, running, total
 from textlode.plans.query import SearchQuery
@@ -43,6 +44,9 @@ class Search:
             self.query = query.where(replacement=query.replacement.encode().decode("latin-1"))
         self.pattern: Compiled = query.compiled(self.of_bytes)
 
+        #: Whether matches are found over Arrow batches: rules for empty ones, and patterns that aren't for Java's engine.
+        self.outside = self.pattern.can_be_empty or self.pattern.outside
+
     def size_of(self, text: Column) -> Column:
         """Bytes of a text; of a view, its characters."""
         return F.char_length(text) if self.of_bytes else F.octet_length(text)
@@ -131,6 +135,9 @@ class Search:
     def chosen(self) -> DataFrame:
         """(keys, line_number, line): the selected lines as they are. Every mode starts from these lines, so that limits,
         stop_on_nonmatch and invert hold in all of them."""
+        if self.pattern.outside:
+            q, view = self.query, self.of_bytes
+            return self._by_text("line_number long, line string", lambda found, text: [(n, body) for n, _, body, _ in chosen_lines(found, text, q, view)])
         if not self._limited():
             return self.records(prune=True).filter(self.selected(F.col("line")))
         rows = self.files(not self.query.invert).select(*self.keys, F.explode(self._chosen(self.lines_of(F.col("_text")))).alias("_s"))
@@ -155,6 +162,10 @@ class Search:
     def _offset_rows(self) -> DataFrame:
         """Selected lines with byte_offset, and whether a terminator ends them."""
         text = F.col("_text")
+        if self.pattern.outside:
+            q, view = self.query, self.of_bytes
+            size = lambda t: len(t if view else t.encode())
+            return self._by_text("line_number long, byte_offset long, line string, ended boolean", lambda found, text: [(n, at, body, at + size(body) < size(text)) for n, at, body, _ in chosen_lines(found, text, q, view)])
         placed = lambda upto, raw: lambda s: F.struct(s["at"].alias("at"), s["line"].alias("line"), upto(s["at"]).alias("byte_offset"), (upto(s["at"]) + self.size_of(F.get(raw, s["at"])) < self.size_of(text)).alias("ended"))
         chosen = let(self.raw_lines(text), lambda raw: let(self._chosen(F.transform(raw, self.stripped)), lambda found: running(self._sizes(raw), lambda upto: F.transform(found, placed(upto, raw)))))
         rows = self.files(not self.query.invert).select(*self.keys, F.explode(chosen).alias("_s"))
@@ -167,11 +178,26 @@ class Search:
     # Counts, within the row of a file.
     def count_lines(self, zero: bool | None = None) -> DataFrame:
         files = self.files(not (self.query.invert or zero or self.query.include_zero))
-        lines = self.lines_of(F.col("_text"))
-        n = F.coalesce(F.size(self._chosen(lines) if self._limited() else F.filter(lines, self.selected)), F.lit(0)).cast("long")
+        n = self.n_lines(F.col("_text"))
         out = files.select(*self.keys, n.alias("n"))
         return out if (self.query.include_zero if zero is None else zero) else out.filter("n > 0")
 
+    def n_lines(self, text: Column) -> Column:
+        """Chosen lines of a text."""
+        if self.pattern.outside:
+            pattern, q, view = self.pattern, self.query, self.of_bytes
+            bounded_batches(self.df.sparkSession)
+
+            @F.arrow_udf("long")
+            def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                found = Engine(pattern)
+                for texts in batches:
+                    yield pa.array([sum(1 for _ in chosen_lines(found, t, q, view)) if t else 0 for t in texts.to_pylist()], pa.int64())
+
+            return count(text)
+        lines = self.lines_of(text)
+        return F.coalesce(F.size(self._chosen(lines) if self._limited() else F.filter(lines, self.selected)), F.lit(0)).cast("long")
+
     def count_matches(self) -> DataFrame:
         """Matches by file; lines where the query inverts or wants whole lines."""
         if self.query.invert or self.query.line:
@@ -181,18 +207,16 @@ class Search:
 
     def n_matches(self, text: Column) -> Column:
         """Matches in the lines of a text (with a limit, in the chosen ones); an empty one right after another match is none."""
-        if not self.pattern.can_be_empty:
+        if not self.outside:
             lines = self.lines_of(text)
             lines = F.transform(self._chosen(lines), lambda s: s["line"]) if self._limited() else lines
             return total(F.transform(lines, lambda x: F.regexp_count(x, F.lit(self.pattern.java)).cast("long")))
-        pattern, q, view = self.pattern.python, self.query, self.of_bytes
+        pattern, q, view = self.pattern, self.query, self.of_bytes
         bounded_batches(self.df.sparkSession)
 
         @F.arrow_udf("long")
         def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            import regex
-
-            found = regex.compile(pattern)
+            found = Engine(pattern)
             for texts in batches:
                 yield pa.array([None if t is None else sum(len(kept) for *_, kept in chosen_lines(found, t, q, view)) for t in texts.to_pylist()], pa.int64())
 
@@ -201,6 +225,8 @@ class Search:
     def any_hit(self) -> Column:
         if self.query.multiline:
             return self.multiline_any(F.col("_text"))
+        if self.pattern.outside:
+            return self.n_lines(F.col("_text")) > 0
         return F.coalesce(F.exists(self.lines_of(F.col("_text")), self.selected), F.lit(False))
 
     def files_with_matches(self) -> DataFrame:
@@ -218,17 +244,26 @@ class Search:
         """Matching and context lines with kind, and group_id, which grows where lines are not adjacent."""
         if self.query.multiline:
             return self.multiline_context()
+        if self.pattern.outside:
+            return self._context_outside()
         rows = self.files(prune=not (self.query.invert or self.query.passthru)).select(*self.keys, F.explode(self._context(F.col("_text"))).alias("_s"))
         kind, line, q = F.col("_s.kind"), F.col("_s.line"), self.query
         other = self.shaped(line, context=True)
         if q.only_matching and not q.invert:
-            self._needs("matches that can be empty, with context,", *(("only_matching",) if self.pattern.can_be_empty else ()))
+            self._needs("matches that can be empty, with context,", *(("only_matching",) if self.outside else ()))
             found = F.regexp_extract_all(line, F.lit(self.pattern.java), 0) if q.replacement is None else self._expansions(line, replacement.parts(q.replacement, self.pattern))
             body = F.explode(F.when(kind == "match", found).otherwise(F.array(other)))
         else:
             body = F.when(kind == "match", self.shaped(self._replaced(line))).otherwise(other)
         return rows.select(*self.keys, (F.col("_s.at") + 1).cast("long").alias("line_number"), kind.alias("kind"), body.alias("line"), F.col("_s.group_id").alias("group_id"))
 
+    def _context_outside(self) -> DataFrame:
+        self._needs("a pattern outside of the engine, with context,", *(("only_matching",) if self.query.only_matching else ()))
+        q, view = self.query, self.of_bytes
+        rows = self._by_text("line_number long, kind string, line string, group_id long", lambda found, text: context_rows(found, text, q, view))
+        body = F.when(F.col("kind") == "match", self.shaped(self._replaced(F.col("line")))).otherwise(self.shaped(F.col("line"), context=True))
+        return rows.select(*self.keys, "line_number", "kind", body.alias("line"), "group_id")
+
     def _context(self, text: Column) -> Column:
         """(at, line, kind, group_id) of the matching lines of a text and those around them."""
         q = self.query
@@ -263,7 +298,7 @@ class Search:
         """(keys, line_number, match_index, match) of every match."""
         if self.query.invert:  # lines without a match stand for themselves
             return self.chosen().select(*self.keys, "line_number", F.lit(0).alias("match_index"), F.col("line").alias("match"))
-        if self.pattern.can_be_empty:
+        if self.outside:
             return self.spans().select(*self.keys, "line_number", "match_index", "match")
         rows = self.chosen()
         return rows.select(*self.keys, "line_number", F.posexplode(F.regexp_extract_all("line", F.lit(self.pattern.java), 0)).alias("match_index", "match"))
@@ -276,7 +311,7 @@ class Search:
     def match_spans(self) -> DataFrame:
         """(keys, line_number, match_index, column, start, stop, abs_offset, match, line) of every match, as `spans` gives
         them; in the engine where no match can be empty."""
-        if self.pattern.can_be_empty:
+        if self.outside:
             return self.spans().drop("groups")
         rows = self.with_offsets().select(*self.keys, "line_number", "byte_offset", "line")
         rows = rows.select("*", F.posexplode(self._starts(F.col("line"), F.regexp_extract_all("line", F.lit(self.pattern.java), 0))).alias("match_index", "_m"))
@@ -295,7 +330,7 @@ class Search:
         self._needs("a search for groups", "invert")
         names = {v: k for k, v in self.pattern.names.items()}
         named = [(k, names.get(k, f"group_{k}")) for k in range(1, self.pattern.n_groups + 1)]
-        if self.pattern.can_be_empty or len(self.pattern.sure_groups) < self.pattern.n_groups:
+        if self.outside or len(self.pattern.sure_groups) < self.pattern.n_groups:
             rows = self.spans()
             rows = rows if every else rows.filter("match_index = 0")
             return rows.select(*self.keys, "line_number", *(["match_index"] if every else []), "match", *(F.get("groups", F.lit(k))["text"].alias(name) for k, name in named))
@@ -310,7 +345,7 @@ class Search:
     def count_captures(self) -> DataFrame:
         """Groups that took part in matches, the whole match included, by file."""
         self._needs("a search for groups", "invert")
-        if self.pattern.can_be_empty or len(self.pattern.sure_groups) < self.pattern.n_groups:
+        if self.outside or len(self.pattern.sure_groups) < self.pattern.n_groups:
             q, view = self.query, self.of_bytes
             taking = lambda m: 1 + sum(m.start(g) >= 0 for g in range(1, m.re.groups + 1))
             return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(taking(m) for *_, kept in chosen_lines(found, text, q, view) for m in kept)) else [])
@@ -324,16 +359,14 @@ class Search:
     def _replaced(self, line: Column) -> Column:
         if self.query.invert or self.query.replacement is None:
             return line
-        if not self.pattern.can_be_empty:
+        if not self.outside:
             return F.regexp_replace(line, F.lit(self.pattern.java), F.lit(replacement.java(self.query.replacement or "", self.pattern)))
-        pattern, template = self.pattern.python, replacement.parts(self.query.replacement or "", self.pattern)
+        pattern, template = self.pattern, replacement.parts(self.query.replacement or "", self.pattern)
         bounded_batches(self.df.sparkSession)
 
         @F.arrow_udf("string")
         def expand(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            import regex
-
-            found = regex.compile(pattern)
+            found = Engine(pattern)
             for lines in batches:
                 yield pa.array([None if x is None else with_replacements(found, x, template) for x in lines.to_pylist()], pa.string())
 
@@ -344,7 +377,7 @@ class Search:
         if self.query.invert:
             return self.only_matching()
         template = replacement.parts(self.query.replacement or "", self.pattern)
-        if self.pattern.can_be_empty:
+        if self.outside:
             rows = self.spans()
             parts = [F.coalesce(F.get("groups", F.lit(p))["text"], F.lit("")) if isinstance(p, int) else F.lit(p) for p in template]
             return rows.select(*self.keys, "line_number", "match_index", F.concat(F.lit(""), *parts).alias("match"))
@@ -359,13 +392,11 @@ class Search:
     def _by_text(self, columns: str, rows_of: Callable[[object, str], list[tuple]], prune: bool = True) -> DataFrame:
         """(keys, columns) from a function of the compiled pattern and a text, over Arrow batches of bounded bytes."""
         schema = StructType([*(self.df.schema[k] for k in self.keys), *StructType.fromDDL(columns).fields])
-        arrow, pattern, n = to_arrow_schema(schema), self.pattern.python, len(self.keys)
+        arrow, pattern, n = to_arrow_schema(schema), self.pattern, len(self.keys)
         bounded_batches(self.df.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import regex
-
-            found = regex.compile(pattern)
+            found = Engine(pattern)
             for batch in batches:
                 at, out = [], []
                 for k, text in enumerate(batch.column(n).to_pylist()):
@@ -409,7 +440,7 @@ class Search:
         if self.query.invert or self.query.max_count is not None:
             q = self.query.where(context=0, before=None, after=None, passthru=False)
             return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(opens for *_, opens in block_rows(found, text, q))) else [])
-        if self.pattern.can_be_empty:
+        if self.outside:
             return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(1 for _ in distinct_matches(found, text))) else [])
         return self.files(prune=True).select(*self.keys, F.regexp_count("_text", F.lit(self.pattern.java)).cast("long").alias("n")).filter("n > 0")
 
@@ -421,16 +452,14 @@ class Search:
 
     def multiline_any(self, text: Column) -> Column:
         """Whether a multi-line search finds anything in a text."""
-        if not (self.query.invert or self.pattern.can_be_empty):
+        if not (self.query.invert or self.outside):
             return F.coalesce(text.rlike(self.pattern.java), F.lit(False))
-        pattern, q = self.pattern.python, self.query.where(context=0, before=None, after=None, passthru=False)
+        pattern, q = self.pattern, self.query.where(context=0, before=None, after=None, passthru=False)
         bounded_batches(self.df.sparkSession)
 
         @F.arrow_udf("boolean")
         def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            import regex
-
-            compiled = regex.compile(pattern)
+            compiled = Engine(pattern)
             for texts in batches:
                 yield pa.array([bool(t and block_rows(compiled, t, q)) for t in texts.to_pylist()], pa.bool_())
 
@@ -482,7 +511,7 @@ class Search:
     def json_events(self) -> DataFrame:
         """One JSON `match` message a selected line, with its submatches in byte offsets."""
         self._needs("single JSON events", "multiline", "context", "before", "after", "passthru", "replacement")
-        if self.pattern.can_be_empty or self.query.invert:
+        if self.outside or self.query.invert:
             found = self.json_messages().filter(F.get_json_object("event", "$.type") == "match")
             data = lambda path: F.get_json_object("event", f"$.data.{path}")
             subs = F.coalesce(F.json_array_length(data("submatches")), F.lit(0))
@@ -500,13 +529,11 @@ class Search:
         q, template = self.query, replacement.parts(self.query.replacement, self.pattern) if self.query.replacement is not None else None
         n, view = len(self.keys), self.of_bytes
         schema = StructType([*(self.df.schema[k] for k in self.keys), *StructType.fromDDL("seq int, event string").fields])
-        arrow, pattern = to_arrow_schema(schema), self.pattern.python
+        arrow, pattern = to_arrow_schema(schema), self.pattern
         bounded_batches(self.df.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import regex
-
-            found = regex.compile(pattern)
+            found = Engine(pattern)
             for batch in batches:
                 at, seq, events = [], [], []
                 names = ["/".join(str(v) for v in row if v is not None) for row in zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True)]
@@ -540,9 +567,8 @@ class Search:
 
     def stats(self) -> DataFrame:
         """One row of totals over all files. Under invert lines are selected, and no matches counted."""
-        hits = F.filter(self.lines_of(F.col("_text")), self.selected)
         matches = F.lit(0).cast("long") if self.query.invert else self.n_matches(F.col("_text"))
-        per = self.files().select(self.size_of(F.col("_text")).alias("bytes"), F.size(hits).alias("lines"), matches.alias("matches"))
+        per = self.files().select(self.size_of(F.col("_text")).alias("bytes"), self.n_lines(F.col("_text")).alias("lines"), matches.alias("matches"))
         total_of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
         return per.agg(F.count("*").alias("searches"), F.count_if(F.col("lines") > 0).alias("searches_with_match"), total_of("bytes").alias("bytes_searched"), total_of("lines").alias("matched_lines"), total_of("matches").alias("matches"))
 
@@ -583,12 +609,12 @@ def line_matches(compiled, text: str, end: str, crlf: bool, view: bool = False):
 
 
 def chosen_lines(compiled, text: str, q: SearchQuery, view: bool = False):
-    """(number, bytes before the line, body, matches) of the lines that a search without invert selects, up to its limit."""
+    """(number, bytes before the line, body, matches) of the lines that a search selects, up to its limit."""
     offset = chosen = 0
     for number, body, size, kept in line_matches(compiled, text, q.terminator, q.crlf, view):
         if chosen == q.max_count:
             return
-        if kept or compiled.search(body):
+        if (bool(kept) or compiled.search(body) is not None) != q.invert:
             yield number, offset, body, kept
             chosen += 1
         elif chosen and q.stop_on_nonmatch:
@@ -596,6 +622,32 @@ def chosen_lines(compiled, text: str, q: SearchQuery, view: bool = False):
         offset += size
 
 
+def shown_lines(compiled, text: str, q: SearchQuery, view: bool = False) -> list[tuple[int, int, str, str, list, int]]:
+    """(number, bytes before the line, body, kind, matches, group) of the lines that a search shows, context included."""
+    marked, offset = [], 0
+    for number, body, size, kept in line_matches(compiled, text, q.terminator, q.crlf, view):
+        marked.append((number, offset, body, (bool(kept) or compiled.search(body) is not None) != q.invert, [] if q.invert else kept))
+        offset += size
+    if q.stop_on_nonmatch:
+        first = next((k for k, row in enumerate(marked) if row[3]), len(marked))
+        marked = marked[: next((k + 1 for k in range(first, len(marked)) if not marked[k][3]), len(marked))]
+    opens = [k for k, row in enumerate(marked) if row[3]][: q.max_count]
+    near = set(range(len(marked))) if q.passthru else {j for k in opens for j in range(max(0, k - q.lines_before), min(len(marked), k + q.lines_after + 1))}
+    opened, out, group, last, around = set(opens), [], 0, None, q.lines_before or q.lines_after
+    for k in sorted(near):
+        group += bool(around) and last is not None and k - last > 1
+        last = k
+        number, offset, body, hit, kept = marked[k]
+        selected = k in opened if q.passthru else hit
+        out.append((number, offset, body, "match" if selected else "context", kept if selected else [], group))
+    return out
+
+
+def context_rows(compiled, text: str, q: SearchQuery, view: bool = False) -> list[tuple[int, str, str, int]]:
+    """(number, kind, line, group) as `Search.context` gives them, for patterns outside of the engine."""
+    return [(number, kind, body, group) for number, _, body, kind, _, group in shown_lines(compiled, text, q, view)]
+
+
 def byte_places(text: str, view: bool = False) -> Callable[[int], int]:
     """The bytes before each character of a text, for places that mostly ascend: only what lies between two is measured."""
     if view or text.isascii():
@@ -757,9 +809,7 @@ class PatternSet:
 
         @F.arrow_udf("int")
         def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            import regex
-
-            found = regex.compile(pattern)
+            found = Engine(pattern)
             for texts in batches:
                 yield pa.array([None if t is None else sum(1 for _ in distinct_matches(found, t)) for t in texts.to_pylist()], pa.int32())
 

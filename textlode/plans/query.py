@@ -73,8 +73,11 @@ class SearchQuery:
                 return compile_patterns(list(self.patterns), **options)
             except BytesNeeded:
                 raise
-            except ValueError:
-                return compile_patterns(list(self.patterns), **options, look_around=True)
+            except ValueError as first:
+                try:
+                    return compile_patterns(list(self.patterns), **options, look_around=True)
+                except ValueError as second:
+                    raise ValueError(f"neither engine takes the pattern; default: {first}; pcre2: {second}") from None
         return compile_patterns(list(self.patterns), **options, look_around=self.engine == "pcre2")
 
     def where(self, **changes) -> SearchQuery:

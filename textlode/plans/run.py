@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textlode.functions.dialect import BytesNeeded
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.globs import override
+from textlode.operators.render import printed
 from textlode.operators.search import Search
 from textlode.plans.flags import parse
 from textlode.plans.query import SearchQuery
@@ -77,6 +78,12 @@ def searched(search: Search) -> DataFrame:
     return search.lines()
 
 
+def print_rows(rows: DataFrame, args: list[str], keys: tuple[str, ...] = ("path",), text: str = "text", path: str = "path") -> DataFrame:
+    """What a command over a table of files prints, as (keys, seq, output)."""
+    query, _ = parse(args)
+    return printed(Search(admitted_rows(rows, query, path) if path in rows.columns else rows, query, keys, text))
+
+
 def run_rows(rows: DataFrame, args: list[str], keys: tuple[str, ...] = ("path",), text: str = "text", path: str = "path") -> DataFrame:
     """A command over a table of files: globs and types choose among its paths, if it has any."""
     query, _ = parse(args)
@@ -106,8 +113,9 @@ def sorted_by(out: DataFrame, query: SearchQuery, path: str) -> DataFrame:
     return out.orderBy(key, *(c for c in ("line_number", "match_index", "seq") if c in out.columns))
 
 
-def run(spark: SparkSession, args: list[str]) -> DataFrame:
-    """A command over folders: walk, read, search. Without a path, the working folder is searched."""
+def run(spark: SparkSession, args: list[str], text: bool = False) -> DataFrame:
+    """A command over folders: walk, read, search. Without a path, the working folder is searched. With `text` the result is
+    what the command prints, as (path, seq, output)."""
     query, paths = parse(args)
     if query.mode == "type_list":
         return file_types(query).frame(spark)
@@ -120,7 +128,7 @@ def run(spark: SparkSession, args: list[str]) -> DataFrame:
     search = Search(corpus, query, ("path", *keep))
     if query.unknown.get("stats"):
         return search.stats()
-    out = searched(search)
+    out = printed(search) if text and query.mode not in ("json", "quiet") else searched(search)
     if keep and keep[0] in out.columns:  # results in the order of their files' times, which are not part of them
         at = F.col(keep[0])
         out = out.orderBy(at.desc_nulls_first() if query.sort_reverse else at.asc_nulls_last(), "path", *(c for c in ("line_number", "match_index", "seq") if c in out.columns)).drop(*keep)
