@@ -1,11 +1,15 @@
+import random
+
 import pytest
 import regex
+from pyspark.sql import functions as F
 
-from textlode.functions import replacement
+from textlode.functions import globs as G
+from textlode.functions import replacement, ruleindex
 from textlode.functions.dialect import compile_patterns, to_python
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.globs import GlobError, GlobOptions, escape, to_regex
-from textlode.functions.ignore import parse_rules
+from textlode.functions.ignore import decision, ignored, parse_rules
 from textlode.plans.flags import config_args, parse
 from textlode.sources.files import WalkOptions, byte_size, decode_bytes, read_corpus, rules_of, sort_entries, walk
 
@@ -77,3 +81,33 @@ def test_walk(spark, tmp_path):
     assert [r.path for r in sort_entries(found, "path").collect()] == ["a.py", "b.txt", "sub/c.txt"]
     only = walk(spark, [str(tmp_path)], WalkOptions(globs=["*.txt"], max_depth=1))
     assert {(r.path, r.text) for r in read_corpus(spark, only).collect()} == {("b.txt", "needle\n")}
+
+
+def test_rule_index_equals_expressions(spark):
+    rng = random.Random(7)
+    names = ["a", "b", "c.rs", "d.tar.gz", ".e", "f"]
+    paths = sorted({"/".join(rng.choice(names) for _ in range(rng.randrange(1, 5))) for _ in range(300)})
+    globs = ["a", "*.rs", "*.tar.gz", "*.gz", "/a/b", "a/b", "b/**", "**/c.rs", "**/b/f", "a/*/c.rs", "*/f", ".*", "[ab]", "a/", "b/a/", "{a,b}/f", "?"]
+    rules = []
+    for base in ("", "a", "a/b", "f"):
+        rules += parse_rules("\n".join(("!" if rng.random() < 0.3 else "") + rng.choice(globs) for _ in range(6)), base)
+    rows = spark.createDataFrame([(p, d) for p in paths for d in (True, False)] + [(None, False)], "path string, folder boolean")
+    want = sorted((tuple(r) for r in rows.filter("path IS NOT NULL").select("path", "folder", decision(F.col("path"), F.col("folder"), rules).alias("decision")).collect()))
+    got = ruleindex.decisions(rows, ruleindex.rule_table(spark, rules), is_dir="folder").collect()
+    assert sorted(tuple(r) for r in got if r.path is not None) == want and [r.decision for r in got if r.path is None] == ["none"]
+    assert len({d for *_, d in want}) == 3
+    files = rows.filter("path IS NOT NULL AND NOT folder").select("path")
+    kept = {r.path for r in files.filter(~ignored(F.col("path"), rules)).collect()}
+    assert {r.path for r in ruleindex.not_ignored(files, ruleindex.rule_table(spark, rules)).collect()} == kept
+    whole = [g.removeprefix("/") for g in globs if not g.endswith("/")]
+    found = {r.path: r.found for r in ruleindex.matching_globs(files, ruleindex.glob_table(spark, whole)).collect()}
+    listed = {r.path: r.hits for r in files.select("path", G.matching_indexes(F.col("path"), whole, G.GlobOptions(literal_separator=True)).alias("hits")).collect()}
+    assert {p: h for p, h in listed.items() if h} == found
+
+
+def test_indexed_rules_need_no_python_and_no_limit(spark, capsys):
+    rules = spark.range(200_000).select(F.concat(F.lit("path|d/"), F.col("id").cast("string")).alias("key"), F.lit(None).cast("string").alias("regex"), F.lit(False).alias("dir_only"), F.lit(False).alias("include"), F.col("id").alias("rank"))
+    out = ruleindex.decisions(spark.createDataFrame([("d/199999",), ("d/x",)], "path string"), rules)
+    assert {tuple(r) for r in out.collect()} == {("d/199999", "ignore"), ("d/x", "none")}
+    out.explain()
+    assert "Python" not in capsys.readouterr().out

@@ -104,7 +104,7 @@ def to_regex(glob: str, options: GlobOptions = GlobOptions()) -> str:
 def matches(path: Column, glob: str, options: GlobOptions = GlobOptions()) -> Column:
     """Whether a path (its base name, for such globs) matches."""
     subject = F.substring_index(path, "/", -1) if options.basename else path
-    if not options.ignore_case and glob.startswith("*.") and not set(glob[2:]) & set("?*[]{}\\/"):
+    if not options.ignore_case and (options.basename or not options.literal_separator) and glob.startswith("*.") and not set(glob[2:]) & set("?*[]{}\\/"):
         return F.endswith(subject, F.lit(glob[1:]))
     return subject.rlike(to_regex(glob, options))
 

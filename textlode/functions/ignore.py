@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlode.functions.dialect import to_python
-from textlode.functions.globs import GlobOptions, hits, matches, to_regex
-from textlode.session import bounded_batches
-
-#: Rules of a table that every task gets.
-MOST_RULES = 100_000
+from textlode.functions.globs import GlobOptions, hits, matches
 
 #: Precedence of rule sources, strongest first.
 SOURCES = ("custom", "ignore", "gitignore", "exclude", "global", "explicit")
@@ -90,35 +83,3 @@ def ignored(path: Column, rules: list[IgnoreRule], ignore_case: bool = False) ->
     depth = F.size(parts)
     parents = F.transform(F.sequence(F.lit(1), depth), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("p"), (k < depth).alias("d")))
     return F.exists(parents, lambda x: decision(x["p"], x["d"], rules, ignore_case) == "ignore")
-
-
-def with_rule_table(entries: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
-    """(path, decision) from a table of rules (regex, include, rank): the matching rule with the highest rank decides. For
-    rule lists too long for one expression: up to `MOST_RULES` of them go to every task, which tries them from the highest
-    rank down; longer lists are refused, as no repository has them."""
-    ranked_rules = rules.orderBy(F.desc("rank")).limit(MOST_RULES + 1).collect()
-    if len(ranked_rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    spark = entries.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast([(to_python(r.regex).replace(r"\z", r"\Z"), r.include) for r in ranked_rules])
-
-    @F.arrow_udf("string")
-    def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import regex
-
-        known = [(regex.compile(expression), "whitelist" if include else "ignore") for expression, include in shared.value]
-        for paths in batches:
-            yield pa.array([None if p is None else next((said for found, said in known if found.search(p)), "none") for p in paths.to_pylist()], pa.string())
-
-    return entries.select(path, decide(F.col(path)).alias("decision"))
-
-
-def rule_rows(rules: list[IgnoreRule]) -> list[tuple[str, bool, int]]:
-    """(regex, include, rank) of rules without directory parts, for `with_rule_table`."""
-    out = []
-    for k, rule in enumerate(ranked(rules)):
-        body = to_regex(rule.glob, GlobOptions(literal_separator=True)).removeprefix(r"\A").removesuffix(r"\z")
-        prefix = "".join(f"{c}" if c.isalnum() or c == "/" else f"\\x{{{ord(c):x}}}" for c in f"{rule.base}/" if rule.base)
-        out.append((rf"\A{prefix}{'(?:.*/)?' if rule.basename else ''}{body}\z", rule.include, k))
-    return out

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from textlode.functions import globs as G
 from textlode.functions import matchlib as M
 from textlode.functions.filetypes import FileTypes
-from textlode.functions.ignore import decision, ignored, parse_rules, rule_rows, with_rule_table
+from textlode.functions.ignore import decision, ignored, parse_rules
+from textlode.functions.ruleindex import RULES as RULE_COLUMNS
+from textlode.functions.ruleindex import decisions, glob_table, key_of, matching_globs, not_ignored, rule_table
 from textlode.operators.order import numbered
 from textlode.operators.patterns import literal_hits
 from textlode.operators.search import PatternSet, Search
 from textlode.plans.flags import parse
 from textlode.plans.query import SearchQuery
-from textlode.plans.run import run_rows
+from textlode.plans.run import print_rows, run_rows
 from textlode.session import workspace
 from textlode.sources.corpus import register as register_source
 from textlode.sources.files import WalkOptions, admitted, decoded, write_corpus
@@ -29,6 +31,7 @@ SQL: dict[str, str] = {}
 LINES = "SELECT doc_id, i AS line_number, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i) WHERE NOT (i = len(ls) AND ls[i] = '')"
 PATH = "source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '.md' WHEN doc_id % 3 = 1 THEN '.txt' ELSE '.py' END"
 PARTS = ["an", "the", "ou"]
+HOSTILE = "regexp_matches(line, '[a-z][.]$')"
 CONTAINS_AN, CONTAINS_TION, AN_LETTER = "contains(line, 'an')", "contains(line, 'tion')", "regexp_matches(line, 'an[a-z]')"
 
 
@@ -258,8 +261,29 @@ over_documents("json_messages", SearchQuery(patterns=("edst",)), lambda s: s.jso
 
 @register("ignore_rule_table", f"SELECT path, CASE WHEN path LIKE 'src1/%.md' THEN 'whitelist' WHEN path LIKE '%.md' THEN 'ignore' ELSE 'none' END AS decision FROM (SELECT DISTINCT {PATH} AS path FROM documents)")
 def ignore_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(rule_rows(STACK[:2]), "regex string, include boolean, rank int")
-    return with_rule_table(with_path(docs(spark, sf_dir)).select("path").distinct(), rules)
+    return decisions(with_path(docs(spark, sf_dir)).select("path").distinct(), rule_table(spark, STACK[:2]))
+
+
+@register("rule_index", f"SELECT path, CASE WHEN path LIKE '%7.md' THEN 'ignore' WHEN path LIKE 'src3/%' THEN 'whitelist' WHEN doc_id % 7 = 0 THEN 'ignore' ELSE 'none' END AS decision FROM (SELECT doc_id, {PATH} AS path FROM documents)")
+def rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of as many rules as every seventh document: its path each, and two of other kinds above them."""
+    files = with_path(docs(spark, sf_dir)).select("doc_id", "path")
+    own = files.filter("doc_id % 7 = 0").select(F.concat(F.lit("path|"), "path").alias("key"), F.lit(None).cast("string").alias("regex"), F.lit(False).alias("dir_only"), F.lit(False).alias("include"), F.col("doc_id").cast("long").alias("rank"))
+    above = spark.createDataFrame([(*key_of("src3/**"), False, True, 1 << 60), (*key_of("*7.md", basename=True), False, False, 1 << 61)], RULE_COLUMNS)
+    return decisions(files.select("path"), own.unionByName(above))
+
+
+@register("rule_index_folders", f"SELECT path FROM (SELECT {PATH} AS path FROM documents) WHERE path NOT LIKE 'src1/%' AND NOT regexp_matches(path, '^src[24]/(de|fr)/') AND (path NOT LIKE '%.py' OR regexp_matches(path, '^src3/[^/]*/[^/]*$'))")
+def rule_index_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no rule takes with them, folders above them included."""
+    rules = [*parse_rules("src1/\n*.py\n!src1/en/*.md\nsrc[24]/de/\n/src[24]/fr\n"), *parse_rules("!*.py", "src3")]
+    return not_ignored(with_path(docs(spark, sf_dir)).select("path"), rule_table(spark, rules))
+
+
+@register("globset_index", f"SELECT path, CASE WHEN path LIKE 'src1/%' THEN [0] ELSE [] END || CASE WHEN regexp_matches(path, '/en/[^/]*[.]md$') THEN [1] ELSE [] END || CASE WHEN path LIKE '%9.txt' THEN [2] ELSE [] END AS found FROM (SELECT DISTINCT {PATH} AS path FROM documents) WHERE path LIKE 'src1/%' OR regexp_matches(path, '/en/[^/]*[.]md$') OR path LIKE '%9.txt'")
+def globset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    globs = glob_table(spark, ["src1/**", "*/en/*.md", "**/*9.txt"])
+    return matching_globs(with_path(docs(spark, sf_dir)).select("path"), globs)
 
 
 @register("globset_indexes", "SELECT page_id, CASE WHEN url LIKE 'https://%' THEN [0] ELSE [] END || CASE WHEN regexp_matches(url, '/en/') THEN [1] ELSE [] END || CASE WHEN url LIKE '%#top' THEN [2] ELSE [] END AS hits FROM pages")
@@ -383,6 +407,22 @@ def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("line <> '<|>'").groupBy("kind", "line").agg(F.count("*").alias("n"))
 
 
+# Text output and engines.
+PRINTED = f"""WITH h AS (SELECT *, contains(line, 'edst') AS hit FROM ({PATH_LINES})), n AS (SELECT *, max(CAST(hit AS INT)) OVER (PARTITION BY path ORDER BY line_number ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM h),
+k AS (SELECT *, coalesce(line_number - lag(line_number) OVER (PARTITION BY path ORDER BY line_number) > 1, false) AS jump FROM n WHERE near = 1)
+SELECT path, path || CASE WHEN hit THEN ':' || line_number || ':' ELSE '-' || line_number || '-' END || line AS output FROM k UNION ALL SELECT path, '--' FROM k WHERE jump"""
+register("printed_context", PRINTED)(lambda spark, sf_dir: print_rows(with_path(docs(spark, sf_dir)).select("path", "text"), ["-n", "-C1", "edst"]).select("path", "output"))
+LONG = f"SELECT path, replace(line, 'tion', '<tion>') AS r, strlen(substr(line, 1, instr(line, 'tion') - 1)) + 1 AS c, line_number FROM ({PATH_LINES}) WHERE contains(line, 'tion')"
+CUT = f"SELECT *, substr(r, 1, coalesce(list_max(list_filter(range(1, 61), lambda n: strlen(substr(r, 1, n)) <= 60)), 0)) AS cut FROM ({LONG})"
+register("printed_long_lines", f"SELECT path, line_number || ':' || c || ':' || CASE WHEN strlen(r) <= 60 THEN r ELSE cut || ' [... ' || m || ' more ' || CASE WHEN m = 1 THEN 'match' ELSE 'matches' END || ']' END AS output FROM (SELECT *, len(string_split(substr(r, length(cut) + 1), '<tion>')) - 1 AS m FROM ({CUT}))")(
+    lambda spark, sf_dir: print_rows(with_path(docs(spark, sf_dir)).select("path", "text"), ["-I", "--column", "-M60", "--max-columns-preview", "-r", "<$0>", "tion"]).select("path", "output")
+)
+lines_query("pcre_possessive", "regexp_matches(line, '[a-m][n-z]')", patterns=("[a-m]++[n-z]",), engine="pcre2")
+lines_query("pcre_conditional", "regexp_matches(line, '[(][a-z]+[)]|[^(]th[aeiou]r')", patterns=(r"(\()?(?(1)[a-z]+\)|(?<=[^(])th[aeiou]r)",), engine="pcre2")
+over_documents("pcre_keep", SearchQuery(patterns=(r"th\K[aeiou]",), engine="pcre2"), Search.only_matching, f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(k - 1 AS INTEGER) AS match_index, ms[k] AS match FROM (SELECT doc_id, line_number, regexp_extract_all(line, 'th([aeiou])', 1) AS ms FROM ({LINES})), unnest(range(1, len(ms) + 1)) AS v(k)")
+over_documents("hostile_pattern", SearchQuery(patterns=(r"([a-z]+)+\.$",)), Search.count_lines, f"SELECT * FROM ({COUNT.format(HOSTILE)}) WHERE n > 0")
+
+
 # Options in one command.
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_number) AS r FROM ({PATH_LINES}) WHERE {{0}}"
 command_query("command_count_matches_max", ["--count-matches", "-m2", "an"], ["path", "n"], f"SELECT path, CAST(sum(len(string_split(line, 'an')) - 1) AS BIGINT) AS n FROM ({RANKED.format(CONTAINS_AN)}) WHERE r <= 2 GROUP BY path")
