@@ -333,3 +333,34 @@ def test_numbered_rows(spark):
     assert [p for p, _ in made] == list(range(1, 902)) and made[0][1] is None
     assert [n for _, n in made[1:]] == sorted(n for _, n in made[1:])
     assert numbered(names.limit(0), F.col("name")).count() == 0
+
+
+def test_thousands_of_patterns_by_index(spark):
+    import re
+
+    from textlode.operators.search import PatternSet
+
+    patterns = [f"{a}{b}{c}x?" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"] + [r"\d+", "(?i)ZZ", "(q)?u(v)?"]
+    texts = ["abcx defg", "12 and hhh", "zZ", "uv qu", "", None, "nothing"]
+    sets = PatternSet(patterns)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r for r in rows.select("id", sets.ids(F.col("text")).alias("ids"), sets.first(F.col("text")).alias("first"), sets.captures(F.col("text")).alias("groups"), sets.capture_counts(F.col("text")).alias("n")).collect()}
+    for k, text in enumerate(texts):
+        if text is None:
+            assert got[k].ids is None
+            continue
+        found = {i: m for i, p in enumerate(patterns) if (m := re.search(p, text))}
+        assert got[k].ids == sorted(found)
+        assert got[k].first == (min((m.start() + 1, i) for i, m in found.items()) if found else None)
+        assert [(g.pattern_id, g.groups) for g in got[k].groups] == [(i, [m[0], *m.groups()]) for i, m in sorted(found.items())]
+    assert [(x.pattern_id, x.n) for x in got[3].n] == [(len(patterns) - 1, 2)]
+
+
+def test_patterns_and_texts_meet_on_rare_grams(spark, capsys):
+    from textlode.operators.patterns import by_grams
+
+    texts = [(1, "a common head of many patterns: one"), (1, "a common head of many patterns: one"), (2, "a common head of many patterns: two, été"), (None, "short"), (3, "of many patterns: two, été")]
+    rows = spark.createDataFrame(texts, "id long, _text string")
+    patterns = spark.createDataFrame([("a common head of many patterns: one",), ("many patterns: two, été",), ("many patterns: three",)], "pattern string")
+    got = by_grams(rows, patterns, ["id"])
+    assert sorted((r.id, r.pattern[:6]) for r in got.collect()) == [(1, "a comm"), (1, "a comm"), (2, "many p"), (3, "many p")]

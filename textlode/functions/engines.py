@@ -84,10 +84,11 @@ def linear(node: Node) -> str:
 class Engine:
     """A pattern in Python's engine: searches end by a limit, and those that must fail end in linear time if it is hostile."""
 
-    def __init__(self, pattern: Compiled) -> None:
+    def __init__(self, pattern: Compiled | str) -> None:
         import regex
 
-        self.found, self.linear = regex.compile(pattern.python), pattern.linear
+        text, self.linear = (pattern, None) if isinstance(pattern, str) else (pattern.python, pattern.linear)
+        self.found = regex.compile(text)
         self.groups = self.found.groups
 
     def search(self, text: str, at: int = 0):

@@ -73,6 +73,8 @@ def literal_matches(text: Column, literals: list[str], kind: str = "leftmost_fir
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}")
     numbers = {_needle(p): k for k, p in reversed(list(enumerate(literals)))}
+    from textlode.operators.search import byte_places
+
     ship(SparkSession.active())
     schema = pa.list_(pa.struct([("literal", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -91,8 +93,9 @@ def literal_matches(text: Column, literals: list[str], kind: str = "leftmost_fir
                     out.append(None)
                     continue
                 found = chosen([(k, end + 1 - n, end + 1) for end, (k, n) in automaton.iter(t)], kind)
-                at = (lambda c: c) if t.isascii() else (lambda c, t=t: len(t[:c].encode()))
-                out.append([{"literal": k, "start": at(a), "stop": at(b)} for k, a, b in found])
+                ends = sorted({p for _, a, b in found for p in (a, b)})
+                at = dict(zip(ends, map(byte_places(t), ends), strict=True))  # ascending, so that each stretch is measured once
+                out.append([{"literal": k, "start": at[a], "stop": at[b]} for k, a, b in found])
             yield pa.array(out, schema)
 
     return run(text)
@@ -109,16 +112,15 @@ class MatchesOf:
     """Rows (match_index, start, stop, match) of the matches of an expression in a text; for `LATERAL` in SQL."""
 
     def eval(self, text: str, pattern: str):
-        from textlode.operators.search import distinct_matches
+        from textlode.operators.search import byte_places, distinct_matches
 
         if text is not None and pattern is not None:
-            plain = text.isascii()
+            at = byte_places(text)
             for n, m in enumerate(distinct_matches(_expression(pattern), text)):
-                a, b = m.span() if plain else (len(text[: m.start()].encode()), len(text[: m.end()].encode()))
-                yield n, a, b, m[0]
+                yield n, at(m.start()), at(m.end()), m[0]
 
 
 def register(spark: SparkSession, name: str = "matches_of") -> None:
     """Make `MatchesOf` a table function of the session's SQL."""
     ship(spark)
-    spark.udtf.register(name, F.udtf(MatchesOf, returnType="match_index int, start long, stop long, match string"))
+    spark.udtf.register(name, F.udtf(MatchesOf, returnType="match_index int, start long, stop long, match string", useArrow=True))

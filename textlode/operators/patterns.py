@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textlode.session import bounded_batches
+from textlode.session import bounded_batches, materialise, workspace
 
 #: Bytes of all patterns up to which each task builds an automaton of them; beyond that they join on grams.
 AUTOMATON_BYTES = 8 << 20
@@ -47,11 +48,47 @@ def literal_hits(corpus: DataFrame, patterns: DataFrame, keys: list[str], text:
     if size <= AUTOMATON_BYTES:
         return _by_automaton(rows, [r.pattern for r in known.collect()], keys)
     short = [r.pattern for r in known.filter(F.char_length("pattern") < GRAM).collect()]  # few: distinct strings under GRAM characters
-    long = known.filter(F.char_length("pattern") >= GRAM)
-    gram = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("_text") - GRAM + 1), lambda k: F.xxhash64(F.substring("_text", k, F.lit(GRAM))))))
-    grams = rows.filter(F.char_length("_text") >= GRAM).select(*keys, "_text", gram.alias("_gram"))
-    joined = grams.join(long.withColumn("_gram", F.xxhash64(F.substring("pattern", 1, GRAM))), "_gram").filter(F.contains("_text", F.col("pattern")))
-    return joined.select(*keys, "pattern").unionByName(_by_automaton(rows, short, keys))
+    return by_grams(rows, known.filter(F.char_length("pattern") >= GRAM), keys).unionByName(_by_automaton(rows, short, keys))
+
+
+def gram_hashes(text: str, size: int) -> np.ndarray:
+    """Distinct hashes of all runs of `size` bytes of a text: polynomials of their bytes, for all places at once."""
+    data = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+    n = len(data) - size + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for k in range(size if n > 0 else 0):
+        out = (out + data[k : k + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out).view(np.int64)
+
+
+def grams_of(text: Column) -> Column:
+    bounded_batches(SparkSession.active())
+    size = GRAM
+
+    @F.arrow_udf("array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [gram_hashes(t, size) for t in texts.to_pylist()]
+            bounds = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+
+    return run(text)
+
+
+def by_grams(rows: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and patterns meet on one gram of each pattern, the one that fewest texts have. Only hashes are shuffled for that;
+    texts join once, with the candidates that they are compared with."""
+    spark = rows.sparkSession
+    place = workspace(spark, "grams")
+    key = [F.xxhash64("_text").alias("_k1"), F.xxhash64(F.lit(GRAM), "_text").alias("_k2")]
+    wanted = patterns.select("pattern", F.explode(grams_of(F.col("pattern"))).alias("gram"))
+    there = rows.filter(F.char_length("_text") >= GRAM).select(*key, F.explode(grams_of(F.col("_text"))).alias("gram"))
+    there = materialise(there.join(wanted.select("gram").distinct(), "gram", "left_semi").distinct(), f"{place}/there")
+    counts = there.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("pattern").agg(F.count_if(F.col("n").isNull()).alias("absent"), F.min_by("gram", "n").alias("gram")).filter("absent = 0")
+    met = there.join(rarest.select("pattern", "gram"), "gram").select("_k1", "_k2", "pattern")
+    return rows.select(*keys, "_text", *key).join(met, ["_k1", "_k2"]).filter(F.contains("_text", F.col("pattern"))).select(*keys, "pattern")
 
 
 def _by_automaton(rows: DataFrame, patterns: list[str], keys: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructType
@@ -781,26 +781,54 @@ def messages_of(compiled, text: str, path: str, q: SearchQuery, template: list[s
 
 
 class PatternSet:
-    """Several patterns with ids: which of them match, and the first match of all."""
+    """Several patterns with ids: which of them match, and the first match of all.
+
+    Up to `EXPRESSIONS` patterns are expressions on the text. Of more, each task builds one automaton over the strings that
+    they need, so that only those whose strings a text holds, and those that need none, are tried on it."""
+
+    EXPRESSIONS = 32
 
     def __init__(self, patterns: list[str], **options) -> None:
         self.compiled = [SearchQuery(patterns=(p,), **options).compiled() for p in patterns]
 
+    def _tried(self, text: Column, kind: str, answer: Callable[[int, object], object]) -> Column:
+        """An array of the answers of the patterns that match, in the order of their ids."""
+        compiled, arrow = self.compiled, to_arrow_schema(StructType.fromDDL(f"v array<{kind}>"))[0].type
+        bounded_batches(SparkSession.active())
+
+        @F.arrow_udf(f"array<{kind}>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            index = NeedIndex(compiled)
+            for texts in batches:
+                yield pa.array([None if t is None else [answer(k, m) for k, m in index.matches(t)] for t in texts.to_pylist()], arrow)
+
+        return run(text)
+
     def ids(self, text: Column) -> Column:
         """Ascending ids of the patterns that match."""
+        if len(self.compiled) > self.EXPRESSIONS or any(c.outside for c in self.compiled):
+            return self._tried(text, "int", lambda k, m: k)
         return F.array_compact(F.array(*(F.when(text.rlike(c.java), F.lit(k)) for k, c in enumerate(self.compiled))))
 
     def first(self, text: Column) -> Column:
         """(start, pattern_id) of the earliest match; the lowest id on ties; 1-based characters."""
+        if len(self.compiled) > self.EXPRESSIONS or any(c.outside for c in self.compiled):
+            return F.array_min(self._tried(text, "struct<start:int,pattern_id:int>", lambda k, m: {"start": m.start() + 1, "pattern_id": k}))
         found = F.array_compact(F.array(*(F.when(F.regexp_instr(text, F.lit(c.java)) > 0, F.struct(F.regexp_instr(text, F.lit(c.java)).alias("start"), F.lit(k).alias("pattern_id"))) for k, c in enumerate(self.compiled))))
         return F.array_min(found)
 
     def captures(self, text: Column) -> Column:
         """(pattern_id, groups) of the first match of each pattern that matches; group 0 is the whole match, and a group that
-        took no part is empty."""
+        took no part is null."""
+        if len(self.compiled) > self.EXPRESSIONS or any(c.outside or len(c.sure_groups) < c.n_groups for c in self.compiled):
+            return self._tried(text, "struct<pattern_id:int,groups:array<string>>", lambda k, m: {"pattern_id": k, "groups": [m[0], *m.groups()]})
         one = lambda k, c: F.when(text.rlike(c.java), F.struct(F.lit(k).alias("pattern_id"), F.array(*(F.regexp_extract(text, c.java, g) for g in range(c.n_groups + 1))).alias("groups")))
         return F.array_compact(F.array(*(one(k, c) for k, c in enumerate(self.compiled))))
 
+    def capture_counts(self, text: Column) -> Column:
+        """(pattern_id, n) of each pattern that matches: the groups that took part in its first match, the whole included."""
+        return self._tried(text, "struct<pattern_id:int,n:int>", lambda k, m: {"pattern_id": k, "n": 1 + sum(g is not None for g in m.groups())})
+
     def count(self, text: Column) -> Column:
         """Matches of the ordered alternation of all patterns; an empty one right after another match is none."""
         if not any(c.can_be_empty for c in self.compiled):
@@ -814,3 +842,38 @@ class PatternSet:
                 yield pa.array([None if t is None else sum(1 for _ in distinct_matches(found, t)) for t in texts.to_pylist()], pa.int32())
 
         return counted(text)
+
+
+class NeedIndex:
+    """Patterns by the strings that they need: an automaton finds those that a text may match. Patterns are compiled when they
+    are first tried."""
+
+    def __init__(self, compiled: list[Compiled]) -> None:
+        import ahocorasick
+
+        self.compiled, self.engines = compiled, {}
+        needs: dict[str, list[int]] = {}
+        self.always = []
+        for k, c in enumerate(compiled):
+            if c.literals and "" not in c.literals:
+                for literal in c.literals:
+                    needs.setdefault(literal, []).append(k)
+            else:
+                self.always.append(k)
+        self.automaton = ahocorasick.Automaton() if needs else None
+        for literal, ids in needs.items():
+            self.automaton.add_word(literal, ids)
+        if needs:
+            self.automaton.make_automaton()
+
+    def matches(self, text: str) -> Iterator[tuple[int, object]]:
+        """(id, first match) of the patterns that match."""
+        tried = set(self.always)
+        if self.automaton is not None:
+            for _, ids in self.automaton.iter(text):
+                tried.update(ids)
+        for k in sorted(tried):
+            if k not in self.engines:
+                self.engines[k] = Engine(self.compiled[k])
+            if (m := self.engines[k].search(text)) is not None:
+                yield k, m

@@ -14,7 +14,7 @@ from textlode.functions.ignore import decision, ignored, parse_rules
 from textlode.functions.ruleindex import RULES as RULE_COLUMNS
 from textlode.functions.ruleindex import decisions, glob_table, key_of, matching_globs, not_ignored, rule_table
 from textlode.operators.order import numbered
-from textlode.operators.patterns import literal_hits
+from textlode.operators.patterns import by_grams, literal_hits
 from textlode.operators.search import PatternSet, Search
 from textlode.plans.flags import parse
 from textlode.plans.query import SearchQuery
@@ -164,6 +164,34 @@ over_sets("set_first_match", lambda s: s.first(F.col("text"))["pattern_id"].cast
 over_sets("set_count", lambda s: s.count(F.col("text")).cast("long"), "SELECT doc_id, CAST(len(regexp_extract_all(text, 'an|the|ou')) AS BIGINT) AS found FROM documents")
 
 
+LETTERS = "abcdefghilmnoprstu"
+TRIPLES = [f"{a}{b}{c}tion[a-z]?" for a in LETTERS for b in LETTERS for c in LETTERS]
+
+
+@register("set_thousands", f"SELECT doc_id, count(*) AS n, CAST(sum(324 * (instr('{LETTERS}', t[1]) - 1) + 18 * (instr('{LETTERS}', t[2]) - 1) + instr('{LETTERS}', t[3]) - 1) AS BIGINT) AS ids FROM (SELECT DISTINCT doc_id, right(CASE WHEN k > 1 THEN 'tion' ELSE '' END || p[k], 3) AS t FROM (SELECT doc_id, string_split(text, 'tion') AS p FROM documents), unnest(range(1, len(p))) AS u(k)) WHERE regexp_full_match(t, '[{LETTERS}]{{3}}') GROUP BY doc_id")
+def set_thousands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5,832 patterns over whole texts: how many match, and the sum of their ids."""
+    found = docs(spark, sf_dir).select("doc_id", PatternSet(TRIPLES).ids(F.col("text")).alias("ids")).filter(F.size("ids") > 0)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("ids"))
+
+
+@register("set_captures", f"SELECT doc_id, CAST(regexp_matches(text, '[a-m]xq') AS BIGINT) + CASE WHEN regexp_matches(text, 'th[aeiou]') THEN 1 ELSE 0 END AS n, regexp_extract(text, 'th([aeiou])', 1) AS vowel FROM documents WHERE regexp_matches(text, 'th[aeiou]')")
+def set_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the first match of each pattern; one that took no part is null."""
+    sets = PatternSet(["th([aeiou])(zzz)?", "([a-m])xq"])
+    rows = docs(spark, sf_dir).select("doc_id", sets.captures(F.col("text")).alias("c")).filter(F.exists("c", lambda x: x["pattern_id"] == 0))
+    first = F.filter("c", lambda x: x["pattern_id"] == 0)[0]["groups"]
+    return rows.filter(first[2].isNull()).select("doc_id", F.size("c").cast("long").alias("n"), first[1].alias("vowel"))
+
+
+@register("pattern_table", "SELECT d.doc_id, count(*) AS n FROM documents d JOIN (SELECT DISTINCT unnest(string_split(text, '. ')) AS text FROM benchmark) b ON length(b.text) >= 12 AND contains(d.text, b.text) GROUP BY d.doc_id")
+def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of the benchmark as patterns that join on their rarest grams."""
+    sentences = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", r"\. ")).alias("pattern")).filter(F.char_length("pattern") >= 12).distinct()
+    rows = docs(spark, sf_dir).select("doc_id", F.col("text").alias("_text")).filter("_text IS NOT NULL")
+    return by_grams(rows, sentences, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @register("pattern_file", "SELECT d.doc_id, count(*) AS n FROM documents d JOIN (SELECT DISTINCT text FROM benchmark WHERE text <> '') b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def pattern_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of the benchmark items as a table of literal patterns."""
