@@ -98,3 +98,23 @@ def test_literal_matches(spark):
     assert made[1].m == [] and made[2].m is None and tuple(made[1])[1:] == (None, None, None)
     with pytest.raises(ValueError):
         matchlib.find(F.col("text"), "")
+
+
+def test_properties_from_ranges():
+    import regex as engine
+
+    for name, yes, no in ((r"\p{Word_Break=MidNum}", ",;", "a."), (r"\p{Grapheme_Cluster_Break=CR}", "\r", "\n"), (r"\p{Sentence_Break=STerm}", "!?", "a,"), (r"\p{White_Space}", " \u00a0", "x"), (r"\p{Hex_Digit}", "aF9", "g"), (r"\P{Hex_Digit}", "g", "a")):
+        found = engine.compile(compile_patterns([name]).python)
+        assert all(found.fullmatch(c) for c in yes) and not any(found.fullmatch(c) for c in no), name
+    with pytest.raises(ValueError, match="unknown property"):
+        compile_patterns([r"\p{NoSuchThing}"])
+
+
+def test_a_terminator_is_no_part_of_a_pattern():
+    from textlode.plans.query import SearchQuery
+
+    with pytest.raises(ValueError, match="not allowed"):
+        SearchQuery(patterns=(r"a\x00b",), null_data=True).compiled()
+    assert SearchQuery(patterns=("a\nb",), null_data=True).compiled().can_match_newline
+    with pytest.raises(ValueError, match="not allowed"):
+        SearchQuery(patterns=("a\nb",)).compiled()

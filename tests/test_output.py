@@ -109,3 +109,15 @@ def test_both_engines_are_named_when_neither_takes_a_pattern(spark):
         run_rows(rows, ["--engine", "auto", "(?<=a+*"])
     with pytest.raises(ValueError, match="unknown group"):
         run_rows(rows, ["-P", r"(?<a>x)\k<b>"])
+
+
+def test_help_version_and_configuration(spark, tmp_path):
+    assert "--only-matching" in run(spark, ["--help"]).first().output
+    assert run(spark, ["-V"]).first().output.startswith("textlode ")
+    assert "regex" in run(spark, ["--pcre2-version"]).first().output
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a").write_text("Needle\n")
+    (tmp_path / "conf").write_text("# always\n--ignore-case\n")
+    args = ["needle", str(tmp_path / "in")]
+    assert run(spark, args, config=str(tmp_path / "conf")).count() == 1
+    assert run(spark, ["--no-config", *args], config=str(tmp_path / "conf")).count() == 0

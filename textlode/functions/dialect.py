@@ -7,6 +7,7 @@ and boundary is spelled out in the target, because Java gives most of them anoth
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field, replace
 
 WORD = r"\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}"
@@ -281,8 +282,10 @@ class Parser:
             body = rf"\p{{{BOOLEANS[plain]}}}"
         elif plain in CATEGORIES or value.capitalize() in SHORT and key in ("", "gc", "generalcategory"):
             body = rf"\p{{{CATEGORIES.get(plain, value.capitalize())}}}"
-        elif key in ("", "sc", "script", "scx", "scriptextensions") and plain.isalpha():
+        elif key in ("", "sc", "script", "scx", "scriptextensions") and property_ranges(f"Script={value}") is not None:
             body = rf"\p{{Is{value.replace(' ', '_').title()}}}"
+        elif (found := property_ranges(f"{key}={value}" if key else value)) is not None:
+            body = found
         else:
             raise PatternError(f"unknown property {name!r}")
         return f"^{body}" if negated else body
@@ -475,6 +478,25 @@ class Parser:
         return found
 
 
+@functools.lru_cache(maxsize=256)
+def property_ranges(name: str) -> str | None:
+    """A property that Java doesn't name (break properties, other binary ones, blocks) as ranges, from the tables of Python's
+    engine; None if that doesn't know it either."""
+    import regex
+
+    try:
+        found = regex.compile(f"(?V1)[\\p{{{name}}}]+")
+    except regex.error:
+        return None
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out = ""
+    for m in found.finditer(every):
+        low, high = ord(every[m.start()]), ord(every[m.end() - 1])
+        parts = [(low, 0xD7FF), (0xE000, high)] if low < 0xD800 <= high else [(low, high)]
+        out += "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in parts)
+    return out or r"^\x{0}-\x{10ffff}"
+
+
 def quoted(c: str) -> str:
     return c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}"
 
@@ -554,6 +576,11 @@ def newline(node: Node) -> bool:
     return any(map(newline, node.parts))
 
 
+def says(node: Node, character: str) -> bool:
+    """Whether the pattern spells out a character."""
+    return node.kind == "lit" and node.value == character or any(says(p, character) for p in node.parts)
+
+
 def sure(node: Node) -> set[int]:
     """Numbers of the groups that take part in every match."""
     if node.kind == "alt" or node.kind in ("look", "back") or (node.kind == "rep" and not node.value[0]):
@@ -629,7 +656,7 @@ def smart_case(patterns: list[str]) -> bool:
     return not any("A" <= c <= "Z" for p in patterns for c in p)
 
 
-def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "sensitive", word: bool = False, line: bool = False, flags: Flags | None = None, look_around: bool = False, whole_buffer: bool = False, of_bytes: bool = False) -> Compiled:
+def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "sensitive", word: bool = False, line: bool = False, flags: Flags | None = None, look_around: bool = False, whole_buffer: bool = False, of_bytes: bool = False, terminator: str = "\n") -> Compiled:
     """One ordered alternation of all patterns. No pattern at all matches nothing. With `of_bytes` the expressions are for
     the Latin-1 view of bytes; without, a pattern that asks for bytes is refused."""
     flags = flags or Flags()
@@ -647,6 +674,8 @@ def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "s
         text = rf"\b{{start-half}}(?:{text})\b{{end-half}}"
     parser = Parser(text, flags, look_around)
     tree = parser.parse()
+    if terminator == "\0" and not whole_buffer and says(tree, terminator):
+        raise PatternError("the literal \\0 is not allowed in a pattern where it ends records")
     if of_bytes:
         from textlode.functions.byteview import view
 
@@ -654,7 +683,7 @@ def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "s
     elif parser.bytes:
         raise BytesNeeded(f"a pattern of bytes needs a binary column: {text!r}")
     crosses = newline(tree)
-    if not whole_buffer and any("\n" in p or "\\n" in p.replace("\\\\", "") for p in texts) and crosses and required(tree) and any("\n" in r for r in required(tree)):
+    if terminator == "\n" and not whole_buffer and any("\n" in p or "\\n" in p.replace("\\\\", "") for p in texts) and crosses and required(tree) and any("\n" in r for r in required(tree)):
         raise PatternError("the literal \\n is not allowed in a pattern unless multi-line search is on")
     java = emit(tree)
     from textlode.functions.engines import hostile, linear

@@ -7,42 +7,122 @@ from pyspark.sql import functions as F
 
 from textlode.functions.globs import GlobOptions, matches
 
-#: The file name patterns of common types. More are added with `add`.
+#: The file name patterns of common types. More are added with `add` or read with `from_text`.
 DEFAULTS: dict[str, tuple[str, ...]] = {
-    "asciidoc": ("*.adoc", "*.asc", "*.asciidoc"), "awk": ("*.awk",), "c": ("*.[chH]", "*.[chH].in", "*.cats"), "clojure": ("*.clj", "*.cljc", "*.cljs", "*.cljx"), "cmake": ("*.cmake", "CMakeLists.txt"),
-    "config": ("*.cfg", "*.conf", "*.config", "*.ini"), "cpp": ("*.[ChH]", "*.cc", "*.[ch]pp", "*.[ch]xx", "*.hh", "*.inl", "*.[ChH].in", "*.cc.in", "*.[ch]pp.in", "*.[ch]xx.in", "*.hh.in"), "cs": ("*.cs",), "css": ("*.css", "*.scss"), "csv": ("*.csv",), "dart": ("*.dart",),
-    "docker": ("*Dockerfile*",), "elixir": ("*.ex", "*.eex", "*.exs", "*.heex", "*.leex", "*.livemd"), "erlang": ("*.erl", "*.hrl"), "go": ("*.go",), "haskell": ("*.hs", "*.lhs", "*.cpphs", "*.c2hs", "*.hsc"), "html": ("*.htm", "*.html", "*.ejs"),
-    "java": ("*.java", "*.jsp", "*.jspx", "*.properties"), "js": ("*.js", "*.jsx", "*.vue", "*.cjs", "*.mjs"), "json": ("*.json", "composer.lock", "*.sarif"), "jsonl": ("*.jsonl",), "kotlin": ("*.kt", "*.kts"),
-    "log": ("*.log",), "lua": ("*.lua",), "make": ("[Gg][Nn][Uu]makefile", "[Mm]akefile", "[Gg][Nn][Uu]makefile.am", "[Mm]akefile.am", "[Gg][Nn][Uu]makefile.in", "[Mm]akefile.in", "Makefile.*", "*.mk", "*.mak"), "markdown": ("*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mkd", "*.mkdn", "*.mdx"),
-    "perl": ("*.perl", "*.pl", "*.PL", "*.plh", "*.plx", "*.pm", "*.t"), "php": ("*.php", "*.php3", "*.php4", "*.php5", "*.php7", "*.php8", "*.pht", "*.phtml"), "protobuf": ("*.proto",), "py": ("*.py", "*.pyi"), "r": ("*.R", "*.r", "*.Rmd", "*.rmd", "*.Rnw", "*.rnw"),
-    "ruby": ("config.ru", "Gemfile", ".irbrc", "Rakefile", "*.gemspec", "*.rb", "*.rbw", "*.rake"), "rust": ("*.rs",), "scala": ("*.scala", "*.sbt"), "sql": ("*.sql", "*.psql"), "swift": ("*.swift",),
-    "tex": ("*.tex", "*.ltx", "*.cls", "*.sty", "*.bib", "*.dtx", "*.ins"), "toml": ("*.toml", "Cargo.lock"), "ts": ("*.ts", "*.tsx", "*.cts", "*.mts"), "txt": ("*.txt",), "xml": ("*.xml", "*.xml.dist", "*.dtd", "*.xsl", "*.xslt", "*.xsd", "*.xjb", "*.rng", "*.sch", "*.xhtml"), "yaml": ("*.yaml", "*.yml"), "zig": ("*.zig",),
+    "aidl": ("*.aidl",),
+    "asciidoc": ("*.adoc", "*.asc", "*.asciidoc"),
+    "awk": ("*.awk",),
+    "bat": ("*.bat",),
+    "batch": ("*.bat",),
+    "c": ("*.[chH]", "*.[chH].in", "*.cats"),
+    "cabal": ("*.cabal",),
+    "carp": ("*.carp",),
+    "cbor": ("*.cbor",),
+    "ceylon": ("*.ceylon",),
+    "clojure": ("*.clj", "*.cljc", "*.cljs", "*.cljx"),
+    "cmake": ("*.cmake", "CMakeLists.txt"),
+    "cml": ("*.cml",),
+    "config": ("*.cfg", "*.conf", "*.config", "*.ini"),
+    "cpp": ("*.[ChH]", "*.cc", "*.[ch]pp", "*.[ch]xx", "*.hh", "*.inl", "*.[ChH].in", "*.cc.in", "*.[ch]pp.in", "*.[ch]xx.in", "*.hh.in"),
+    "creole": ("*.creole",),
+    "cs": ("*.cs",),
+    "cshtml": ("*.cshtml",),
+    "csproj": ("*.csproj",),
+    "css": ("*.css", "*.scss"),
+    "csv": ("*.csv",),
+    "d": ("*.d",),
+    "dart": ("*.dart",),
+    "dhall": ("*.dhall",),
+    "docker": ("*Dockerfile*",),
+    "edn": ("*.edn",),
+    "elixir": ("*.ex", "*.eex", "*.exs", "*.heex", "*.leex", "*.livemd"),
+    "elm": ("*.elm",),
+    "erb": ("*.erb",),
+    "erlang": ("*.erl", "*.hrl"),
+    "fidl": ("*.fidl",),
+    "fish": ("*.fish",),
+    "fut": ("*.fut",),
+    "gleam": ("*.gleam",),
+    "go": ("*.go",),
+    "haml": ("*.haml",),
+    "haskell": ("*.hs", "*.lhs", "*.cpphs", "*.c2hs", "*.hsc"),
+    "hbs": ("*.hbs",),
+    "html": ("*.htm", "*.html", "*.ejs"),
+    "hy": ("*.hy",),
+    "janet": ("*.janet",),
+    "java": ("*.java", "*.jsp", "*.jspx", "*.properties"),
+    "jl": ("*.jl",),
+    "js": ("*.js", "*.jsx", "*.vue", "*.cjs", "*.mjs"),
+    "json": ("*.json", "composer.lock", "*.sarif"),
+    "jsonl": ("*.jsonl",),
+    "k": ("*.k",),
+    "kotlin": ("*.kt", "*.kts"),
+    "lean": ("*.lean",),
+    "less": ("*.less",),
+    "license": ("COPYING", "COPYING[.-]*", "COPYRIGHT", "COPYRIGHT[.-]*", "EULA", "EULA[.-]*", "LICEN[CS]E", "LICEN[CS]E[.-]*", "NOTICE", "NOTICE[.-]*", "PATENTS", "PATENTS[.-]*", "UNLICEN[CS]E", "UNLICEN[CS]E[.-]*", "AGPL-*[0-9]*", "APACHE-*[0-9]*", "BSD-*[0-9]*", "GFDL-*[0-9]*", "GNU-*[0-9]*", "GPL-*[0-9]*", "LGPL-*[0-9]*", "MIT-*[0-9]*", "MPL-*[0-9]*", "OFL-*[0-9]*", "licen[cs]e", "licen[cs]e.*", "*[.-]LICEN[CS]E*", "agpl[.-]*", "gpl[.-]*", "lgpl[.-]*", "CC-BY-*"),
+    "log": ("*.log",),
+    "lua": ("*.lua",),
+    "lz4": ("*.lz4",),
+    "lzma": ("*.lzma",),
+    "make": ("[Gg][Nn][Uu]makefile", "[Mm]akefile", "[Gg][Nn][Uu]makefile.am", "[Mm]akefile.am", "[Gg][Nn][Uu]makefile.in", "[Mm]akefile.in", "Makefile.*", "*.mk", "*.mak"),
+    "markdown": ("*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mkd", "*.mkdn", "*.mdx"),
+    "md": ("*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mkd", "*.mkdn", "*.mdx"),
+    "mint": ("*.mint",),
+    "ml": ("*.ml",),
+    "nix": ("*.nix",),
+    "pdf": ("*.pdf",),
+    "perl": ("*.perl", "*.pl", "*.PL", "*.plh", "*.plx", "*.pm", "*.t"),
+    "php": ("*.php", "*.php3", "*.php4", "*.php5", "*.php7", "*.php8", "*.pht", "*.phtml"),
+    "po": ("*.po",),
+    "pod": ("*.pod",),
+    "protobuf": ("*.proto",),
+    "purs": ("*.purs",),
+    "py": ("*.py", "*.pyi"),
+    "python": ("*.py", "*.pyi"),
+    "qml": ("*.qml",),
+    "qrc": ("*.qrc",),
+    "r": ("*.R", "*.r", "*.Rmd", "*.rmd", "*.Rnw", "*.rnw"),
+    "rdoc": ("*.rdoc",),
+    "robot": ("*.robot",),
+    "rst": ("*.rst",),
+    "ruby": ("config.ru", "Gemfile", ".irbrc", "Rakefile", "*.gemspec", "*.rb", "*.rbw", "*.rake"),
+    "rust": ("*.rs",),
+    "scala": ("*.scala", "*.sbt"),
+    "sh": (".profile", "profile", ".bash_login", "bash_login", ".bash_logout", "bash_logout", ".bash_profile", "bash_profile", ".bashrc", "bashrc", ".zshenv", "zshenv", ".zlogin", "zlogin", ".zlogout", "zlogout", ".zprofile", "zprofile", ".zshrc", "zshrc", ".env", ".login", ".logout", ".cshrc", "*.cshrc", ".kshrc", "*.kshrc", ".tcshrc", "*.bashrc", "*.bash", "*.csh", "*.env", "*.ksh", "*.sh", "*.tcsh", "*.zsh"),
+    "soy": ("*.soy",),
+    "spark": ("*.spark",),
+    "spec": ("*.spec",),
+    "sql": ("*.sql", "*.psql"),
+    "ssa": ("*.ssa",),
+    "svg": ("*.svg",),
+    "swift": ("*.swift",),
+    "taskpaper": ("*.taskpaper",),
+    "tcl": ("*.tcl",),
+    "tex": ("*.tex", "*.ltx", "*.cls", "*.sty", "*.bib", "*.dtx", "*.ins"),
+    "textile": ("*.textile",),
+    "thrift": ("*.thrift",),
+    "toml": ("*.toml", "Cargo.lock"),
+    "ts": ("*.ts", "*.tsx", "*.cts", "*.mts"),
+    "twig": ("*.twig",),
+    "txt": ("*.txt",),
+    "typescript": ("*.ts", "*.tsx", "*.cts", "*.mts"),
+    "vala": ("*.vala",),
+    "vb": ("*.vb",),
+    "vcl": ("*.vcl",),
+    "vue": ("*.vue",),
+    "wgsl": ("*.wgsl",),
+    "xml": ("*.xml", "*.xml.dist", "*.dtd", "*.xsl", "*.xslt", "*.xsd", "*.xjb", "*.rng", "*.sch", "*.xhtml"),
+    "yaml": ("*.yaml", "*.yml"),
+    "yang": ("*.yang",),
+    "zig": ("*.zig",),
 }
-#: Types of one suffix, which is their name; other names of types; parts of the names that shells and licences use.
-SUFFIXES = "aidl bat cabal carp cbor ceylon cml creole cshtml csproj d dhall edn elm erb fidl fish fut gleam haml hbs hy janet jl k lean less lz4 lzma mint ml nix pdf po pod purs qml qrc rdoc robot rst soy spark spec ssa svg taskpaper tcl textile thrift twig vala vb vcl vue wgsl yang"
-ALIASES = {"md": "markdown", "python": "py", "typescript": "ts", "batch": "bat"}
-SHELL_FILES = "profile bash_login bash_logout bash_profile bashrc zshenv zlogin zlogout zprofile zshrc"
-SHELL_OTHER = ".env .login .logout .cshrc *.cshrc .kshrc *.kshrc .tcshrc *.bashrc *.bash *.csh *.env *.ksh *.sh *.tcsh *.zsh"
-LICENSE_FILES = "COPYING COPYRIGHT EULA LICEN[CS]E NOTICE PATENTS UNLICEN[CS]E"
-LICENSE_NUMBERED = "AGPL APACHE BSD GFDL GNU GPL LGPL MIT MPL OFL"
-LICENSE_OTHER = "licen[cs]e licen[cs]e.* *[.-]LICEN[CS]E* agpl[.-]* gpl[.-]* lgpl[.-]* CC-BY-*"
-
-
-def defaults() -> dict[str, tuple[str, ...]]:
-    """All default types, in the order of their names."""
-    out = dict(DEFAULTS)
-    out |= {name: (f"*.{name}",) for name in SUFFIXES.split()}
-    out["sh"] = (*(f"{dot}{name}" for name in SHELL_FILES.split() for dot in (".", "")), *SHELL_OTHER.split())
-    out["license"] = (*(n for name in LICENSE_FILES.split() for n in (name, f"{name}[.-]*")), *(f"{name}-*[0-9]*" for name in LICENSE_NUMBERED.split()), *LICENSE_OTHER.split())
-    out |= {name: out[other] for name, other in ALIASES.items()}
-    return dict(sorted(out.items()))
 
 
 class FileTypes:
     """Definitions that can be changed, and the selection over them."""
 
     def __init__(self, definitions: dict[str, tuple[str, ...]] | None = None) -> None:
-        self.globs = {k: list(v) for k, v in (defaults() if definitions is None else definitions).items()}
+        self.globs = {k: list(v) for k, v in (DEFAULTS if definitions is None else definitions).items()}
 
     @classmethod
     def from_text(cls, text: str) -> FileTypes:

@@ -15,6 +15,7 @@ SWITCHES = [
     ("files-with-matches", "l", "mode", "files_with_matches"), ("files-without-match", "", "mode", "files_without_match"), ("json", "", "mode", "json"), ("files", "", "mode", "files"),
     ("quiet", "q", "mode", "quiet"), ("vimgrep", "", "mode", "vimgrep"), ("text", "a", "binary", "text"), ("binary", "", "binary", "convert"), ("multiline-dotall", "", "dotall", True),
     ("type-list", "", "mode", "type_list"), ("pcre2", "P", "engine", "pcre2"), ("auto-hybrid-regex", "", "engine", "auto"), ("sort-files", "", "sort", "path"),
+    ("help", "h", "mode", "help"), ("version", "V", "mode", "version"), ("pcre2-version", "", "mode", "pcre2_version"),
 ]
 VALUES = {
     "after-context": ("A", "after", int), "before-context": ("B", "before", int), "max-count": ("m", "max_count", int), "max-columns": ("M", "max_columns", int), "replace": ("r", "replacement", str),
@@ -33,6 +34,18 @@ IGNORED_SHORT = {"p": "pretty", "0": "null", "L": "follow", ".": "hidden", "z":
 SHORT_VALUES = {"j": "threads", "d": "max-depth", "E": "encoding"}
 
 
+#: Modes that search nothing.
+NO_PATTERN = {"files", "type_list", "help", "version", "pcre2_version"}
+
+
+def usage() -> str:
+    """The flags by name, with their short forms."""
+    named = [(n, s) for n, s, _, _ in SWITCHES] + [(n, v[0]) for n, v in VALUES.items()]
+    takes = {*VALUES, *WALK_VALUES, *WALK_LISTS}
+    rest = [(n, "") for n in sorted((WALK | WALK_VALUES | WALK_LISTS | IGNORED | IGNORED_VALUES) - {n for n, _ in named})]
+    return "\n".join(["usage: [flags] pattern [paths]", *(f"  {f'-{s}, ' if s else '    '}--{n}{' VALUE' if n in takes else ''}" for n, s in sorted([*named, *rest]))])
+
+
 def config_args(text: str) -> list[str]:
     """The arguments of a configuration file: one a line, without blank lines and lines that start with #."""
     lines = (line.strip() for line in text.split("\n"))
@@ -137,7 +150,7 @@ def parse(args: list[str]) -> tuple[SearchQuery, list[str]]:
                     apply(name, None)
         else:
             plain.append(arg)
-    if not lists["patterns"] and set_to.get("mode") not in ("files", "type_list"):
+    if not lists["patterns"] and set_to.get("mode") not in NO_PATTERN:
         if not plain:
             raise ValueError("no pattern")
         lists["patterns"].append(plain.pop(0))

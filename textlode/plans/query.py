@@ -67,7 +67,7 @@ class SearchQuery:
     def compiled(self, of_bytes: bool = False) -> Compiled:
         """The pattern for texts, or for the Latin-1 view of bytes."""
         flags = Flags(unicode=self.unicode, dot_all=self.dotall and self.multiline, crlf=self.crlf)
-        options = dict(fixed=self.fixed, case=self.case, word=self.word, line=self.line, flags=flags, whole_buffer=self.multiline, of_bytes=of_bytes)
+        options = dict(fixed=self.fixed, case=self.case, word=self.word, line=self.line, flags=flags, whole_buffer=self.multiline, of_bytes=of_bytes, terminator=self.terminator)
         if self.engine == "auto":
             try:
                 return compile_patterns(list(self.patterns), **options)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlode import __version__
 from textlode.functions.dialect import BytesNeeded
 from textlode.functions.filetypes import FileTypes
 from textlode.functions.globs import override
 from textlode.operators.render import printed
 from textlode.operators.search import Search
-from textlode.plans.flags import parse
+from textlode.plans.flags import config_args, parse, usage
 from textlode.plans.query import SearchQuery
 from textlode.sources.files import WalkOptions, byte_size, read_corpus, sort_entries, walk
 
@@ -113,10 +114,19 @@ def sorted_by(out: DataFrame, query: SearchQuery, path: str) -> DataFrame:
     return out.orderBy(key, *(c for c in ("line_number", "match_index", "seq") if c in out.columns))
 
 
-def run(spark: SparkSession, args: list[str], text: bool = False) -> DataFrame:
+def run(spark: SparkSession, args: list[str], text: bool = False, config: str | None = None) -> DataFrame:
     """A command over folders: walk, read, search. Without a path, the working folder is searched. With `text` the result is
-    what the command prints, as (path, seq, output)."""
+    what the command prints, as (path, seq, output). The arguments in the file `config`, if given, come before the others,
+    unless these say --no-config."""
+    if config and "--no-config" not in args:
+        with open(config, encoding="utf-8") as f:
+            args = [*config_args(f.read()), *args]
     query, paths = parse(args)
+    if query.mode in ("help", "version", "pcre2_version"):
+        import regex
+
+        said = {"help": usage, "version": lambda: f"textlode {__version__} (Spark {spark.version})", "pcre2_version": lambda: f"backtracking patterns: Java {spark.sparkContext._jvm.System.getProperty('java.version')}, regex {regex.__version__}"}
+        return spark.createDataFrame([(said[query.mode](),)], "output string")
     if query.mode == "type_list":
         return file_types(query).frame(spark)
     entries = walk(spark, paths or ["."], walk_options(query))
