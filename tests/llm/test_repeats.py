@@ -8,8 +8,9 @@ import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from textlode.llm import periodic_runs, phrases, substring_dedup
+from textlode.llm import periodic_runs, phrases, slots, substring_dedup
 from textlode.llm.suffix_automaton import SuffixAutomaton
 
 SF = "/root/testdata/sf0.001"
@@ -161,3 +162,31 @@ def test_matches_stay_within_pieces_and_words(spark):
     assert got["und", "new york"] == (40, 80, 80, 200)
     assert ("und", "york new") not in got  # 20 times within a piece
     assert got["xx", "a a"][:3] == (30, 40, 40)
+
+
+def test_records_keep_their_virtual_slots(spark, docs, odd):
+    """Another layout of the files and added rows move no record: slots depend on id, checksum and number of copy alone."""
+    rows = docs.select("doc_id", "text").unionAll(odd.select("doc_id", "text")).unionAll(odd.select("doc_id", "text"))
+    found = lambda df: sorted(((r.doc_id, r.text_crc32, r["size"], r.nth, r.vslot) for r in slots.measured(df).collect()), key=str)
+    first = found(rows)
+    assert len(first) == rows.count() and found(rows.repartition(7).orderBy("text")) == first
+    more = found(rows.unionAll(docs.select(F.col("doc_id") + 1_000_000, "text")).unionAll(odd.select("doc_id", "text")))
+    assert set(first) <= set(more)
+    want, seen = [], {}
+    for r in rows.collect():
+        text = (r.text or "").encode()
+        key = (r.doc_id, zlib.crc32(text), len(text) + 1)
+        seen[key] = seen.get(key, -1) + 1
+        want.append((*key, seen[key]))
+    assert sorted(map(str, want)) == sorted(str(r[:4]) for r in first)
+
+
+def test_law_of_bytes_with_hot_and_null_ids(spark):
+    rows = spark.createDataFrame([(7 if k % 3 == 0 else None if k % 3 == 1 else k, "same text" if k % 2 else f"text {k} " * (k % 40)) for k in range(6000)], "doc_id long, text string")
+    made = slots.measured(rows)
+    sizes, counts = slots.slot_sizes(made)
+    placed = slots.placed(made, slots.SlotMap.build(sizes, 8), counts).collect()
+    filled = [sum(r["size"] for r in placed if r.shard == s) for s in range(8)]
+    assert max(filled) - min(filled) < 0.02 * max(filled)
+    for s in range(8):
+        assert sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed)))

@@ -1,7 +1,9 @@
 """Sharding through fixed virtual slots.
 
-A record's virtual slot is a hash of its id, its text's checksum and its place in the table (law `bytes` needs no key), so
-that not even equal rows meet in one slot. Records are numbered once, in a table without their texts. Bytes are summed by slot; a map from slots to shards,
+A record's virtual slot is a hash of its id, its text's checksum and its number among rows that are equal in both and in
+size: 0 for all but repeated rows. So it depends on neither the layout of the files nor on rows that are added, and a stored map
+finds each record again; and equal rows don't meet in one slot. Copies are numbered by counts of each partition and sums over partitions,
+so that no task holds all copies. Bytes are summed by slot; a map from slots to shards,
 stored with a version, puts the slots in descending size on the least filled shard (law `bytes`: sizes near equal).
 Rebalancing edits the map: only slots that have to move do, and the edited map is stored as the next version.
 
@@ -9,7 +11,7 @@ A record's place within its shard is the number of records in the shard's earlie
 within its virtual slot, so that no task ever orders a whole shard.
 
 Rows: null text has no bytes and size 1; null, repeated and equal ids spread over all slots; repeated rows are records of
-their own; ties within a slot go by id, checksum, size and place; other columns are left alone, whatever their names.
+their own; ties within a slot go by id, checksum, size and number; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,11 +100,19 @@ class SlotMap:
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, place, vslot): what sharding needs of a record, without its text. Written once, so that
-    every later pass sees the same places."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """(doc_id, size, text_crc32, nth, vslot): what sharding needs of a record, without its text."""
+    text, spark = F.coalesce(F.col(text_col), F.lit("")), df.sparkSession
+    place = workspace(spark, "slot-rows")
     rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
-    return materialise(rows.withColumn("vslot", virtual_slot("doc_id", "text_crc32", "place", slots=slots)), workspace(df.sparkSession, "slot-rows"))
+    rows = materialise(rows.select("*", F.xxhash64("doc_id", "text_crc32", "size").alias("key"), F.shiftright("place", 33).alias("part")), f"{place}/rows")  # once, so that places stay
+    copies = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("key").orderBy("part")
+    copies = copies.select("key", "part", (F.sum("n").over(earlier) - F.col("n")).alias("before"))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("key", "part").orderBy("place")) - 1
+    numbered = rows.join(copies, ["key", "part"]).select("doc_id", "size", "text_crc32", nth.alias("nth"))
+    out = materialise(numbered.withColumn("vslot", virtual_slot("doc_id", "text_crc32", "nth", slots=slots)), f"{place}/numbered")
+    drop_path(spark, f"{place}/rows")
+    return out
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -119,6 +129,6 @@ def placed(rows: DataFrame, slot_map: SlotMap, counts: list[int]) -> DataFrame:
     for v, s in enumerate(slot_map.shards):
         lines.append((v, s, base[s]))
         base[s] += counts[v]
-    within = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "place")
+    within = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "nth")
     table = F.broadcast(spark.createDataFrame(lines, "vslot int, shard int, base long"))  # as many rows as virtual slots
-    return rows.withColumn("rn", F.row_number().over(within)).join(table, "vslot").withColumn("slot", F.col("base") + F.col("rn") - 1).drop("rn", "base", "place")
+    return rows.withColumn("rn", F.row_number().over(within)).join(table, "vslot").withColumn("slot", F.col("base") + F.col("rn") - 1).drop("rn", "base", "nth")
