@@ -98,7 +98,7 @@ over_documents("files_with_matches", SearchQuery(patterns=("licen[cs]e",), case=
 over_documents("files_without_match", SearchQuery(patterns=("an",)), Search.files_without_match, "SELECT doc_id FROM documents WHERE NOT contains(text, 'an')")
 over_documents("quiet_any", SearchQuery(patterns=("an",)), Search.quiet, "SELECT count(*) > 0 AS found FROM documents WHERE contains(text, 'an')")
 MATCHES = f"SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(k - 1 AS INTEGER) AS match_index, ms[k] AS match FROM (SELECT doc_id, line_number, regexp_extract_all(line, '{{0}}') AS ms FROM ({LINES})), unnest(range(1, len(ms) + 1)) AS v(k)"
-over_documents("only_matching", SearchQuery(patterns=(r"\b\w{5}\s+\w{5}\s+\w{5}\b",), unicode=False), Search.only_matching)
+over_documents("only_matching", SearchQuery(patterns=(r"\b\w{5}\s+\w{5}\s+\w{5}\b",), unicode=False), Search.only_matching, MATCHES.format(r"\b\w{5}\s+\w{5}\s+\w{5}\b"))
 over_documents("only_matching_simple", SearchQuery(patterns=("an[a-z]",)), Search.only_matching, MATCHES.format("an[a-z]"))
 SPAN = f"""WITH l AS ({LINES}), p AS (SELECT doc_id, line_number, line, string_split(line, 'tion') AS s, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS off FROM l)
 SELECT doc_id, CAST(line_number AS BIGINT) AS line_number, CAST(strlen(array_to_string(s[1:k], 'tion')) + 1 AS BIGINT) AS "column", CAST(off + strlen(array_to_string(s[1:k], 'tion')) AS BIGINT) AS abs_offset FROM p, unnest(range(1, len(s))) AS v(k)"""
