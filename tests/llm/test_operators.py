@@ -277,6 +277,42 @@ def test_pii_learns_from_the_texts(spark):
     assert pii.train(empty(big)).cutoffs == pii.selector().cutoffs
 
 
+def test_pii_unseen_formats_in_unseen_texts(spark):
+    """Recall in texts that train nothing, of formats that neither the generated nor the rewritten examples have."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.train(docs.filter("doc_id % 2 = 0"))
+    formats = {
+        "email": lambda v, d: ["{at}".join(v.split("@")).replace(".", "{dot}"), " AT ".join(v.split("@")).replace(".", " DOT ")],
+        "ip": lambda v, d: [v.replace(".", " .")],
+        "card": lambda v, d: [sep.join(d[k : k + 4] for k in range(0, len(d), 4)) for sep in (" - ", ":", ". ")],
+        "phone": lambda v, d: [f"({d[-10:-7]}){d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]} {d[-7:-4]} {d[-4:]}", f"{d[-10:-7]}/{d[-7:-4]}/{d[-4:]}"],
+    }
+    asked = whole = met = 0
+    for r in docs.filter("doc_id % 2 = 1").collect():
+        for kind, a, b in pii.base_spans(r.text or ""):
+            for piece in formats[kind](r.text[a:b], re.sub(r"\D", "", r.text[a:b])):
+                near, start = f"{r.text[max(0, a - 200) : a]}{piece}{r.text[b : b + 200]}", min(a, 200)
+                base = pii.base_spans(near)
+                spans = base + model.added(near, base)
+                asked += 1
+                met += any(x < start + len(piece) and start < y for _, x, y in spans)
+                whole += any(x <= start and start + len(piece) <= y for _, x, y in spans)
+    print(f"{asked} asked, {met} met, {whole} whole")
+    assert asked > 50 and met >= 0.95 * asked and whole >= 0.8 * asked
+
+
+def test_pii_long_runs_of_numbers():
+    """One run of numbers in proportion to its length; equal looks are scored once, and each place gets the score."""
+    began = time.process_time()
+    assert sum(1 for _ in pii.candidates("1 " * 500_000)) > 7_000_000
+    assert time.process_time() - began < 20
+    assert pii.selector().added("1 " * 20_000, []) == []
+    line = "call (415) 555-2671 or mail john.doe [at] corp [dot] com, then go on with words that say nothing at all of it. "
+    one, many = pii.selector().added(line * 3, []), pii.selector().added(line * 300, [])
+    inner = [(k, a - len(line), b - len(line)) for k, a, b in one if len(line) <= a < 2 * len(line)]
+    assert len(inner) == 2 and sorted(many, key=lambda s: s[1])[2:-2] == sorted(((k, a + n * len(line), b + n * len(line)) for n in range(1, 299) for k, a, b in inner), key=lambda s: s[1])
+
+
 def test_pii_many_spans():
     """Thousands of spans, and of characters that may begin one, in one text: in proportion to its length."""
     began = time.process_time()

@@ -21,6 +21,7 @@ import bisect
 import functools
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,39 +107,36 @@ _SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(
 _SPACED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}(?![0-9])")
 
 
-def _numbers(text: str) -> list[Span]:
+def _numbers(text: str) -> Iterator[Span]:
     """Of each run of digit groups, every stretch of whole groups with as many digits as a card or a phone number has."""
-    out: list[Span] = []
     for run in _RUN.finditer(text):
         groups = [m.span() for m in _GROUP.finditer(text, run.start(), run.end())]
         for i, (a, _) in enumerate(groups):
             start, n = a - _LEAD.match(text[max(0, a - 2) : a][::-1]).end(), 0
-            for x, b in groups[i:]:
+            for x, b in groups[i : i + MOST_DIGITS]:  # a group has a digit at least
                 n += b - x
                 if n > MOST_DIGITS:
                     break
                 if n >= 13:
-                    out.append(("card", start, b))
+                    yield "card", start, b
                 if LEAST_DIGITS <= n <= 15:
-                    out.append(("phone", start, b))
-    return out
+                    yield "phone", start, b
 
 
-def candidates(text: str) -> list[Span]:
-    out: list[Span] = []
+def candidates(text: str) -> Iterator[Span]:
+    """In proportion to the text, one after another: a run of numbers alone has up to 16 for each of its groups."""
     for m in _AT.finditer(text):
         left = _NAME_BACK.match(text[max(0, m.start() - 66) : m.start()][::-1])
         right = _HOST.match(text, m.end(), m.end() + 200)
         if left and right:
             a = m.start() - left.end()
             a += len(text[a : m.start()]) - len(text[a : m.start()].lstrip())
-            out.append(("email", a, right.end()))
+            yield "email", a, right.end()
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _SPACED_IP.finditer(text)]
+        yield from (("ip", m.start(), m.end()) for m in _SPACED_IP.finditer(text))
         if text.count(":") >= 3:
-            out += [("ip", m.start(), m.end()) for m in _SIX.finditer(text)]
-        out += _numbers(text)
-    return out
+            yield from (("ip", m.start(), m.end()) for m in _SIX.finditer(text))
+        yield from _numbers(text)
 
 
 #: Words that stand near personal data.
@@ -280,13 +278,18 @@ class Selector:
         def score(kind: str) -> None:
             part, waiting[kind] = waiting[kind], []
             if part:
-                p = self.models[kind].probability(np.array([features(texts[i], c) for i, c in part]))
-                for q, (i, c) in zip(p.tolist(), part, strict=True):
+                # what a candidate and its context look like decides, so that equal ones are scored once
+                looks = [(texts[i][a:b], texts[i][max(0, a - CONTEXT) : a], texts[i][b : b + CONTEXT]) for i, (_, a, b) in part]
+                first = {look: k for k, look in reversed(list(enumerate(looks)))}
+                place = {k: n for n, k in enumerate(sorted(first.values()))}
+                p = self.models[kind].probability(np.array([features(texts[part[k][0]], part[k][1]) for k in place])).tolist()
+                for look, (i, c) in zip(looks, part, strict=True):
+                    q = p[place[first[look]]]
                     if q >= self.cutoffs[kind]:
                         scored[i].append((-q, c[1] - c[2], c[1], KINDS.index(kind), c))
 
         for i, text in enumerate(texts):
-            for c in dict.fromkeys(candidates(text)):
+            for c in candidates(text):  # one that comes twice meets itself below
                 if not taken[i].meets(c[1], c[2]):
                     waiting[c[0]].append((i, c))
                     if len(waiting[c[0]]) == BLOCK:
