@@ -1,5 +1,6 @@
 """What commands print, and which engine runs a pattern."""
 
+import socket
 import time
 
 import pytest
@@ -50,6 +51,73 @@ def test_printed_lines(rows, args, want):
     assert shown(rows, *args) == want
 
 
+BLOCKS = "xxx\nabc\ndefxxxabc\ndefxxx\nxxx\nlast é abc\ndef é\n"
+
+
+@pytest.mark.parametrize(
+    ("args", "want"),
+    [
+        (["-n", "abc\\ndef"], ["2:abc", "3:defxxxabc", "4:defxxx", "6:last é abc", "7:def é"]),
+        (["-n", "-m1", "abc\\ndef"], ["2:abc", "3:defxxxabc", "4:defxxx"]),
+        (["-n", "-A1", "abc\\ndefx"], ["2:abc", "3:defxxxabc", "4:defxxx", "5-xxx"]),
+        (["-n", "-C1", "^xxx\\nabc|é$"], ["1:xxx", "2:abc", "3-defxxxabc", "--", "6-last é abc", "7:def é"]),
+        (["-n", "-v", "abc\\ndef"], ["1:xxx", "5:xxx"]),
+        (["-n", "-v", "-B1", "--no-context-separator", "abc\\ndef"], ["1:xxx", "4-defxxx", "5:xxx"]),
+        (["-n", "--passthru", "-m1", "c\\ndefxxxa"], ["1-xxx", "2:abc", "3:defxxxabc", "4-defxxx", "5-xxx", "6-last é abc", "7-def é"]),
+        (["-n", "-o", "--column", "-b", "abc\\ndef"], ["2:1:4:abc", "3:1:8:def", "3:7:14:abc", "4:1:18:def", "6:9:37:abc", "7:1:41:def"]),
+        (["-n", "--column", "bc\\nd"], ["2:2:abc", "3:2:defxxxabc", "4:8:defxxx", "6:10:last é abc", "7:10:def é"]),
+        (["--vimgrep", "abc\\ndef"], ["2:1:abc", "3:7:defxxxabc", "6:9:last é abc"]),
+        (["-n", "-r", "<$0>", "c\\nd"], ["2:ab<c", "3:d>efxxxab<c", "4:d>efxxx", "6:last é ab<c", "7:d>ef é"]),
+        (["-n", "-r", "-", "abc\\ndef"], ["2:-xxx-xxx", "6:last é - é"]),
+        (["-n", "-o", "-r", "$1\n$1", "(a)bc\\ndef"], ["2:a", "3:a", "3:a", "4:a", "6:a", "7:a"]),
+        (["-M4", "--max-columns-preview", "-r", "+", "bc\\ndef"], ["a+xx [... 1 more match]", "last [... 1 more match]"]),
+        (["--trim", "--color=always", "--colors=match:none", "-M6", "--max-columns-preview", "t é"], ["last  [... 0 more matches]"]),
+        (["--color=always", "--colors=line:none", "-n", "--column", "c\\nd"], ["2:3:ab\x1b[0m\x1b[1m\x1b[31mc\x1b[0m", "3:1:\x1b[0m\x1b[1m\x1b[31md\x1b[0mefxxxab\x1b[0m\x1b[1m\x1b[31mc\x1b[0m", "4:1:\x1b[0m\x1b[1m\x1b[31md\x1b[0mefxxx", "6:11:last é ab\x1b[0m\x1b[1m\x1b[31mc\x1b[0m", "7:1:\x1b[0m\x1b[1m\x1b[31md\x1b[0mef é"]),
+        (["nothing"], []),
+    ],
+)
+def test_printed_blocks(spark, args, want):
+    rows = spark.createDataFrame([("f", BLOCKS), ("empty", ""), ("none", None)], "path string, text string")
+    assert shown(rows, "-U", "-I", *args) == want
+
+
+def test_printed_blocks_with_path_and_heading(spark):
+    rows = spark.createDataFrame([("f", "a\nb\nc\na\nb\nc")], "path string, text string")
+    assert shown(rows, "-U", "-I", "-m1", "--passthru", "-r", "B", "b") == ["a", "B", "c", "a", "b", "c"]
+    assert shown(rows, "-U", "--heading", "-n", "b\\nc") == ["f", "2:b", "3:c", "5:b", "6:c", ""]
+    assert shown(rows, "-U", "a\\nb") == ["f:a", "f:b", "f:a", "f:b"]
+    assert shown(rows, "-U", "-c", "a\\nb") == ["f:2"]
+
+
+def test_many_blocks_in_one_text(spark):
+    """In proportion to the text, however many matches a block has."""
+    rows = spark.createDataFrame([("f", "é a\nb " * 40_000)], "path string, text string")
+    began = time.time()
+    assert len(shown(rows, "-U", "-n", "--column", "a\\nb")) == 40_001
+    assert len(shown(rows, "-U", "-r", "x", "a\\nb")) == 1
+    assert time.time() - began < 30
+
+
+def test_links(rows, spark):
+    always = ["--color", "always", "--colors", "path:none", "--colors", "line:none", "--colors", "match:none", "--colors", "column:none"]
+    made = spark.createDataFrame([("/no/such file", "x\nab\n")], "path string, text string")
+    link = lambda form, *args: shown(made, *always, "--hyperlink-format", form, *args)
+    begin, end = "\x1b]8;;{}\x1b\\", "\x1b]8;;\x1b\\"
+    assert link("x://{path}", "b") == [begin.format("x:///no/such%20file") + f"/no/such file{end}:ab"]
+    assert link("vscode", "-n", "b") == [begin.format("vscode://file/no/such%20file:2:2") + f"/no/such file:2{end}:ab"]
+    assert link("grep+", "-n", "--column", "-b", "b") == [begin.format("grep+:///no/such%20file:2") + f"/no/such file:2:2:2{end}:ab"]
+    assert link("x:{{{line}}}{wslprefix}{path}", "-A1", "x") == [begin.format("x:{1}/no/such%20file") + f"/no/such file{end}:x", begin.format("x:{2}/no/such%20file") + f"/no/such file{end}-ab"]
+    assert link("x:{line}{path}", "--heading", "-n", "b") == [begin.format("x:1/no/such%20file") + f"/no/such file{end}", "2:ab", ""]
+    assert link("x:{path}", "-l", "b") == [begin.format("x:/no/such%20file") + f"/no/such file{end}"]
+    assert link("x:{path}", "-c", "b") == [begin.format("x:/no/such%20file") + f"/no/such file{end}:1"]
+    assert link("x:{host}{path}", "--hostname-bin", "/no/program", "b")[0].startswith(begin[:5] + "x:" + socket.gethostname())
+    assert link("none", "b") == link("", "b") == ["/no/such file:ab"]
+    assert shown(made, "--hyperlink-format", "vscode", "b") == ["/no/such file:ab"]  # without colours
+    for wrong in ("{path}", "x:{line}", "x:{path}{column}", "x:{other}{path}", "x:{path", "x:path}", "x:{}{path}", "word"):
+        with pytest.raises(ValueError, match="hyperlink format"):
+            link(wrong, "b")
+
+
 def test_colour_rules():
     assert styles(["path:fg:blue", "match:bg:yellow", "line:style:bold", "column:fg:200"]) == {"path": "34", "line": "32;1", "column": "38;5;200", "match": "1;31;43"}
     assert styles(["match:none", "match:fg:0x10,20,30"])["match"] == "38;2;16;20;30"

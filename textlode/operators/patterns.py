@@ -104,7 +104,7 @@ def _by_automaton(rows: DataFrame, patterns: list[str], keys: list[str]) -> Data
                 ids = sorted({i for _, i in automaton.iter(value)})
                 at += [k] * len(ids)
                 found += [shared.value[i] for i in ids]
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns[: len(keys)], pa.array(found, pa.string())], names=[*keys, "pattern"])
+            taken = batch.select(range(len(keys))).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(found, pa.string())], names=[*keys, "pattern"])
 
     return rows.mapInArrow(run, schema)

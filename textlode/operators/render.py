@@ -1,4 +1,5 @@
-"""Results as lines of text: fields and separators, headings, contexts with a line between groups, colours, long lines.
+"""Results as lines of text: fields and separators, headings, contexts with a line between groups, colours, links, long lines,
+the blocks of multi-line searches.
 
 A file's output is made in its row, over Arrow batches: each line of it is a row with its place (`seq`), so that a file's text
 is its rows in that order. With headings the path is the first row of a file and an empty row is the last.
@@ -6,6 +7,7 @@ is its rows in that order. With headings the path is the first row of a file and
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +20,8 @@ from pyspark.sql.types import StructType
 
 from textlode.functions import replacement
 from textlode.functions.engines import Engine
-from textlode.operators.search import Search, byte_places, expanded, shown_lines
+from textlode.operators.links import CLOSE, Links
+from textlode.operators.search import Search, byte_places, expanded, shown_blocks, shown_lines
 from textlode.plans.query import SearchQuery
 from textlode.session import bounded_batches
 
@@ -72,6 +75,7 @@ class Look:
     colours: dict[str, str] = field(default_factory=dict)  # none: no colours
     path_end: str = ""  # what follows a path in place of the separator
     path_separator: str = ""
+    links: Links | None = None  # only where there are colours
 
     @classmethod
     def of(cls, query: SearchQuery) -> Look:
@@ -81,7 +85,8 @@ class Look:
             raise ValueError(f"unknown choice of colour {colour!r}")
         on = colour in ("always", "ansi") or pretty and not colour
         heading = (bool(other.get("heading")) or pretty) and not other.get("no-heading") and query.mode != "vimgrep"
-        return cls(query.with_filename, heading, styles(list(other.get("colors", ()))) if on else {}, "\0" if other.get("null") else "", str(other.get("path-separator", "")))
+        links = Links.of(str(other.get("hyperlink-format", "")), str(other.get("hostname-bin", "")))
+        return cls(query.with_filename, heading, styles(list(other.get("colors", ()))) if on else {}, "\0" if other.get("null") else "", str(other.get("path-separator", "")), links if on else None)
 
     def painted(self, kind: str, text: str) -> str:
         codes = self.colours.get(kind)
@@ -90,6 +95,10 @@ class Look:
     def named(self, path: str) -> str:
         return self.painted("path", path.replace("/", self.path_separator) if self.path_separator else path)
 
+    def label(self, path: str) -> str:
+        """A path that stands alone."""
+        return f"{self.links.opened(path)}{self.named(path)}{CLOSE}" if self.links else self.named(path)
+
 
 class Printer:
     """The output lines of one file after another."""
@@ -102,13 +111,20 @@ class Printer:
         self.exact = self.columns or template is not None or query.only_matching or bool(look.colours)
 
     def head(self, path: str, number: int, column: int | None, offset: int, sep: str) -> str:
-        q, out = self.q, ""
-        if self.look.path and not self.look.heading:
-            out += self.look.named(path) + (self.look.path_end or sep)
+        """The fields before a line; a link goes from the path to the last of them."""
+        q, look = self.q, self.look
+        fields, ends = [], []
+        if named := look.path and not look.heading:
+            fields.append(look.named(path))
+            ends.append(look.path_end or sep)
         for on, kind, value in ((self.numbers, "line", number), (self.columns and column is not None, "column", column), (q.byte_offset, "", offset)):
             if on:
-                out += self.look.painted(kind, str(value)) + sep
-        return out
+                fields.append(look.painted(kind, str(value)))
+                ends.append(sep)
+        if named and look.links:
+            fields[0] = look.links.opened(path, number, column) + fields[0]
+            fields[-1] += CLOSE
+        return "".join(f + e for f, e in zip(fields, ends, strict=True))
 
     def body(self, line: str, spans: list[tuple[int, int]], context: bool) -> str:
         """A line with its matches (characters), trimmed and limited in width."""
@@ -151,6 +167,75 @@ class Printer:
         return "".join([*out, line[at:]]), spans
 
     def lines(self, path: str, text: str) -> list[str]:
+        out = self.blocks(path, text) if self.q.multiline else self.single_lines(path, text)
+        return [self.look.label(path), *out, ""] if out and self.look.heading and self.look.path else out
+
+    def blocks(self, path: str, text: str) -> list[str]:
+        """The lines of a multi-line search. A replaced block, or match, may have other lines than before: they are numbered
+        from its first one on. The column of a line is that of its first match: within the line where colours show it, else
+        within the line where the match starts."""
+        q, out, last, done = self.q, [], None, None
+        lines, starts, rows = shown_blocks(self.found, text, q)
+        at, around = byte_places(text, self.view), (q.lines_before or q.lines_after) and not q.passthru
+        sep = q.match_separator
+
+        def column(m) -> int:
+            return at(m.start()) - at(starts[bisect.bisect_right(starts, m.start()) - 1]) + 1
+
+        for k, kind, group, _, found, block in rows:
+            if around and last is not None and group != last and q.context_separator is not None:
+                out.append(q.context_separator)
+            last = group
+            low, line = starts[k], lines[k].removesuffix("\n")
+            if kind == "context" or not found:
+                out.append(self.head(path, k + 1, None, at(low), sep if kind == "match" else q.context_field_separator) + self.body(line, [], kind == "context"))
+                continue
+            spans = [(max(0, m.start() - low), min(m.end() - low, len(line))) for m in found]
+            new = [m for m in found if m.start() >= low]
+            if q.only_matching and self.template is None:
+                for a, b in spans:
+                    out.append(self.head(path, k + 1, at(low + a) - at(low) + 1, at(low + a), sep) + self.body(line[a:b], [(0, b - a)], False))
+            elif q.only_matching:
+                for m in new:
+                    for n, piece in enumerate(expanded(m, self.template).split("\n")):
+                        out.append(self.head(path, k + 1 + n, column(m), at(m.start()), sep) + self.body(piece, [(0, len(piece))], False))
+            elif self.template is not None:
+                if block is not done:
+                    out += self.replaced_block(path, text, starts, lines, block, column(found[0]), at)
+                    done = block
+            elif q.mode == "vimgrep":
+                out += [self.head(path, k + 1, column(m), at(m.start()), sep) + self.body(line, spans, False) for m in new]
+            else:
+                where = at(low + spans[0][0]) - at(low) + 1 if self.look.colours else column(found[0])
+                out.append(self.head(path, k + 1, where, at(low), sep) + self.body(line, spans, False))
+        return out
+
+    def replaced_block(self, path: str, text: str, starts: list[int], lines: list[str], block: tuple, column: int, at) -> list[str]:
+        """The lines of a block with its matches replaced."""
+        first, last, found = block
+        low, high = starts[first], starts[last] + len(lines[last])
+        body, spans, seen, size = [], [], low, 0
+        for m in found:
+            new = expanded(m, self.template)
+            body += [text[seen : m.start()], new]
+            size += m.start() - seen
+            spans.append((size, size + len(new)))
+            size, seen = size + len(new), m.end()
+        shown = "".join([*body, text[seen:high]]).removesuffix("\n")
+        out, start, offset, k = [], 0, at(low), 0
+        for n, line in enumerate(shown.split("\n")):
+            own = []
+            while k < len(spans) and spans[k][0] <= start + len(line):
+                own.append((max(0, spans[k][0] - start), min(spans[k][1] - start, len(line))))
+                if spans[k][1] > start + len(line):
+                    break  # it goes on in the next line
+                k += 1
+            out.append(self.head(path, first + 1 + n, column, offset, self.q.match_separator) + self.body(line, own, False))
+            start += len(line) + 1
+            offset += (len(line) if self.view else len(line.encode(errors="surrogateescape"))) + 1
+        return out
+
+    def single_lines(self, path: str, text: str) -> list[str]:
         q, out, last = self.q, [], None
         for number, offset, line, kind, found, group in shown_lines(self.found, text, q, self.view):
             if last is not None and group != last and q.context_separator is not None:
@@ -168,8 +253,6 @@ class Printer:
             shown, spans = (line, [m.span() for m in found]) if self.template is None else self.replaced(line, found)
             for m in found if q.mode == "vimgrep" else found[:1]:
                 out.append(self.head(path, number, at(m.start()) + 1, offset + (at(m.start()) if q.mode == "vimgrep" else 0), q.match_separator) + self.body(shown, spans, False))
-        if out and self.look.heading and self.look.path:
-            return [self.look.named(path), *out, ""]
         return out
 
 
@@ -183,13 +266,21 @@ def printed(search: Search) -> DataFrame:
         rows = searched(search)
         name = F.replace(path, F.lit("/"), F.lit(look.path_separator)) if look.path_separator else path
         shown = F.concat(F.lit(look.painted("path", "\1").split("\1")[0]), name, F.lit(look.painted("path", "\1").split("\1")[1]))
+        if look.links:
+
+            @F.arrow_udf("string")
+            def linked(names: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                for batch in names:
+                    yield pa.array([look.label(n) for n in batch.to_pylist()], pa.string())
+
+            shown = linked(path)
         if q.mode.startswith("count"):
             output = F.concat(shown, F.lit(look.path_end or q.match_separator), F.col("n").cast("string")) if look.path else F.col("n").cast("string")
         else:
             output = F.concat(shown, F.lit(look.path_end))
         return rows.select(*search.keys, F.lit(0).alias("seq"), output.alias("output"))
-    if q.multiline or q.mode not in ("standard", "vimgrep"):
-        raise ValueError("multi-line searches and other modes have no text output")
+    if q.mode not in ("standard", "vimgrep"):
+        raise ValueError("other modes have no text output")
     schema = StructType([*(search.df.schema[k] for k in search.keys), *StructType.fromDDL("seq int, output string").fields])
     arrow, n, pattern, view = to_arrow_schema(schema), len(search.keys), search.pattern, search.of_bytes
     template = replacement.parts(q.replacement, pattern) if q.replacement is not None and not q.invert else None
@@ -205,6 +296,6 @@ def printed(search: Search) -> DataFrame:
                 at += [k] * len(own)
                 seq += range(len(own))
                 lines += own
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns[:n], pa.array(seq, pa.int32()), pa.array(lines, pa.string())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.select(range(n)).take(pa.array(at, pa.int64())).columns, pa.array(seq, pa.int32()), pa.array(lines, pa.string())], schema=arrow)
 
     return search.files(not (q.invert or q.passthru)).mapInArrow(run, schema)

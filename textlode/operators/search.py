@@ -403,7 +403,7 @@ class Search:
                     rows = rows_of(found, text) if text else []
                     at += [k] * len(rows)
                     out += rows
-                keys = batch.take(pa.array(at, pa.int64())).columns[:n]
+                keys = batch.select(range(n)).take(pa.array(at, pa.int64())).columns
                 yield pa.RecordBatch.from_arrays([*keys, *(pa.array([r[i] for r in out], f.type) for i, f in enumerate(list(arrow)[n:]))], schema=arrow)
 
         return self.files(prune and not self.query.invert and not self.query.passthru).mapInArrow(run, schema)
@@ -542,7 +542,7 @@ class Search:
                     at += [k] * len(made)
                     seq += range(len(made))
                     events += made
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns[:n], pa.array(seq, pa.int32()), pa.array(events, pa.string())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*batch.select(range(n)).take(pa.array(at, pa.int64())).columns, pa.array(seq, pa.int32()), pa.array(events, pa.string())], schema=arrow)
 
         return self.files(not (q.invert or q.passthru)).mapInArrow(run, schema)
 
@@ -703,26 +703,38 @@ def blocks_of(compiled, text: str, starts: list[int], n: int) -> list[tuple[int,
     return out
 
 
-def block_rows(compiled, text: str, q: SearchQuery) -> list[tuple[int, str, str, int, bool]]:
-    """(line number, line, kind, group, whether it opens a block) of a multi-line search's output lines."""
+def shown_blocks(compiled, text: str, q: SearchQuery) -> tuple[list[str], list[int], list[tuple]]:
+    """The lines of a text, where they start, and (line, kind, group, whether it opens a block, the matches that touch it, its
+    block) of what a multi-line search shows."""
     lines, starts = cut(text)
-    blocks = [(a, b) for a, b, _ in blocks_of(compiled, text, starts, len(lines))]
+    blocks = blocks_of(compiled, text, starts, len(lines))
     if q.invert:
-        covered = {k for a, b in blocks for k in range(a, b + 1)}
-        blocks = [(k, k) for k in range(len(lines)) if k not in covered]
-    hits = {k for a, b in blocks for k in range(a, b + 1)}
+        covered = {k for a, b, _ in blocks for k in range(a, b + 1)}
+        blocks = [(k, k, []) for k in range(len(lines)) if k not in covered]
     limited = blocks[: q.max_count]
-    opened = {a for a, _ in limited}
-    if q.passthru:
-        shown, hits = set(range(len(lines))), {k for a, b in limited for k in range(a, b + 1)}
-    else:
-        shown = {k for a, b in limited for k in range(max(0, a - q.lines_before), min(len(lines), b + 1 + q.lines_after))}
+    opened = {a for a, _, _ in limited}
+    shown = set(range(len(lines))) if q.passthru else {k for a, b, _ in limited for k in range(max(0, a - q.lines_before), min(len(lines), b + 1 + q.lines_after))}
+    touched: dict[int, list] = {}
+    held = {}
+    for block in limited if q.passthru else blocks:
+        for k in range(block[0], min(block[1] + 1, len(lines))):
+            held[k] = block
+        for m in block[2]:
+            first = bisect.bisect_right(starts, m.start()) - 1
+            for k in range(first, bisect.bisect_right(starts, max(m.start(), m.end() - 1), first)):
+                touched.setdefault(k, []).append(m)
     out, group, last = [], 0, None
     for k in sorted(shown):
         group += last is not None and k - last > 1
         last = k
-        out.append((k + 1, lines[k].removesuffix("\n"), "match" if k in hits else "context", group, k in opened))
-    return out
+        out.append((k, "match" if k in held else "context", group, k in opened, touched.get(k, []), held.get(k)))
+    return lines, starts, out
+
+
+def block_rows(compiled, text: str, q: SearchQuery) -> list[tuple[int, str, str, int, bool]]:
+    """(line number, line, kind, group, whether it opens a block) of a multi-line search's output lines."""
+    lines, _, rows = shown_blocks(compiled, text, q)
+    return [(k + 1, lines[k].removesuffix("\n"), kind, group, opens) for k, kind, group, opens, *_ in rows]
 
 
 def _told(text: str, view: bool = False) -> dict:

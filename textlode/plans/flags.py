@@ -25,7 +25,7 @@ VALUES = {
 WALK = {"one-file-system", "follow", "hidden", "ignore", "ignore-dot", "ignore-exclude", "ignore-files", "ignore-global", "ignore-parent", "ignore-vcs", "require-git", "search-zip", "glob-case-insensitive", "ignore-file-case-insensitive", "stats"}
 WALK_VALUES = {"max-depth", "max-filesize", "encoding", "pre"}
 WALK_LISTS = {"ignore-file", "type-add", "type-clear", "pre-glob", "colors"}
-#: Options that change nothing here: scheduling, presentation and diagnostics belong to Spark or to the caller.
+#: Options that change no search: `operators.render` reads those of output; scheduling and diagnostics belong to Spark or to the caller.
 IGNORED = {"block-buffered", "line-buffered", "debug", "trace", "messages", "ignore-messages", "mmap", "no-config", "heading", "pretty", "null", "pcre2-unicode", *WALK}
 IGNORED_VALUES = {"color", "threads", "hostname-bin", "hyperlink-format", "path-separator", "generate", *WALK_VALUES, *WALK_LISTS}
 #: Sizes that are checked and then change nothing: the engines here have no such limits.

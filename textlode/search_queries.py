@@ -440,6 +440,16 @@ PRINTED = f"""WITH h AS (SELECT *, contains(line, 'edst') AS hit FROM ({PATH_LIN
 k AS (SELECT *, coalesce(line_number - lag(line_number) OVER (PARTITION BY path ORDER BY line_number) > 1, false) AS jump FROM n WHERE near = 1)
 SELECT path, path || CASE WHEN hit THEN ':' || line_number || ':' ELSE '-' || line_number || '-' END || line AS output FROM k UNION ALL SELECT path, '--' FROM k WHERE jump"""
 register("printed_context", PRINTED)(lambda spark, sf_dir: print_rows(with_path(docs(spark, sf_dir)).select("path", "text"), ["-n", "-C1", "edst"]).select("path", "output"))
+JOINED = f"SELECT *, coalesce(line LIKE '%.' AND lead(line) OVER w LIKE 'The%', false) OR coalesce(line LIKE 'The%' AND lag(line) OVER w LIKE '%.', false) AS hit FROM ({PATH_LINES}) WINDOW w AS (PARTITION BY path ORDER BY line_number)"
+register("printed_blocks", PRINTED.replace(f"SELECT *, contains(line, 'edst') AS hit FROM ({PATH_LINES})", JOINED))(lambda spark, sf_dir: print_rows(with_path(docs(spark, sf_dir)).select("path", "text"), ["-U", "-n", "-C1", r"\.\nThe"]).select("path", "output"))
+register("printed_block_matches", f"SELECT path, unnest([line_number || ':' || strlen(line) || ':.', (line_number + 1) || ':1:The']) AS output FROM (SELECT *, lead(line) OVER (PARTITION BY path ORDER BY line_number) AS after FROM ({PATH_LINES})) WHERE line LIKE '%.' AND after LIKE 'The%'")(
+    lambda spark, sf_dir: print_rows(with_path(docs(spark, sf_dir)).select("path", "text"), ["-U", "-n", "-I", "-o", "--column", r"\.\nThe"]).select("path", "output")
+)
+LINKED = f"SELECT '/in/' || path AS path, chr(27) || ']8;;file:///in/' || path || '#' || line_number || ':' || (strlen(substr(line, 1, instr(line, 'edst') - 1)) + 1) || chr(27) || chr(92) || '/in/' || path || ':' || line_number || chr(27) || ']8;;' || chr(27) || chr(92) || ':' || line AS output FROM ({PATH_LINES}) WHERE contains(line, 'edst')"
+PLAIN = [word for kind in ("path", "line", "match") for word in ("--colors", f"{kind}:none")]
+register("printed_links", LINKED)(
+    lambda spark, sf_dir: print_rows(with_path(docs(spark, sf_dir)).select(F.concat(F.lit("/in/"), "path").alias("path"), "text"), ["-n", "--color", "always", *PLAIN, "--hyperlink-format", "file://{path}#{line}:{column}", "edst"]).select("path", "output")
+)
 LONG = f"SELECT path, replace(line, 'tion', '<tion>') AS r, strlen(substr(line, 1, instr(line, 'tion') - 1)) + 1 AS c, line_number FROM ({PATH_LINES}) WHERE contains(line, 'tion')"
 CUT = f"SELECT *, substr(r, 1, coalesce(list_max(list_filter(range(1, 61), lambda n: strlen(substr(r, 1, n)) <= 60)), 0)) AS cut FROM ({LONG})"
 register("printed_long_lines", f"SELECT path, line_number || ':' || c || ':' || CASE WHEN strlen(r) <= 60 THEN r ELSE cut || ' [... ' || m || ' more ' || CASE WHEN m = 1 THEN 'match' ELSE 'matches' END || ']' END AS output FROM (SELECT *, len(string_split(substr(r, length(cut) + 1), '<tion>')) - 1 AS m FROM ({CUT}))")(
