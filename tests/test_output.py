@@ -1,5 +1,6 @@
 """What commands print, and which engine runs a pattern."""
 
+import json
 import socket
 import time
 
@@ -118,6 +119,45 @@ def test_links(rows, spark):
             link(wrong, "b")
 
 
+STOPPED, MATCHES = 'WARNING: stopped searching binary file after match (found "\\0" byte around offset 12)', 'binary file matches (found "\\0" byte around offset 12)'
+
+
+@pytest.mark.parametrize(
+    ("args", "want"),
+    [
+        (["-n", "hit"], ["b:1:é hit", f"b: {STOPPED}", "c:1:hit"]),
+        (["-n", "last"], []),
+        (["-I", "-A1", "hit"], ["é hit", "two", STOPPED, "hit"]),
+        (["-v", "-n", "hit"], ["b:2:two", f"b: {STOPPED}"]),
+        (["-U", "-n", "hit\\ntwo"], ["b:1:é hit", "b:2:two", f"b: {STOPPED}"]),
+        (["--heading", "two"], ["b", "two", f"b: {STOPPED}", ""]),
+        (["-n", "--binary", "hit"], ["b:1:é hit", f"b: {MATCHES}", "c:1:hit"]),
+        (["-n", "--binary", "last"], [f"b: {MATCHES}"]),
+        (["-I", "-U", "--binary", "last"], [MATCHES]),
+        (["--binary", "nothing"], []),
+        (["-n", "-a", "last"], ["b:4:last hit"]),
+        (["-c", "hit"], ["c:1"]),
+        (["-c", "--binary", "hit"], ["b:2", "c:1"]),
+        (["-c", "-U", "hit"], ["c:1"]),
+        (["--count-matches", "-a", "hit"], ["b:2", "c:1"]),
+        (["-l", "hit"], ["b", "c"]),
+        (["--files-without-match", "two"], ["c"]),
+        (["--files-without-match", "--binary", "hit"], []),
+    ],
+)
+def test_binary_files(spark, args, want):
+    rows = spark.createDataFrame([("b", "é hit\ntwo\nx\0y\nlast hit\n"), ("c", "hit\n"), ("d", "\0"), ("e", None)], "path string, text string").filter("path IN ('b', 'c')" if "--files-without-match" in args else "true")
+    assert shown(rows, *args) == want
+
+
+def test_json_of_binary_files(spark):
+    for kind, text in (("string", "é hit\ntwo\nx\0y\nlast hit\n"), ("binary", bytearray("é hit\ntwo\nx\0y\nlast hit\n".encode()))):
+        rows = spark.createDataFrame([("b", text)], f"path string, text {kind}")
+        said = [json.loads(r.event) for r in run_rows(rows, ["--json", "last|^y"]).orderBy("seq").collect()]
+        assert [e["data"].get("line_number") for e in said] == [None, 4, 5, None] and said[-1]["data"]["binary_offset"] == 12
+        assert said[1]["data"]["absolute_offset"] == 13
+
+
 def test_colour_rules():
     assert styles(["path:fg:blue", "match:bg:yellow", "line:style:bold", "column:fg:200"]) == {"path": "34", "line": "32;1", "column": "38;5;200", "match": "1;31;43"}
     assert styles(["match:none", "match:fg:0x10,20,30"])["match"] == "38;2;16;20;30"

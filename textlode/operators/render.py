@@ -30,6 +30,11 @@ COLOURS = ("black", "red", "green", "yellow", "blue", "magenta", "cyan", "white"
 #: What is coloured by default.
 DEFAULTS = {"path": "35", "line": "32", "column": "", "match": "1;31"}
 STYLES = {"bold": "1", "nobold": "22", "intense": "1", "nointense": "22", "underline": "4", "nounderline": "24", "italic": "3", "noitalic": "23"}
+#: What is said of a binary file, by how it is searched.
+SAID = {
+    "quit": 'WARNING: stopped searching binary file after match (found "\\0" byte around offset {})',
+    "convert": 'binary file matches (found "\\0" byte around offset {})',
+}
 BLANKS = "\t\n\x0b\f\r "
 
 
@@ -166,10 +171,19 @@ class Printer:
             size, at = size + len(new), m.end()
         return "".join([*out, line[at:]]), spans
 
-    def lines(self, path: str, text: str) -> list[str]:
-        out = self.blocks(path, text) if self.q.multiline else self.single_lines(path, text)
+    def lines(self, path: str, text: str, nul: int = 0, nul_at: int | None = None) -> list[str]:
+        """What is printed for a file. Of a binary one (the first NUL is its character `nul`, after `nul_at` bytes), it is the
+        lines before that of the NUL; then, if anything matches, why no more follow."""
+        shown = text[: text.rfind("\n", 0, nul - 1) + 1] if nul and self.q.binary == "convert" else text
+        out = self.blocks(path, shown) if self.q.multiline else self.single_lines(path, shown)
+        if nul and self.q.binary in SAID and (out or self.q.binary == "convert") and self.matched(shown if self.q.binary == "quit" else text):
+            out.append(f"{self.look.label(path)}: " * self.look.path + SAID[self.q.binary].format(nul_at))
         return [self.look.label(path), *out, ""] if out and self.look.heading and self.look.path else out
 
+    def matched(self, text: str) -> bool:
+        q = self.q.where(before=None, after=None, context=0, passthru=False, max_count=1)
+        return bool(shown_blocks(self.found, text, q)[2] if q.multiline else shown_lines(self.found, text, q, self.view))
+
     def blocks(self, path: str, text: str) -> list[str]:
         """The lines of a multi-line search. A replaced block, or match, may have other lines than before: they are numbered
         from its first one on. The column of a line is that of its first match: within the line where colours show it, else
@@ -291,11 +305,11 @@ def printed(search: Search) -> DataFrame:
         for batch in batches:
             names = ["/".join(str(v) for v in row if v is not None) for row in zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True)]
             at, seq, lines = [], [], []
-            for k, text in enumerate(batch.column(n).to_pylist()):
-                own = printer.lines(names[k], text) if text else []
+            for k, (text, *nul) in enumerate(zip(*(c.to_pylist() for c in batch.columns[n:]), strict=True)):
+                own = printer.lines(names[k], text, *nul) if text or any(nul) else []
                 at += [k] * len(own)
                 seq += range(len(own))
                 lines += own
             yield pa.RecordBatch.from_arrays([*batch.select(range(n)).take(pa.array(at, pa.int64())).columns, pa.array(seq, pa.int32()), pa.array(lines, pa.string())], schema=arrow)
 
-    return search.files(not (q.invert or q.passthru)).mapInArrow(run, schema)
+    return search.files(not (q.invert or q.passthru), nul=not q.null_data).mapInArrow(run, schema)

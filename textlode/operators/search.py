@@ -80,19 +80,25 @@ class Search:
     def selected(self, line: Column) -> Column:
         return ~self.hit(line) if self.query.invert else self.hit(line)
 
-    def files(self, prune: bool = False) -> DataFrame:
-        """Files whose text is searched: binary ones (with a NUL) are cut or converted as the query says. `prune` leaves
-        out files that can't match, by a test on the column as it is stored."""
+    def files(self, prune: bool = False, whole: bool = False, nul: bool = False) -> DataFrame:
+        """Files whose text is searched: binary ones (with a NUL) are cut before the line of the first one or converted, as the
+        query says. `prune` leaves out files that can't match, by a test on the column as it is stored; `whole` leaves
+        out files that would be cut; `nul` adds where the first NUL is: its character from 1 on (0: none), and the bytes before."""
+        q = self.query
         text = F.decode(F.col(self.text), "ISO-8859-1") if self.of_bytes else F.col(self.text)
         stored = self.df.filter(self.possible(text)) if prune else self.df
-        if self.query.max_count == 0:  # nothing is searched
+        if q.max_count == 0:  # nothing is searched
             stored = stored.filter(F.lit(False))
-        if self.query.binary == "quit" and not self.query.null_data:
-            at = F.instr(text, "\0")
-            text = F.when(at > 0, F.regexp_extract(F.substring(text, F.lit(1), at - 1), r"(?s)\A(.*\n)?", 0)).otherwise(text)
-        elif self.query.binary == "convert" and not self.query.null_data:
+        at = F.instr(text, "\0")
+        where = [F.coalesce(at, F.lit(0)).cast("int").alias("_nul"), F.when(at > 0, self.size_of(F.substring(text, F.lit(1), at - 1))).cast("long").alias("_nul_at")] if nul else []
+        if q.binary == "quit" and not q.null_data:
+            if whole:
+                stored = stored.filter(F.coalesce(at == 0, F.lit(True)))
+            else:
+                text = F.when(at > 0, F.regexp_extract(F.substring(text, F.lit(1), at - 1), r"(?s)\A(.*\n)?", 0)).otherwise(text)
+        elif q.binary == "convert" and not q.null_data:
             text = F.translate(text, "\0", "\n")
-        return stored.select(*self.keys, text.alias("_text"))
+        return stored.select(*self.keys, text.alias("_text"), *where)
 
     def raw_lines(self, text: Column) -> Column:
         """The records of a text with a carriage return that ends them: no empty one after the last terminator."""
@@ -177,7 +183,8 @@ class Search:
 
     # Counts, within the row of a file.
     def count_lines(self, zero: bool | None = None) -> DataFrame:
-        files = self.files(not (self.query.invert or zero or self.query.include_zero))
+        """Selected lines by file; a binary file whose search would end early has no count."""
+        files = self.files(not (self.query.invert or zero or self.query.include_zero), whole=True)
         n = self.n_lines(F.col("_text"))
         out = files.select(*self.keys, n.alias("n"))
         return out if (self.query.include_zero if zero is None else zero) else out.filter("n > 0")
@@ -202,7 +209,7 @@ class Search:
         """Matches by file; lines where the query inverts or wants whole lines."""
         if self.query.invert or self.query.line:
             return self.count_lines()
-        out = self.files(not self.query.include_zero).select(*self.keys, F.coalesce(self.n_matches(F.col("_text")), F.lit(0)).alias("n"))
+        out = self.files(not self.query.include_zero, whole=True).select(*self.keys, F.coalesce(self.n_matches(F.col("_text")), F.lit(0)).alias("n"))
         return out if self.query.include_zero else out.filter("n > 0")
 
     def n_matches(self, text: Column) -> Column:
@@ -233,7 +240,7 @@ class Search:
         return self.files(not self.query.invert).filter(self.any_hit()).select(*self.keys)
 
     def files_without_match(self) -> DataFrame:
-        return self.files().filter(~self.any_hit()).select(*self.keys)
+        return self.files(whole=True).filter(~self.any_hit()).select(*self.keys)
 
     def quiet(self) -> DataFrame:
         """One row: whether anything matches."""
@@ -389,7 +396,7 @@ class Search:
         whole = F.regexp_extract_all(line, F.lit(self.pattern.java), F.lit(0))
         return F.transform(whole, lambda _, i: F.concat(F.lit(""), *(F.lit(p) if e is None else F.get(e, i) for p, e in zip(template, every, strict=True))))
 
-    def _by_text(self, columns: str, rows_of: Callable[[object, str], list[tuple]], prune: bool = True) -> DataFrame:
+    def _by_text(self, columns: str, rows_of: Callable[[object, str], list[tuple]], prune: bool = True, whole: bool = False) -> DataFrame:
         """(keys, columns) from a function of the compiled pattern and a text, over Arrow batches of bounded bytes."""
         schema = StructType([*(self.df.schema[k] for k in self.keys), *StructType.fromDDL(columns).fields])
         arrow, pattern, n = to_arrow_schema(schema), self.pattern, len(self.keys)
@@ -406,7 +413,7 @@ class Search:
                 keys = batch.select(range(n)).take(pa.array(at, pa.int64())).columns
                 yield pa.RecordBatch.from_arrays([*keys, *(pa.array([r[i] for r in out], f.type) for i, f in enumerate(list(arrow)[n:]))], schema=arrow)
 
-        return self.files(prune and not self.query.invert and not self.query.passthru).mapInArrow(run, schema)
+        return self.files(prune and not self.query.invert and not self.query.passthru, whole).mapInArrow(run, schema)
 
     def spans(self) -> DataFrame:
         """(keys, line_number, match_index, column, start, stop, abs_offset, match, groups, line): 1-based byte column,
@@ -439,10 +446,10 @@ class Search:
         """Matches over whole texts by file (lines under invert), without leaving the engine where no match can be empty."""
         if self.query.invert or self.query.max_count is not None:
             q = self.query.where(context=0, before=None, after=None, passthru=False)
-            return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(opens for *_, opens in block_rows(found, text, q))) else [])
+            return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(opens for *_, opens in block_rows(found, text, q))) else [], whole=True)
         if self.outside:
-            return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(1 for _ in distinct_matches(found, text))) else [])
-        return self.files(prune=True).select(*self.keys, F.regexp_count("_text", F.lit(self.pattern.java)).cast("long").alias("n")).filter("n > 0")
+            return self._by_text("n long", lambda found, text: [(n,)] if (n := sum(1 for _ in distinct_matches(found, text))) else [], whole=True)
+        return self.files(prune=True, whole=True).select(*self.keys, F.regexp_count("_text", F.lit(self.pattern.java)).cast("long").alias("n")).filter("n > 0")
 
     def multiline_lines(self) -> DataFrame:
         """The lines that matches touch (under invert the others)."""
@@ -525,7 +532,10 @@ class Search:
 
     def json_messages(self) -> DataFrame:
         """(keys, seq, event): the messages begin, match, context and end of every file with a match, in their order. Times
-        are zero: they say nothing about a distributed search."""
+        are zero: they say nothing about a distributed search. Binary files are searched to their end, and the last message
+        says where their first NUL is."""
+        if self.query.binary == "quit":
+            return Search(self.df, self.query.where(binary="convert"), tuple(self.keys), self.text).json_messages()
         q, template = self.query, replacement.parts(self.query.replacement, self.pattern) if self.query.replacement is not None else None
         n, view = len(self.keys), self.of_bytes
         schema = StructType([*(self.df.schema[k] for k in self.keys), *StructType.fromDDL("seq int, event string").fields])
@@ -537,14 +547,14 @@ class Search:
             for batch in batches:
                 at, seq, events = [], [], []
                 names = ["/".join(str(v) for v in row if v is not None) for row in zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True)]
-                for k, text in enumerate(batch.column(n).to_pylist()):
-                    made = messages_of(found, text, names[k], q, template, view) if text else []
+                for k, (text, nul) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 2).to_pylist() if batch.num_columns > n + 2 else [None] * batch.num_rows, strict=True)):
+                    made = messages_of(found, text, names[k], q, template, view, nul) if text else []
                     at += [k] * len(made)
                     seq += range(len(made))
                     events += made
                 yield pa.RecordBatch.from_arrays([*batch.select(range(n)).take(pa.array(at, pa.int64())).columns, pa.array(seq, pa.int32()), pa.array(events, pa.string())], schema=arrow)
 
-        return self.files(not (q.invert or q.passthru)).mapInArrow(run, schema)
+        return self.files(not (q.invert or q.passthru), nul=q.binary == "convert" and not q.null_data).mapInArrow(run, schema)
 
     def json_summary(self) -> DataFrame:
         """The one `summary` message of all files."""
@@ -746,8 +756,8 @@ def _told(text: str, view: bool = False) -> dict:
         return {"bytes": base64.b64encode(data).decode()}
 
 
-def messages_of(compiled, text: str, path: str, q: SearchQuery, template: list[str | int] | None, view: bool = False) -> list[str]:
-    """The JSON messages of one file; none without a selected line."""
+def messages_of(compiled, text: str, path: str, q: SearchQuery, template: list[str | int] | None, view: bool = False, nul: int | None = None) -> list[str]:
+    """The JSON messages of one file; none without a selected line. `nul`: where the file is binary."""
     size = len if view else lambda s: len(s.encode(errors="surrogateescape"))
     lines, starts = cut(text)
     dump = lambda kind, data: json.dumps({"type": kind, "data": data}, ensure_ascii=False, separators=(",", ":"))
@@ -789,7 +799,7 @@ def messages_of(compiled, text: str, path: str, q: SearchQuery, template: list[s
     events.sort(key=lambda e: e[0])
     made = [e for _, e in events]
     stats = {"elapsed": {"secs": 0, "nanos": 0, "human": "0s"}, "searches": 1, "searches_with_match": 1, "bytes_searched": size(text), "bytes_printed": sum(len(e.encode(errors="surrogateescape")) + 1 for e in made), "matched_lines": len(inside), "matches": counted}
-    return [*made, dump("end", {"path": told, "binary_offset": None, "stats": stats})]
+    return [*made, dump("end", {"path": told, "binary_offset": nul, "stats": stats})]
 
 
 class PatternSet:

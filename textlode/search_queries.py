@@ -450,6 +450,20 @@ PLAIN = [word for kind in ("path", "line", "match") for word in ("--colors", f"{
 register("printed_links", LINKED)(
     lambda spark, sf_dir: print_rows(with_path(docs(spark, sf_dir)).select(F.concat(F.lit("/in/"), "path").alias("path"), "text"), ["-n", "--color", "always", *PLAIN, "--hyperlink-format", "file://{path}#{line}:{column}", "edst"]).select("path", "output")
 )
+BINARY = f"WITH l AS ({PATH_LINES}), b AS (SELECT path, min(line_number) AS b FROM l WHERE contains(line, 'edst') GROUP BY path), h AS (SELECT l.path, line_number, line, b FROM l LEFT JOIN b ON l.path = b.path WHERE contains(line, 'an') AND (b IS NULL OR line_number < b)), o AS (SELECT {PATH} AS path, strlen(substr(text, 1, instr(text, 'edst') - 1)) + 2 AS o FROM documents)"
+WARNED = "path || ': WARNING: stopped searching binary file after match (found \"' || chr(92) || '0\" byte around offset ' || o || ')'"
+
+
+def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files, some of them with a NUL."""
+    return with_path(docs(spark, sf_dir)).select("path", F.replace("text", F.lit("edst"), F.lit("ed\0st")).alias("text"))
+
+
+register("printed_binary", f"{BINARY} SELECT path, path || ':' || line_number || ':' || line AS output FROM h UNION ALL SELECT DISTINCT path, {WARNED} FROM h JOIN o USING (path) WHERE b IS NOT NULL")(lambda spark, sf_dir: print_rows(binary_files(spark, sf_dir), ["-n", "an"]).select("path", "output"))
+register("command_count_binary", f"{BINARY} SELECT path, CAST(count(*) AS BIGINT) AS n FROM h WHERE b IS NULL GROUP BY path")(lambda spark, sf_dir: run_rows(binary_files(spark, sf_dir), ["-c", "an"]).select("path", "n"))
+register("json_binary_offset", f"SELECT path, CAST(strlen(substr(text, 1, instr(text, 'edst') - 1)) + 2 AS BIGINT) AS nul FROM (SELECT {PATH} AS path, text FROM documents) WHERE contains(text, 'edst')")(
+    lambda spark, sf_dir: run_rows(binary_files(spark, sf_dir), ["--json", "st"]).select("path", F.get_json_object("event", "$.data.binary_offset").cast("long").alias("nul")).filter("nul IS NOT NULL")
+)
 LONG = f"SELECT path, replace(line, 'tion', '<tion>') AS r, strlen(substr(line, 1, instr(line, 'tion') - 1)) + 1 AS c, line_number FROM ({PATH_LINES}) WHERE contains(line, 'tion')"
 CUT = f"SELECT *, substr(r, 1, coalesce(list_max(list_filter(range(1, 61), lambda n: strlen(substr(r, 1, n)) <= 60)), 0)) AS cut FROM ({LONG})"
 register("printed_long_lines", f"SELECT path, line_number || ':' || c || ':' || CASE WHEN strlen(r) <= 60 THEN r ELSE cut || ' [... ' || m || ' more ' || CASE WHEN m = 1 THEN 'match' ELSE 'matches' END || ']' END AS output FROM (SELECT *, len(string_split(substr(r, length(cut) + 1), '<tion>')) - 1 AS m FROM ({CUT}))")(

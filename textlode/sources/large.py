@@ -211,11 +211,12 @@ class LargeFiles:
         return rows.select("path", (F.col("at") + 1).alias("line_number"), "byte_offset", "line")
 
     def count_lines(self) -> DataFrame:
-        """(path, n) of the files with selected lines."""
+        """(path, n) of the files with selected lines; a binary file whose search would end early has no count."""
         if not self.query.stop_on_nonmatch and self.query.binary == "text":  # the splits' own counts say it
             n = F.sum("n_hit") if self.query.max_count is None else F.least(F.sum("n_hit"), F.lit(self.query.max_count))
             return self.parts.groupBy("path").agg(n.alias("n")).filter("n > 0")
-        return self.lines().groupBy("path").agg(F.count("*").alias("n"))
+        cut = self.parts.filter("nul IS NOT NULL").select("path").distinct()
+        return self.lines().join(cut, "path", "left_anti").groupBy("path").agg(F.count("*").alias("n"))
 
 
 def search_large(spark: SparkSession, path: str, query: SearchQuery) -> DataFrame:
