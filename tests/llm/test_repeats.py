@@ -151,6 +151,19 @@ def test_phrases_equal_sql(spark, docs, cells, held, monkeypatch):
     assert len(want) > 100 and sorted(got) == sorted(want)
 
 
+def test_phrases_take_three_passes_whatever_the_candidates(spark, monkeypatch):
+    """Texts are read as often with thousands of candidates as with few, and groups of a task add up."""
+    passes, by_task = [], phrases.by_task
+    monkeypatch.setattr(phrases, "by_task", lambda *given: passes.append(1) or by_task(*given))
+    monkeypatch.setattr(phrases, "MOST_CELLS", 2)
+    monkeypatch.setattr(phrases, "MOST_PHRASES", 3)
+    monkeypatch.setattr(phrases, "GROUP", 50, raising=False)
+    rows = spark.createDataFrame([("a b c d e f g h. a b", k) for k in ("en", None)] * 40, "text string, lang string").repartition(3)
+    got = sorted(tuple(r) for r in phrases.mined(rows).collect())
+    assert got and got == sorted(duck(phrases.SQL, rows))
+    assert len(passes) == 3
+
+
 def test_phrases_of_odd_rows(spark, odd):
     assert sorted(tuple(r) for r in phrases.mined(odd).collect()) == sorted(duck(phrases.SQL, odd.select("text", "lang")))
     assert phrases.mined(odd.limit(0)).collect() == []

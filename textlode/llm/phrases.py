@@ -1,18 +1,18 @@
 """Phrases of two to four words that stand together more often than their parts suggest, by language.
 
 Texts are lower-cased (A-Z) and cut at punctuation and line ends into pieces; words are runs of other characters than space
-and tab. Everything is counted within a language, whose hash is mixed into that of each word. Four passes over the texts:
+and tab. Everything is counted within a language, whose hash is mixed into that of each word. Three passes over the texts,
+each in proportion to them, whatever the number of candidates:
 
-1. A sketch of word pairs: one row of counters, at least as many as a quarter of the bytes, that tasks send as sparse blocks
-   and add up by block. A counter is an upper bound of the count of every pair that falls on it.
+1. A sketch of words and word pairs: one row of counters, one for 16 bytes up to `MOST_CELLS`, that tasks send as sparse blocks
+   and add up by block. A counter is an upper bound of the count of everything that falls on it. Tasks look up which counters
+   reach the least count as one bit each.
 2. The same for phrases of three and four words, of those whose pairs may all be frequent.
-3. All phrases whose bounds reach the least count are candidates, as hashes of their words.
-4. Candidates are compiled into pyahocorasick automata over the digits of word numbers. A delimiter stands between pieces and
-   for words that no candidate has, so that no match crosses a border or begins within a word. Tasks count all matches, overlapping
-   ones too, and the counts are added up. They are exact; thresholds, scores and the ranking are DataFrame operations on them.
-
-Counters that reach the bound are sent to the tasks while they are at most `MOST_CELLS`; beyond that passes 2 and 3 go over
-the texts in as many turns as needed, each with its share of them, and likewise pass 4 with `MOST_PHRASES` candidates a turn.
+3. Phrases whose bounds reach the least count are candidates. Tasks compile those of some texts at a time (`GROUP` words) into
+   pyahocorasick automata over the digits of word numbers and count all their matches in these texts, overlapping ones too. A
+   delimiter stands between pieces and for words that no candidate has, so that no match crosses a border or begins within a word.
+   Counts are sent in blocks by phrase and added up by the words of each phrase; no task and no driver holds the candidates of
+   all texts. They are exact; thresholds, scores and the ranking are DataFrame operations on them.
 
 Rows: null and empty texts have no words; a null language is `und`; repeated rows count each time, whatever their ids; ties
 are ranked by count, then by the phrase's bytes; other columns, whatever their names, are left alone. No words, no rows.
@@ -36,12 +36,11 @@ from textlode.llm.words import LOWER, Words, byte_class, mixed, windows
 from textlode.session import drop_path, materialise, workspace
 
 LEAST, LONGEST, CONTAINED, TOP = 30, 4, 80, 2000
-#: Cells and phrases that tasks hold at once; grams that are gathered before their counters are sent; cells of a block.
-MOST_CELLS, MOST_PHRASES, FLUSH, BLOCK = 4_000_000, 1_500_000, 2_000_000, 1 << 16
+#: Counters of a sketch (a bit of each is sent to the tasks) and phrases of an automaton, at most; grams that are gathered before
+#: their counters are sent; cells of a block; words whose candidates are counted together.
+MOST_CELLS, MOST_PHRASES, FLUSH, BLOCK, GROUP = 1 << 28, 1_500_000, 2_000_000, 1 << 16, 2_000_000
 #: Digits of word numbers in the automata, and the character between pieces.
 BASE, DELIMITER = 16, " "
-#: Numbers whose counts are added up together.
-PACK = 1024
 BREAKS = byte_class(b".,;:!?\n\v\f\r")
 WORD = ~(BREAKS | byte_class(b" \t"))
 
@@ -89,24 +88,19 @@ def by_task(rows: DataFrame, make: Callable[[], Callable[[Iterator[Slice]], Iter
 
 
 class Cells:
-    """Counters that reach the least count, all of them or those of one turn, as the tasks look them up."""
-
-    def __init__(self, spark: SparkSession, heavy: DataFrame, bits: int, turn: int, turns: int) -> None:
-        own = heavy.filter(F.pmod("cell", F.lit(turns)) == turn).toArrow().column("cell").to_numpy()
-        self.held, self.bits, self.turn, self.turns = spark.sparkContext.broadcast(np.sort(own)), bits, turn, turns
-        self.table: np.ndarray | None = None  # made by the task that asks
-
-    def has(self, hashes: np.ndarray, unknown: bool) -> np.ndarray:
-        """Which hashes fall on such a counter; `unknown` is the answer for those of another turn."""
-        cells, held, shift = cell(hashes, self.bits), self.held.value, max(0, self.bits - 22)
-        if self.table is None:
-            self.table = np.zeros(1 << min(22, self.bits), bool)
-            self.table[held >> shift] = True
-        found = self.table[cells >> shift]
-        near = np.flatnonzero(found)
-        if len(near):
-            found[near] = held[np.minimum(np.searchsorted(held, cells[near]), len(held) - 1)] == cells[near]
-        return found if self.turns == 1 else np.where(cells % self.turns == self.turn, found, unknown)
+    """Which counters reach the least count, a bit each, as the tasks look them up."""
+
+    def __init__(self, spark: SparkSession, heavy: DataFrame, bits: int) -> None:
+        own = np.zeros(1 << bits - 3, np.uint8)
+        for row in heavy.toLocalIterator():
+            at = row.block * (BLOCK // 8)
+            own[at : at + len(row.marks)] = np.frombuffer(row.marks, np.uint8)
+        self.held, self.bits = spark.sparkContext.broadcast(own), bits
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Which hashes fall on such a counter."""
+        cells = cell(hashes, self.bits)
+        return (self.held.value[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def cell(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -121,13 +115,13 @@ def likely(part: Slice, size: int, pairs: Cells | None) -> tuple[np.ndarray, np.
     if part.frequent is None:
         first, pair = part.grams(2)
         part.frequent = np.zeros(len(part.words) + 1, bool)
-        part.frequent[first] = pairs.has(pair, True)
+        part.frequent[first] = pairs.has(pair)
     kept = np.all([part.frequent[at + k] for k in range(size - 1)], axis=0)
     return at[kept], hashes[kept]
 
 
 def heavy_cells(rows: DataFrame, sizes: tuple[int, ...], pairs: Cells | None, bits: int, least: int, path: str) -> DataFrame:
-    """(cell): the counters of a sketch of the phrases of these sizes that reach `least`."""
+    """(block, marks): a bit for each counter of a sketch of the phrases of these sizes, set where it reaches `least`."""
 
     def make():
         def run(slices: Iterator[Slice]) -> Iterator[list]:
@@ -154,11 +148,12 @@ def heavy_cells(rows: DataFrame, sizes: tuple[int, ...], pairs: Cells | None, bi
     def added(block: pa.Table) -> pa.Table:
         where = np.frombuffer(b"".join(block.column("cells").to_pylist()), "<u2")
         counts = np.bincount(where, np.frombuffer(b"".join(block.column("counts").to_pylist()), "u1"), BLOCK)
-        return pa.table({"cell": pa.array(np.flatnonzero(counts >= least) + block.column("block")[0].as_py() * BLOCK, pa.int64())})
+        marks = [np.packbits(counts >= least, bitorder="little").tobytes()] if (counts >= least).any() else []
+        return pa.table({"block": pa.array([block.column("block")[0].as_py()] * len(marks), pa.int64()), "marks": pa.array(marks, pa.binary())})
 
     if least > 255:
         raise ValueError("the least count is at most 255")
-    return materialise(by_task(rows, make, "block long, cells binary, counts binary").groupBy("block").applyInArrow(added, "cell long"), path)
+    return materialise(by_task(rows, make, "block long, cells binary, counts binary").groupBy("block").applyInArrow(added, "block long, marks binary"), path)
 
 
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -166,90 +161,14 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-class Known:
-    """The hashes that a task has sent: an open table, twice as large whenever it is half full."""
-
-    def __init__(self) -> None:
-        self.table, self.n = np.zeros(1 << 16, np.uint64), 0
-
-    def fresh(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions of the hashes that were not there before, the first of equal ones; from now on they are."""
-        hashes, first = np.unique(np.maximum(hashes, np.uint64(1)), return_index=True)  # 0 is a free place
-        while 2 * (self.n + len(hashes)) > len(self.table):
-            old = self.table[self.table > 0]
-            self.table = np.zeros(2 * len(self.table), np.uint64)
-            self._put(old)
-        return first[self._put(hashes)]
-
-    def _put(self, hashes: np.ndarray) -> np.ndarray:
-        """Which of these distinct hashes were put into the table."""
-        mask, new = len(self.table) - 1, np.zeros(len(hashes), bool)
-        left, place = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
-        while len(left):
-            held = self.table[place]
-            free = held == 0
-            self.table[place[free]] = hashes[left[free]]  # of several in one place the last one stays
-            won = free & (self.table[place] == hashes[left])
-            new[left[won]] = True
-            more = ~won & (held != hashes[left])
-            left, place = left[more], (place[more] + 1) & mask
-        self.n = int(np.count_nonzero(self.table)) if len(hashes) else self.n
-        return new
-
-
-def candidates(rows: DataFrame, pairs: Cells, longer: Cells, turn: bool, blocks: int) -> DataFrame:
-    """(g): phrases, as the hashes of their words, whose counters reach the least count in both sketches. A task sends each
-    of them once, packed into blocks by hash; a block is made distinct by one task."""
-
-    def make():
-        def run(slices: Iterator[Slice]) -> Iterator[list]:
-            known, held, n = Known(), {size: [] for size in range(2, LONGEST + 1)}, 0
-
-            def sent() -> list:
-                out: list[tuple] = []
-                for size, grams in held.items():
-                    words = np.concatenate(grams) if grams else np.zeros((0, size), np.uint64)
-                    block = (mixed(words.sum(1, dtype=np.uint64)) % np.uint64(blocks)).astype(np.int64)
-                    order = np.argsort(block, kind="stable")
-                    words, block = words[order], block[order]
-                    first = np.flatnonzero(np.diff(block, prepend=-1))
-                    out += [(int(block[a]), size, words[a:b].tobytes()) for a, b in zip(first, np.append(first, len(block))[1:], strict=True)]
-                    grams.clear()
-                return [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-
-            for part in slices:
-                for size in range(2, LONGEST + 1):
-                    at, hashes = likely(part, size, pairs if size > 2 and not turn else None)
-                    own = np.flatnonzero((pairs if size == 2 else longer).has(hashes, False))
-                    own = own[known.fresh(hashes[own] ^ np.uint64(size))]
-                    held[size].append(part.words[at[own][:, None] + np.arange(size)])
-                    n += len(own)
-                if n >= FLUSH:
-                    yield sent()
-                    n = 0
-            yield sent()
-
-        return run
-
-    def distinct(block: pa.Table) -> pa.Table:
-        out = []
-        for size in range(2, LONGEST + 1):
-            packed = b"".join(b for b, s in zip(block.column("words").to_pylist(), block.column("size").to_pylist(), strict=True) if s == size)
-            grams = np.unique(np.frombuffer(packed, np.int64).reshape(-1, size), axis=0)
-            out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, grams.size + 1, size, np.int32)), pa.array(grams.ravel())))
-        return pa.table({"g": pa.chunked_array(out)})
-
-    return by_task(rows, make, "block long, size int, words binary").groupBy("block").applyInArrow(distinct, "g array<long>")
-
-
 class Phrases:
     """Some candidates as an automaton. A word is written as the digits of its number, each place with characters of its own,
     so that a match begins and ends with a word, and no state has more than `BASE` ways on besides the delimiter's."""
 
-    def __init__(self, grams: pa.ChunkedArray) -> None:
-        grams = grams.combine_chunks() if isinstance(grams, pa.ChunkedArray) else grams
-        self.bounds, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
-        self.words, self.numbers = np.unique(flat.view(np.uint64), return_inverse=True)
+    def __init__(self, grams: list[np.ndarray]) -> None:
+        """From one array of word hashes for each number of words, a row a phrase."""
+        self.bounds = np.concatenate([[0], np.cumsum(np.repeat([g.shape[1] for g in grams], [len(g) for g in grams]))]).astype(np.int64)
+        self.words, self.numbers = np.unique(np.concatenate([g.ravel() for g in grams]), return_inverse=True)
         self.digits = 1
         while BASE**self.digits < len(self.words):
             self.digits += 1
@@ -265,17 +184,6 @@ class Phrases:
         flat[~there, 1:] = False  # one character is enough of a delimiter
         return out[flat].tobytes().decode("utf-32-le")
 
-    def grams(self, which: np.ndarray) -> pa.Array:
-        """Phrases by number, as the hashes of their words."""
-        sizes = np.diff(self.bounds)[which]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.repeat(self.bounds[which] - bounds[:-1], sizes) + np.arange(bounds[-1])
-        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(self.words[self.numbers[flat]].view(np.int64)))
-
-    def words_of(self, which: np.ndarray) -> pa.Array:
-        """Words by number, as phrases of one word."""
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32)), pa.array(self.words[which].view(np.int64)))
-
     def automaton(self) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         text, bounds = self.spelled(self.numbers), (self.bounds * self.digits).tolist()
@@ -284,67 +192,132 @@ class Phrases:
         out.make_automaton()
         return out
 
-    def read(self, part: Slice) -> tuple[np.ndarray, str]:
-        """The number of each word from 1 (0: in no candidate), and the text to scan, with a delimiter wherever a match must
-        end."""
-        place = np.minimum(np.searchsorted(self.words, part.words), len(self.words) - 1)
-        numbers = np.where(self.words[place] == part.words, place + 1, 0)
-        guarded = np.zeros(len(numbers) + int(part.ends_piece.sum()), np.int64)
-        guarded[np.arange(len(numbers)) + np.cumsum(part.ends_piece) - part.ends_piece] = numbers
+    def read(self, words: np.ndarray, ends_piece: np.ndarray) -> str:
+        """The text to scan, with a delimiter wherever a match must end."""
+        place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        numbers = np.where(self.words[place] == words, place + 1, 0)
+        guarded = np.zeros(len(numbers) + int(ends_piece.sum()), np.int64)
+        guarded[np.arange(len(numbers)) + np.cumsum(ends_piece) - ends_piece] = numbers
         kept = (guarded != 0) | (np.append(guarded[1:], 0) != 0)
-        return numbers, self.spelled(guarded[kept] - 1)
+        return self.spelled(guarded[kept] - 1)
+
+    def counts(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """How often each phrase occurs in texts given as words and where pieces end."""
+        automaton, n = self.automaton(), len(self.bounds) - 1
+        out = np.zeros(n, np.int64)
+        for words, ends_piece in texts:
+            out += np.bincount(np.fromiter((k for _, k in automaton.iter(self.read(words, ends_piece))), np.int64), minlength=n)
+        return out
+
+
+def distinct(grams: np.ndarray) -> np.ndarray:
+    """The distinct rows."""
+    if not len(grams):
+        return grams
+    grams = grams[np.lexsort(grams.T)]
+    return grams[np.append(True, (grams[1:] != grams[:-1]).any(1))]
+
 
+class Group:
+    """Some texts of a task: their words, the candidates in them, and how often their possibly frequent words occur."""
 
-def counted(rows: DataFrame, grams: pa.ChunkedArray) -> DataFrame:
-    """(kind, g, n, lang, word): counts of candidates (kind 0), of their words, with language and the word itself (kind 1),
-    and of all words of a language (kind 2). A task sends its counts once, packed into blocks of numbers, and one task adds
+    def __init__(self) -> None:
+        self.texts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.grams: dict[int, list[np.ndarray]] = {size: [] for size in range(2, LONGEST + 1)}
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+        self.names: dict[int, tuple[str, str]] = {}
+        self.totals: dict[str, int] = {}
+        self.n = 0
+
+    def add(self, part: Slice, pairs: Cells, longer: Cells) -> None:
+        self.texts.append((part.words, part.ends_piece))
+        self.n += len(part.words)
+        for size, grams in self.grams.items():
+            at, hashes = likely(part, size, pairs if size > 2 else None)
+            at = at[(pairs if size == 2 else longer).has(hashes)]
+            grams.append(distinct(part.words[at[:, None] + np.arange(size)]))
+        own = np.flatnonzero(pairs.has(part.grams(1)[1]))
+        words, first, n = np.unique(part.words[own], return_index=True, return_counts=True)
+        self.words.append((words, n))
+        for word, k in zip(words.tolist(), own[first].tolist(), strict=True):
+            if word not in self.names:
+                self.names[word] = part.langs[part.row[k]].decode(), part.word(k).decode()
+        for row, size in enumerate(np.diff(part.found.offsets).tolist()):
+            if size:
+                lang = part.langs[row].decode()
+                self.totals[lang] = self.totals.get(lang, 0) + size
+
+    def counted(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates and their counts, for each number of words and part of the candidates."""
+        every = [distinct(np.concatenate(g)) for g in self.grams.values() if g]
+        self.grams.clear()
+        for grams in every:
+            for k in range(0, len(grams), MOST_PHRASES):
+                own = grams[k : k + MOST_PHRASES]
+                yield own, Phrases([own]).counts(self.texts)
+
+
+def counted(rows: DataFrame, pairs: Cells, longer: Cells, least: int, blocks: int) -> DataFrame:
+    """(kind, g, n, lang, word): counts of candidates (kind 0), of words, with language and the word itself (kind 1), those
+    that reach `least`, and of all words of a language (kind 2). Tasks send counts packed into blocks by hash, and one task adds
     up a block."""
-    held = rows.sparkSession.sparkContext.broadcast(Phrases(grams))
 
     def make():
+        def blocked(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+            """Order of the rows by block, the blocks in this order, and where each begins and ends."""
+            block = (mixed(words.sum(1, dtype=np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            first = np.flatnonzero(np.diff(block[order], prepend=-1))
+            return order, block[order], list(zip(first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True))
+
+        def sent(group: Group) -> Iterator[list]:
+            for grams, n in group.counted():
+                order, block, spans = blocked(grams)
+                grams, n = grams[order], n[order]
+                yield [[0] * len(spans), [int(block[a]) for a, _ in spans], [grams.shape[1]] * len(spans), [grams[a:b].tobytes() for a, b in spans], [n[a:b].tobytes() for a, b in spans], [[]] * len(spans), [[]] * len(spans)]
+            words, where = np.unique(np.concatenate([w for w, _ in group.words]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([c for _, c in group.words]), len(words)).astype(np.int64)
+            order, block, spans = blocked(words[:, None])
+            words, n = words[order], n[order]
+            told = [[group.names[w] for w in words[a:b].tolist()] for a, b in spans]
+            yield [[1] * len(spans), [int(block[a]) for a, _ in spans], [1] * len(spans), [words[a:b].tobytes() for a, b in spans], [n[a:b].tobytes() for a, b in spans], [[x for x, _ in t] for t in told], [[x for _, x in t] for t in told]]
+            yield [[2], [0], [0], [b""], [np.array(list(group.totals.values()), np.int64).tobytes()], [list(group.totals)], [[]]]
+
         def run(slices: Iterator[Slice]) -> Iterator[list]:
-            phrases = held.value
-            automaton, n = phrases.automaton(), len(phrases.bounds) - 1
-            counts, of_words, totals = np.zeros(n, np.int64), np.zeros(len(phrases.words) + 1, np.int64), {}
-            names: dict[int, tuple[bytes, bytes]] = {}
+            group = Group()
             for part in slices:
-                numbers, text = phrases.read(part)
-                counts += np.bincount(np.fromiter((k for _, k in automaton.iter(text)), np.int64), minlength=n)
-                seen, first = np.unique(numbers, return_index=True)
-                names |= {int(s) - 1: (part.langs[part.row[k]], part.word(k)) for s, k in zip(seen, first, strict=True) if s and not of_words[s]}
-                of_words += np.bincount(numbers, minlength=len(of_words))
-                for row, size in enumerate(np.diff(part.found.offsets).tolist()):
-                    totals[part.langs[row]] = totals.get(part.langs[row], 0) + size
-            if any(totals.values()):
-                yield [[2], [0], [b""], [np.array(list(totals.values()), np.int64).tobytes()], [[t.decode() for t in totals]], [[]]]
-            for kind, sums in ((0, counts), (1, of_words[1:])):
-                there = np.flatnonzero(sums)
-                first = np.flatnonzero(np.diff(there // PACK, prepend=-1))
-                spans = list(zip(first, np.append(first, len(there))[1:], strict=True))
-                told = [[names[k] for k in there[a:b].tolist()] if kind else [] for a, b in spans]
-                yield [[kind] * len(spans), [int(there[a]) // PACK for a, _ in spans], [there[a:b].tobytes() for a, b in spans], [sums[there[a:b]].tobytes() for a, b in spans], [[x.decode() for x, _ in t] for t in told], [[x.decode() for _, x in t] for t in told]]
+                group.add(part, pairs, longer)
+                if group.n >= GROUP:
+                    yield from sent(group)
+                    group = Group()
+            if group.n:
+                yield from sent(group)
 
         return run
 
+    def table(kind: int, grams: list[list[int]], n: list[int], langs: list, words: list) -> pa.Table:
+        return pa.table({"kind": pa.array([kind] * len(n), pa.int32()), "g": pa.array(grams, pa.list_(pa.int64())), "n": pa.array(n, pa.int64()), "lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.string())})
+
     def added(block: pa.Table) -> pa.Table:
-        kind = block.column("kind")[0].as_py()
-        ids = np.frombuffer(b"".join(block.column("ids").to_pylist()), np.int64)
+        kind, size = block.column("kind")[0].as_py(), block.column("size")[0].as_py()
         counts = np.frombuffer(b"".join(block.column("counts").to_pylist()), np.int64)
         langs, words = ([x for row in block.column(c).to_pylist() for x in row] for c in ("langs", "words"))
         if kind == 2:
             sums: dict[str, int] = {}
             for lang, n in zip(langs, counts.tolist(), strict=True):
                 sums[lang] = sums.get(lang, 0) + n
-            return pa.table({"kind": pa.array([2] * len(sums), pa.int32()), "g": pa.nulls(len(sums), pa.list_(pa.int64())), "n": pa.array(list(sums.values()), pa.int64()), "lang": pa.array(list(sums), pa.string()), "word": pa.nulls(len(sums), pa.string())})
-        phrases = held.value
-        own, first, where = np.unique(ids, return_index=True, return_inverse=True)
-        total = np.zeros(len(own), np.int64)
-        np.add.at(total, where, counts)
-        said = [pa.array([v[k] for k in first.tolist()], pa.string()) if kind else pa.nulls(len(own), pa.string()) for v in (langs, words)]
-        return pa.table({"kind": pa.array([kind] * len(own), pa.int32()), "g": phrases.words_of(own) if kind else phrases.grams(own), "n": pa.array(total), "lang": said[0], "word": said[1]})
+            return table(2, [None] * len(sums), list(sums.values()), list(sums), [None] * len(sums))
+        grams = np.frombuffer(b"".join(block.column("grams").to_pylist()), np.int64).reshape(-1, size)
+        order = np.lexsort(grams.T)
+        grams = grams[order]
+        first = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]).any(1)))
+        n = np.add.reduceat(counts[order], first)
+        first, n = first[n >= least], n[n >= least]
+        told = [[v[k] for k in order[first].tolist()] if kind else [None] * len(n) for v in (langs, words)]
+        return table(kind, grams[first].tolist(), n.tolist(), *told)
 
-    found = by_task(rows, make, "kind int, block long, ids binary, counts binary, langs array<string>, words array<string>")
-    return found.groupBy("kind", "block").applyInArrow(added, "kind int, g array<long>, n long, lang string, word string")
+    found = by_task(rows, make, "kind int, block long, size int, grams binary, counts binary, langs array<string>, words array<string>")
+    return found.groupBy("kind", "size", "block").applyInArrow(added, "kind int, g array<long>, n long, lang string, word string")
 
 
 def mined(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, contained: int = CONTAINED, top: int = TOP) -> DataFrame:
@@ -357,37 +330,22 @@ def mined(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
     root = workspace(spark, "phrases")
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(20, int(size // 4).bit_length())
-
-    heavy = heavy_cells(rows, (2,), None, bits, least, f"{root}/pairs")
-    turns = heavy.count() // MOST_CELLS + 1
-    every = Cells(spark, heavy, bits, 0, turns)
-    longer = heavy_cells(rows, tuple(range(3, LONGEST + 1)), every, bits, least, f"{root}/longer")
-    turns = max(turns, longer.count() // MOST_CELLS + 1)
-    parts = [candidates(rows, Cells(spark, heavy, bits, k, turns), Cells(spark, longer, bits, k, turns), turns > 1, int(size >> 21) + 64) for k in range(turns)]
-    for k, part in enumerate(parts):
-        part.write.mode("append").parquet(f"{root}/candidates")
-    found = spark.read.schema("g array<long>").parquet(f"{root}/candidates")
-
-    turns = found.count() // MOST_PHRASES + 1
-    for k in range(turns):
-        grams = found.filter(F.pmod(F.xxhash64("g"), F.lit(turns)) == k).toArrow().column("g").combine_chunks()
-        if len(grams):
-            own = materialise(counted(rows, grams), f"{root}/counts-{k}")
-            own.filter("kind = 0").select("g", "n").write.mode("append").parquet(f"{root}/counted")
-            own.filter("kind = 1").select(F.get("g", F.lit(0)).alias("word"), "n", "lang", F.col("word").alias("text")).write.mode("append").parquet(f"{root}/words")
-            own.filter("kind = 2").select("lang", "n").write.mode("append").parquet(f"{root}/totals")
-    # with no candidate at all nothing was written
-    grams, words, totals = (spark.read.schema(s).parquet(f"{root}/{p}") if turns and found.head(1) else spark.createDataFrame([], s) for p, s in (("counted", "g array<long>, n long"), ("words", "word long, n long, lang string, text string"), ("totals", "lang string, n long")))
-    ranked = _ranked(grams, words.dropDuplicates(["word"]), totals.dropDuplicates(["lang"]), least, contained, top)
+    bits = max(20, min(int(size // 16).bit_length(), MOST_CELLS.bit_length() - 1))
+
+    pairs = Cells(spark, heavy_cells(rows, (1, 2), None, bits, least, f"{root}/pairs"), bits)
+    longer = Cells(spark, heavy_cells(rows, tuple(range(3, LONGEST + 1)), pairs, bits, least, f"{root}/longer"), bits)
+    found = materialise(counted(rows, pairs, longer, least, int(size >> 24) + 64), f"{root}/counted")
+    grams, totals = found.filter("kind = 0").select("g", "n"), found.filter("kind = 2").select("lang", "n")
+    words = found.filter("kind = 1").select(F.get("g", F.lit(0)).alias("word"), "n", "lang", F.col("word").alias("text"))
+    ranked = _ranked(grams, words, totals, contained, top)
     out = materialise(ranked, f"{root}/ranked")
-    for step in ("pairs", "longer", "candidates", "counted", "words", "totals", *(f"counts-{k}" for k in range(turns))):
+    for step in ("pairs", "longer", "counted"):
         drop_path(spark, f"{root}/{step}")
     return out
 
 
-def _ranked(grams: DataFrame, words: DataFrame, totals: DataFrame, least: int, contained: int, top: int) -> DataFrame:
-    frequent = grams.filter(F.col("n") >= least).select("g", F.col("n").alias("a"))
+def _ranked(grams: DataFrame, words: DataFrame, totals: DataFrame, contained: int, top: int) -> DataFrame:
+    frequent = grams.select("g", F.col("n").alias("a"))
     parts = frequent.select("g", "a").unionByName(words.select(F.array("word").alias("g"), F.col("n").alias("a")))
     cuts = frequent.select("g", "a", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("k"))
     cuts = cuts.select("g", "a", "k", F.expr("slice(g, 1, k)").alias("head"), F.expr("slice(g, k + 1, size(g))").alias("tail"))
