@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlode import search_queries
+from textlode.functions.engines import Engine
 from textlode.operators.patterns import literal_hits
-from textlode.operators.search import PatternSet, Search
+from textlode.operators.search import PatternSet, Search, chosen_lines
 from textlode.plans.flags import parse
 from textlode.plans.query import SearchQuery
 from textlode.plans.run import run, run_rows
@@ -197,6 +198,20 @@ def test_empty_matches(spark):
     assert PatternSet(["b*", "x"]) and haystack(spark, "abc").select(PatternSet(["b*", "x"]).count(F.col("text")).alias("n")).first().n == 3
 
 
+def test_empty_matches_are_counted_in_the_engine(spark):
+    """As the matches found one by one say, with all limits and line ends, and without Python."""
+    texts = ["", "n", "\n", "nn\nxn\nx", "anb\nnna\n\n", "a\U0001f600n\U0001f600", "\U0001f600", "xnnx\r\nn\r", "n\0nx\0x", "ab cd\nabab ", None]
+    for pattern in ("n*", "n*?", "|n", "n|", r"\b", "(n|x)*", "^", "$", "(?i)N?", "[^n]*"):
+        for options in ({}, {"max_count": 1}, {"max_count": 2}, {"stop_on_nonmatch": True}, {"crlf": True}, {"null_data": True}, {"include_zero": True}, {"binary": "convert"}):
+            search = Search(haystack(spark, *texts), SearchQuery(patterns=(pattern,), **options))
+            q, engine = search.query, Engine(search.pattern)
+            files = search.files(whole=True).collect()
+            want = sorted((r.doc_id, n) for r in files if (n := sum(len(m) for *_, m in chosen_lines(engine, r._text or "", q))) or q.include_zero)
+            got = search.count_matches()
+            assert sorted((r.doc_id, r.n) for r in got.collect()) == want, (pattern, options)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().toString()
+
+
 def test_captures(spark):
     search = Search(haystack(spark, "ac bc\nbc"), SearchQuery(patterns=("(a)?(?P<name>b)?c",)))
     assert rows(search.captures(), "line_number", "match", "group_1", "name") == [(1, "ac", "a", None), (2, "bc", None, "b")]

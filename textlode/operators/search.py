@@ -218,6 +218,8 @@ class Search:
             lines = self.lines_of(text)
             lines = F.transform(self._chosen(lines), lambda s: s["line"]) if self._limited() else lines
             return total(F.transform(lines, lambda x: F.regexp_count(x, F.lit(self.pattern.java)).cast("long")))
+        if not self.pattern.outside and r"\G" not in self.pattern.java:
+            return let(self.lines_of(text), lambda lines: self._n_with_empty(text, lines))
         pattern, q, view = self.pattern, self.query, self.of_bytes
         bounded_batches(self.df.sparkSession)
 
@@ -229,6 +231,20 @@ class Search:
 
         return count(text)
 
+    def _n_with_empty(self, text: Column, lines: Column) -> Column:
+        """`n_matches` in Java's engine for a pattern that can be empty. There `\\G` is where the last match ended, at first the
+        start, so that a match that ends at it is an empty one right after another; an empty one at the start is good. None begins
+        within a surrogate pair, and none is empty at the end of a last line without a terminator."""
+        count = lambda line, before="": F.coalesce(F.regexp_count(line, F.lit(rf"{before}(?!\p{{Cs}})(?>{self.pattern.java})(?:(?!\G)|\A)")), F.lit(0)).cast("long")
+        numbered = self._chosen(lines) if self._limited() else F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+
+        def counted(chosen: Column) -> Column:
+            last = F.get(chosen, F.size(chosen) - 1)
+            opened = (last["at"] == F.size(lines) - 1) & (last["line"] != "") & ~F.endswith(text, F.lit(self.query.terminator))
+            return total(F.transform(chosen, lambda s: count(s["line"]))) - F.when(opened, count(last["line"]) - count(last["line"], r"(?!\z)")).otherwise(0)
+
+        return let(numbered, counted)
+
     def any_hit(self) -> Column:
         if self.query.multiline:
             return self.multiline_any(F.col("_text"))
