@@ -4,10 +4,14 @@ import json
 import socket
 import time
 
+import pyarrow as pa
 import pytest
+import regex
 
 from textlode.functions.dialect import compile_patterns
 from textlode.operators.render import styles
+from textlode.operators.search import chosen_lines, linear_counts
+from textlode.plans.query import SearchQuery
 from textlode.plans.run import print_rows, run, run_rows
 
 TEXT = "one apple\ntwo pears\nthree apples, four apples\nfive\nsix\nseven\nan apple\n"
@@ -211,6 +215,23 @@ def test_hostile_patterns_end(spark):
     assert not compile_patterns([r"(\w+\s+)+x|(foo|bar)*"]).outside
 
 
+def test_hostile_patterns_are_counted_in_linear_time():
+    """Lines that the linear-time matcher decides are not searched by the other engine, which fails at the second of these."""
+    texts = ["ab.\ncd\n", "a" * 60 + "! ab.\n", "", "ab.", "x.\r\ny\r\nz.\r\n", "\n\nno\n", "q.\nq.\nq\nq.", None, "é.\nzé.\n"]
+    for pattern in (r"([a-z]+)+\.$", r"(a|ab|aa)+", "(x+)+$|q"):
+        for options in ({}, {"invert": True}, {"max_count": 1}, {"stop_on_nonmatch": True}, {"crlf": True}, {"null_data": True}, {"invert": True, "stop_on_nonmatch": True, "max_count": 2}):
+            q = SearchQuery(patterns=(pattern,), **options)
+            made = q.compiled()
+            if made.exact:
+                reference = regex.compile(made.python.replace("+)+", "+)"))  # the same language, read in linear time
+                want = [sum(1 for _ in chosen_lines(reference, t, q)) if t else 0 for t in texts]
+                assert linear_counts(pa.array(texts), made.linear, q).to_pylist() == want, (pattern, options)
+            else:
+                assert options.get("crlf")
+    for pattern in (r"((a+)+)\1$", r"(?i)(k+)+$", r"(?=a)(a+)+"):
+        assert not compile_patterns([pattern], look_around=True).exact
+
+
 def test_both_engines_are_named_when_neither_takes_a_pattern(spark):
     rows = spark.createDataFrame([("f", "x")], "path string, text string")
     with pytest.raises(ValueError, match=r"default: .*pcre2: "):

@@ -79,6 +79,7 @@ class Compiled:
     of_bytes: bool = False  # an expression over the Latin-1 view of bytes
     outside: bool = False  # not for Java's engine: it doesn't know the syntax, or would take exponential time
     linear: str | None = None  # for those that would: what a linear-time engine may reject a text by
+    exact: bool = False  # whether that expression accepts just the same
 
 
 class Parser:
@@ -686,7 +687,7 @@ def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "s
     if terminator == "\n" and not whole_buffer and any("\n" in p or "\\n" in p.replace("\\\\", "") for p in texts) and crosses and required(tree) and any("\n" in r for r in required(tree)):
         raise PatternError("the literal \\n is not allowed in a pattern unless multi-line search is on")
     java = emit(tree)
-    from textlode.functions.engines import hostile, linear
+    from textlode.functions.engines import exact, hostile, linear
 
     slow = not of_bytes and hostile(tree)
     if parser.calls:  # a called group is one by name or number; its name must be known to Python's engine
@@ -695,4 +696,4 @@ def compile_patterns(patterns: list[str], *, fixed: bool = False, case: str = "s
         if name not in ("R", "0"):
             if parser.group_number(name) > parser.groups:
                 raise PatternError(f"unknown group {name!r}: {text!r}")
-    return Compiled(java, to_python(java), parser.names, parser.groups, empty(tree), crosses, required(tree), frozenset(sure(tree)), of_bytes, parser.outside or slow, linear(tree) if slow else None)
+    return Compiled(java, to_python(java), parser.names, parser.groups, empty(tree), crosses, required(tree), frozenset(sure(tree)), of_bytes, parser.outside or slow, linear(tree) if slow else None, slow and not parser.outside and exact(tree))

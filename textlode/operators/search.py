@@ -14,7 +14,9 @@ import bisect
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -199,6 +201,9 @@ class Search:
             def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 found = Engine(pattern)
                 for texts in batches:
+                    if pattern.exact:
+                        yield linear_counts(texts, pattern.linear, q)
+                        continue
                     yield pa.array([sum(1 for _ in chosen_lines(found, t, q, view)) if t else 0 for t in texts.to_pylist()], pa.int64())
 
             return count(text)
@@ -648,6 +653,26 @@ def chosen_lines(compiled, text: str, q: SearchQuery, view: bool = False):
         offset += size
 
 
+def linear_counts(texts: pa.Array, expression: str, q: SearchQuery) -> pa.Array:
+    """How many lines of each text `chosen_lines` has, by Arrow's linear-time matcher for all lines of the texts at once."""
+    if not len(texts):
+        return pa.array([], pa.int64())
+    parts = pc.split_pattern(pc.fill_null(texts, ""), q.terminator)
+    bounds, lines = parts.offsets.to_numpy(), parts.values
+    there = np.ones(len(lines), bool)
+    there[bounds[1:] - 1] = pc.binary_length(lines.take(pa.array(bounds[1:] - 1))).to_numpy() > 0  # no line after the last terminator
+    if q.crlf:
+        lines = pc.replace_substring_regex(lines, r"\r\z", "")
+    hits = (pc.match_substring_regex(lines, expression).to_numpy(zero_copy_only=False) != q.invert) & there
+    if q.stop_on_nonmatch:  # the first run of each text is left
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            first = a + int(hits[a:b].argmax())
+            misses = np.flatnonzero(~hits[first:b])
+            hits[first + int(misses[0]) if len(misses) else b : b] = False
+    n = np.add.reduceat(hits, bounds[:-1], dtype=np.int64)
+    return pa.array(n if q.max_count is None else np.minimum(n, q.max_count), pa.int64())
+
+
 def shown_lines(compiled, text: str, q: SearchQuery, view: bool = False) -> list[tuple[int, int, str, str, list, int]]:
     """(number, bytes before the line, body, kind, matches, group) of the lines that a search shows, context included."""
     marked, offset = [], 0
