@@ -212,6 +212,13 @@ def test_empty_matches_are_counted_in_the_engine(spark):
     assert "ArrowEvalPython" not in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("name", ["set_thousands", "set_captures", "hostile_pattern"])
+def test_texts_are_searched_by_one_worker_a_task(spark, name):
+    """A filter on what a search found must not search again."""
+    plan = search_queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_captures(spark):
     search = Search(haystack(spark, "ac bc\nbc"), SearchQuery(patterns=("(a)?(?P<name>b)?c",)))
     assert rows(search.captures(), "line_number", "match", "group_1", "name") == [(1, "ac", "a", None), (2, "bc", None, "b")]

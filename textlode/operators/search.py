@@ -206,7 +206,7 @@ class Search:
                         continue
                     yield pa.array([sum(1 for _ in chosen_lines(found, t, q, view)) if t else 0 for t in texts.to_pylist()], pa.int64())
 
-            return count(text)
+            return once(count)(text)
         lines = self.lines_of(text)
         return F.coalesce(F.size(self._chosen(lines) if self._limited() else F.filter(lines, self.selected)), F.lit(0)).cast("long")
 
@@ -234,7 +234,7 @@ class Search:
             for texts in batches:
                 yield pa.array([None if t is None else sum(len(kept) for *_, kept in chosen_lines(found, t, q, view)) for t in texts.to_pylist()], pa.int64())
 
-        return count(text)
+        return once(count)(text)
 
     def _n_with_empty(self, text: Column, lines: Column) -> Column:
         """`n_matches` in Java's engine for a pattern that can be empty. There `\\G` is where the last match ended, at first the
@@ -604,6 +604,12 @@ class Search:
         return per.agg(F.count("*").alias("searches"), F.count_if(F.col("lines") > 0).alias("searches_with_match"), total_of("bytes").alias("bytes_searched"), total_of("lines").alias("matched_lines"), total_of("matches").alias("matches"))
 
 
+def once(function: Callable) -> Callable:
+    """A function that runs once a row, by one worker a task. Spark copies one that it takes for deterministic into the filter
+    on its result, so that each task searches its texts twice, in two workers."""
+    return function.asNondeterministic()
+
+
 def distinct_matches(compiled, text: str):
     """Non-overlapping matches: each search goes on where the last match ended; an empty match right there is none, and the
     search goes on a character later."""
@@ -865,7 +871,7 @@ class PatternSet:
             for texts in batches:
                 yield pa.array([None if t is None else [answer(k, m) for k, m in index.matches(t)] for t in texts.to_pylist()], arrow)
 
-        return run(text)
+        return once(run)(text)
 
     def ids(self, text: Column) -> Column:
         """Ascending ids of the patterns that match."""
